@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
-from .common import table
+from .common import n_words, table
+from .decontam import contaminated
+from .mixing import allocate, take
 from .neardup import near_duplicates
 
 
@@ -12,5 +15,38 @@ def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), width=2)
 
 
-QUERIES = {f.__name__: f for f in (op1_minhash_near_dedup,)}
-ORACLE_SQL: dict[str, str] = {}
+def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def _mix_targets(docs: DataFrame) -> DataFrame:
+    """Sources by code point, null last, weigh 5, 2, 1, repeating."""
+    sources = docs.groupBy("source").agg(F.sum(n_words(F.col("text"))).alias("source_size"))
+    place = (F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1) % 3
+    return allocate(sources.withColumn("weight", F.when(place == 0, 5.0).when(place == 1, 2.0).otherwise(1.0)))
+
+
+def op6_mixing_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    mixed = take(docs.select("doc_id", "source", n_words(F.col("text")).alias("words")), _mix_targets(docs), F.col("words"))
+    return mixed.select("doc_id", "size", "source_size", "target", "taken")
+
+
+OP6_SQL = r"""
+with d as (select doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::bigint as size from documents),
+s as (select source, sum(size)::bigint as source_size, case (row_number() over (order by source nulls last) - 1) % 3 when 0 then 5.0::double when 1 then 2.0::double else 1.0::double end as weight from d group by source),
+r as (select *, 2.0::double * source_size / weight as bound, sum(source_size) over () as total from s),
+c as (select *, sum(2.0::double * source_size) over (order by bound, source nulls last) as capped, sum(weight) over () - sum(weight) over (order by bound, source nulls last) as open from r),
+l as (select max(level) as level from (
+  select (1.5::double * total - capped) / open as level, lead(bound) over (order by bound, source nulls last) as next, bound from c where open > 0
+  union all select 1.5::double * max(total) / sum(weight), min(bound), 0 from c) where level <= next + 1e-9 and level >= bound - 1e-9),
+t as (select source, source_size, least(2.0::double * source_size, weight * level) as target from r, l),
+p as (select d.doc_id, d.size, t.source_size, t.target, floor(t.target) as goal,
+  coalesce(sum(d.size) over (partition by d.source order by md5('7:' || d.doc_id), d.doc_id, d.size rows between unbounded preceding and 1 preceding), 0) as before
+  from d join t on d.source is not distinct from t.source)
+select doc_id, size, source_size, target, (case when source_size > 0 then floor(goal / source_size) * size + greatest(0, least(size, goal - floor(goal / source_size) * source_size - before)) else 0 end)::bigint as taken from p
+"""
+
+
+QUERIES = {f.__name__: f for f in (op1_minhash_near_dedup, op4_benchmark_decontamination, op6_mixing_sources)}
+ORACLE_SQL: dict[str, str] = {"op6_mixing_sources": OP6_SQL}
