@@ -5,16 +5,25 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from . import secrets, tokens, toxicity
 from .common import n_words, table
 from .decontam import contaminated
 from .mixing import allocate, take
 from .neardup import near_duplicates
+from .topk import quantized, top_k
 
 
 def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), width=2)
 
 
+def op2_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.scan(table(spark, sf_dir, "documents"))
+    count = lambda k: F.size(F.filter("spans", lambda s: s["kind"] == k)).cast("long")
+    base = secrets.joined(F.filter("spans", lambda s: s["kind"] < 3))
+    return found.select("doc_id", count(0).alias("n_assign"), count(1).alias("n_access"), count(2).alias("n_hex"), count(3).alias("n_random"), F.sha2(base, 256).alias("base_sha256"), secrets.joined(F.col("spans")).alias("spans"))
+
+
 def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -32,6 +41,41 @@ def op6_mixing_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def tokenizer_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def op7_token_id_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    manifest = tokens.write_shards(table(spark, sf_dir, "documents"), tokenizer_path())
+    return tokens.read_shards(manifest).select("doc_id", "start", "n_tokens", "ids_crc32")
+
+
+def op8_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", quantized(F.col("embedding")).alias("v"))
+    return top_k(rows, rows.where("vec_id % 20 = 0"))
+
+
+OP8_SQL = """
+with v as (select vec_id, list_transform(embedding, lambda x: floor(64 * x::double)::bigint) as v from embeddings),
+s as (select q.vec_id as query_id, c.vec_id, list_dot_product(q.v::double[], c.v::double[])::bigint as score from v q join v c on q.vec_id % 20 = 0 and q.vec_id <> c.vec_id),
+r as (select query_id, row_number() over (partition by query_id order by score desc, vec_id) as rank, vec_id, score from s)
+select query_id, rank::int as rank, vec_id, score from r where rank <= 20
+"""
+
+
+def held_out(doc_id):
+    return F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(5)) == 0
+
+
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = table(spark, sf_dir, "labels").select("doc_id", "toxic").where(~held_out(F.col("doc_id")))
+    scored = toxicity.score(docs, toxicity.fit(docs, labels))
+    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), F.col("toxicity").alias("score"), (F.col("toxicity") >= 0.5).cast("int").alias("predicted"))
+
+
 OP6_SQL = r"""
 with d as (select doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::bigint as size from documents),
 s as (select source, sum(size)::bigint as source_size, case (row_number() over (order by source nulls last) - 1) % 3 when 0 then 5.0::double when 1 then 2.0::double else 1.0::double end as weight from d group by source),
@@ -48,5 +92,5 @@ select doc_id, size, source_size, target, (case when source_size > 0 then floor(
 """
 
 
-QUERIES = {f.__name__: f for f in (op1_minhash_near_dedup, op4_benchmark_decontamination, op6_mixing_sources)}
-ORACLE_SQL: dict[str, str] = {"op6_mixing_sources": OP6_SQL}
+QUERIES = {f.__name__: f for f in (op1_minhash_near_dedup, op2_secret_scans, op4_benchmark_decontamination, op6_mixing_sources, op7_token_id_output, op8_exact_top_k, op9_toxicity)}
+ORACLE_SQL: dict[str, str] = {"op6_mixing_sources": OP6_SQL, "op8_exact_top_k": OP8_SQL}
