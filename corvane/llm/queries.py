@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from . import secrets, tokens, toxicity
+from . import license as licences
+from . import pii, secrets, tokens, toxicity
 from .common import n_words, table
 from .decontam import contaminated
 from .mixing import allocate, take
@@ -76,6 +77,17 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), F.col("toxicity").alias("score"), (F.col("toxicity") >= 0.5).cast("int").alias("predicted"))
 
 
+def op5_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return licences.find(docs, licences.fit(docs))
+
+
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = pii.pseudonymize(table(spark, sf_dir, "documents").select("doc_id", "text"), key="corvane")
+    count = lambda *kinds: F.size(F.filter("pii", lambda s: s["kind"].isin(*kinds))).cast("long")
+    return docs.select("doc_id", F.size("pii").cast("long").alias("n_pii"), count("email").alias("n_email"), count("phone").alias("n_phone"), count("card").alias("n_card"), count("ipv4").alias("n_ipv4"), count(*pii.DATES).alias("n_date"), "pii", "text")
+
+
 OP6_SQL = r"""
 with d as (select doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::bigint as size from documents),
 s as (select source, sum(size)::bigint as source_size, case (row_number() over (order by source nulls last) - 1) % 3 when 0 then 5.0::double when 1 then 2.0::double else 1.0::double end as weight from d group by source),
@@ -92,5 +104,5 @@ select doc_id, size, source_size, target, (case when source_size > 0 then floor(
 """
 
 
-QUERIES = {f.__name__: f for f in (op1_minhash_near_dedup, op2_secret_scans, op4_benchmark_decontamination, op6_mixing_sources, op7_token_id_output, op8_exact_top_k, op9_toxicity)}
+QUERIES = {f.__name__: f for f in (op1_minhash_near_dedup, op2_secret_scans, op4_benchmark_decontamination, op5_license_scans, op6_mixing_sources, op7_token_id_output, op8_exact_top_k, op9_toxicity, op10_pii)}
 ORACLE_SQL: dict[str, str] = {"op6_mixing_sources": OP6_SQL, "op8_exact_top_k": OP8_SQL}
