@@ -28,6 +28,11 @@ PATTERN = "|".join(f"(?:{p})" for k, p in FORMATS.items() if k != "card") + "|(?
 DATES = {"iso_date": "yyyy-MM-dd", "dot_date": "dd.MM.yyyy", "slash_date": "MM/dd/yyyy"}
 
 
+def _let(value: Column, use) -> Column:
+    """use(value), with value computed once however often it stands in the result."""
+    return F.element_at(F.transform(F.array(value), use), F.lit(1))
+
+
 def _hash(key: str, kind: str, turn: Column | int, value: Column) -> Column:
     turn = turn if isinstance(turn, Column) else F.lit(turn)
     return F.sha2(F.concat_ws("|", F.lit(key), F.lit(kind), turn.cast("string"), value), 512)
@@ -40,27 +45,30 @@ def _number(digest: Column, digits: int = 8) -> Column:
 def _shifted(half: Column, digest: Column) -> Column:
     """half with each digit and letter moved on within its own class by the digest's bytes."""
 
-    def one(i: Column) -> Column:
+    def one(i: Column, half: Column, digest: Column) -> Column:
         c = F.substr(half, i, F.lit(1))
         k = F.conv(F.substr(digest, F.pmod(i - 1, F.lit(32)) * 4 + 1, F.lit(4)), 16, 10).cast("int")
         code = F.ascii(c)
         move = lambda low, n: F.chr(F.lit(low) + F.pmod(code - low + k, F.lit(n)))
         return F.when(code.between(48, 57), move(48, 10)).when(code.between(97, 122), move(97, 26)).when(code.between(65, 90), move(65, 26)).otherwise(c)
 
-    return F.when(F.length(half) > 0, F.array_join(F.transform(F.sequence(F.lit(1), F.length(half)), one), "")).otherwise("")
+    shift = lambda x: F.array_join(F.transform(F.sequence(F.lit(1), F.length(x["h"])), lambda i: one(i, x["h"], x["d"])), "")
+    return F.when(F.length(half) > 0, _let(F.struct(half.alias("h"), digest.alias("d")), shift)).otherwise("")
 
 
 def permuted(value: Column, key: str, kind: str) -> Column:
     """Feistel network on a string: its halves shift each other in turn; other characters than 0-9, a-z, A-Z stay."""
-    n = F.floor(F.length(value) / 2).cast("int")
-    halves = F.struct(F.substr(value, F.lit(1), n).alias("l"), F.substr(value, n + 1).alias("r"))
+
+    def halves(v: Column) -> Column:
+        n = F.floor(F.length(v) / 2).cast("int")
+        return F.struct(F.substr(v, F.lit(1), n).alias("l"), F.substr(v, n + 1).alias("r"))
 
     def turn(h: Column, i: Column) -> Column:
         left = F.when(i % 2 == 1, _shifted(h["l"], _hash(key, kind, i, h["r"]))).otherwise(h["l"])
         right = F.when(i % 2 == 0, _shifted(h["r"], _hash(key, kind, i, h["l"]))).otherwise(h["r"])
         return F.struct(left.alias("l"), right.alias("r"))
 
-    return F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), halves, turn, lambda h: F.concat(h["l"], h["r"]))
+    return F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), _let(value, halves), turn, lambda h: F.concat(h["l"], h["r"]))
 
 
 def _pair(high: Column, low: Column, n_high: int, n_low: int, key: str, kind: str) -> Column:
@@ -77,11 +85,14 @@ def _pair(high: Column, low: Column, n_high: int, n_low: int, key: str, kind: st
 def _luhn_digit(body: Column) -> Column:
     """The check digit that makes body + digit valid."""
 
-    def add(total: Column, i: Column) -> Column:
-        d = F.substr(body, F.length(body) + 1 - i, F.lit(1)).cast("int") * F.when(i % 2 == 1, 2).otherwise(1)
-        return total + F.when(d > 9, d - 9).otherwise(d)
+    def total(b: Column) -> Column:
+        def add(so_far: Column, i: Column) -> Column:
+            d = F.substr(b, F.length(b) + 1 - i, F.lit(1)).cast("int") * F.when(i % 2 == 1, 2).otherwise(1)
+            return so_far + F.when(d > 9, d - 9).otherwise(d)
+
+        return F.aggregate(F.sequence(F.lit(1), F.length(b)), F.lit(0), add)
 
-    return F.pmod(-F.aggregate(F.sequence(F.lit(1), F.length(body)), F.lit(0), add), F.lit(10))
+    return F.pmod(-_let(body, total), F.lit(10))
 
 
 def _digits(value: Column) -> Column:
@@ -91,18 +102,18 @@ def _digits(value: Column) -> Column:
 def _refilled(shape: Column, digits: Column) -> Column:
     """digits put in place of shape's own."""
 
-    def one(i: Column) -> Column:
+    def one(i: Column, d: Column) -> Column:
         c = F.substr(shape, i, F.lit(1))
-        return F.when(c.between("0", "9"), F.substr(digits, F.length(_digits(F.substr(shape, F.lit(1), i))), F.lit(1))).otherwise(c)
+        return F.when(c.between("0", "9"), F.substr(d, F.length(_digits(F.substr(shape, F.lit(1), i))), F.lit(1))).otherwise(c)
 
-    return F.array_join(F.transform(F.sequence(F.lit(1), F.length(shape)), one), "")
+    return _let(digits, lambda d: F.array_join(F.transform(F.sequence(F.lit(1), F.length(shape)), lambda i: one(i, d)), ""))
 
 
 def _card(v: Column, key: str) -> Column:
     body = _digits(v)
     body = F.substr(body, F.lit(1), F.length(body) - 1)
-    new = permuted(body, key, "card")
-    return _refilled(v, F.concat(new, _luhn_digit(new).cast("string")))
+    full = _let(permuted(body, key, "card"), lambda new: F.concat(new, _luhn_digit(new).cast("string")))
+    return _refilled(v, full)
 
 
 def _card_ok(v: Column) -> Column:
@@ -112,8 +123,8 @@ def _card_ok(v: Column) -> Column:
 
 def _address(v: Column, key: str) -> Column:
     o = F.transform(F.split(v, r"\."), lambda x: x.cast("long"))
-    p = _pair(o[0] * 256 + o[1], o[2] * 256 + o[3], 65536, 65536, key, "ipv4")
-    return F.concat_ws(".", F.floor(p["h"] / 256), p["h"] % 256, F.floor(p["l"] / 256), p["l"] % 256)
+    new = _let(o, lambda o: _pair(o[0] * 256 + o[1], o[2] * 256 + o[3], 65536, 65536, key, "ipv4"))
+    return _let(new, lambda p: F.concat_ws(".", F.floor(p["h"] / 256), p["h"] % 256, F.floor(p["l"] / 256), p["l"] % 256))
 
 
 def _address_ok(v: Column) -> Column:
@@ -126,8 +137,8 @@ def _day(v: Column, form: str) -> Column:
 
 def _date(v: Column, form: str, key: str) -> Column:
     day = _day(v, form)
-    p = _pair(F.floor(day / DAYS_LOW), day % DAYS_LOW, DAYS_HIGH, DAYS_LOW, key, "date")
-    return F.date_format(F.date_add(F.lit(FIRST_DAY).cast("date"), (p["h"] * DAYS_LOW + p["l"]).cast("int")), form)
+    new = _let(day, lambda day: _pair(F.floor(day / DAYS_LOW), day % DAYS_LOW, DAYS_HIGH, DAYS_LOW, key, "date"))
+    return _let(new, lambda p: F.date_format(F.date_add(F.lit(FIRST_DAY).cast("date"), (p["h"] * DAYS_LOW + p["l"]).cast("int")), form))
 
 
 def _email(v: Column, key: str) -> Column:
