@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from . import html
 from . import license as licences
 from . import pii, secrets, tokens, toxicity
 from .common import n_words, table
@@ -25,6 +26,11 @@ def op2_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", count(0).alias("n_assign"), count(1).alias("n_access"), count(2).alias("n_hex"), count(3).alias("n_random"), F.sha2(base, 256).alias("base_sha256"), secrets.joined(F.col("spans")).alias("spans"))
 
 
+def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    return html.extract(pages, html.fit(pages))
+
+
 def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -104,5 +110,5 @@ select doc_id, size, source_size, target, (case when source_size > 0 then floor(
 """
 
 
-QUERIES = {f.__name__: f for f in (op1_minhash_near_dedup, op2_secret_scans, op4_benchmark_decontamination, op5_license_scans, op6_mixing_sources, op7_token_id_output, op8_exact_top_k, op9_toxicity, op10_pii)}
+QUERIES = {f.__name__: f for f in (op1_minhash_near_dedup, op2_secret_scans, op3_html_extraction, op4_benchmark_decontamination, op5_license_scans, op6_mixing_sources, op7_token_id_output, op8_exact_top_k, op9_toxicity, op10_pii)}
 ORACLE_SQL: dict[str, str] = {"op6_mixing_sources": OP6_SQL, "op8_exact_top_k": OP8_SQL}
