@@ -35,7 +35,7 @@ def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-def _mix_targets(docs: DataFrame) -> DataFrame:
+def mix_targets(docs: DataFrame) -> DataFrame:
     """Sources by code point, null last, weigh 5, 2, 1, repeating."""
     sources = docs.groupBy("source").agg(F.sum(n_words(F.col("text"))).alias("source_size"))
     place = (F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1) % 3
@@ -44,7 +44,7 @@ def _mix_targets(docs: DataFrame) -> DataFrame:
 
 def op6_mixing_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
-    mixed = take(docs.select("doc_id", "source", n_words(F.col("text")).alias("words")), _mix_targets(docs), F.col("words"))
+    mixed = take(docs.select("doc_id", "source", n_words(F.col("text")).alias("words")), mix_targets(docs), F.col("words"))
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
