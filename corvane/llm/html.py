@@ -39,7 +39,8 @@ SLOTS = 64
 TURN = 2.0  # what it costs a path to go into an article or out of it
 _GROUP = {t: i for i, g in enumerate(GROUPS) for t in g.split()}
 _ABOVE = {t: i for i, g in enumerate(ABOVE) for t in g.split()}
-N_PLAIN = 18
+N_PLAIN = 22
+_KNOWN = tuple(frozenset(w for x in names for w in re.split("[ -]", x)) for names in (FURNITURE.values(), (a.partition(" ")[2] for a in ARTICLES)))
 SIZE = N_PLAIN + len(GROUPS) + len(ABOVE) + 2 * SLOTS
 
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
@@ -186,8 +187,9 @@ def features(nodes: list[Node]) -> np.ndarray:
             x[i, a0 : w0] = x[j, a0 : w0]
             if up.tag in _ABOVE:
                 x[i, a0 + _ABOVE[up.tag]] = 1
+            r[20], r[21] = max(x[j, 18], x[j, 20]), max(x[j, 19], x[j, 21])
             x[i, w0 + SLOTS :] = np.maximum(x[j, w0 : w0 + SLOTS], x[j, w0 + SLOTS :])
-        r[17] = len(n.words)
+        r[17], r[18], r[19] = len(n.words), len(n.words & _KNOWN[0]) > 0, len(n.words & _KNOWN[1]) > 0
         if n.tag in _GROUP:
             r[g0 + _GROUP[n.tag]] = 1
         for w in n.words:
@@ -231,7 +233,7 @@ def _planted(page: str, seed: int) -> str:
 
     def furniture(kinds: list[str] | None = None) -> str:
         tag = rng.choice(kinds or list(FURNITURE))
-        name = rng.choice(FURNITURE[tag].split())
+        name = rng.choice(FURNITURE[rng.choice(("div", "section", "aside")) if tag in ("div", "section", "aside") else tag].split())
         attr = f'class="{name}"' if rng.random() < 0.6 else f'id="{name}"' if rng.random() < 0.6 or tag in ("div", "section") else ""
         shape = rng.random()
         if tag == "nav" or shape < 0.3:
