@@ -29,7 +29,7 @@ def random_key(doc_id: Column, seed: int) -> Column:
     return F.md5(F.concat_ws(":", F.lit(str(seed)), doc_id.cast("string")))
 
 
-def take(docs: DataFrame, targets: DataFrame, size: Column, seed: int = 7, per_block: int = 50_000) -> DataFrame:
+def take(docs: DataFrame, targets: DataFrame, size: Column, seed: int = 7, per_block: int = 4_000) -> DataFrame:
     """Adds size, source_size, target and taken to docs (doc_id, source, ...): how much of each document the mix takes.
 
     targets: source, source_size, target; a null source is a source. Within a source, documents in order of
