@@ -107,7 +107,7 @@ def _logistic(x: np.ndarray, y: np.ndarray, n: np.ndarray, ridge: float = 0.5) -
     return tuple(map(float, w))
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 40_000, prior: float = 500.0, least_z: float = 4.0, max_tokens: int = 5000) -> ToxicityModel:
+def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000, prior: float = 500.0, least_z: float = 4.0, max_tokens: int = 5000) -> ToxicityModel:
     """Learns from docs (doc_id, text) joined to labels (doc_id, toxic 0 or 1; other values and nulls are left out).
 
     At most about max_rows labelled rows are used, chosen by a hash of doc_id: the documented bound of the sample.
@@ -119,8 +119,9 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 40_000, prior: float
     own = labels.where("toxic in (0, 1) and doc_id is not null").select("doc_id", F.col("toxic").cast("long").alias("toxic")).distinct()
     total = own.count()
     keep = int(1_000_000 * min(1.0, max_rows / max(total, 1)))
-    own = own.where(F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(1_000_000)) < keep)
-    rows = cut(docs.select("doc_id", "text").join(own, "doc_id").select("text", "toxic"), "labelled")
+    drawn = F.pmod(F.xxhash64(F.col("doc_id").cast("long"), F.lit(11)), F.lit(1_000_000)) < keep  # on both sides: the rest isn't shuffled
+    own = own.withColumn("doc_id", F.col("doc_id").cast("long")).where(drawn)
+    rows = cut(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where(drawn).join(own, "doc_id").select("text", "toxic"), "labelled")
     sizes = {r.toxic: r["count"] for r in rows.groupBy("toxic").count().collect()}
     toxic, clean = sizes.get(1, 0), sizes.get(0, 0)
     base = (toxic + 0.5) / (toxic + clean + 1)
