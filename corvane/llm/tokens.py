@@ -8,6 +8,7 @@ come a Bloom filter of all keys and a fixed footer. A lookup tests the filter, s
 from __future__ import annotations
 
 import bisect
+import functools
 import struct
 import uuid
 import zlib
@@ -15,6 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -27,6 +29,7 @@ FOOTER = struct.Struct("<QQQQQQ8s")  # index place and size, filter place and si
 ENTRY = struct.Struct("<BBI")  # shared key bytes, own key bytes, ids
 BLOCK = 64 << 10
 HASHES = 7
+_LETTERS = regex.compile(r"\p{L}+")
 
 
 def key_of(doc_id: int) -> bytes:
@@ -131,46 +134,79 @@ class ShardReader:
 
 class Encoder:
     """Ids of whole texts by the tokenizers library. Text is encoded in pieces that begin at single white space: the
-    tokenizer's own word pattern never joins characters across such a place, so equal pieces are encoded once. A text
-    with any other white space is encoded whole."""
+    tokenizer's own word pattern never joins characters across such a place, so equal pieces are encoded once, many of
+    them in one call with line ends between. A text with any other white space is encoded whole."""
 
-    def __init__(self, path: str, end: bytes, limit: int = 400_000):
+    def __init__(self, path: str, end: bytes, limit: int = 300_000, stem_limit: int = 1_000_000):
         from tokenizers import Tokenizer
 
-        self.tok, self.end, self.limit = Tokenizer.from_file(path), end, limit
+        self.tok, self.end, self.limit, self.stem_limit = Tokenizer.from_file(path), end, limit, stem_limit
         self.known: dict[str, bytes | None] = {}
+        self.stems: dict[str, bytes] = {}
+        self.line = self._ids(["\n"])[0]
 
     def _ids(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _learn(self, words: list[str]) -> None:
+        """Ids of words, each with what stands before it: a space, or nothing at the beginning of a line."""
+        for i in range(0, len(words), 2000):
+            own = words[i : i + 2000]
+            ids = np.frombuffer(self._ids(["\n".join(own)])[0], dtype="<u4")
+            cuts = np.flatnonzero(ids == int.from_bytes(self.line, "little")) if len(self.line) == 4 else ()
+            if len(cuts) == len(own) - 1:
+                raw, edges = ids.tobytes(), [-1, *cuts.tolist(), len(ids)]
+                each = [raw[4 * a + 4 : 4 * b] for a, b in zip(edges, edges[1:], strict=False)]
+            else:
+                each = self._ids(own)
+            self.stems.update(zip(own, each, strict=True))
+
+    def _pieces(self, pieces: set[str]) -> None:
+        """Letters and what follows them are always parted by the tokenizer (but for an apostrophe), so a piece's letters
+        and its tail are known apart."""
+        parts = []
+        for p in pieces:
+            line = p[:1] == "\n"
+            word = p[1:] if line else p
+            if not word or word[0].isspace() or word[-1].isspace():
+                self.known[p] = None
+                continue
+            tail = ""
+            if not word.isalpha() and (m := _LETTERS.match(word)) and word[m.end()] != "'" and not word[m.end()].isspace():
+                word, tail = m.group(), word[m.end() :]
+            parts.append((p, line, word if line else " " + word, tail))
+        stems = self.stems
+        self._learn([w for w in {x for _, _, w, t in parts for x in (w, t) if x} if w not in stems])
+        for p, line, word, tail in parts:
+            ids = stems[word] + stems[tail] if tail else stems[word]
+            self.known[p] = self.line + ids if line else ids
+
     def encode(self, texts: list[str | None]) -> list[bytes]:
         if len(self.known) > self.limit:
             self.known.clear()
-        known = self.known
-        split = [(t or "").replace("\n", " \n").split(" ") for t in texts]
-        new = list(set().union(*(s[1:] for s in split)) - known.keys())
-        fit = []
-        for p in new:
-            rest = p[1:] if p[:1] == "\n" else p
-            if not rest or rest[0].isspace() or rest[-1].isspace():
-                known[p] = None
-            else:
-                fit.append(p)
-        known.update(zip(fit, self._ids([p if p[0] == "\n" else " " + p for p in fit]), strict=True))
-        heads = self._ids([s[0] for s in split])
+        if len(self.stems) > self.stem_limit:
+            self.stems.clear()
+        known, skip = self.known, len(self.line)
+        split = [("\n" + t if t else "").replace("\n", " \n").split(" ")[1:] for t in texts]
+        self._pieces(set().union(*split) - known.keys())
         out, whole = [], []
-        for k, (s, head) in enumerate(zip(split, heads, strict=True)):
-            parts = [known[p] for p in s[1:]]
-            if None in parts or s[0][-1:].isspace():
+        for k, s in enumerate(split):
+            try:
+                out.append(b"".join([known[p] for p in s])[skip:] + self.end)
+            except TypeError:
                 whole.append(k)
                 out.append(b"")
-            else:
-                out.append(head + b"".join(parts) + self.end)
         for k, ids in zip(whole, self._ids([texts[k] for k in whole]), strict=True):
             out[k] = ids + self.end
         return out
 
 
+@functools.cache
+def _encoder(path: str, end: bytes) -> Encoder:
+    """One for each worker process, so that later tasks know the pieces of earlier ones."""
+    return Encoder(path, end)
+
+
 MANIFEST = "path string, shard long, documents long, tokens long"
 
 
@@ -183,7 +219,7 @@ def _writer(folder: str, tokenizer: str, end: bytes):
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         shard = TaskContext.get().partitionId()
-        encoder, writer, out = Encoder(tokenizer, end), None, None
+        encoder, writer, out = _encoder(tokenizer, end), None, None
         store, base = fs.FileSystem.from_uri(folder)
         name = f"{base}/shard-{shard:08d}-{uuid.uuid4().hex}.sst"  # another attempt writes another file
         for b in batches:
