@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from corvane.functions.perf import metrics
+from corvane.functions.perf import correlation, metrics
 from corvane.functions.xs import normalised, pct_rank
 
 STYLES = ("value", "quality", "growth", "momentum", "low_vol", "discipline")
@@ -93,7 +93,7 @@ def stability(now: DataFrame, then: DataFrame) -> DataFrame:
     """Rank correlation, drift and confidence of a composite (as_of, ticker, score) against an earlier one."""
     j = now.join(then.select("as_of", "ticker", F.col("score").alias("old")), ["as_of", "ticker"])
     j = j.withColumn("a", pct_rank(F.col("score"), "as_of")).withColumn("b", pct_rank(F.col("old"), "as_of"))
-    out = j.groupBy("as_of").agg(F.corr("a", "b").alias("rho"), F.avg(F.abs(F.col("score") - F.col("old"))).alias("drift"))
+    out = j.groupBy("as_of").agg(correlation("a", "b").alias("rho"), F.avg(F.abs(F.col("score") - F.col("old"))).alias("drift"))
     return out.withColumn("confidence", F.greatest(F.lit(0.0), F.least(F.lit(1.0), 0.5 * (F.coalesce("rho", F.lit(0.0)) + 1) - 0.003 * F.col("drift"))))
 
 

@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from corvane.functions.perf import correlation
 from corvane.functions.xs import pct_rank
 
 # fixed values: feature, family, expected sign
@@ -135,7 +136,7 @@ def ic_by_date(df: DataFrame, score: str, target: str = "fwd_return", keys: list
     own = ["as_of", *keys]
     both = df.where(F.col(score).isNotNull() & F.col(target).isNotNull())
     r = both.withColumn("__a", pct_rank(F.col(score), *own)).withColumn("__b", pct_rank(F.col(target), *own))
-    return r.groupBy(*own).agg(F.when(F.count("*") >= 3, F.corr("__a", "__b")).alias("ic"), F.count("*").alias("n"))
+    return r.groupBy(*own).agg(F.when(F.count("*") >= 3, correlation("__a", "__b")).alias("ic"), F.count("*").alias("n"))
 
 
 def ic_summary(ics: DataFrame, keys: list[str] = (), lags: int = 0) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corvane.functions.perf import correlation
 from corvane.functions.xs import blend, clipped, pct_rank
 
 ON = "as_of"
@@ -25,7 +26,7 @@ def stock_risk(returns: DataFrame, dates: DataFrame, window: int = 252) -> DataF
     w = Window.partitionBy(ON, "ticker").orderBy("date").rowsBetween(Window.unboundedPreceding, 0)
     rows = rows.withColumn("dd", F.col("close") / F.max("close").over(w) - 1)
     pair = F.when(F.col("m").isNotNull(), F.col("ret"))
-    df = rows.groupBy(ON, "ticker").agg((F.stddev_pop("ret") * 252**0.5).alias("vol"), (F.covar_samp(pair, "m") / F.var_pop("m")).alias("beta"), F.min("dd").alias("mdd"), F.avg((F.col("dd") < -0.10).cast("double")).alias("dd_freq"), F.count("ret").alias("n"))
+    df = rows.groupBy(ON, "ticker").agg((F.stddev_pop("ret") * 252**0.5).alias("vol"), F.try_divide(F.covar_samp(pair, "m"), F.var_pop("m")).alias("beta"), F.min("dd").alias("mdd"), F.avg((F.col("dd") < -0.10).cast("double")).alias("dd_freq"), F.count("ret").alias("n"))
     df = df.withColumn("beta", F.when(F.col("beta").isNull() | F.isnan("beta") | (F.col("n") < 30), 1.0).otherwise(F.col("beta")))
     df = df.withColumns({"r_vol": pct_rank(F.col("vol"), ON, ascending=False), "r_mdd": pct_rank(F.col("mdd"), ON), "r_freq": pct_rank(F.col("dd_freq"), ON, ascending=False)})
     df = df.withColumn("risk_score", blend({"r_vol": 0.5, "r_mdd": 0.3, "r_freq": 0.2}))
@@ -67,7 +68,7 @@ def book_returns(weights: DataFrame, returns: DataFrame) -> DataFrame:
 def portfolio_risk(daily: DataFrame) -> DataFrame:
     """R6."""
     pair = F.when(F.col("m").isNotNull(), F.col("ret"))
-    beta = F.covar_samp(pair, "m") / F.var_pop("m")
+    beta = F.try_divide(F.covar_samp(pair, "m"), F.var_pop("m"))
     return daily.groupBy(*BOOK).agg((F.stddev_pop("ret") * 252**0.5).alias("vol"), F.when(F.count("ret") > 20, beta).otherwise(1.0).alias("beta"), F.count("*").alias("n_days"))
 
 
@@ -149,7 +150,7 @@ def average_correlation(returns: DataFrame, keys: list[str]) -> DataFrame:
     """Mean of the upper triangle; pairs exist within one book and date only, whose size is bounded by its mandate."""
     a, b = returns.alias("a"), returns.alias("b")
     on = [F.col(f"a.{k}") == F.col(f"b.{k}") for k in [*keys, "date"]] + [F.col("a.ticker") < F.col("b.ticker")]
-    pairs = a.join(b, on).groupBy(*[F.col(f"a.{k}").alias(k) for k in keys], F.col("a.ticker").alias("t1"), F.col("b.ticker").alias("t2")).agg(F.corr(F.col("a.ret"), F.col("b.ret")).alias("c"))
+    pairs = a.join(b, on).groupBy(*[F.col(f"a.{k}").alias(k) for k in keys], F.col("a.ticker").alias("t1"), F.col("b.ticker").alias("t2")).agg(correlation(F.col("a.ret"), F.col("b.ret")).alias("c"))
     return pairs.groupBy(*keys).agg(F.avg("c").alias("avg_corr"), F.count("c").alias("n_pairs"))
 
 

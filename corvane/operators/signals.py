@@ -133,7 +133,7 @@ def price_features(prices: DataFrame, benchmarks: DataFrame, window: int = 252)
     near = F.lag("close", 20).over(w)
     last = w.rowsBetween(1 - window, 0)
     pair = F.when(F.col("m").isNotNull(), F.col("ret"))
-    beta = F.covar_samp(pair, F.col("m")).over(last) / F.var_pop(F.col("m")).over(last)
+    beta = F.try_divide(F.covar_samp(pair, F.col("m")).over(last), F.var_pop(F.col("m")).over(last))
     df = df.select("date", "ticker", "close", "n", "ret", (near / back - 1).alias("mom"), (F.col("close") / near - 1).alias("rev"), (F.stddev_pop("ret").over(w.rowsBetween(-125, 0)) * 252**0.5).alias("volatility"), beta.alias("beta"))
     few = F.col("n") < 40
     return df.withColumns({c: F.when(few, None).otherwise(F.col(c)) for c in ("mom", "rev", "volatility")}).withColumn("beta", F.when(F.isnan("beta") | F.col("beta").isNull() | (F.col("n") < 30), 1.0).otherwise(F.col("beta")))
