@@ -50,13 +50,11 @@ def _matrix(sketches: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(sketches.to_pylist()), dtype=np.uint8).reshape(-1, SLOTS)
 
 
-def _passing(ids_a, sk_a, ids_b, sk_b, least: int, ok=None) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+def _passing(ids_a, sk_a, ids_b, sk_b, least: int) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     out = []
     for i in range(len(ids_a)):
         same = (sk_b == sk_a[i]).sum(axis=1)
         keep = same >= least
-        if ok is not None:
-            keep &= ok(i)
         if keep.any():
             out.append((np.full(keep.sum(), ids_a[i]), ids_b[keep], same[keep]))
     return out
@@ -93,13 +91,32 @@ def _with_hub(least: int):
     return run
 
 
-def _between_blocks(least: int):
+def _linked(p: np.ndarray, q: np.ndarray, percent: int) -> bool:
+    both = np.concatenate([p, q])
+    both.sort()
+    same = int((both[1:] == both[:-1]).sum())
+    return 100 * same >= percent * (len(both) - same)
+
+
+def _between_blocks(least: int, percent: int):
+    """Confirmed links between components, one for each minor member and other component: no more change the result."""
+
     def run(key, table):
         t = table.combine_chunks()
-        ids, comp, sk, side = t["rep"].to_numpy(), t["comp"].to_numpy(), _matrix(t["sketch"]), t["minor"].to_numpy(zero_copy_only=False)
-        m = np.flatnonzero(side)
-        o = np.flatnonzero(~side)
-        return pa.Table.from_batches([_pairs(_passing(ids[m], sk[m], ids[o], sk[o], least, lambda i: comp[o] != comp[m[i]]))])
+        ids, comp, sk, minor = t["rep"].to_numpy(), t["comp"].to_numpy(), _matrix(t["sketch"]), t["minor"].to_numpy(zero_copy_only=False)
+        sets = [np.frombuffer(x, dtype=np.uint64) for x in t["shingles"].to_pylist()]
+        role = t["role"].to_numpy()
+        m, o = np.flatnonzero((role == 1) | (role == 0) & minor), np.flatnonzero(role != 1)
+        sizes, rows = np.array([len(x) for x in sets]), []
+        for i in m:
+            near = (sk[o] == sk[i]).sum(axis=1)
+            fits = (100 * np.minimum(sizes[o], sizes[i]) >= percent * np.maximum(sizes[o], sizes[i])) & (comp[o] != comp[i]) & (near >= least)
+            done = set()
+            for j in o[fits][np.argsort(-near[fits], kind="stable")]:
+                if comp[j] not in done and _linked(sets[i], sets[j], percent):
+                    done.add(comp[j])
+                    rows.append((ids[i], ids[j]))
+        return pa.table([pa.array([r[k] for r in rows], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
     return run
 
@@ -142,11 +159,7 @@ def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             a, b = batch.column("sa").to_pylist(), batch.column("sb").to_pylist()
             keep = []
             for x, y in zip(a, b, strict=True):
-                p, q = np.frombuffer(x, dtype=np.uint64), np.frombuffer(y, dtype=np.uint64)
-                both = np.concatenate([p, q])
-                both.sort()
-                same = int((both[1:] == both[:-1]).sum())
-                keep.append(100 * same >= percent * (len(p) + len(q) - same))
+                keep.append(_linked(np.frombuffer(x, dtype=np.uint64), np.frombuffer(y, dtype=np.uint64), percent))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     left = sets.select(F.col("rep").alias("a"), F.col("shingles").alias("sa"))
@@ -157,12 +170,12 @@ def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 def _sets_of(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
     def run(batches):
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([s.tobytes() for s in shingle_sets(b.column("text"), width)], pa.binary())], ["rep", "shingles"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(own := [s.tobytes() for s in shingle_sets(b.column("text"), width)], pa.binary()), pa.array([len(s) for s in own], pa.int64())], ["rep", "shingles", "bytes"])
 
-    return docs.select("doc_id", "text").join(wanted.withColumnRenamed("rep", "doc_id"), "doc_id", "left_semi").mapInArrow(run, "rep long, shingles binary")
+    return docs.select("doc_id", "text").join(wanted.withColumnRenamed("rep", "doc_id"), "doc_id", "left_semi").mapInArrow(run, "rep long, shingles binary, bytes long")
 
 
-def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, trees: int = 4, branches: int = 2, small: int = 24, levels: int = 3, block: int = 2048) -> DataFrame:
+def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, trees: int = 4, branches: int = 2, small: int = 24, levels: int = 3, block_bytes: int = 4_000_000) -> DataFrame:
     """doc_id, n_shingles, component_id and kept for each row of docs (doc_id, text; other columns are ignored).
 
     Two documents are linked if 100 * |intersection| >= percent * |union| of their sets of `width`-word shingles.
@@ -191,7 +204,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, trees: i
     labels = components(links)
     links = links.unionByName(cut(_confirm(_across(pairs, labels), sets, percent), "links"))
     labels = cut(components(links), "labels")
-    late = cut(_confirm(_across(_residual(deep, labels, least, block), labels), sets, percent), "links")
+    late = cut(_residual(deep, labels, sets, least, percent, block_bytes), "links")
     same_id = live.groupBy("doc_id").agg(F.count("*").alias("c")).where("c > 1").select("doc_id")
     repeated = live.join(same_id, "doc_id", "left_semi").join(reps, ["n", "h1", "h2"]).where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
     links = links.unionByName(late).unionByName(repeated)
@@ -210,15 +223,20 @@ def _across(pairs: DataFrame, labels: DataFrame) -> DataFrame:
     return pairs.join(left, "a", "left").join(right, "b", "left").where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
 
 
-def _residual(deep: DataFrame, labels: DataFrame, least: int, block: int) -> DataFrame:
-    """Candidates within the nodes that stayed large: members outside the node's main component against all."""
-    rows = deep.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("node", "rep", "sketch", F.coalesce("component", "rep").alias("comp"))
-    rows = cut(rows, "residual")
-    sizes = rows.groupBy("node", "comp").agg(F.count("*").alias("c"))
+def _residual(deep: DataFrame, labels: DataFrame, sets: DataFrame, least: int, percent: int, block_bytes: int) -> DataFrame:
+    """Links between components within the nodes that stayed large: members outside a node's main component are compared
+    with all its members, everything else being in one component already. Sets are dealt into blocks of about
+    block_bytes; a node of one block gets each set once."""
+    rows = deep.join(labels.withColumnRenamed("node", "rep"), "rep", "left").join(sets.select("rep", "bytes"), "rep")
+    rows = cut(rows.select("node", "rep", "sketch", F.coalesce("component", "rep").alias("comp"), "bytes"), "residual")
+    sizes = rows.groupBy("node", "comp").agg(F.sum("bytes").alias("c"))
     main = sizes.groupBy("node").agg(F.max_by("comp", F.struct("c", "comp")).alias("main"), F.sum("c").alias("n"), F.max("c").alias("c")).where("n > c")
     rows = rows.join(main, "node").withColumn("minor", F.col("comp") != F.col("main"))
-    n_minor, n_all = F.ceil((F.col("n") - F.col("c")) / block), F.ceil(F.col("n") / block)
-    at = F.xxhash64("rep", F.lit(3))
-    minor = rows.where("minor").select("node", "rep", "sketch", "comp", "minor", F.pmod(at, n_minor).alias("bm"), F.explode(F.sequence(F.lit(0), n_all - 1)).alias("bo"))
-    others = rows.select("node", "rep", "sketch", "comp", F.lit(False).alias("minor"), F.explode(F.sequence(F.lit(0), n_minor - 1)).alias("bm"), F.pmod(at, n_all).alias("bo"))
-    return minor.unionByName(others).groupBy("node", "bm", "bo").applyInArrow(_between_blocks(least), PAIR).select("a", "b").distinct()
+    rows = rows.withColumn("n_all", F.ceil(F.col("n") / block_bytes)).withColumn("n_minor", F.ceil((F.col("n") - F.col("c")) / block_bytes))
+    at, own = F.xxhash64("rep", F.lit(3)), ["node", "rep", "sketch", "comp", "minor"]
+    copy = lambda df, role, bm, bo: df.select(*own, F.lit(role).alias("role"), bm.cast("long").alias("bm"), bo.cast("long").alias("bo"))
+    many = rows.where("n_all > 1")
+    dealt = copy(rows.where("n_all = 1"), 0, F.lit(0), F.lit(0)).unionByName(
+        copy(many.where("minor").withColumn("k", F.explode(F.sequence(F.lit(0), F.col("n_all") - 1))), 1, F.pmod(at, F.col("n_minor")), F.col("k"))
+    ).unionByName(copy(many.withColumn("k", F.explode(F.sequence(F.lit(0), F.col("n_minor") - 1))), 2, F.col("k"), F.pmod(at, F.col("n_all"))))
+    return dealt.join(sets.select("rep", "shingles"), "rep").groupBy("node", "bm", "bo").applyInArrow(_between_blocks(least, percent), "a long, b long").distinct()
