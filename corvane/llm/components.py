@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 from .common import cut
 
 
+PER_FILE = 50_000  # edges: steps over few edges end in few files
+
+
 def _stars(edges: DataFrame) -> DataFrame:
     """One large-star and one small-star step. Minima are aggregated before the shuffle and joined back, so a hub's
     neighbours are never gathered in one task. edges: hi > lo."""
@@ -30,5 +33,5 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         if state == was or not state[0]:
             return now.select(F.col("hi").alias("node"), F.col("lo").alias("component")).unionByName(now.select(F.col("lo").alias("node"), F.col("lo").alias("component")).distinct())
         was = state
-        now = cut(_stars(now), "stars")
+        now = cut(_stars(now).coalesce(max(1, state[0] // PER_FILE)), "stars")
     raise RuntimeError(f"components: not converged after {rounds} rounds")

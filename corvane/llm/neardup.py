@@ -91,6 +91,19 @@ def _with_hub(least: int):
     return run
 
 
+def _pack(s: np.ndarray) -> bytes:
+    """The upper 48 bits of a sorted set, the highest byte of all first: sorted high bytes compress well. Two sets of
+    20,000 shingles have a chance of 1 in 700,000 to share a value by accident."""
+    return np.unique(s >> np.uint64(16)).astype(">u8").view(np.uint8).reshape(-1, 8)[:, 2:].T.tobytes()
+
+
+def _unpack(raw: bytes) -> np.ndarray:
+    planes = np.frombuffer(raw, dtype=np.uint8).reshape(6, -1)
+    out = np.zeros((planes.shape[1], 8), dtype=np.uint8)
+    out[:, 2:] = planes.T
+    return out.view(">u8").ravel().astype(np.uint64)
+
+
 def _linked(p: np.ndarray, q: np.ndarray, percent: int) -> bool:
     both = np.concatenate([p, q])
     both.sort()
@@ -104,7 +117,7 @@ def _between_blocks(least: int, percent: int):
     def run(key, table):
         t = table.combine_chunks()
         ids, comp, sk, minor = t["rep"].to_numpy(), t["comp"].to_numpy(), _matrix(t["sketch"]), t["minor"].to_numpy(zero_copy_only=False)
-        sets = [np.frombuffer(x, dtype=np.uint64) for x in t["shingles"].to_pylist()]
+        sets = [_unpack(x) for x in t["shingles"].to_pylist()]
         role = t["role"].to_numpy()
         m, o = np.flatnonzero((role == 1) | (role == 0) & minor), np.flatnonzero(role != 1)
         sizes, rows = np.array([len(x) for x in sets]), []
@@ -159,7 +172,7 @@ def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             a, b = batch.column("sa").to_pylist(), batch.column("sb").to_pylist()
             keep = []
             for x, y in zip(a, b, strict=True):
-                keep.append(_linked(np.frombuffer(x, dtype=np.uint64), np.frombuffer(y, dtype=np.uint64), percent))
+                keep.append(_linked(_unpack(x), _unpack(y), percent))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     left = sets.select(F.col("rep").alias("a"), F.col("shingles").alias("sa"))
@@ -170,7 +183,7 @@ def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 def _sets_of(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
     def run(batches):
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(own := [s.tobytes() for s in shingle_sets(b.column("text"), width)], pa.binary()), pa.array([len(s) for s in own], pa.int64())], ["rep", "shingles", "bytes"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(own := [_pack(s) for s in shingle_sets(b.column("text"), width)], pa.binary()), pa.array([len(s) for s in own], pa.int64())], ["rep", "shingles", "bytes"])
 
     return docs.select("doc_id", "text").join(wanted.withColumnRenamed("rep", "doc_id"), "doc_id", "left_semi").mapInArrow(run, "rep long, shingles binary, bytes long")
 
@@ -196,19 +209,16 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, trees: i
     pairs, deep = cut(pairs, "pairs"), cut(deep, "deep")
 
     # members of nodes still large may be compared with any other member later
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("rep")).unionByName(deep.select("rep")).distinct()
+    wanted = cut(pairs.select(F.explode(F.array("a", "b")).alias("rep")).unionByName(deep.select("rep")).distinct(), "wanted")
     sets = cut(_sets_of(docs, wanted, width), "sets")
     # one document's closest candidate first: most components are whole after that, and their other pairs need no test
-    closest = pairs.groupBy("a").agg(F.max_by("b", F.struct("est", "b")).alias("b"))
-    links = cut(_confirm(closest, sets, percent), "links")
-    labels = components(links)
-    links = links.unionByName(cut(_confirm(_across(pairs, labels), sets, percent), "links"))
-    labels = cut(components(links), "labels")
-    late = cut(_residual(deep, labels, sets, least, percent, block_bytes), "links")
+    closest = cut(pairs.groupBy("a").agg(F.max_by("b", F.struct("est", "b")).alias("b")), "closest")
+    labels = cut(components(cut(_confirm(closest, sets, percent), "links")), "labels")
+    labels = _merged(labels, cut(_confirm(cut(_across(pairs, labels), "across"), sets, percent), "links"))
     same_id = live.groupBy("doc_id").agg(F.count("*").alias("c")).where("c > 1").select("doc_id")
     repeated = live.join(same_id, "doc_id", "left_semi").join(reps, ["n", "h1", "h2"]).where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
-    links = links.unionByName(late).unionByName(repeated)
-    labels = components(links)
+    late = _residual(deep, labels, sets, least, percent, block_bytes)
+    labels = _merged(labels, cut(late.unionByName(repeated), "links"))
 
     out = sigs.join(reps, ["n", "h1", "h2"], "left").join(labels.withColumnRenamed("node", "rep"), "rep", "left")
     component = F.when(F.col("n") > 0, F.coalesce("component", "rep")).otherwise(F.col("doc_id"))
@@ -216,11 +226,29 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, trees: i
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
 
-def _across(pairs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Pairs whose ends are not in one component yet."""
+def _labelled(pairs: DataFrame, labels: DataFrame) -> DataFrame:
+    """Pairs (a, b) whose ends are in different components, with these as ca and cb; a node without a label is its own."""
     left = labels.select(F.col("node").alias("a"), F.col("component").alias("ca"))
     right = labels.select(F.col("node").alias("b"), F.col("component").alias("cb"))
-    return pairs.join(left, "a", "left").join(right, "b", "left").where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
+    named = pairs.join(left, "a", "left").join(right, "b", "left")
+    return named.select("a", "b", F.coalesce("ca", "a").alias("ca"), F.coalesce("cb", "b").alias("cb")).where("ca <> cb")
+
+
+def _across(pairs: DataFrame, labels: DataFrame) -> DataFrame:
+    """Pairs whose ends are not in one component yet."""
+    return _labelled(pairs, labels).select("a", "b")
+
+
+def _merged(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """Labels after more links: only links between components count, as edges of a graph of components."""
+    if links.isEmpty():
+        return labels
+    joined = _labelled(links, labels).select(F.col("ca").alias("a"), F.col("cb").alias("b"))
+    merged = cut(components(joined), "merged")
+    known = labels.unionByName(merged.select("node", F.col("node").alias("component"))).distinct()
+    merged = merged.select(F.col("node").alias("component"), F.col("component").alias("into"))
+    known = known.join(merged, "component", "left").select("node", F.coalesce("into", "component").alias("component"))
+    return cut(known, "labels")
 
 
 def _residual(deep: DataFrame, labels: DataFrame, sets: DataFrame, least: int, percent: int, block_bytes: int) -> DataFrame:
@@ -239,4 +267,5 @@ def _residual(deep: DataFrame, labels: DataFrame, sets: DataFrame, least: int, p
     dealt = copy(rows.where("n_all = 1"), 0, F.lit(0), F.lit(0)).unionByName(
         copy(many.where("minor").withColumn("k", F.explode(F.sequence(F.lit(0), F.col("n_all") - 1))), 1, F.pmod(at, F.col("n_minor")), F.col("k"))
     ).unionByName(copy(many.withColumn("k", F.explode(F.sequence(F.lit(0), F.col("n_minor") - 1))), 2, F.col("k"), F.pmod(at, F.col("n_all"))))
+    dealt = cut(dealt, "dealt")  # without the sets its size is known: few rows are broadcast to the sets
     return dealt.join(sets.select("rep", "shingles"), "rep").groupBy("node", "bm", "bo").applyInArrow(_between_blocks(least, percent), "a long, b long").distinct()
