@@ -121,6 +121,8 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000, prior: float
     keep = int(1_000_000 * min(1.0, max_rows / max(total, 1)))
     drawn = F.pmod(F.xxhash64(F.col("doc_id").cast("long"), F.lit(11)), F.lit(1_000_000)) < keep  # on both sides: the rest isn't shuffled
     own = own.withColumn("doc_id", F.col("doc_id").cast("long")).where(drawn)
+    if own.count() <= 2 * max_rows:  # checked: then texts aren't shuffled; beyond it the join picks its own way
+        own = F.broadcast(own)
     rows = cut(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where(drawn).join(own, "doc_id").select("text", "toxic"), "labelled")
     sizes = {r.toxic: r["count"] for r in rows.groupBy("toxic").count().collect()}
     toxic, clean = sizes.get(1, 0), sizes.get(0, 0)
