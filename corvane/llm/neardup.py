@@ -202,10 +202,11 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, trees: i
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     sigs = cut(docs.mapInArrow(_signatures(width, trees * branches), "doc_id long, n long, h1 long, h2 long, sketch binary, nodes array<long>"), "signatures")
     live = sigs.where("n > 0 and doc_id is not null")
-    reps = live.groupBy("n", "h1", "h2").agg(F.min("doc_id").alias("rep"))
-    firsts = live.join(reps.withColumnRenamed("rep", "doc_id"), ["n", "h1", "h2", "doc_id"]).groupBy("doc_id", "h1", "h2").agg(F.first("sketch").alias("sketch"), F.first("nodes").alias("nodes"))
+    equal = live.groupBy("n", "h1", "h2")
+    reps = equal.agg(F.min("doc_id").alias("rep"))
+    firsts = equal.agg(F.min("doc_id").alias("rep"), F.first("sketch").alias("sketch"), F.first("nodes").alias("nodes"))  # alike for equal sets
     least = int(SLOTS * percent / 100 - 4.5 * (SLOTS * percent / 100 * (1 - percent / 100)) ** 0.5)
-    pairs, deep = _candidates(firsts.withColumnRenamed("doc_id", "rep"), small, branches, levels, least)
+    pairs, deep = _candidates(firsts, small, branches, levels, least)
     pairs, deep = cut(pairs, "pairs"), cut(deep, "deep")
 
     # members of nodes still large may be compared with any other member later
