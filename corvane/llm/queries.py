@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import html
 from . import license as licences
 from . import pii, secrets, tokens, toxicity
-from .common import n_words, table
+from .common import cut, n_words, table
 from .decontam import contaminated
 from .mixing import allocate, take
 from .neardup import near_duplicates
@@ -35,16 +35,17 @@ def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-def mix_targets(docs: DataFrame) -> DataFrame:
-    """Sources by code point, null last, weigh 5, 2, 1, repeating."""
-    sources = docs.groupBy("source").agg(F.sum(n_words(F.col("text"))).alias("source_size"))
+def mix_targets(docs: DataFrame, size: Column | None = None) -> DataFrame:
+    """Sources by code point, null last, weigh 5, 2, 1, repeating. size: of a document, its text's words if not given."""
+    size = n_words(F.col("text")) if size is None else size
+    sources = cut(docs.groupBy("source").agg(F.sum(size).alias("source_size")), "sources")  # read for every step of the shares
     place = (F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1) % 3
     return allocate(sources.withColumn("weight", F.when(place == 0, 5.0).when(place == 1, 2.0).otherwise(1.0)))
 
 
 def op6_mixing_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
-    mixed = take(docs.select("doc_id", "source", n_words(F.col("text")).alias("words")), mix_targets(docs), F.col("words"))
+    docs = cut(table(spark, sf_dir, "documents").select("doc_id", "source", n_words(F.col("text")).alias("words")), "words")
+    mixed = take(docs, mix_targets(docs, F.col("words")), F.col("words"))
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
