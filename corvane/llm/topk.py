@@ -49,6 +49,10 @@ def _best(ids, x, q_ids, q, pivots, length2: float, k: int, step: int):
             now = order[a : a + step]
             score = np.rint(x[now] @ q[i]).astype(np.int64)
             keep = ids[now] != q_ids[i]
+            if len(best) >= k:
+                keep &= score >= best[-1, 0]  # ties may still have the smaller id
+                if not keep.any():
+                    continue
             both = np.concatenate([best, np.column_stack([score[keep], ids[now][keep]])])
             best = both[np.lexsort((both[:, 1], -both[:, 0]))[:k]]
         out.append((np.full(len(best), q_ids[i]), best[:, 1], best[:, 0]))
