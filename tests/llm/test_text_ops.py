@@ -207,6 +207,15 @@ def test_toxicity_learns_planted_words(spark):
     assert toxicity.score(df, empty).where("toxicity > 0.5").count() == 0
 
 
+def test_toxicity_learns_from_40_000_labelled_rows(spark):
+    draw = F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(1_000_000))
+    rare = (draw >= 700_000) & (F.col("doc_id") % 3 == 0)  # none of these are drawn where 20,000 of 30,000 rows are
+    docs = spark.range(30_000).withColumnRenamed("id", "doc_id").withColumn("toxic", (rare | (F.col("doc_id") % 5 == 0)).cast("int"))
+    docs = docs.withColumn("text", F.concat(F.lit("some plain words "), F.when(rare, "zorblat").when(F.col("toxic") == 1, "vexing").otherwise("gentle")))
+    model = toxicity.fit(docs.select("doc_id", "text"), docs.select("doc_id", "toxic"))
+    assert {"zorblat", "vexing"} <= set(model.weights)
+
+
 def test_maximal_segments_equal_brute_force():
     rng = random.Random(9)
     scan = toxicity.Scanner({"p": 1.0, "q": 2.0}, -0.6)
