@@ -16,7 +16,7 @@ def windowed(returns: DataFrame, dates: DataFrame, window: int = 252) -> DataFra
     """returns (date, ticker, close, ret, m) of the last `window` rows before each as_of."""
     w = Window.partitionBy("ticker").orderBy("date")
     rows = returns.withColumn("i", F.row_number().over(w))
-    at = rows.join(F.broadcast(dates.select("as_of")), F.col("date") == F.col("as_of")).select("as_of", "ticker", F.col("i").alias("now"))  # a few report dates
+    at = rows.join(F.broadcast(dates.select("as_of")), F.col("date") == F.col("as_of")).select("as_of", "ticker", F.col("i").alias("now"))  # one date a month at most
     return rows.join(at, "ticker").where((F.col("i") <= F.col("now")) & (F.col("i") > F.col("now") - window))
 
 
@@ -150,7 +150,7 @@ def average_correlation(returns: DataFrame, keys: list[str]) -> DataFrame:
     """Mean of the upper triangle; pairs exist within one book and date only, whose size is bounded by its mandate."""
     a, b = returns.alias("a"), returns.alias("b")
     on = [F.col(f"a.{k}") == F.col(f"b.{k}") for k in [*keys, "date"]] + [F.col("a.ticker") < F.col("b.ticker")]
-    pairs = a.join(b, on).groupBy(*[F.col(f"a.{k}").alias(k) for k in keys], F.col("a.ticker").alias("t1"), F.col("b.ticker").alias("t2")).agg(correlation(F.col("a.ret"), F.col("b.ret")).alias("c"))
+    pairs = a.join(b, on).groupBy(*[F.col(f"a.{k}").alias(k) for k in keys], F.col("a.ticker").alias("t1"), F.col("b.ticker").alias("t2")).agg(correlation(F.when(F.col("b.ret").isNotNull(), F.col("a.ret")), F.when(F.col("a.ret").isNotNull(), F.col("b.ret"))).alias("c"))
     return pairs.groupBy(*keys).agg(F.avg("c").alias("avg_corr"), F.count("c").alias("n_pairs"))
 
 

@@ -142,7 +142,7 @@ def earnings_events(spark, d):
 
 def stock_risk(spark, d):
     m = star.market(spark, d)
-    dates = panel.rebalance_dates(m.prices).where("month(as_of) = 6").select("as_of")
+    dates = panel.rebalance_dates(m.prices).select("as_of")
     return rounded(risk.stock_risk(signals._market(m.prices, m.benchmarks), dates))
 
 
@@ -205,8 +205,7 @@ def robustness(spark, d):
 def stress_windows(spark, d):
     m = star.market(spark, d)
     windows = spark.sql("select 'spring 1998' as scenario, date'1998-03-01' as start, date'1998-06-30' as end union all select 'autumn 1999', date'1999-09-01', date'1999-12-31'")
-    b = books(m).where("month(as_of) = 1")
-    return rounded(risk.historical_stress(b, signals._market(m.prices, m.benchmarks), windows))
+    return rounded(risk.historical_stress(books(m), signals._market(m.prices, m.benchmarks), windows))
 
 
 def rate_shock(spark, d):
@@ -217,7 +216,7 @@ def rate_shock(spark, d):
 def average_correlation(spark, d):
     m = star.market(spark, d)
     r = panel.segments(signals._market(m.prices, m.benchmarks).select("date", "ticker", "ret"), panel.rebalance_dates(m.prices))
-    own = books(m).where("month(as_of) = 6").select("portfolio_id", "as_of", "ticker").join(r, ["as_of", "ticker"])
+    own = books(m).select("portfolio_id", "as_of", "ticker").join(r, ["as_of", "ticker"])
     return rounded(risk.average_correlation(own, ["portfolio_id", "as_of"]))
 
 
