@@ -220,18 +220,21 @@ def coefficient_stability(folds: DataFrame, model: DataFrame, names: list[str])
 
 def permutation_importance(panel: DataFrame, folds: DataFrame, names: list[str], groups: dict[str, list[str]], repeats: int = 3, seed: int = 7) -> DataFrame:
     """Mean fall of the information coefficient when a group's features are exchanged within each date; the order
-    comes from a hash of (seed, repeat, ticker)."""
+    comes from a hash of (seed, repeat, group, ticker). Predictions are sums, so a group's part of them is what changes
+    hands: one pass over groups and repeats."""
+    j = panel.join(F.broadcast(folds), F.col("as_of").between(F.col("first"), F.col("last")))  # a few folds
+    term = {c: (F.col(c) - F.col("mean")[i]) / F.col("sd")[i] * F.col("coef")[i] for i, c in enumerate(names)}
+    parts = F.array(*[F.struct(F.lit(g).alias("feature_group"), sum((term[c] for c in own), F.lit(0.0)).alias("part")) for g, own in groups.items()])
+    rows = j.select("as_of", "ticker", "fwd_excess", sum(term.values(), F.col("intercept")).alias("pred"), F.explode(parts).alias("g")).select("as_of", "ticker", "fwd_excess", "pred", "g.*")
+    rows = rows.withColumn("repeat", F.explode(F.array(*[F.lit(seed + r) for r in range(repeats)])))
+    keys = ["as_of", "feature_group", "repeat"]
+    w = Window.partitionBy(*keys)
+    a = rows.withColumn("__k", F.row_number().over(w.orderBy("ticker")))
+    b = rows.select(*keys, F.row_number().over(w.orderBy(F.xxhash64("repeat", "feature_group", "ticker"), "ticker")).alias("__k"), F.col("part").alias("other"))
+    mixed = a.join(b, [*keys, "__k"]).withColumn("pred", F.col("pred") - F.col("part") + F.col("other"))
     base = ic_by_date(predict_folds(panel, folds, names), "pred", "fwd_excess").select("as_of", F.col("ic").alias("base"))
-    out = None
-    for g, own in groups.items():
-        for r in range(repeats):
-            w = Window.partitionBy("as_of")
-            a = panel.withColumn("__k", F.row_number().over(w.orderBy("ticker")))
-            b = panel.select("as_of", F.row_number().over(w.orderBy(F.xxhash64(F.lit(seed + r), F.lit(g), "ticker"), "ticker")).alias("__k"), *[F.col(c).alias(f"__{c}") for c in own])
-            p = a.join(b, ["as_of", "__k"]).withColumns({c: F.col(f"__{c}") for c in own})
-            ic = ic_by_date(predict_folds(p, folds, names), "pred", "fwd_excess").join(base, "as_of").agg(F.avg(F.col("base") - F.col("ic")).alias("drop")).withColumn("feature_group", F.lit(g))
-            out = ic if out is None else out.unionByName(ic)
-    return out.groupBy("feature_group").agg(F.avg("drop").alias("importance"), F.count("*").alias("repeats"))
+    ics = ic_by_date(mixed, "pred", "fwd_excess", ["feature_group", "repeat"]).join(base, "as_of")
+    return ics.groupBy("feature_group", "repeat").agg(F.avg(F.col("base") - F.col("ic")).alias("drop")).groupBy("feature_group").agg(F.avg("drop").alias("importance"), F.count("*").alias("repeats"))
 
 
 def single_feature_ic(panel: DataFrame, reg: DataFrame, names: list[str], lags: int = 0) -> DataFrame:

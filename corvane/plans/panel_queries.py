@@ -311,7 +311,10 @@ def coefficient_stability(spark, d):
 
 def permutation_importance(spark, d):
     p, folds, _ = _fitted(spark, d)
-    return rounded(ml.permutation_importance(p, folds, FEATURES, {"value": ["value"], "momentum": ["momentum", "factor"]}, repeats=1))
+    groups = {c: [c] for c in FEATURES}
+    for feature, family, _ in ml.FEATURES:
+        groups.setdefault(f"family {family}", []).append(feature)
+    return rounded(ml.permutation_importance(p, folds, FEATURES, groups, repeats=3))
 
 
 def logistic_model(spark, d):
@@ -343,7 +346,7 @@ def ledger_nav(spark, d):
 
 def return_bootstrap(spark, d):
     b = book_returns(star.market(spark, d)).withColumn("as_of", F.lit("2001-01-01").cast("date")).groupBy("portfolio_id", "as_of", "date").agg(F.avg("ret").alias("ret"))
-    return rounded(risk.bootstrap(b, n_sims=200))
+    return rounded(risk.bootstrap(b, n_sims=10_000))
 
 
 def split_factors(spark, d):
