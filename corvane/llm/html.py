@@ -27,6 +27,7 @@ from .common import cut, new_path, small_batches
 BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 SKIPPED = frozenset("script style noscript template textarea title select svg math iframe object canvas audio video button head".split())
 RAW = frozenset("script style textarea title iframe noscript".split())
+IN_HEAD = frozenset("base bgsound basefont link meta noframes noscript script style template title".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 CLOSES_P = BLOCKS - {"body", "html", "caption", "td", "th", "tr", "tbody", "thead", "tfoot", "legend", "summary"}
 SIBLINGS = {"li": ("ul", "ol", "menu", "dir"), "dt": ("dl",), "dd": ("dl",), "tr": ("table", "tbody", "thead", "tfoot"), "td": ("tr", "table"), "th": ("tr", "table")}
@@ -66,10 +67,13 @@ class Node:
 
 
 def parse(page: str) -> Node:
-    """The tree of block elements; inline elements belong to their block, text between blocks forms runs."""
+    """The tree of block elements; inline elements belong to their block, text between blocks forms runs. A skipped
+    element ends at its closing tag, at '/>' or where a block around it closes; the head, whose tags may be omitted,
+    also at the first text or element that can't be in it."""
     root = Node("html", None, 0)
     now, place, run, links = root, 0, [], 0
-    skip, link, runs, total = None, False, 0, 0
+    skips: list[str] = []  # open skipped elements and blocks inside them
+    link, runs, total = False, 0, 0
     end = len(page)
 
     def flush() -> None:
@@ -87,7 +91,9 @@ def parse(page: str) -> Node:
     while place < end:
         m = _TAG.search(page, place)
         text = page[place : m.start() if m else end]
-        if text and skip is None:
+        if skips == ["head"] and not text.isspace() and text:
+            skips.clear()
+        if text and not skips:
             run.append(text)
             links += len(text) if link else 0
         if not m:
@@ -97,17 +103,33 @@ def parse(page: str) -> Node:
         if not tag:
             continue
         closing = bool(m.group(1))
-        if skip is not None:
-            if closing and tag == skip:
-                skip = None
-            continue
+        if skips == ["head"] and not closing and tag not in IN_HEAD and tag not in ("head", "html") or tag == "body" and not closing and "head" in skips:
+            skips.clear()
+        if skips:
+            if closing and tag in skips:
+                while skips.pop() != tag:
+                    pass
+                continue
+            up = now if closing and tag in BLOCKS else None
+            while up is not None and (up.tag != tag or up is root):
+                up = up.parent
+            if up is None:
+                if closing:
+                    pass
+                elif tag in RAW:
+                    close = re.compile(rf"</{tag}\s*>", re.I).search(page, place)
+                    place = close.end() if close else end
+                elif tag in SKIPPED and tag != "head" and not m.group(3).endswith("/") or tag in BLOCKS and tag not in ("html", "hr"):
+                    skips.append(tag)
+                continue
+            skips.clear()
         now.tags += 1
         if tag in RAW and not closing:
             close = re.compile(rf"</{tag}\s*>", re.I).search(page, place)
             place = close.end() if close else end
         elif tag in SKIPPED:
-            if not closing:
-                skip = tag
+            if not closing and not m.group(3).endswith("/"):
+                skips.append(tag)
         elif tag == "a":
             link = not closing
         elif tag == "br" or tag in VOID and tag != "hr":
