@@ -26,7 +26,7 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")  # as [0-9a-f]+ of 24 and more
 KINDS = ("assign", "access", "hex", "random")
 LONG = re.compile(r"[A-Za-z0-9+/_-]{20,}={0,2}")
-PLAIN = re.compile(r"[A-Za-z]{2,}")
+PLAIN_START = re.compile(r"(?<!\S)[A-Za-z]{2,}")  # the letters that a word begins with
 CLASSES = (20, 24, 32, 40, 64, 128)  # least lengths of the length classes
 STEP = 20  # scores are kept in steps of 1 / STEP
 
@@ -98,25 +98,90 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(out)
 
 
-def _decoys(text: str):
-    """Neighbouring plain words run together to the least length of a class, at every 64th word of a text."""
-    words = text.split()
-    for i in range(0, len(words), 64):
-        goal, joined, j = CLASSES[(i // 64) % len(CLASSES)], "", i
-        while len(joined) < goal and j < min(i + 64, len(words)):
-            if m := PLAIN.match(words[j]):
-                joined += m.group()
-            j += 1
-        if len(joined) >= goal:
-            yield joined
+def _decoy_scores(letters: str, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Class and rounded score of decoys that lie end to end in letters (A-Z, a-z), as length_class and randomness
+    give them one by one."""
+    code = np.frombuffer(letters.encode(), np.uint8).astype(np.int64)
+    at = np.where(code >= 97, code - 71, code - 65)  # places in the alphabet `letters`
+    starts = np.concatenate(([0], ends[:-1]))
+    n = ends - starts
+    least, most = np.minimum.reduceat(at, starts), np.maximum.reduceat(at, starts)
+    lower, upper = least >= 26, most < 26
+    few = np.where(lower, most <= 31, most <= 5)  # a to f alone: hex
+    one = lower | upper
+    a = np.where(one, np.where(few, 16, 26), 52)
+    shift = np.where(lower, 26, 0) - np.where(one & few, 10, 0)
+    own = np.repeat(np.arange(len(n)), n)
+    cells = np.bincount(own * 52 + at, minlength=len(n) * 52).reshape(len(n), 52)
+    chi = (cells * cells).sum(axis=1) * a / n - n
+    z_chi = (np.cbrt(chi / (a - 1)) - (1 - 2 / (9 * (a - 1)))) / np.sqrt(2 / (9 * (a - 1)))
+    y = at - np.repeat(shift + (a - 1) / 2, n)
+    up = y > 0
+    n1 = np.add.reduceat(up, starts, dtype=np.int64)
+    turn = np.concatenate(([False], up[1:] != up[:-1]))
+    near = np.concatenate(([0.0], y[1:] * y[:-1]))
+    turn[starts], near[starts] = False, 0.0
+    mean = 2 * (n - n1) * n1 / n + 1
+    var = (mean - 1) * (mean - 2) / (n - 1)
+    z_runs = np.where(var > 0, (1 + np.add.reduceat(turn, starts, dtype=np.int64) - mean) / np.sqrt(np.where(var > 0, var, 1)), np.sqrt(n))
+    z_serial = np.add.reduceat(near, starts) / ((a * a - 1) / 12) / np.sqrt(n - 1)
+    worst = np.minimum(12.0, np.maximum(np.abs(z_chi), np.maximum(np.abs(z_runs), np.abs(z_serial))))
+    return np.searchsorted(CLASSES, n, side="right") - 1, np.rint(-worst * STEP).astype(np.int64)
+
+
+class Decoys:
+    """Neighbouring plain words run together to the least length of a class: for each class from all words, a decoy at
+    the end of the last one. Words at a text's end that don't fill a decoy are run together with those of later texts
+    of the same task, so that short texts give decoys of all classes too."""
+
+    def __init__(self):
+        self.rest: list[list[str]] = [[] for _ in CLASSES]
+
+    def counts(self, texts: list[str]) -> dict[tuple[int, int], int]:
+        """Decoys by class and score."""
+        found: dict[tuple[int, int], int] = {}
+        each = [PLAIN_START.findall(t) for t in texts]
+        words = [w for ws in each for w in ws]
+        bounds = np.cumsum([0, *map(len, each)]).tolist()
+        for k, goal in enumerate(CLASSES):
+            parts, loose = self._take(words, bounds, goal)
+            late = self.rest[k] + loose
+            more, self.rest[k] = self._take(late, [0, len(late)], goal)
+            parts += more
+            for i in range(0, len(parts), 20_000):  # bounds the table of letter counts
+                own = parts[i : i + 20_000]
+                cls, score = _decoy_scores("".join(own), np.cumsum([len(x) for x in own]))
+                keys, n = np.unique(cls * 1000 - score, return_counts=True)
+                for key, m in zip(keys.tolist(), n.tolist(), strict=True):
+                    at = key // 1000, -(key % 1000)
+                    found[at] = found.get(at, 0) + m
+        return found
+
+    @staticmethod
+    def _take(words: list[str], bounds: list[int], goal: int) -> tuple[list[str], list[str]]:
+        """Decoys within bounds (word numbers where texts begin and the last ends), and the words left over."""
+        if not words:
+            return [], []
+        letters = "".join(words)
+        ends = np.cumsum([len(w) for w in words])
+        starts = np.concatenate(([0], ends))
+        after = (np.searchsorted(ends, starts[:-1] + goal) + 1).tolist()  # the word after a decoy that begins here
+        starts = starts.tolist()
+        parts, loose = [], []
+        for i, end in zip(bounds, bounds[1:], strict=False):
+            while i < end and (j := after[i]) <= end:
+                parts.append(letters[starts[i] : starts[j]])
+                i = j
+            loose += words[i:end]
+        return parts, loose
 
 
 def _scan(batches):
-    """For each text its base spans and candidates; decoys as candidates of rows with negative start."""
+    """For each text its base spans and candidates; decoys of a batch as counts in its first row."""
+    decoys = Decoys()
     for b in batches:
-        rows = []
-        for doc, text in enumerate(b.column("text").to_pylist()):
-            text = text or ""
+        rows, texts = [], [t or "" for t in b.column("text").to_pylist()]
+        for text in texts:
             base = base_spans(text)
             cand = []
             for m in LONG.finditer(text):
@@ -124,22 +189,23 @@ def _scan(batches):
                     continue
                 if kind := encoding_of(m.group()):
                     cand.append({"start": m.start(), "end": m.end(), "cls": length_class(m.end() - m.start()), "score": round(randomness(m.group(), kind) * STEP)})
-            for d in _decoys(text):
-                kind = encoding_of(d)
-                cand.append({"start": -1, "end": -1, "cls": length_class(len(d)), "score": round(randomness(d, kind) * STEP)})
             rows.append(([{"start": s, "kind": k, "end": e} for s, k, e in base], cand))
+        seen = [[] for _ in rows]
+        if rows:
+            seen[0] = [{"cls": c, "score": s, "n": n} for (c, s), n in decoys.counts(texts).items()]
         spans = pa.array([r[0] for r in rows], pa.list_(pa.struct([("start", pa.int64()), ("kind", pa.int64()), ("end", pa.int64())])))
         cands = pa.array([r[1] for r in rows], pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("cls", pa.int64()), ("score", pa.int64())])))
-        yield pa.RecordBatch.from_arrays([b.column("doc_id"), spans, cands], ["doc_id", "base", "cands"])
+        counts = pa.array(seen, pa.list_(pa.struct([("cls", pa.int64()), ("score", pa.int64()), ("n", pa.int64())])))
+        yield pa.RecordBatch.from_arrays([b.column("doc_id"), spans, cands, counts], ["doc_id", "base", "cands", "decoys"])
 
 
-SCANNED = "doc_id long, base array<struct<start: long, kind: long, end: long>>, cands array<struct<start: long, end: long, cls: long, score: long>>"
+SCANNED = "doc_id long, base array<struct<start: long, kind: long, end: long>>, cands array<struct<start: long, end: long, cls: long, score: long>>, decoys array<struct<cls: long, score: long, n: long>>"
 
 
 def thresholds(cands: DataFrame, rate: float) -> DataFrame:
-    """Least score of a find in each length class by Benjamini and Hochberg's rule; cands: cls, score, start (negative
-    for decoys). Works on counts by class and score, a table of bounded size."""
-    counts = cands.groupBy("cls", "score").agg(F.count(F.when(F.col("start") >= 0, 1)).alias("t"), F.count(F.when(F.col("start") < 0, 1)).alias("d"))
+    """Least score of a find in each length class by Benjamini and Hochberg's rule; cands: cls, score, t (candidates),
+    d (decoys). Works on counts by class and score, a table of bounded size."""
+    counts = cands.groupBy("cls", "score").agg(F.sum("t").alias("t"), F.sum("d").alias("d"))
     above = Window.partitionBy("cls").orderBy(F.desc("score"))
     sums = counts.select("cls", "score", F.sum("t").over(above).alias("t_up"), F.sum("d").over(above).alias("d_up"), F.sum("t").over(Window.partitionBy("cls")).alias("t_all"), F.sum("d").over(Window.partitionBy("cls")).alias("d_all"))
     p = (F.col("d_up") + 1) / (F.col("d_all") + 1)
@@ -154,9 +220,11 @@ def scan(docs: DataFrame, rate: float = 0.01) -> DataFrame:
     spark = docs.sparkSession
     small_batches(spark)
     found = cut(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_scan, SCANNED), "secrets")
-    limits = {r.cls: r.least for r in thresholds(found.select(F.explode("cands").alias("c")).select("c.cls", "c.score", "c.start"), rate).collect()}
+    none, each = F.lit(0).cast("long"), F.lit(1).cast("long")
+    seen = F.concat(F.transform("cands", lambda c: F.struct(c["cls"].alias("cls"), c["score"].alias("score"), each.alias("t"), none.alias("d"))), F.transform("decoys", lambda c: F.struct(c["cls"].alias("cls"), c["score"].alias("score"), none.alias("t"), c["n"].alias("d"))))
+    limits = {r.cls: r.least for r in thresholds(found.select(F.explode(seen).alias("c")).select("c.*"), rate).collect()}
     passes = F.lit(False)
-    pick = lambda c: (c["start"] >= 0) & F.coalesce(F.element_at(F.create_map(*[F.lit(int(v)) for kv in limits.items() for v in kv]), c["cls"].cast("int")) <= c["score"], passes) if limits else passes
+    pick = lambda c: F.coalesce(F.element_at(F.create_map(*[F.lit(int(v)) for kv in limits.items() for v in kv]), c["cls"].cast("int")) <= c["score"], passes) if limits else passes
     added = F.transform(F.filter("cands", pick), lambda c: F.struct(c["start"].alias("start"), F.lit(3).cast("long").alias("kind"), c["end"].alias("end")))
     return found.select("doc_id", F.array_sort(F.concat("base", added)).alias("spans"))
 

@@ -129,6 +129,35 @@ def test_secrets_base_and_random_spans(spark):
     assert secrets.scan(spark.createDataFrame([], DOCS)).count() == 0
 
 
+def test_random_secrets_of_all_lengths_are_found_in_short_texts(spark):
+    rng = random.Random(5)
+    signs = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    plain = ["".join(rng.choice("etaoinshr") for _ in range(rng.randrange(2, 9))) for _ in range(40_000)]
+    texts = [(i, " ".join(plain[i * 10 : i * 10 + 10])) for i in range(4000)]  # no text fills a decoy of 64 or 128 letters
+    keys = {10_000 + 10 * n + i: "".join(rng.choice(signs) for _ in range(n)) for n in (32, 40, 64, 128) for i in range(10)}
+    texts += [(i, f"see {k} there") for i, k in keys.items()]
+    got = {r.doc_id: [(s.start, s.kind, s.end) for s in r.spans] for r in secrets.scan(spark.createDataFrame(texts, DOCS)).collect()}
+    for n in (32, 40, 64, 128):
+        assert sum(got[10_000 + 10 * n + i] == [(4, 3, 4 + n)] for i in range(10)) >= 9
+    assert not any(got[i] for i in range(4000))
+
+
+def test_decoys_equal_the_battery_and_use_all_words():
+    rng = random.Random(6)
+    parts = ["".join(rng.choice(a) for _ in range(rng.randrange(20, 200))) for a in ("abcdef", "ABCDEF", "etaoinshr", "ETAOIN", "abcXYZ", "a") * 50]
+    ends = [len("".join(parts[: i + 1])) for i in range(len(parts))]
+    cls, score = secrets._decoy_scores("".join(parts), secrets.np.array(ends))
+    assert cls.tolist() == [secrets.length_class(len(p)) for p in parts]
+    assert all(abs(s - secrets.randomness(p, secrets.encoding_of(p)) * secrets.STEP) <= 0.5 + 1e-6 for s, p in zip(score.tolist(), parts, strict=True))
+    made = secrets.Decoys()
+    texts = ["abcde fghij 12 klmno, pqrst x9 uvwxy"] * 64  # 25 letters of plain words each, 1,600 in all
+    found = made.counts(texts[:30])
+    for at, n in made.counts(texts[30:]).items():
+        found[at] = found.get(at, 0) + n
+    by = {c: sum(n for (k, _), n in found.items() if k == c) for c in range(6)}
+    assert by == {0: 64 + 64 * 5 // 20, 1: 64, 2: 1600 // 35, 3: 1600 // 40, 4: 1600 // 65, 5: 1600 // 130}
+
+
 def test_battery_separates_random_from_text():
     rng = random.Random(2)
     good = ["".join(rng.choice("0123456789abcdef") for _ in range(40)) for _ in range(200)]
