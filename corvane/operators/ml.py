@@ -17,7 +17,7 @@ FEATURES = [("value", "value", 1), ("quality", "quality", 1), ("growth", "growth
 
 
 def registry(spark) -> DataFrame:
-    """M5."""
+    """M5 in part: the 10 features built here, by family and expected sign."""
     return spark.createDataFrame(FEATURES, "feature string, family string, sign int")
 
 
@@ -29,7 +29,7 @@ def labels(prices: DataFrame, horizon: int = 126) -> DataFrame:
 
 
 def training_panel(features: DataFrame, fwd: DataFrame, names: list[str], least: int = 5) -> DataFrame:
-    """M1, M3, M4: features with neutral 50 for missing ones, joined to labels; dates of fewer than `least` names go."""
+    """M1 in part (the features given), M3; callers restrict to eligible members (M4), which no query does: features with neutral 50 for missing ones, joined to labels; dates of fewer than `least` names go."""
     x = Window.partitionBy("as_of")
     df = features.join(fwd, ["as_of", "ticker"]).withColumn("__n", F.count("*").over(x)).where(F.col("__n") >= least).drop("__n")
     df = df.fillna(50.0, subset=names)
@@ -238,7 +238,7 @@ def permutation_importance(panel: DataFrame, folds: DataFrame, names: list[str],
 
 
 def single_feature_ic(panel: DataFrame, reg: DataFrame, names: list[str], lags: int = 0) -> DataFrame:
-    """One pass over all features."""
+    """One pass over all features."""
     long = panel.unpivot(["as_of", "ticker", "fwd_return"], names, "feature", "x")
     s = ic_summary(ic_by_date(long, "x", keys=["feature"]), ["feature"], lags)
     return s.join(F.broadcast(reg), "feature").withColumn("as_expected", F.signum("mean_ic") == F.col("sign"))
