@@ -8,8 +8,9 @@ tree: a path goes from outside into an article at most once, and out of it again
 
 from __future__ import annotations
 
+import bisect
+import functools
 import html as entities
-import math
 import re
 import zlib
 from dataclasses import dataclass, field
@@ -25,12 +26,10 @@ from .common import cut, new_path, small_batches
 
 # fixed values: elements
 BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
-SKIPPED = frozenset("script style noscript template textarea title select svg math iframe object canvas audio video button head".split())
+SKIPPED = frozenset("script style noscript template textarea title select svg math iframe object canvas audio video button".split())
 RAW = frozenset("script style textarea title iframe noscript".split())
-IN_HEAD = frozenset("base bgsound basefont link meta noframes noscript script style template title".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 CLOSES_P = BLOCKS - {"body", "html", "caption", "td", "th", "tr", "tbody", "thead", "tfoot", "legend", "summary"}
-SIBLINGS = {"li": ("ul", "ol", "menu", "dir"), "dt": ("dl",), "dd": ("dl",), "tr": ("table", "tbody", "thead", "tfoot"), "td": ("tr", "table"), "th": ("tr", "table")}
 GROUPS = ("p", "h1", "h2 h3 h4 h5 h6", "ul ol dl menu", "li dt dd", "div", "section", "article", "main", "nav", "header", "footer", "aside", "form fieldset", "table tbody thead tfoot tr td th", "figure figcaption", "blockquote pre", "body html")
 ABOVE = ("article", "main", "nav", "header", "footer", "aside", "form fieldset", "li dt dd", "table tbody thead tfoot tr td th")
 # fixed values: attribute words of furniture and of articles, planted in training copies
@@ -44,9 +43,19 @@ N_PLAIN = 22
 _KNOWN = tuple(frozenset(w for x in names for w in re.split("[ -]", x)) for names in (FURNITURE.values(), (a.partition(" ")[2] for a in ARTICLES)))
 SIZE = N_PLAIN + len(GROUPS) + len(ABOVE) + 2 * SLOTS
 
-_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+# a start tag in which a skipped element ends that is never closed: a template only where the page's content must begin
+CONTENT = frozenset("body article main".split())
+FLOW = CONTENT | frozenset("section header footer nav aside p h1 h2 h3 h4 h5 h6 table figure blockquote".split())
+# items of lists and tables close an open item of their own kind, unless a list or table began since
+FAMILIES = {t: i for i, (own, around) in enumerate((("li", "ul ol menu dir"), ("dt dd", "dl"), ("tr", "table tbody thead tfoot"), ("td th", "tr table"))) for t in own.split()}
+_WITHIN = [frozenset(w.split()) for w in ("ul ol menu dir", "dl", "table tbody thead tfoot", "tr table")]
+
+_TAG = re.compile(r"<(?:(/?)([a-zA-Z][^\s/>]*)(?:([^<>\"']*)(>))?|([!?]))")
+_UP_TO = re.compile(r"[^>=]*")
+_BLANK = re.compile(r"\s*")
 _ATTR = re.compile(r"([a-zA-Z_:-][\w:.-]*)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
 _SPLIT = re.compile(r"[^a-z]+")
+_CLOSE = {t: re.compile(rf"</{t}\s*>", re.I) for t in RAW}
 
 
 @dataclass(slots=True, eq=False)
@@ -64,17 +73,107 @@ class Node:
     tags: int = 0
     stops: int = 0
     at: int = 0
+    place: int = 0  # among its siblings
+
+
+class _Scanner:
+    """Tags of a page in one pass: what has been looked for in vain is never looked for again, so time is linear."""
+
+    def __init__(self, page: str):
+        self.page, self.missing = page, set()
+
+    def find(self, what: str, place: int) -> int:
+        if what in self.missing or (at := self.page.find(what, place)) < 0:
+            self.missing.add(what)
+            return -1
+        return at
+
+    def tag_end(self, place: int) -> int:
+        """Where '>' ends the tag whose attributes begin at place, as browsers see it: quotes count after '=' alone.
+        The end of the page where it isn't closed."""
+        page, end = self.page, len(self.page)
+        while True:
+            place = _UP_TO.match(page, place).end()
+            if place >= end or page[place] == ">":
+                return place
+            place = _BLANK.match(page, place + 1).end()
+            if page[place : place + 1] in ('"', "'") and (close := self.find(page[place], place + 1)) >= 0:
+                place = close + 1
+
+    def tokens(self) -> list[tuple[int, int, str, bool, str]]:
+        """(start and end of the text before, element, closing, attributes) of each tag; the element is empty at the
+        page's end. Comments are passed over and so is what a raw element holds."""
+        page, end, out, place, begin = self.page, len(self.page), [], 0, 0
+        search, raw = _TAG.search, _CLOSE
+        while place < end and (m := search(page, place)):
+            at, place = m.start(), m.end()
+            if m.group(5):  # a comment, a declaration or character data
+                kind = ("--", "-->") if page.startswith("--", place) else ("[CDATA[", "]]>") if page.startswith("[CDATA[", place) else ("", ">")
+                close = self.find(kind[1], place + len(kind[0]))
+                out.append((begin, at, "!", False, ""))
+                place = begin = close + len(kind[1]) if close >= 0 else end
+                continue
+            attrs = m.group(3)
+            if not m.group(4):
+                stop = self.tag_end(m.end(2))
+                attrs, place = page[m.end(2) : stop], min(stop + 1, end)
+            tag, closing = m.group(2).lower(), bool(m.group(1))
+            out.append((begin, at, tag, closing, attrs))
+            if tag in raw and not closing:
+                if tag not in self.missing and (close := raw[tag].search(page, place)):
+                    place = close.end()
+                else:
+                    self.missing.add(tag)
+                    place = end if tag in ("script", "style") else place  # other raw elements without an end count for nothing
+            begin = place
+        out.append((begin, end, "", False, ""))
+        return out
+
+
+def _skips(tokens: list) -> dict[int, tuple[int, bool]]:
+    """For each start tag of a skipped element the number of the tag that counts again, and whether the text before it
+    does. An element without an end tag of its own ends where a block around it closes or the page's content goes on."""
+    out: dict[int, tuple[int, bool]] = {}
+    flow = {kind: [i for i, t in enumerate(tokens) if not t[3] and t[2] in kind] for kind in (CONTENT, FLOW)}
+    stack: list[tuple[str, int]] = []
+    count: dict[str, int] = {}
+
+    def lost(tag: str, at: int, end: int) -> None:
+        own = flow[CONTENT if tag == "template" else FLOW]
+        k = bisect.bisect_right(own, at)
+        out[at] = min(end, own[k] if k < len(own) else end), False
+
+    for i, (_, _, tag, closing, attrs) in enumerate(tokens):
+        if closing:
+            if count.get(tag):
+                while True:
+                    top, at = stack.pop()
+                    count[top] -= 1
+                    if top == tag:
+                        if tag in SKIPPED:
+                            out[at] = i + 1, True
+                        break
+                    if top in SKIPPED:
+                        lost(top, at, i)
+        elif tag in BLOCKS and tag != "hr" or tag in SKIPPED and tag not in RAW and not attrs.endswith("/"):
+            stack.append((tag, i))
+            count[tag] = count.get(tag, 0) + 1
+    for tag, at in stack:
+        if tag in SKIPPED:
+            lost(tag, at, len(tokens) - 1)
+    return out
 
 
 def parse(page: str) -> Node:
     """The tree of block elements; inline elements belong to their block, text between blocks forms runs. A skipped
-    element ends at its closing tag, at '/>' or where a block around it closes; the head, whose tags may be omitted,
-    also at the first text or element that can't be in it."""
-    root = Node("html", None, 0)
-    now, place, run, links = root, 0, [], 0
-    skips: list[str] = []  # open skipped elements and blocks inside them
-    link, runs, total = False, 0, 0
-    end = len(page)
+    element ends at its closing tag or at '/>'; without either, see _skips. Time is linear in the page's length."""
+    tokens = _Scanner(page).tokens()
+    skips = _skips(tokens) if any(t[2] in SKIPPED and t[2] not in RAW for t in tokens) else {}
+    root = now = Node("html", None, 0)
+    run: list[str] = []
+    links, link, runs, total = 0, False, 0, 0
+    opened: dict[str, int] = {}
+    near: list[list[Node]] = [[] for _ in _WITHIN]  # open items and what they are items of, by family
 
     def flush() -> None:
         nonlocal run, links, runs, total
@@ -88,81 +187,57 @@ def parse(page: str) -> Node:
             now.stops += text.count(".") + text.count(",") + text.count("!") + text.count("?")
         run, links = [], 0
 
-    while place < end:
-        m = _TAG.search(page, place)
-        text = page[place : m.start() if m else end]
-        if skips == ["head"] and not text.isspace() and text:
-            skips.clear()
-        if text and not skips:
-            run.append(text)
-            links += len(text) if link else 0
-        if not m:
-            break
-        place = m.end()
-        tag = (m.group(2) or "").lower()
-        if not tag:
-            continue
-        closing = bool(m.group(1))
-        if skips == ["head"] and not closing and tag not in IN_HEAD and tag not in ("head", "html") or tag == "body" and not closing and "head" in skips:
-            skips.clear()
-        if skips:
-            if closing and tag in skips:
-                while skips.pop() != tag:
-                    pass
-                continue
-            up = now if closing and tag in BLOCKS else None
-            while up is not None and (up.tag != tag or up is root):
-                up = up.parent
-            if up is None:
-                if closing:
-                    pass
-                elif tag in RAW:
-                    close = re.compile(rf"</{tag}\s*>", re.I).search(page, place)
-                    place = close.end() if close else end
-                elif tag in SKIPPED and tag != "head" and not m.group(3).endswith("/") or tag in BLOCKS and tag not in ("html", "hr"):
-                    skips.append(tag)
-                continue
-            skips.clear()
-        now.tags += 1
-        if tag in RAW and not closing:
-            close = re.compile(rf"</{tag}\s*>", re.I).search(page, place)
-            place = close.end() if close else end
-        elif tag in SKIPPED:
-            if not closing and not m.group(3).endswith("/"):
-                skips.append(tag)
-        elif tag == "a":
+    def leave(node: Node) -> Node:
+        opened[node.tag] -= 1
+        for own in near:
+            if own and own[-1] is node:
+                own.pop()
+        return node.parent
+
+    i, n, counts = 0, len(tokens), True
+    while i < n:
+        begin, end, tag, closing, attrs = tokens[i]
+        if counts and end > begin:
+            run.append(page[begin:end])
+            links += end - begin if link else 0
+        now.tags += tag not in ("", "!")
+        i, counts = skips.get(i, (i + 1, True))
+        if tag == "a":
             link = not closing
-        elif tag == "br" or tag in VOID and tag != "hr":
+        elif tag in VOID and tag != "hr":
             run.append(" ")
         elif tag in BLOCKS:
             flush()
             link = False
             if closing:
-                up = now
-                while up is not None and up.tag != tag:
-                    up = up.parent
-                now = up.parent if up is not None and up.parent is not None else now
+                if opened.get(tag):
+                    while now.tag != tag:
+                        now = leave(now)
+                    now = leave(now)
                 continue
-            if tag in ("html", "body") and now is not root and tag == "html":
+            if tag == "html":
                 continue
-            if tag in CLOSES_P and now.tag == "p":
-                now = now.parent
-            if tag in SIBLINGS:
-                up = now
-                while up.parent is not None and up.tag not in SIBLINGS[tag] and up.tag != tag and not (tag in ("dt", "dd") and up.tag in ("dt", "dd")):
-                    up = up.parent
-                if up.parent is not None and up.tag not in SIBLINGS[tag]:
-                    now = up.parent
+            if now.tag == "p" and tag in CLOSES_P:
+                now = leave(now)
+            if tag in FAMILIES and (own := near[FAMILIES[tag]]) and own[-1].tag in FAMILIES and FAMILIES[own[-1].tag] == FAMILIES[tag]:
+                item = own[-1]
+                while now is not item:
+                    now = leave(now)
+                now = leave(now)
             words, mark = set(), -1
-            for name, a, b, c in _ATTR.findall(m.group(3)) if m.group(3) else ():
+            for name, a, b, c in _ATTR.findall(attrs) if "=" in attrs else ():
                 if name.lower() in ("class", "id", "role", "itemprop", "aria-label"):
                     words.update(w for w in _SPLIT.split((a or b or c).lower()) if len(w) > 1)
                 elif name == "data-mark":
                     mark = int(a)
-            kid = Node(tag, now, now.depth + 1, frozenset(words), mark, at=total)
+            kid = Node(tag, now, now.depth + 1, frozenset(words), mark, at=total, place=len(now.kids))
             now.kids.append(kid)
             if tag != "hr":
                 now = kid
+                opened[tag] = opened.get(tag, 0) + 1
+                for k, within in enumerate(_WITHIN):
+                    if tag in within or FAMILIES.get(tag) == k:
+                        near[k].append(kid)
     flush()
     return root
 
@@ -184,57 +259,80 @@ def nodes_of(root: Node) -> list[Node]:
     return out
 
 
-def _slot(word: str) -> int:
-    return zlib.crc32(word.encode()) % SLOTS
+@functools.lru_cache(100_000)
+def _attribute_bits(words: frozenset) -> tuple[int, int, int]:
+    """Slots of attribute words as bits; whether some are known of furniture and of articles."""
+    bits = 0
+    for w in words:
+        bits |= 1 << zlib.crc32(w.encode()) % SLOTS
+    return bits, int(bool(words & _KNOWN[0])), int(bool(words & _KNOWN[1]))
 
 
-def features(nodes: list[Node]) -> np.ndarray:
-    x = np.zeros((len(nodes), SIZE), dtype=np.float32)
-    place = {id(n): i for i, n in enumerate(nodes)}
-    total = max(nodes[0].chars, 1)
-    g0, a0, w0 = N_PLAIN, N_PLAIN + len(GROUPS), N_PLAIN + len(GROUPS) + len(ABOVE)
-    for i, n in enumerate(nodes):
-        r, up = x[i], n.parent
-        r[0], r[1], r[2] = min(n.depth, 30), math.log1p(n.chars), n.links / max(n.chars, 1)
-        r[3], r[4], r[5] = math.log1p(n.tags), n.chars / (n.tags + 1), len(n.kids)
-        r[6] = sum(k.tag == "p" for k in n.kids) / max(len(n.kids), 1)
-        r[7], r[8], r[9] = n.own / max(n.chars, 1), 100 * n.stops / max(n.chars, 1), n.chars / total
-        r[10] = n.at / total
-        if up is not None:
-            k = len(up.kids)
-            r[11], r[12] = up.kids.index(n) / k if k < 200 else 0.5, math.log1p(k)
-            r[13] = n.chars / max(up.chars, 1)
-            r[14], r[15], r[16] = up.links / max(up.chars, 1), math.log1p(up.chars), up.chars / (up.tags + 1)
-            j = place[id(up)]
-            x[i, a0 : w0] = x[j, a0 : w0]
-            if up.tag in _ABOVE:
-                x[i, a0 + _ABOVE[up.tag]] = 1
-            r[20], r[21] = max(x[j, 18], x[j, 20]), max(x[j, 19], x[j, 21])
-            x[i, w0 + SLOTS :] = np.maximum(x[j, w0 : w0 + SLOTS], x[j, w0 + SLOTS :])
-        r[17], r[18], r[19] = len(n.words), len(n.words & _KNOWN[0]) > 0, len(n.words & _KNOWN[1]) > 0
-        if n.tag in _GROUP:
-            r[g0 + _GROUP[n.tag]] = 1
-        for w in n.words:
-            r[w0 + _slot(w)] = 1
-    return x
+def _bits(values: list[int], width: int) -> np.ndarray:
+    raw = np.array(values, dtype="<u8").reshape(-1, 1).view(np.uint8)
+    return np.unpackbits(raw, axis=1, bitorder="little")[:, :width]
+
+
+class Rows:
+    """Features of the nodes of many pages. Depth counts up to 30: beyond it nothing is told by it."""
+
+    def __init__(self):
+        self.plain: list[tuple] = []
+        self.groups: list[int] = []
+        self.above: list[int] = []
+        self.own: list[int] = []
+        self.up: list[int] = []
+
+    def add(self, nodes: list[Node]) -> None:
+        total = max(nodes[0].chars, 1)
+        told: dict[int, tuple] = {}  # by node: what its children inherit
+        for n in nodes:
+            up, bits = n.parent, _attribute_bits(n.words)
+            if up is None:
+                above = slots = kn0 = kn1 = 0
+                around = (0.0, 0, 0, 0, 0, 0, 1)
+            else:
+                above, slots, kn0, kn1 = told[id(up)]
+                around = (n.place / len(up.kids), len(up.kids), up.chars, up.links, up.tags, n.chars, 1)
+            told[id(n)] = (above | (1 << _ABOVE[n.tag] if n.tag in _ABOVE else 0), slots | bits[0], kn0 | bits[1], kn1 | bits[2])
+            self.plain.append((n.depth, n.chars, n.links, n.tags, len(n.kids), sum([k.tag == "p" for k in n.kids]), n.own, n.stops, n.at, total, len(n.words), bits[1], bits[2], kn0, kn1, *around))
+            self.groups.append(1 << _GROUP[n.tag] if n.tag in _GROUP else 0)
+            self.above.append(above)
+            self.own.append(bits[0])
+            self.up.append(slots)
+
+    def __len__(self) -> int:
+        return len(self.plain)
+
+    def matrix(self, a: int, b: int) -> np.ndarray:
+        depth, chars, links, tags, kids, p_kids, own, stops, at, total, words, known0, known1, up0, up1, place, siblings, up_chars, up_links, up_tags, _, _ = np.array(self.plain[a:b], dtype=np.float64).T
+        some = np.maximum(chars, 1)
+        has_up = siblings > 0
+        above = np.maximum(up_chars, 1)
+        of_up = lambda x: np.where(has_up, x, 0.0)
+        plain = np.column_stack([np.minimum(depth, 30), np.log1p(chars), links / some, np.log1p(tags), chars / (tags + 1), kids, p_kids / np.maximum(kids, 1), own / some, 100 * stops / some, chars / total, at / total, place, np.log1p(siblings), of_up(chars / above), of_up(up_links / above), np.log1p(up_chars), of_up(up_chars / (up_tags + 1)), words, known0, known1, up0, up1])
+        return np.concatenate([plain.astype(np.float32), _bits(self.groups[a:b], len(GROUPS)), _bits(self.above[a:b], len(ABOVE)), _bits(self.own[a:b], SLOTS), _bits(self.up[a:b], SLOTS)], axis=1, dtype=np.float32)
 
 
 def decode(nodes: list[Node], margins: np.ndarray) -> list[bool]:
     """Which nodes are article. Of the labellings whose paths go outside, inside, cut (each at most once, in this
-    order), the one with the largest sum of signed margins."""
+    order), the one with the largest sum of signed margins. A margin counts up to 3 either way, so that no one node
+    outvotes all others."""
+    worth = (np.clip(margins, -3, 3) * np.log1p([n.chars for n in nodes])).tolist()
+    out, inside, after = [-w for w in worth], list(worth), [-w for w in worth]
     place = {id(n): i for i, n in enumerate(nodes)}
-    best = np.zeros((len(nodes), 3))
-    for i in range(len(nodes) - 1, -1, -1):
-        m = float(np.clip(margins[i], -3, 3)) * math.log1p(nodes[i].chars) if nodes[i].chars else 0.0
-        kids = [best[place[id(k)]] for k in nodes[i].kids]
-        best[i] = (-m + sum(max(k[0], k[1] - TURN) for k in kids), m + sum(max(k[1], k[2] - TURN) for k in kids), -m + sum(k[2] for k in kids))
+    for i in range(len(nodes) - 1, 0, -1):
+        up = place[id(nodes[i].parent)]
+        out[up] += max(out[i], inside[i] - TURN)
+        inside[up] += max(inside[i], after[i] - TURN)
+        after[up] += after[i]
     state = [0] * len(nodes)
     for i, n in enumerate(nodes):
         was = 0 if n.parent is None else state[place[id(n.parent)]]
         if was == 0:
-            state[i] = 1 if best[i][1] - TURN > best[i][0] else 0
+            state[i] = 1 if inside[i] - TURN > out[i] else 0
         elif was == 1:
-            state[i] = 1 if best[i][1] >= best[i][2] - TURN else 2
+            state[i] = 1 if inside[i] >= after[i] - TURN else 2
         else:
             state[i] = 2
     return [s == 1 for s in state]
@@ -310,10 +408,10 @@ def _training_rows(batches):
         for page, seed in zip(b.column("html").to_pylist(), b.column("seed").to_pylist(), strict=True):
             for text in (page, _planted(page, seed), _planted(page, seed + 1)):
                 if text:
-                    root = parse(text)
-                    nodes = [n for n in nodes_of(root)]
+                    nodes, rows = nodes_of(root := parse(text)), Rows()
                     keep = [i for i, n in enumerate(nodes) if n.chars]
-                    x, y = features(nodes), _labelled(root, nodes)
+                    rows.add(nodes)
+                    x, y = rows.matrix(0, len(rows)), _labelled(root, nodes)
                     xs += [x[i].tolist() for i in keep]
                     ys += [y[i] for i in keep]
         yield pa.RecordBatch.from_arrays([pa.array(xs, pa.list_(pa.float64())), pa.array(ys, pa.float64())], ["x", "label"])
@@ -342,16 +440,17 @@ class Trees:
 
 
 def fit(pages: DataFrame, max_pages: int = 250, trees: int = 30, depth: int = 5) -> Trees | None:
-    """Trains on at most about max_pages pages with an article element, chosen by a hash of the page: the documented
-    bound of the sample; each gives two altered copies. None where no page has one: extract() then keeps all but the
+    """Trains on at most max_pages pages with an article element, those of the least hashes of id and page: the
+    documented bound of the sample; each gives two altered copies. None where no page has one: extract() then keeps all but the
     furniture that is known by its element."""
     spark = pages.sparkSession
     small_batches(spark, 200)
-    likely = pages.where(F.lower("html").contains("<article")).select("html", F.xxhash64("html").alias("seed"))
+    likely = pages.where(F.lower("html").contains("<article")).select("page_id", "html", F.xxhash64("page_id", "html").alias("seed"))
     total = likely.count()
     if not total:
         return None
-    few = likely.where(F.pmod("seed", F.lit(1_000_000)) < int(1e6 * min(1.0, max_pages / total)) + 1)
+    share = min(1.0, 2 * max_pages / total)
+    few = likely.where(F.pmod("seed", F.lit(1_000_000)) < int(1e6 * share) + 1).orderBy("seed", "page_id").limit(max_pages)
     rows = cut(few.mapInArrow(_training_rows, "x array<double>, label double").select(array_to_vector("x").alias("features"), "label"), "nodes")
     if rows.select("label").distinct().count() < 2:
         return None
@@ -369,17 +468,41 @@ def fit(pages: DataFrame, max_pages: int = 250, trees: int = 30, depth: int = 5)
     return Trees(tuple(out), tuple(model.treeWeights))
 
 
-def main_text(page: str | None, model: Trees | None) -> str:
-    """Text of the article's blocks in page order, one to a line."""
-    nodes = nodes_of(parse(page or ""))
-    if not nodes[0].chars:
-        return ""
+PER_CALL = 20_000  # nodes whose features are held at once
+
+
+def _margins(pages: list[list[Node]], model: Trees | None) -> list[np.ndarray]:
+    """Margins of the nodes of each page, computed for many pages at once."""
     if model is None:
-        margins = np.array([-1.0 if n.tag in ("nav", "header", "footer", "aside", "form") else 1.0 for n in nodes])
-    else:
-        margins = model.margins(features(nodes))
-    keep = decode(nodes, margins)
-    return "\n".join(t for _, t in sorted(r for n, k in zip(nodes, keep, strict=True) if k for r in n.runs))
+        return [np.array([-1.0 if n.tag in ("nav", "header", "footer", "aside", "form") else 1.0 for n in nodes]) for nodes in pages]
+    rows = Rows()
+    for nodes in pages:
+        rows.add(nodes)
+    margins = np.concatenate([model.margins(rows.matrix(a, min(a + PER_CALL, len(rows)))) for a in range(0, len(rows), PER_CALL)] or [np.zeros(0)])
+    return np.split(margins, np.cumsum([len(nodes) for nodes in pages])[:-1])
+
+
+def main_texts(pages: list[str | None], model: Trees | None) -> list[str]:
+    """Of each page the text of the article's blocks in page order, one to a line."""
+    out: list[str] = []
+    some: list[list[Node]] = []
+
+    def decoded() -> None:
+        for nodes, margins in zip(some, _margins(some, model), strict=True):
+            keep = decode(nodes, margins) if nodes[0].chars else [False] * len(nodes)
+            out.append("\n".join(t for _, t in sorted(r for n, k in zip(nodes, keep, strict=True) if k for r in n.runs)))
+        some.clear()
+
+    size = 0
+    for page in pages:
+        some.append(nodes_of(parse(page or "")))
+        size += len(some[-1])
+        if size > PER_CALL:
+            decoded()
+            size = 0
+    if some:
+        decoded()
+    return out
 
 
 def extract(pages: DataFrame, model: Trees | None) -> DataFrame:
@@ -390,7 +513,7 @@ def extract(pages: DataFrame, model: Trees | None) -> DataFrame:
 
     def run(batches):
         for b in batches:
-            texts = [main_text(p, model) for p in b.column("html").to_pylist()]
+            texts = main_texts(b.column("html").to_pylist(), model)
             yield pa.RecordBatch.from_arrays([b.column("page_id"), b.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
     return pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html").mapInArrow(run, "page_id long, url string, text string, n_chars long")
