@@ -2,10 +2,10 @@
 
 Documents with equal sets become one representative first. Each of `trees` independent trees sends a representative
 down `branches` selected minwise tokens at every node. A node with at most `small` members compares all of them; a
-larger one compares each member with its first (the hub) and branches again. What is still large after `levels` levels
-is a group of like texts: once the links so far have been confirmed, only members outside such a node's main component
-are compared with all of its members, in blocks. Candidates pass a signature test with a wide margin and are confirmed
-on full sets.
+larger one compares each member with a hub of its own. Candidates pass a signature test with a wide margin and are
+confirmed on full sets. Large nodes at the roots whose members are in one component by then are done; those with few
+members outside their main component compare these with all members, in blocks; the others branch again, and what is
+still large after `levels` levels is compared in blocks as well.
 """
 
 from __future__ import annotations
@@ -50,16 +50,6 @@ def _matrix(sketches: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(sketches.to_pylist()), dtype=np.uint8).reshape(-1, SLOTS)
 
 
-def _passing(ids_a, sk_a, ids_b, sk_b, least: int) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    out = []
-    for i in range(len(ids_a)):
-        same = (sk_b == sk_a[i]).sum(axis=1)
-        keep = same >= least
-        if keep.any():
-            out.append((np.full(keep.sum(), ids_a[i]), ids_b[keep], same[keep]))
-    return out
-
-
 def _pairs(out: list) -> pa.RecordBatch:
     a, b, e = (np.concatenate([x[k] for x in out]) if out else np.zeros(0, np.int64) for k in range(3))
     low, high = np.minimum(a, b), np.maximum(a, b)
@@ -68,14 +58,19 @@ def _pairs(out: list) -> pa.RecordBatch:
 
 
 def _within_small(least: int):
+    """Candidates among all members of a node that aren't in one component yet."""
+
     def run(batches):
         for batch in batches:
             members = batch.column("members")
             flat, ends = members.flatten(), members.offsets.to_numpy() - members.offsets[0].as_py()
-            ids, sk, out = flat.field("rep").to_numpy(), _matrix(flat.field("sketch")), []
+            ids, comp, sk, out = flat.field("rep").to_numpy(), flat.field("comp").to_numpy(), _matrix(flat.field("sketch")), []
             for i, j in zip(ends, ends[1:], strict=False):
                 for k in range(i, j - 1):
-                    out += _passing(ids[k : k + 1], sk[k : k + 1], ids[k + 1 : j], sk[k + 1 : j], least)
+                    same = (sk[k + 1 : j] == sk[k]).sum(axis=1)
+                    keep = (same >= least) & (comp[k + 1 : j] != comp[k])
+                    if keep.any():
+                        out.append((np.full(keep.sum(), ids[k]), ids[k + 1 : j][keep], same[keep]))
             yield _pairs(out)
 
     return run
@@ -143,25 +138,36 @@ def _branch(rows: DataFrame, branches: int) -> DataFrame:
     step = F.pmod(F.xxhash64("node", F.lit(1)), F.lit(SLOTS // 2)) * 2 + 1  # odd: no slot comes twice
     slots = [F.pmod(first + step * k, F.lit(SLOTS)).cast("int") for k in range(branches)]
     kids = F.array(*[F.xxhash64("node", s, F.substring("sketch", s + 1, F.lit(1))) for s in slots])
-    return rows.select("rep", "sketch", F.explode(kids).alias("node"))
-
-
-def _candidates(reps: DataFrame, small: int, branches: int, levels: int, least: int) -> tuple[DataFrame, DataFrame]:
-    """Candidate pairs of all trees, and the rows of nodes still large at the last level."""
-    rows = reps.select("rep", "sketch", F.explode("nodes").alias("node"))
-    pairs = None
-    for level in range(levels):
-        stats = rows.groupBy("node").agg(F.count("*").alias("n"), F.min(F.struct("rep", "sketch")).alias("h")).where("n > 1")
-        joined = rows.join(stats, "node").select("node", "rep", "sketch", "n", F.col("h.rep").alias("hub"), F.col("h.sketch").alias("hub_sketch"))
-        joined = cut(joined, f"level{level}")
-        bounded = joined.where(F.col("n") <= small).groupBy("node").agg(F.collect_list(F.struct("rep", "sketch")).alias("members"))
-        large = joined.where(F.col("n") > small)
-        found = bounded.select("members").mapInArrow(_within_small(least), PAIR).unionByName(large.where("rep <> hub").select("rep", "sketch", "hub", "hub_sketch").mapInArrow(_with_hub(least), PAIR))
-        pairs = found if pairs is None else pairs.unionByName(found)
-        rows = large.select("rep", "sketch", "node")
-        if level < levels - 1:
-            rows = _branch(rows, branches)
-    return pairs.groupBy("a", "b").agg(F.max("est").alias("est")), rows
+    return rows.select("rep", "sketch", "comp", F.explode(kids).alias("node"))
+
+
+def _level(rows: DataFrame, small: int, least: int) -> tuple[DataFrame, DataFrame]:
+    """Candidate pairs of the nodes of one level and the rows of its large nodes; rows: rep, sketch, comp, node. Nodes
+    whose members are all in one component make neither."""
+    hub = F.min(F.struct(F.xxhash64("rep", "node").alias("h"), "rep", "sketch", "comp")).alias("hub")
+    stats = rows.groupBy("node").agg(F.count("*").alias("n"), F.min("comp").alias("lo"), F.max("comp").alias("hi"), hub).where("n > 1 and lo <> hi")
+    stats = cut(stats.select("node", "n", F.when(F.col("n") > small, F.col("hub")).alias("hub")), "nodes")
+    joined = cut(rows.join(stats, "node"), "level")
+    bounded = joined.where(F.col("n") <= small).groupBy("node").agg(F.collect_list(F.struct("rep", "sketch", "comp")).alias("members"))
+    large = joined.where(F.col("n") > small)
+    spokes = large.where("comp <> hub.comp").select("rep", "sketch", F.col("hub.rep").alias("hub"), F.col("hub.sketch").alias("hub_sketch"))
+    return bounded.select("members").mapInArrow(_within_small(least), PAIR).unionByName(spokes.mapInArrow(_with_hub(least), PAIR)), large.select("rep", "sketch", "comp", "node")
+
+
+def _best(pairs: DataFrame) -> DataFrame:
+    return pairs.groupBy("a", "b").agg(F.max("est").alias("est"))
+
+
+def _labelled_rows(rows: DataFrame, labels: DataFrame) -> DataFrame:
+    """rows with comp as labels have it; a representative without a label is its own."""
+    return rows.drop("comp").join(labels.select(F.col("node").alias("rep"), "component"), "rep", "left").withColumn("comp", F.coalesce("component", "rep")).drop("component")
+
+
+def _open(large: DataFrame, labels: DataFrame) -> DataFrame:
+    """Rows of the large nodes that aren't in one component, with `outside`: members not in the node's main one."""
+    rows = cut(_labelled_rows(large, labels), "large")
+    parts = rows.groupBy("node", "comp").agg(F.count("*").alias("c")).groupBy("node").agg((F.sum("c") - F.max("c")).alias("outside")).where("outside > 0")
+    return cut(rows.join(parts, "node"), "open")
 
 
 def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -206,25 +212,42 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, trees: i
     reps = equal.agg(F.min("doc_id").alias("rep"))
     firsts = equal.agg(F.min("doc_id").alias("rep"), F.first("sketch").alias("sketch"), F.first("nodes").alias("nodes"))  # alike for equal sets
     least = int(SLOTS * percent / 100 - 4.5 * (SLOTS * percent / 100 * (1 - percent / 100)) ** 0.5)
-    pairs, deep = _candidates(firsts, small, branches, levels, least)
-    pairs, deep = cut(pairs, "pairs"), cut(deep, "deep")
+    found, large = _level(firsts.select("rep", "sketch", F.col("rep").alias("comp"), F.explode("nodes").alias("node")), small, least)
+    pairs = cut(_best(found), "pairs")
 
-    # members of nodes still large may be compared with any other member later
-    wanted = cut(pairs.select(F.explode(F.array("a", "b")).alias("rep")).unionByName(deep.select("rep")).distinct(), "wanted")
-    sets = cut(_sets_of(docs, wanted, width), "sets")
+    sets = cut(_sets_of(docs, _ends(pairs), width), "sets")
     # one document's closest candidate first: most components are whole after that, and their other pairs need no test
     closest = cut(pairs.groupBy("a").agg(F.max_by("b", F.struct("est", "b")).alias("b")), "closest")
     labels = cut(components(cut(_confirm(closest, sets, percent), "links")), "labels")
     labels = _merged(labels, cut(_confirm(cut(_across(pairs, labels), "across"), sets, percent), "links"))
+
+    rows = _open(large, labels)
+    if not rows.isEmpty():
+        deep, rows, pairs = rows.where(F.col("outside") <= small).select("rep", "sketch", "node"), rows.where(F.col("outside") > small), None
+        for _ in range(levels - 1):
+            found, rows = _level(_branch(rows, branches), small, least)
+            pairs = found if pairs is None else pairs.unionByName(found)
+        deep = cut(deep.unionByName(rows.select("rep", "sketch", "node")), "deep")
+        pairs = cut(_best(pairs), "pairs") if pairs is not None else None
+        # members of nodes compared in blocks may meet any other member
+        wanted = deep.select("rep") if pairs is None else deep.select("rep").unionByName(_ends(pairs))
+        missing = cut(wanted.distinct().join(sets, "rep", "left_anti"), "wanted")
+        sets = sets.unionByName(cut(_sets_of(docs, missing, width), "sets"))
+        if pairs is not None:
+            labels = _merged(labels, cut(_confirm(cut(_across(pairs, labels), "across"), sets, percent), "links"))
+        labels = _merged(labels, cut(_residual(deep, labels, sets, least, percent, block_bytes), "links"))
     same_id = live.groupBy("doc_id").agg(F.count("*").alias("c")).where("c > 1").select("doc_id")
     repeated = live.join(same_id, "doc_id", "left_semi").join(reps, ["n", "h1", "h2"]).where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
-    late = _residual(deep, labels, sets, least, percent, block_bytes)
-    labels = _merged(labels, cut(late.unionByName(repeated), "links"))
+    labels = _merged(labels, cut(repeated, "links"))
+
+    # empty texts meet nothing: they take no part in the join, where all of them would have one key
+    out = live.join(reps, ["n", "h1", "h2"], "left").join(labels.withColumnRenamed("node", "rep"), "rep", "left")
+    out = out.select("doc_id", "n", F.coalesce("component", "rep").alias("component_id")).unionByName(sigs.where("n = 0 or doc_id is null").select("doc_id", "n", F.col("doc_id").alias("component_id")))
+    return out.select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
+
 
-    out = sigs.join(reps, ["n", "h1", "h2"], "left").join(labels.withColumnRenamed("node", "rep"), "rep", "left")
-    component = F.when(F.col("n") > 0, F.coalesce("component", "rep")).otherwise(F.col("doc_id"))
-    component = F.when(F.col("doc_id").isNotNull(), component)
-    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+def _ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct()
 
 
 def _labelled(pairs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -256,8 +279,7 @@ def _residual(deep: DataFrame, labels: DataFrame, sets: DataFrame, least: int, p
     """Links between components within the nodes that stayed large: members outside a node's main component are compared
     with all its members, everything else being in one component already. Sets are dealt into blocks of about
     block_bytes; a node of one block gets each set once."""
-    rows = deep.join(labels.withColumnRenamed("node", "rep"), "rep", "left").join(sets.select("rep", "bytes"), "rep")
-    rows = cut(rows.select("node", "rep", "sketch", F.coalesce("component", "rep").alias("comp"), "bytes"), "residual")
+    rows = cut(_labelled_rows(deep, labels).join(sets.select("rep", "bytes"), "rep"), "residual")
     sizes = rows.groupBy("node", "comp").agg(F.sum("bytes").alias("c"))
     main = sizes.groupBy("node").agg(F.max_by("comp", F.struct("c", "comp")).alias("main"), F.sum("c").alias("n"), F.max("c").alias("c")).where("n > c")
     rows = rows.join(main, "node").withColumn("minor", F.col("comp") != F.col("main"))
