@@ -245,19 +245,6 @@ def test_toxicity_learns_from_40_000_labelled_rows(spark):
     assert {"zorblat", "vexing"} <= set(model.weights)
 
 
-def test_maximal_segments_equal_brute_force():
-    rng = random.Random(9)
-    scan = toxicity.Scanner({"p": 1.0, "q": 2.0}, -0.6)
-    for _ in range(100):
-        seq = [rng.choice("pqnnn") for _ in range(rng.randrange(1, 30))]
-        x = [1.0 if c == "p" else 2.0 if c == "q" else -0.6 for c in seq]
-        best = max((sum(x[i:j]) for i in range(len(x)) for j in range(i + 1, len(x) + 1)), default=0)
-        _, _, found = scan.segments(" ".join(seq))
-        if best > 0:
-            assert max(s for s, _, _ in found) == pytest.approx(best)
-        assert all(s == pytest.approx(sum(x[i : j + 1])) for s, i, j in found)
-
-
 def test_mixing_meets_targets(spark):
     rng = random.Random(10)
     rows = [(i, rng.choice(["a", "b", "b", "b", "c", None]), " ".join(words(rng, rng.randrange(0, 60)))) for i in range(300)] + [(400, "a", None), (401, "b", "x"), (401, "b", "x")]
