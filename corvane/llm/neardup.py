@@ -141,16 +141,22 @@ def _branch(rows: DataFrame, branches: int) -> DataFrame:
     return rows.select("rep", "sketch", "comp", F.explode(kids).alias("node"))
 
 
+def _held(df: DataFrame, most: int = 4_000_000) -> DataFrame:
+    """df to be broadcast if it's counted to have at most `most` rows of a few numbers; beyond that a join picks its own
+    way. df is cheap to count: a table that has been written."""
+    return F.broadcast(df) if df.count() <= most else df
+
+
 def _level(rows: DataFrame, small: int, least: int) -> tuple[DataFrame, DataFrame]:
     """Candidate pairs of the nodes of one level and the rows of its large nodes; rows: rep, sketch, comp, node. Nodes
     whose members are all in one component make neither."""
-    hub = F.min(F.struct(F.xxhash64("rep", "node").alias("h"), "rep", "sketch", "comp")).alias("hub")
-    stats = rows.groupBy("node").agg(F.count("*").alias("n"), F.min("comp").alias("lo"), F.max("comp").alias("hi"), hub).where("n > 1 and lo <> hi")
-    stats = cut(stats.select("node", "n", F.when(F.col("n") > small, F.col("hub")).alias("hub")), "nodes")
-    joined = cut(rows.join(stats, "node"), "level")
+    own = F.xxhash64("rep", "node")
+    stats = rows.groupBy("node").agg(F.count("*").alias("n"), F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min(own).alias("hub")).where("n > 1 and lo <> hi")
+    joined = cut(rows.join(stats.select("node", "n", "hub"), "node").withColumn("hub", own == F.col("hub")), "level")
     bounded = joined.where(F.col("n") <= small).groupBy("node").agg(F.collect_list(F.struct("rep", "sketch", "comp")).alias("members"))
     large = joined.where(F.col("n") > small)
-    spokes = large.where("comp <> hub.comp").select("rep", "sketch", F.col("hub.rep").alias("hub"), F.col("hub.sketch").alias("hub_sketch"))
+    hubs = large.where("hub").select("node", F.col("rep").alias("hub"), F.col("sketch").alias("hub_sketch"), F.col("comp").alias("hub_comp"))
+    spokes = large.drop("hub").join(_held(hubs), "node").where("comp <> hub_comp").select("rep", "sketch", "hub", "hub_sketch")
     return bounded.select("members").mapInArrow(_within_small(least), PAIR).unionByName(spokes.mapInArrow(_with_hub(least), PAIR)), large.select("rep", "sketch", "comp", "node")
 
 
@@ -181,9 +187,10 @@ def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 keep.append(_linked(_unpack(x), _unpack(y), percent))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    left = sets.select(F.col("rep").alias("a"), F.col("shingles").alias("sa"))
-    right = sets.select(F.col("rep").alias("b"), F.col("shingles").alias("sb"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
+    pairs = _held(pairs.select("a", "b"))  # then a set moves once for each of its pairs, and those of b once
+    left = sets.select(F.col("rep").alias("a"), F.col("shingles").alias("sa")).join(pairs, "a")
+    right = sets.select(F.col("rep").alias("b"), F.col("shingles").alias("sb")).join(pairs.select("b"), "b", "left_semi")
+    return left.join(right, "b").select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
 
 
 def _sets_of(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
@@ -191,7 +198,7 @@ def _sets_of(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(own := [_pack(s) for s in shingle_sets(b.column("text"), width)], pa.binary()), pa.array([len(s) for s in own], pa.int64())], ["rep", "shingles", "bytes"])
 
-    return docs.select("doc_id", "text").join(wanted.withColumnRenamed("rep", "doc_id"), "doc_id", "left_semi").mapInArrow(run, "rep long, shingles binary, bytes long")
+    return docs.select("doc_id", "text").join(_held(wanted.withColumnRenamed("rep", "doc_id")), "doc_id", "left_semi").mapInArrow(run, "rep long, shingles binary, bytes long")
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, trees: int = 4, branches: int = 2, small: int = 24, levels: int = 3, block_bytes: int = 4_000_000) -> DataFrame:
@@ -215,7 +222,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, trees: i
     found, large = _level(firsts.select("rep", "sketch", F.col("rep").alias("comp"), F.explode("nodes").alias("node")), small, least)
     pairs = cut(_best(found), "pairs")
 
-    sets = cut(_sets_of(docs, _ends(pairs), width), "sets")
+    sets = cut(_sets_of(docs, cut(_ends(pairs), "wanted"), width), "sets")
     # one document's closest candidate first: most components are whole after that, and their other pairs need no test
     closest = cut(pairs.groupBy("a").agg(F.max_by("b", F.struct("est", "b")).alias("b")), "closest")
     labels = cut(components(cut(_confirm(closest, sets, percent), "links")), "labels")
