@@ -8,7 +8,8 @@ look at; Myers' bit-parallel distance then decides.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+import uuid
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -69,10 +70,14 @@ def best_match(pattern: str, text: str, k: int) -> tuple[int, int, int] | None:
     return d, end - (back[1] if back else len(pattern)), end
 
 
-def _matcher(items: list[tuple[int, str]], rate: float):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import ahocorasick
+_built: dict[str, Callable[[str], list[tuple[int, int, int, int]]]] = {}
+
+
+def _finder(items: list[tuple[int, str]], rate: float, name: str) -> Callable[[str], list[tuple[int, int, int, int]]]:
+    """What finds the items of a block in a text. A worker keeps the last one for its later tasks."""
+    import ahocorasick
 
+    if name not in _built:
         found = ahocorasick.Automaton()
         places: dict[str, list[tuple[int, int]]] = {}
         budget = [int(rate * len(t)) for _, t in items]
@@ -82,17 +87,46 @@ def _matcher(items: list[tuple[int, str]], rate: float):
         for p, where in places.items():
             found.add_word(p, (len(p), where))
         found.make_automaton()
+        _built.clear()
+        _built[name] = lambda text: _in_text(text, items, budget, found)
+    return _built[name]
+
+
+def _matcher(items: list[tuple[int, str]], rate: float, name: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        find = _finder(items, rate, name)
         for b in batches:
             rows = []
             for doc, text in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), strict=True):
                 if text and doc is not None:
-                    rows += [(doc, *r) for r in _in_text(text, items, budget, found)]
+                    rows += [(doc, *r) for r in find(text)]
             cols = list(zip(*rows, strict=True)) or [[]] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["doc_id", "item_id", "start", "end", "distance"])
 
     return run
 
 
+def _without(items: list[tuple[int, str]], rate: float, name: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        find = _finder(items, rate, name)
+        for b in batches:
+            pairs = zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), strict=True)
+            yield b.filter(pa.array([doc is None or not text or not find(text) for doc, text in pairs], pa.bool_()))
+
+    return run
+
+
+def _blocks(benchmark: DataFrame, block_chars: int) -> Iterator[list[tuple[int, str]]]:
+    """The items in normal form, as many at once as have about block_chars characters."""
+    items = benchmark.where("item_id is not null and text is not null").select(F.col("item_id").cast("long").alias("item_id"), "text")
+    chars = items.agg(F.sum(F.length("text"))).first()[0] or 0
+    blocks = -(-chars // block_chars)
+    for k in range(blocks):
+        own = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k).collect()
+        if own := sorted({(r.item_id, t) for r in own if (t := normal_form(r.text))}):
+            yield own
+
+
 def _in_text(text: str, items, budget, found) -> list[tuple[int, int, int, int]]:
     plain = normal_form(text)
     tried: set[tuple[int, int]] = set()
@@ -127,19 +161,16 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, error_rate: float = 0.05
     """
     spark = docs.sparkSession
     small_batches(spark)
-    items = benchmark.where("item_id is not null and text is not null").select(F.col("item_id").cast("long").alias("item_id"), "text")
-    chars = items.agg(F.sum(F.length("text"))).first()[0] or 0
-    blocks = -(-chars // block_chars)
     out = spark.createDataFrame([], HITS)
-    for k in range(blocks):
-        own = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k).collect()
-        own = sorted({(r.item_id, t) for r in own if (t := normal_form(r.text))})
-        if own:
-            out = out.unionByName(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_matcher(own, error_rate), HITS))
+    for own in _blocks(benchmark, block_chars):
+        out = out.unionByName(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_matcher(own, error_rate, uuid.uuid4().hex), HITS))
     return out
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, error_rate: float = 0.05) -> DataFrame:
-    """The rows of docs without a benchmark passage; see contaminated()."""
-    hits = contaminated(docs, benchmark, error_rate).select(F.col("doc_id").alias("__hit")).distinct()
-    return docs.join(hits, docs["doc_id"] == hits["__hit"], "left_anti")
+def decontaminate(docs: DataFrame, benchmark: DataFrame, error_rate: float = 0.05, block_chars: int = 8_000_000) -> DataFrame:
+    """The rows of docs without a benchmark passage, see contaminated(); rows with a null doc_id stay. Every row is
+    judged by its own text in the pass that reads it, so texts aren't shuffled; all columns pass through."""
+    small_batches(docs.sparkSession)
+    for own in _blocks(benchmark, block_chars):
+        docs = docs.mapInArrow(_without(own, error_rate, uuid.uuid4().hex), docs.schema)
+    return docs
