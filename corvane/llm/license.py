@@ -1,9 +1,9 @@
 """Licence scans of paragraphs with DataFrame operations and spark.ml alone.
 
 Each line of a text is a paragraph. Its hashed one- and two-word counts go through a multinomial logistic regression
-over licence families, other licence talk (`unknown`) and ordinary text (`none`). A prediction stands if its calibrated
-probability reaches the threshold fitted on held-out paragraphs, and if enough of one of the family's template phrases
-is in the paragraph.
+over licence families, other licence talk (`unknown`) and ordinary text (`none`). A family stands if its probability
+reaches the threshold fitted on held-out paragraphs, those of other licence talk and ordinary ones apart, and if enough
+of one of its template phrases is in the paragraph; licence talk of which either fails is `unknown`.
 """
 
 from __future__ import annotations
@@ -72,14 +72,16 @@ def paragraphs(docs: DataFrame) -> DataFrame:
 
 
 def fit(docs: DataFrame, max_paragraphs: int = 4000, false_share: float = 0.005) -> LicenceModel:
-    """Trains on the templates and on at most about max_paragraphs paragraphs of docs without licence words, drawn by a
-    hash: the documented bound of the sample. A fifth of either is held out; the threshold is the least probability, 0.5
-    at least, which at most false_share of the held-out paragraphs without a family reach."""
+    """Trains on the templates and on at most max_paragraphs paragraphs of docs without licence words, those of the least
+    hashes: the documented bound of the sample. A fifth of either is held out; the threshold is the least probability,
+    0.5 at least, which at most false_share of the held-out paragraphs of other licence talk, and at most false_share of
+    the ordinary ones, reach. An empty table leaves the templates alone to learn from."""
     spark = docs.sparkSession
     total = docs.count()
-    few = docs.where(F.pmod(F.xxhash64("doc_id", F.lit(21)), F.lit(1_000_000)) < int(1e6 * min(1.0, max_paragraphs / 4 / max(total, 1))))
+    few = docs.where(F.pmod(F.xxhash64("doc_id", "text", F.lit(21)), F.lit(1_000_000)) < int(1e6 * min(1.0, max_paragraphs / 4 / max(total, 1))) + 1)
     plain = paragraphs(few).where(~F.lower("text").rlike("licen[cs]e|copyright|public domain|creative commons|redistribut|warrant|apache|gnu|mozilla"))
-    plain = plain.where(F.pmod(F.xxhash64("text"), F.lit(4)) == 0).select(F.lit("none").alias("label"), "text")
+    drawn = F.xxhash64("text", F.lit(22))
+    plain = plain.where(F.pmod(drawn, F.lit(4)) == 0).orderBy(drawn, "text").limit(max_paragraphs).select(F.lit("none").alias("label"), "text")
     rows = features(_examples(spark).unionByName(plain).select("label", words(F.col("text")).alias("words"), F.pmod(F.xxhash64("text", F.lit(2)), F.lit(5)).alias("fold")))
     rows = rows.withColumn("label", F.array_position(F.array(*map(F.lit, FAMILIES)), F.col("label")).cast("double") - 1)
     rows = cut(rows.select("label", "features", "fold"), "licences")
@@ -89,16 +91,17 @@ def fit(docs: DataFrame, max_paragraphs: int = 4000, false_share: float = 0.005)
     rows = rows.withColumn("weight", F.when(F.col("label") > n, max(1.0, 10.0 * sizes.talk / max(sizes.plain, 1))).otherwise(1.0))
     model = LogisticRegression(family="multinomial", regParam=0.0005, maxIter=60, weightCol="weight").fit(rows.where("fold > 0"))
     odds = F.array_max(F.slice(vector_to_array("probability"), 1, n))
-    held = model.transform(rows.where(f"fold = 0 and label >= {n}")).agg(F.percentile(odds, 1 - false_share).alias("p")).first()
-    return LicenceModel(model, max(0.5, held.p or 0.0))
+    held = model.transform(rows.where(f"fold = 0 and label >= {n}")).groupBy("label").agg(F.percentile(odds, 1 - false_share).alias("p")).collect()
+    return LicenceModel(model, max([0.5, *(r.p for r in held)]))
 
 
 def find(docs: DataFrame, model: LicenceModel, least_overlap: float = 0.8) -> DataFrame:
     """doc_id, paragraph, family, probability, overlap, confirmed: the paragraphs of docs (doc_id, text) that talk of a
-    licence. family is the predicted one if its probability reaches the model's threshold, else `unknown`; confirmed
-    tells whether least_overlap of the words of one of the family's templates are in the paragraph, in which case a
-    shorter name still counts as found. Null, empty and blank texts have no paragraphs; null ids pass through; repeated
-    rows repeat. No shuffle, no Python."""
+    licence. family is the predicted one if its probability reaches the model's threshold and least_overlap of the words
+    of one of its templates are in the paragraph (confirmed), else `unknown`; overlap is that of the predicted family.
+    Null, empty and blank texts have no paragraphs; null ids pass through; repeated rows repeat; other columns are
+    ignored; paragraphs of any length are read whole, but one of tens of thousands of different words fills the hashed
+    slots and may count as unknown. No shuffle, no Python."""
     rows = features(paragraphs(docs).withColumn("words", words(F.col("text"))))
     scored = model.regression.transform(rows).select("doc_id", "paragraph", "words", vector_to_array("probability").alias("p"))
     n = len(TEMPLATES)
@@ -109,6 +112,7 @@ def find(docs: DataFrame, model: LicenceModel, least_overlap: float = 0.8) -> Da
     templates = F.array(*[F.array(*[F.array(*[F.lit(w) for w in p.split()]) for p in ps]) for ps in TEMPLATES.values()])
     own = F.element_at(templates, F.col("at"))
     overlap = F.array_max(F.transform(own, lambda t: F.size(F.array_intersect(t, F.col("words"))) / F.size(F.array_distinct(t))))
-    family = F.when(sure, F.element_at(F.array(*map(F.lit, TEMPLATES)), F.col("at"))).otherwise("unknown")
-    out = scored.select("doc_id", "paragraph", family.alias("family"), F.when(sure, F.col("probability")).otherwise(F.col("unknown")).alias("probability"), F.when(sure, overlap).otherwise(0.0).alias("overlap"))
-    return out.withColumn("confirmed", F.col("overlap") >= least_overlap)
+    name = F.element_at(F.array(*map(F.lit, TEMPLATES)), F.col("at"))
+    out = scored.select("doc_id", "paragraph", name.alias("name"), "probability", "unknown", sure.alias("sure"), overlap.alias("overlap"))
+    stands = F.col("sure") & (F.col("overlap") >= least_overlap)
+    return out.select("doc_id", "paragraph", F.when(stands, F.col("name")).otherwise("unknown").alias("family"), F.when(stands, F.col("probability")).otherwise(F.greatest("unknown", 1 - F.col("probability"))).alias("probability"), "overlap", stands.alias("confirmed"))
