@@ -2,7 +2,8 @@
 
 Vectors get one more component so that all have one length; then the largest inner product is the smallest distance,
 and |d(query, pivot) - d(row, pivot)| bounds that distance from below for every pivot. Candidates of a block are
-evaluated in the order of their largest bound and a query stops where no bound left can beat its k-th score.
+evaluated in the order of their largest bound and a query stops where no bound left can beat its k-th score. That score
+starts from the query's k-th best of a bounded sample of the rows, so a block may be left without an evaluation.
 """
 
 from __future__ import annotations
@@ -29,54 +30,71 @@ def _rows(column) -> np.ndarray:
     return flat.reshape(len(column), -1)
 
 
-def _best(ids, x, q_ids, q, pivots, length2: float, k: int, step: int):
-    """For each query its k best rows of a block."""
+def _best(ids, x, q_ids, q, floors, pivots, length2: float, k: int, step: int):
+    """For each query its k best rows of a block, without those under its floor."""
     extra = np.sqrt(np.maximum(0.0, length2 - (x * x).sum(axis=1)))
     norm2 = lambda m: (m * m).sum(axis=1)
-    p, p_extra = pivots[:, :-1], pivots[:, -1]
+    p, p_extra = pivots
     to_rows = np.sqrt(np.maximum(0.0, length2 + (norm2(p) + p_extra**2)[:, None] - 2 * (p @ x.T + np.outer(p_extra, extra))))
     q2 = norm2(q)
     to_queries = np.sqrt(np.maximum(0.0, q2[:, None] + (norm2(p) + p_extra**2)[None, :] - 2 * q @ p.T))
     out = []
     for i in range(len(q)):
-        bound = np.abs(to_queries[i][:, None] - to_rows).max(axis=0)
+        bound = np.abs(to_queries[i][:, None] - to_rows).max(axis=0, initial=0.0)
         most = (q2[i] + length2 - bound * bound) / 2 + 1e-6 * (1 + length2)  # no row scores more
         order = np.argsort(-most, kind="stable")
-        best = np.zeros((0, 2), dtype=np.int64)
+        best, least = np.zeros((0, 2), dtype=np.int64), floors[i]
         for a in range(0, len(order), step):
-            if len(best) >= k and most[order[a]] < best[-1, 0]:
+            if most[order[a]] < least:
                 break
             now = order[a : a + step]
             score = np.rint(x[now] @ q[i]).astype(np.int64)
-            keep = ids[now] != q_ids[i]
-            if len(best) >= k:
-                keep &= score >= best[-1, 0]  # ties may still have the smaller id
-                if not keep.any():
-                    continue
+            keep = (ids[now] != q_ids[i]) & (score >= least)  # ties may still have the smaller id
+            if not keep.any():
+                continue
             both = np.concatenate([best, np.column_stack([score[keep], ids[now][keep]])])
             best = both[np.lexsort((both[:, 1], -both[:, 0]))[:k]]
+            least = max(least, best[-1, 0]) if len(best) == k else least
         out.append((np.full(len(best), q_ids[i]), best[:, 1], best[:, 0]))
     return out
 
 
-def _search(pivots: np.ndarray, length2: float, k: int, step: int):
+def _search(pivots: dict[int, np.ndarray], length2: float, k: int, step: int):
     def run(key, table):
-        mine = table.column("is_query").to_numpy()
+        mine = table.column("is_query").to_numpy(zero_copy_only=False)
         ids, x = table.column("vec_id").to_numpy(), _rows(table.column("v").combine_chunks())
-        found = _best(ids[~mine], x[~mine], ids[mine], x[mine], pivots, length2, k, step) if mine.any() and not mine.all() else []
+        own = pivots.get(x.shape[1], np.zeros((0, x.shape[1])))
+        own = own, np.sqrt(np.maximum(0.0, length2 - (own * own).sum(axis=1)))
+        found = _best(ids[~mine], x[~mine], ids[mine], x[mine], table.column("floor").to_numpy()[mine], own, length2, k, step) if mine.any() and not mine.all() else []
         cols = [np.concatenate([f[j] for f in found]) if found else np.zeros(0, np.int64) for j in range(3)]
         return pa.table(cols, names=["query_id", "vec_id", "score"])
 
     return run
 
 
-def top_k(vectors: DataFrame, queries: DataFrame, k: int = 20, block: int = 4096, query_block: int = 1024, pivots: int = PIVOTS, step: int = 512) -> DataFrame:
+def _floors(sample: dict[int, tuple[np.ndarray, np.ndarray]], k: int):
+    """Adds to queries the k-th highest score among the sampled rows of other ids, or the least long."""
+
+    def run(batches):
+        for b in batches:
+            ids, out = b.column("vec_id").to_numpy(), []
+            for i, v in zip(ids, b.column("v").to_pylist(), strict=True):
+                own_ids, x = sample.get(len(v), (np.zeros(0, np.int64), np.zeros((0, len(v)))))
+                score = (x @ np.array(v, dtype=np.float64))[own_ids != i]
+                out.append(int(np.rint(np.partition(score, -k)[-k])) if len(score) >= k else np.iinfo(np.int64).min)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.int64())], [*b.schema.names, "floor"])
+
+    return run
+
+
+def top_k(vectors: DataFrame, queries: DataFrame, k: int = 20, block: int = 4096, query_block: int = 1024, pivots: int = PIVOTS, step: int = 512, sample: int = 2048) -> DataFrame:
     """query_id, rank, vec_id, score: the k highest integer inner products of each query (vec_id, v) with vectors
     (vec_id, v) of other ids, ties to the smaller vec_id; fewer where there are fewer vectors.
 
-    v holds whole numbers whose products stay under 2**53; rows with null v or vec_id take no part, all others have one
-    length. Repeated vec_ids count as one row each, none of them against its own id. Rows and queries are dealt into
-    blocks of bounded size and every block of queries meets every block of rows, so no task grows with the tables.
+    v holds whole numbers whose products stay under 2**53; rows with null v or vec_id take no part; vectors of different
+    lengths don't meet. Repeated vec_ids count as one row each, none of them against its own id; other columns are
+    ignored. Rows and queries are dealt into blocks of bounded size and every block of queries meets every block of
+    rows, so no task grows with the tables. Pivots are the first of `sample` rows drawn by a hash.
     """
     spark = vectors.sparkSession
     small_batches(spark)
@@ -87,13 +105,16 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 20, block: int = 4096
     m = asks.count()
     if not n or not m:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    picked = rows.orderBy(F.xxhash64("vec_id", F.lit(5)), "vec_id", "v").limit(pivots).collect()
-    p = np.array([r.v for r in picked], dtype=np.float64)
-    p = np.column_stack([p, np.sqrt(np.maximum(0.0, length2 - (p * p).sum(axis=1)))])
+    by_size: dict[int, list] = {}
+    for r in rows.orderBy(F.xxhash64("vec_id", F.lit(5)), "vec_id", "v").limit(sample).collect():
+        by_size.setdefault(len(r.v), []).append(r)
+    drawn = {d: (np.array([r.vec_id for r in own]), np.array([r.v for r in own], dtype=np.float64)) for d, own in by_size.items()}
+    asks = asks.mapInArrow(_floors(drawn, k), "vec_id long, v array<long>, floor long")
+    p = {d: x[:pivots] for d, (_, x) in drawn.items()}
     row_blocks, ask_blocks = -(-n // block), -(-m // query_block)
     deal = lambda c, parts: F.pmod(F.xxhash64("vec_id", "v", F.lit(9)), F.lit(parts)).cast("int").alias(c)
     every = lambda c, parts: F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias(c)
-    pairs = rows.select("vec_id", "v", F.lit(False).alias("is_query"), deal("rb", row_blocks), every("qb", ask_blocks)).unionByName(asks.select("vec_id", "v", F.lit(True).alias("is_query"), every("rb", row_blocks), deal("qb", ask_blocks)))
-    found = pairs.groupBy("rb", "qb").applyInArrow(_search(p, float(length2), k, step), HITS)
+    pairs = rows.select("vec_id", "v", F.lit(0).cast("long").alias("floor"), F.lit(False).alias("is_query"), deal("rb", row_blocks), every("qb", ask_blocks)).unionByName(asks.select("vec_id", "v", "floor", F.lit(True).alias("is_query"), every("rb", row_blocks), deal("qb", ask_blocks)))
+    found = pairs.withColumn("size", F.size("v")).groupBy("size", "rb", "qb").applyInArrow(_search(p, float(length2), k, step), HITS)
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
