@@ -153,6 +153,17 @@ def _phone(v: Column, key: str) -> Column:
     return F.concat(code, _refilled(rest, permuted(_digits(rest), key, "phone")))
 
 
+def _ssn_ok(v: Column) -> Column:
+    return ~v.rlike(r"^(000|666|9)|-00-|-0000$")
+
+
+def _ssn(v: Column, key: str) -> Column:
+    """The first valid number on the way of repeated permutation: a permutation of the valid numbers. One in nine steps
+    is invalid, so 30 of them always are enough in practice."""
+    step = lambda x: _refilled(x, permuted(_digits(x), key, "ssn"))
+    return F.aggregate(F.sequence(F.lit(1), F.lit(30)), step(v), lambda x, _: F.when(_ssn_ok(x), x).otherwise(step(x)))
+
+
 def classified(v: Column) -> Column:
     """The format of a value that PATTERN matched, null where it isn't valid."""
     full = lambda k: v.rlike(f"^(?:{FORMATS[k]})$")
@@ -161,7 +172,7 @@ def classified(v: Column) -> Column:
         kind = kind.when(full(k), F.when(_day(v, form).between(0, DAYS_HIGH * DAYS_LOW - 1), F.lit(k)))
     kind = kind.when(full("ipv4"), F.when(_address_ok(v), F.lit("ipv4")))
     kind = kind.when(full("phone"), F.lit("phone"))
-    kind = kind.when(full("ssn"), F.when(~v.rlike(r"^(000|666|9)|-00-|-0000$"), F.lit("ssn")))
+    kind = kind.when(full("ssn"), F.when(_ssn_ok(v), F.lit("ssn")))
     return kind.otherwise(F.when(_card_ok(v), F.lit("card")))
 
 
@@ -169,7 +180,7 @@ def pseudonym(v: Column, kind: Column, key: str) -> Column:
     out = F.when(kind == "email", _email(v, key)).when(kind == "ipv4", _address(v, key)).when(kind == "phone", _phone(v, key))
     for k, form in DATES.items():
         out = out.when(kind == k, _date(v, form, key))
-    out = out.when(kind == "ssn", _refilled(v, permuted(_digits(v), key, "ssn"))).when(kind == "card", _card(v, key))
+    out = out.when(kind == "ssn", _ssn(v, key)).when(kind == "card", _card(v, key))
     return F.coalesce(out, v)
 
 
