@@ -16,9 +16,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def work_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a new one where it is unset (local runs)."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or a new one where it is unset. That is for
+    local runs: on a cluster a missing setting is an error, as a local folder is each machine's own."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = f"file://{tempfile.mkdtemp(prefix='spark-', dir='/tmp')}"
         spark.sparkContext.setCheckpointDir(base)
     return base.rstrip("/")
@@ -37,7 +40,8 @@ def cut(df: DataFrame, label: str) -> DataFrame:
 
 
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Bound what a Python worker holds at once: rows and bytes of an Arrow batch."""
+    """Bound what a Python worker holds at once: rows and bytes of an Arrow batch. Jobs are planned later, so the
+    session keeps these settings."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
 

@@ -24,7 +24,7 @@ def _stars(edges: DataFrame) -> DataFrame:
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """(node, component) for every node of the edges (a, b); component is its smallest reachable node. Self-edges and
-    repeated edges do nothing; no edges give no rows. Raises if it has not converged after `rounds` steps."""
+    repeated edges and those with a null end do nothing; no edges give no rows. Raises if it has not converged after `rounds` steps."""
     now = cut(edges.where("a <> b").select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo")).distinct(), "edges")
     was = None
     for _ in range(rounds):

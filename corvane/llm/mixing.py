@@ -35,7 +35,8 @@ def take(docs: DataFrame, targets: DataFrame, size: Column, seed: int = 7, per_b
     targets: source, source_size, target; a null source is a source. Within a source, documents in order of
     random_key(doc_id), then doc_id and size, are taken whole, epoch after epoch; the one at the cut is taken in part, so a
     source's sum is its floored target. A document of size 0 or of a source without target is taken 0 times. Rows with
-    equal ids and sizes are interchangeable. Columns of docs named like those added are replaced.
+    equal ids and sizes are interchangeable; those of one id are in one block. Columns of docs named like those added
+    are replaced.
     """
     n = docs.count()
     blocks = max(1, -(-n // per_block))
@@ -51,3 +52,16 @@ def take(docs: DataFrame, targets: DataFrame, size: Column, seed: int = 7, per_b
     part = F.greatest(F.lit(0), F.least(F.col("size"), goal - epochs * whole - F.col("before") - F.col("__in")))
     taken = F.coalesce(epochs * F.col("size") + part, F.lit(0)).cast("long")
     return out.withColumn("taken", taken).drop("__key", "__block", "__in", "before", "__s", "__b")
+
+
+def cut_points(sized: DataFrame, targets: DataFrame, seed: int = 7) -> DataFrame:
+    """One row a source: epochs taken whole, and where the next one is cut, as key and doc_id of the document at the cut
+    with the share of its words that the budget takes. sized: doc_id, source, size; see take(). Rows of one doc_id at a
+    cut share what is left for them. Texts needn't be moved to be mixed: each row compares its key with its source's."""
+    taken = take(sized.withColumnRenamed("size", "__words"), targets, F.col("__words"), seed).where("source_size > 0")
+    whole = F.floor(F.floor("target") / F.col("source_size"))
+    part = F.col("taken") - whole * F.col("size")
+    rows = taken.select("source", whole.alias("epochs"), F.coalesce(random_key(F.col("doc_id"), seed), F.lit("")).alias("key"), "doc_id", "size", part.alias("part"))
+    each = rows.groupBy("source", "epochs", "key", "doc_id").agg(F.sum("part").alias("part"), F.sum("size").alias("size"))
+    last = F.max(F.when(F.col("part") > 0, F.struct("key", "doc_id", F.try_divide("part", "size").alias("share")))).alias("last")
+    return each.groupBy("source", "epochs").agg(last).select("source", "epochs", "last.*")
