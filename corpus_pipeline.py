@@ -8,13 +8,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corvane.llm import tokens, toxicity
-from corvane.llm.common import cut, n_words, table
+from corvane.llm.common import WORD, cut, n_words, table
 from corvane.llm.decontam import decontaminate
-from corvane.llm.mixing import take
+from corvane.llm.mixing import cut_points, random_key
 from corvane.llm.neardup import near_duplicates
 from corvane.llm.queries import mix_targets, tokenizer_path
 
@@ -27,10 +27,20 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each component of near duplicates stays (five-word shingles, similarity 0.8), the one of the
-    smallest doc_id; of rows that share that doc_id one stays. Rows with a null doc_id stay."""
-    kept = near_duplicates(docs).where("kept and doc_id is not null").select("doc_id").distinct()
-    named = docs.where("doc_id is not null").dropDuplicates(["doc_id"])
-    return named.join(kept, "doc_id", "left_semi").select(*docs.columns).unionByName(docs.where("doc_id is null"))
+    smallest doc_id. Rows that share a doc_id are documents of their own where their texts differ: the one of the least
+    hash goes by the doc_id, the others by a large number made of both. Of rows of equal ids and texts the first by
+    their other columns stays. Rows with a null doc_id stay."""
+    named = docs.where("doc_id is not null")
+    mark = F.xxhash64("text")
+    repeated = cut(named.groupBy("doc_id").agg(F.count("*").alias("__n"), F.min(mark).alias("__first")).where("__n > 1"), "repeated")
+    first = F.col("__first").isNull() | (mark == F.col("__first"))
+    other = F.shiftrightunsigned(F.xxhash64("doc_id", "text", F.lit(1)), 2) + F.lit(1 << 62)
+    keyed = named.join(repeated, "doc_id", "left").withColumn("__key", F.when(first, F.col("doc_id").cast("long")).otherwise(other))
+    kept = near_duplicates(keyed.select(F.col("__key").alias("doc_id"), "text")).where("kept").select(F.col("doc_id").alias("__key")).distinct()
+    once = keyed.where("__n is null").join(kept, "__key", "left_semi")
+    twins = Window.partitionBy("__key").orderBy(*[c for c in docs.columns if c not in ("doc_id", "text")], F.col("text"))
+    rest = keyed.where("__n is not null").join(kept, "__key", "left_semi").withColumn("__n", F.row_number().over(twins)).where("__n = 1")
+    return once.unionByName(rest, allowMissingColumns=True).select(*docs.columns).unionByName(docs.where("doc_id is null"))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -39,22 +49,31 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mix as rows: a document of which the mix takes more than its size comes twice, one at the cut of its
-    source's budget comes with as many of its first words as the budget still takes. Columns are those of docs."""
-    mixed = take(docs.withColumn("__words", n_words(F.col("text"))), mix_targets(docs), F.col("__words"))
-    size, taken = F.col("size"), F.col("taken")
-    parts = F.when(taken > size, F.array(size, taken - size)).when(taken > 0, F.array(taken)).otherwise(F.array().cast("array<bigint>"))
-    rows = mixed.withColumn("__part", F.explode(parts))
-    cut_text = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+[\x20\x09-\x0D]*"), F.lit(0)), 1, F.col("__part").cast("int")), "")
-    text = F.when(F.col("__part") < size, cut_text).otherwise(F.col("text"))
-    rows = rows.withColumn("text", text)
+    """The mix as rows: a document comes once for each epoch of its source and once more if it stands before the cut of
+    the last one; one at the cut comes with as many of its first words as the budget still takes. Documents without
+    words or source budget don't come. Columns are those of docs. Ids and sizes alone are sorted; the rows meet one row
+    of their source."""
+    sized = cut(docs.select("doc_id", "source", n_words(F.col("text")).alias("size")), "sizes")
+    points = cut_points(sized, mix_targets(sized, F.col("size")))
+    points = cut(points.select(F.col("source").alias("__source"), *[F.col(c).alias(f"__{c}") for c in ("epochs", "key", "doc_id", "share")]), "points")
+    rows = docs.join(points, F.col("source").eqNullSafe(F.col("__source")))
+    here = F.struct(F.coalesce(random_key(F.col("doc_id"), 7), F.lit("")).alias("k"), F.col("doc_id").alias("d"))
+    there = F.struct(F.col("__key").alias("k"), F.col("__doc_id").alias("d"))
+    # shares of the text: whole for each epoch, and what the last one takes
+    last = F.when(F.col("__key").isNull() | (here > there), 0.0).when(here < there, 1.0).otherwise(F.col("__share"))
+    shares = F.concat(F.array_repeat(F.lit(1.0), F.col("__epochs").cast("int")), F.when(last > 0, F.array(last)).otherwise(F.array().cast("array<double>")))
+    rows = rows.where(F.col("text").rlike(WORD)).withColumn("__share", F.explode(shares))
+    n = F.floor(F.col("__share") * n_words(F.col("text")) + 1e-6).cast("int")
+    cut_text = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+[\x20\x09-\x0D]*"), F.lit(0)), 1, n), "")
+    rows = rows.withColumn("text", F.when(F.col("__share") < 1, cut_text).otherwise(F.col("text"))).where("text <> ''")
     if "n_chars" in docs.columns:
         rows = rows.withColumn("n_chars", F.length("text").cast("long"))
     return rows.select(*docs.columns)
 
 
 def write_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token shards of all rows in the shared folder; returns what reading them back gives for each row."""
+    """Token shards of all rows in the shared folder; returns what reading them back gives for each row. Rows with a
+    null doc_id have no key in a shard: they end here."""
     return tokens.read_shards(tokens.write_shards(docs, tokenizer_path())).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
