@@ -8,24 +8,24 @@ from pyspark.sql import functions as F
 from corvane.functions.perf import correlation, metrics
 from corvane.functions.xs import normalised, pct_rank
 
-STYLES = ("value", "quality", "growth", "momentum", "low_vol", "discipline")
+STYLES = ("value", "quality", "growth", "garp", "momentum", "low_vol")
 # fixed values: style weights of the templates
 TEMPLATES = {
-    "value": {"value": 0.6, "quality": 0.25, "discipline": 0.15},
-    "quality": {"quality": 0.6, "discipline": 0.2, "low_vol": 0.2},
-    "growth": {"growth": 0.6, "momentum": 0.25, "quality": 0.15},
-    "momentum": {"momentum": 0.7, "growth": 0.15, "quality": 0.15},
-    "defensive": {"low_vol": 0.55, "quality": 0.3, "value": 0.15},
-    "balanced": {s: 1 / 6 for s in STYLES},
+    "deep_value": {"value": 0.67, "quality": 0.22, "low_vol": 0.11},
+    "quality_compounder": {"quality": 0.55, "growth": 0.2, "value": 0.15, "low_vol": 0.1},
+    "garp_blend": {"garp": 0.4, "growth": 0.25, "quality": 0.2, "value": 0.15},
+    "momentum_tilt": {"momentum": 0.55, "growth": 0.2, "quality": 0.15, "low_vol": 0.1},
+    "defensive_low_vol": {"low_vol": 0.53, "quality": 0.35, "value": 0.12},
+    "hybrid_multifactor": {"value": 0.22, "quality": 0.28, "growth": 0.17, "momentum": 0.22, "low_vol": 0.11},
 }
-# fixed values: style weights by market regime; what isn't a style is left out and the rest rescaled
+# fixed values: style weights by market regime; income is no style of the panel: its share goes to the others
 PRIORS = {
-    "bull_low_vol": {"value": 0.15, "quality": 0.15, "growth": 0.25, "momentum": 0.30, "low_vol": 0.05, "discipline": 0.10},
-    "bull_high_vol": {"value": 0.20, "quality": 0.25, "growth": 0.15, "momentum": 0.20, "low_vol": 0.10, "discipline": 0.10},
-    "bear_low_vol": {"value": 0.25, "quality": 0.25, "growth": 0.05, "momentum": 0.10, "low_vol": 0.20, "discipline": 0.15},
-    "bear_high_vol": {"value": 0.15, "quality": 0.30, "growth": 0.05, "momentum": 0.05, "low_vol": 0.30, "discipline": 0.15},
-    "sideways_low_vol": {"value": 0.25, "quality": 0.20, "growth": 0.15, "momentum": 0.15, "low_vol": 0.10, "discipline": 0.15},
-    "sideways_high_vol": {"value": 0.20, "quality": 0.25, "growth": 0.10, "momentum": 0.10, "low_vol": 0.20, "discipline": 0.15},
+    "bull_low_vol": {"momentum": 0.25, "growth": 0.22, "quality": 0.2, "garp": 0.15, "value": 0.1, "low_vol": 0.04, "income": 0.04},
+    "bull_high_vol": {"quality": 0.28, "momentum": 0.2, "growth": 0.15, "garp": 0.12, "low_vol": 0.13, "value": 0.08, "income": 0.04},
+    "bear_low_vol": {"quality": 0.3, "low_vol": 0.25, "value": 0.18, "income": 0.15, "garp": 0.07, "growth": 0.03, "momentum": 0.02},
+    "bear_high_vol": {"low_vol": 0.32, "quality": 0.3, "income": 0.18, "value": 0.12, "garp": 0.04, "growth": 0.02, "momentum": 0.02},
+    "sideways_low_vol": {"quality": 0.24, "value": 0.22, "garp": 0.18, "low_vol": 0.14, "income": 0.1, "momentum": 0.08, "growth": 0.04},
+    "sideways_high_vol": {"quality": 0.28, "low_vol": 0.22, "value": 0.2, "income": 0.14, "garp": 0.08, "momentum": 0.04, "growth": 0.04},
 }
 
 
@@ -36,7 +36,7 @@ def template_table(spark, templates: dict[str, dict[str, float]] = TEMPLATES) ->
 def template_scores(panel: DataFrame, templates: DataFrame) -> DataFrame:
     """B1, B2: weighted means over the styles that are there. panel: as_of, ticker and styles."""
     long = panel.unpivot(["as_of", "ticker"], list(STYLES), "style", "x").where(F.col("x").isNotNull())
-    joined = long.join(F.broadcast(templates), "style")  # a few strategies
+    joined = long.join(templates, "style")
     return joined.groupBy("template", "as_of", "ticker").agg((F.sum(F.col("x") * F.col("w")) / F.sum("w")).alias("score"))
 
 
@@ -84,11 +84,23 @@ def classify_regime(benchmarks: DataFrame, breadths: DataFrame) -> DataFrame:
     b = b.withColumn("ma", F.avg("level").over(w.rowsBetween(-199, 0))).withColumn("ret6", F.col("level") / F.coalesce(F.lag("level", 125).over(w), F.first("level").over(w)) - 1)
     b = b.withColumn("v21", F.stddev_pop("r").over(w.rowsBetween(-20, 0))).withColumn("vall", F.stddev_pop("r").over(w.rowsBetween(Window.unboundedPreceding, 0)))
     b = b.join(breadths, "date", "left")
-    trend = F.when((F.col("level") > F.col("ma")) & (F.col("ret6") > 0.02) & (F.col("breadth") >= 0.55), "bull").when((F.col("level") < F.col("ma")) & (F.col("ret6") < -0.02) & (F.col("breadth") <= 0.45), "bear").otherwise("sideways")
+    trend = F.when((F.col("level") > F.col("ma")) & (F.col("ret6") > 0.02) & (F.col("breadth") > 0.55), "bull").when((F.col("level") < F.col("ma")) & (F.col("ret6") < -0.02) & (F.col("breadth") < 0.45), "bear").otherwise("sideways")
     vol = F.when(F.col("v21") > 1.15 * F.col("vall"), "high_vol").otherwise("low_vol")
     return b.select("date", F.when(F.col("n") < 60, "sideways_low_vol").otherwise(F.concat_ws("_", trend, vol)).alias("regime"), "breadth")
 
 
+def best_template(daily: DataFrame, templates: DataFrame) -> DataFrame:
+    """template, style and normalised weight w of the template with the highest Sharpe ratio; ties go to the first name,
+    a null ratio comes last."""
+    first = summary(daily).orderBy(F.desc_nulls_last("sharpe"), "template").limit(1).select("template")
+    return templates.join(first, "template").select("template", "style", (F.greatest("w", F.lit(0.0)) / F.sum(F.greatest("w", F.lit(0.0))).over(Window.partitionBy("template"))).alias("w"))
+
+
+def point_in_time(scores: DataFrame, members: DataFrame) -> DataFrame:
+    """Scores ranked over all names of a date, then only those of its eligible members (as_of, ticker)."""
+    return scores.join(members.select("as_of", "ticker").distinct(), ["as_of", "ticker"], "left_semi")
+
+
 def stability(now: DataFrame, then: DataFrame) -> DataFrame:
     """Rank correlation, drift and confidence of a composite (as_of, ticker, score) against an earlier one."""
     j = now.join(then.select("as_of", "ticker", F.col("score").alias("old")), ["as_of", "ticker"])
@@ -101,10 +113,16 @@ def prior_table(spark) -> DataFrame:
     return spark.createDataFrame([(r, s, float(w)) for r, ws in PRIORS.items() for s, w in ws.items()], "regime string, style string, prior double")
 
 
-def style_weights(regimes: DataFrame, priors: DataFrame, best: DataFrame, tilts: dict[str, float] | None = None, share: float = 0.35) -> DataFrame:
-    """The regime's prior blended with the best template's weights, tilted and normalised. regimes: as_of,
-    regime; best: style, w (of the template with the highest Sharpe ratio)."""
-    df = regimes.join(F.broadcast(priors), "regime").join(F.broadcast(best), "style", "left")  # 36 and 6 rows
-    tilt = F.create_map(*[F.lit(x) for kv in (tilts or {"value": 1.0}).items() for x in kv])
-    raw = ((1 - share) * F.col("prior") + share * F.coalesce("w", F.lit(0.0))) * F.coalesce(tilt[F.col("style")], F.lit(1.0))
-    return df.withColumn("__w", raw).select("as_of", "regime", "style", normalised(F.col("__w"), "as_of").alias("weight"))
+def style_weights(regimes: DataFrame, priors: DataFrame, best: DataFrame | None = None, tilts: DataFrame | None = None, share: float = 0.35) -> DataFrame:
+    """The regime's prior blended with the best template's weights (style, w), tilted (client_id, style, tilt;
+    else 1) and normalised over the styles of the panel. regimes: as_of, regime."""
+    df = regimes.join(priors.where(F.col("style").isin(*STYLES)), "regime")
+    raw = F.col("prior")
+    if best is not None:
+        df = df.join(best.select("style", "w"), "style", "left")
+        raw = (1 - share) * raw + share * F.coalesce("w", F.lit(0.0))
+    keys = ["as_of"] if tilts is None else ["client_id", "as_of"]
+    if tilts is not None:
+        df = df.join(tilts, "style")
+        raw = raw * F.col("tilt")
+    return df.withColumn("__w", raw).select(*keys, "regime", "style", normalised(F.col("__w"), *keys).alias("weight"))

@@ -6,19 +6,36 @@ import math
 
 import numpy as np
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corvane.functions.perf import correlation
 from corvane.functions.xs import pct_rank
 
-# fixed values: feature, family, expected sign
-FEATURES = [("value", "value", 1), ("quality", "quality", 1), ("growth", "growth", 1), ("garp", "growth", 1), ("discipline", "quality", 1), ("momentum", "momentum", 1), ("low_vol", "risk", 1), ("size", "size", 1), ("factor", "momentum", 1), ("macro_tilt", "macro", 1)]
+# fixed values: feature, family, expected sign of the composites, then fields of the raw ranks and their families
+FEATURES = [("value", "value", 1), ("quality", "quality", 1), ("growth", "growth", 1), ("garp", "growth", 1), ("discipline", "discipline", 1), ("momentum", "momentum", 1), ("low_vol", "risk", 1), ("size", "risk", 1), ("factor", "momentum", 0), ("macro_tilt", "macro", 0), ("macro_fit", "macro", 0), ("analyst", "analyst_proxy", 0)]
+RAW = [("pe", "value"), ("pb", "value"), ("ev_ebit", "value"), ("fcf_yield", "value"), ("roe", "quality"), ("roic", "quality"), ("gross_margin", "quality"), ("earnings_vol", "risk"), ("debt_equity", "risk"), ("interest_coverage", "risk"), ("revenue_growth", "growth"), ("eps_growth", "growth"), ("growth_stability", "growth"), ("accruals", "discipline"), ("net_issuance", "issuance"), ("asset_growth", "discipline")]
+BASE = [f for f, _, _ in FEATURES]
+EXTENDED = BASE + [f"f_{c}" for c, _ in RAW]
 
 
 def registry(spark) -> DataFrame:
-    """M5 in part: the 10 features built here, by family and expected sign."""
-    return spark.createDataFrame(FEATURES, "feature string, family string, sign int")
+    """M5: every feature with family, expected sign (0: none), source, age its input may have, history it needs, and
+    whether it stands in for data that aren't there."""
+    rows = [(f, fam, s, "derived", 45 if fam in ("value", "quality", "growth", "discipline") else 0, 252 if fam in ("momentum", "risk") else 0, fam == "analyst_proxy") for f, fam, s in FEATURES]
+    rows += [(f"f_{c}", fam, 1, "sec", 45, 365, False) for c, fam in RAW]
+    return spark.createDataFrame(rows, "feature string, family string, sign int, source string, lag_days int, min_history_days int, is_proxy boolean")
+
+
+def feature_frame(facts: DataFrame, fundamental: DataFrame, quant: DataFrame, macro: DataFrame, analyst: DataFrame, extended: bool = False) -> DataFrame:
+    """M1: the 12 composites of each (as_of, ticker) of facts; extended: the ranks of 16 raw fields as well."""
+    keys = ["as_of", "ticker"]
+    raw = facts.select(*keys, *[pct_rank(F.col(c), "as_of").alias(f"f_{c}") for c, _ in RAW]) if extended else facts.select(*keys)
+    df = raw.join(fundamental.select(*keys, "value", "quality", "growth", "garp", "discipline"), keys, "left")
+    df = df.join(quant.select(*keys, "momentum", "low_vol", "size", "factor", "macro_tilt"), keys, "left")
+    df = df.join(macro.select(*keys, "macro_fit"), keys, "left").join(analyst.select(*keys, "analyst"), keys, "left")
+    return df.select(*keys, *(EXTENDED if extended else BASE))
 
 
 def labels(prices: DataFrame, horizon: int = 126) -> DataFrame:
@@ -29,7 +46,8 @@ def labels(prices: DataFrame, horizon: int = 126) -> DataFrame:
 
 
 def training_panel(features: DataFrame, fwd: DataFrame, names: list[str], least: int = 5) -> DataFrame:
-    """M1 in part (the features given), M3; callers restrict to eligible members (M4), which no query does: features with neutral 50 for missing ones, joined to labels; dates of fewer than `least` names go."""
+    """M3, M4: features with neutral 50 for missing ones, joined to labels; dates of fewer than `least` names go. For a
+    point-in-time panel the features come from eligible members alone, see panel.eligible."""
     x = Window.partitionBy("as_of")
     df = features.join(fwd, ["as_of", "ticker"]).withColumn("__n", F.count("*").over(x)).where(F.col("__n") >= least).drop("__n")
     df = df.fillna(50.0, subset=names)
@@ -42,7 +60,7 @@ def holdout_split(panel: DataFrame, share: float = 0.15) -> DataFrame:
     k = F.row_number().over(Window.orderBy(F.desc("as_of")))
     n = dates.count()
     dates = dates.withColumn("part", F.when(k <= max(1, round(n * share)), "holdout").otherwise("research"))
-    return panel.join(F.broadcast(dates), "as_of")  # one row a date
+    return panel.join(dates, "as_of")
 
 
 def gram(panel: DataFrame, names: list[str], target: str) -> DataFrame:
@@ -66,7 +84,7 @@ def _ridge(s: np.ndarray, k: int, alpha: float):
     return w, y / n, mean, sd
 
 
-def walk_forward(panel: DataFrame, names: list[str], target: str = "fwd_excess", alpha: float = 10.0, min_train: int = 12, blocks: int = 4, purge: int = 1) -> DataFrame:
+def walk_forward(panel: DataFrame, names: list[str], target: str = "fwd_excess", alpha: float = 10.0, min_train: int = 12, blocks: int = 5, purge: int = 1) -> DataFrame:
     """Coefficients of every fold: fold, first, last (its test dates), coef, mean, sd, intercept, n_train.
 
     Dates after the first min_train are tested in `blocks` runs; a fold trains on the dates before the purged gap. One
@@ -77,9 +95,9 @@ def walk_forward(panel: DataFrame, names: list[str], target: str = "fwd_excess",
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("as_of").reset_index(drop=True)
         total, n = np.cumsum(np.stack(pdf["sums"].to_list()), axis=0), len(pdf)
-        size = max(1, (n - min_train) // blocks)
+        size = max(1, math.ceil((n - min_train) / blocks))
         rows = []
-        for f, b in enumerate(range(min_train, n, size)):
+        for f, b in enumerate(range(min_train, n, size) if n > min_train + 1 else ()):
             cut = b - purge - 1
             if cut < 0 or total[cut][0] < 30:
                 continue
@@ -91,7 +109,7 @@ def walk_forward(panel: DataFrame, names: list[str], target: str = "fwd_excess",
 
 
 def final_fit(panel: DataFrame, names: list[str], target: str = "fwd_excess", alpha: float = 10.0) -> DataFrame:
-    """One row of a feature for the model of all dates."""
+    """One row of a feature for the model of all dates."""
     k = len(names)
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -104,7 +122,7 @@ def final_fit(panel: DataFrame, names: list[str], target: str = "fwd_excess", al
 def predict_folds(panel: DataFrame, folds: DataFrame, names: list[str]) -> DataFrame:
     """Out-of-sample predictions."""
     x = F.array(*names)
-    j = panel.join(F.broadcast(folds), F.col("as_of").between(F.col("first"), F.col("last")))  # a few folds
+    j = panel.join(F.broadcast(folds), F.col("as_of").between(F.col("first"), F.col("last")))  # as many rows as blocks
     z = F.zip_with(F.zip_with(x, "mean", lambda a, m: a - m), "sd", lambda a, s: a / s)
     dot = F.aggregate(F.zip_with(z, "coef", lambda a, c: a * c), F.lit(0.0), lambda a, v: a + v)
     return j.withColumn("pred", F.col("intercept") + dot).select("fold", "as_of", "ticker", "fwd_return", "fwd_excess", "outperform", "pred")
@@ -113,7 +131,7 @@ def predict_folds(panel: DataFrame, folds: DataFrame, names: list[str]) -> DataF
 def predict(features: DataFrame, model: DataFrame, names: list[str], logistic: bool = False) -> DataFrame:
     """Raw score and its rank, from the model's feature rows."""
     long = features.fillna(50.0, subset=names).unpivot(["as_of", "ticker"], names, "feature", "x")
-    j = long.join(F.broadcast(model), "feature")  # one row a feature
+    j = long.join(model, "feature")
     raw = j.groupBy("as_of", "ticker").agg((F.sum((F.col("x") - F.col("mean")) / F.col("sd") * F.col("coef")) + F.first("intercept")).alias("raw"))
     raw = raw.withColumn("raw", 1 / (1 + F.exp(-F.greatest(F.lit(-35.0), F.least(F.lit(35.0), F.col("raw")))))) if logistic else raw
     return raw.withColumn("ml_alpha", pct_rank(F.col("raw"), "as_of"))
@@ -153,7 +171,7 @@ def ic_summary(ics: DataFrame, keys: list[str] = (), lags: int = 0) -> DataFrame
     for k in range(1, lags + 1):
         lrv = lrv + 2 * (1 - k / (lags + 1)) * F.coalesce(F.sum(f"__d{k}"), F.lit(0.0)) / n
     mean, sd = F.avg("ic"), F.stddev_samp("ic")
-    return x.groupBy(*keys).agg(mean.alias("mean_ic"), sd.alias("std_ic"), F.try_divide(mean, sd).alias("ir"), (F.try_divide(mean, sd) * F.sqrt(n)).alias("t"), F.avg((F.col("ic") > 0).cast("double")).alias("hit_rate"), n.alias("n_dates"), F.when(lrv > 0, F.try_divide(mean, F.sqrt(F.greatest(lrv, F.lit(0.0)) / n))).alias("t_nw"), (n / (lags + 1)).alias("n_effective"))
+    return x.groupBy(*keys).agg(mean.alias("mean_ic"), sd.alias("std_ic"), F.try_divide(mean, sd).alias("ir"), (F.try_divide(mean, sd) * F.sqrt(n)).alias("t"), F.avg((F.round("ic", 10) > 0).cast("double")).alias("hit_rate"), n.alias("n_dates"), F.when(lrv > 0, F.try_divide(mean, F.sqrt(F.greatest(lrv, F.lit(0.0)) / n))).alias("t_nw"), (n / (lags + 1)).alias("n_effective"))
 
 
 def sidak(summary: DataFrame, trials: int, t: str = "t_nw") -> DataFrame:
@@ -177,22 +195,23 @@ def sidak(summary: DataFrame, trials: int, t: str = "t_nw") -> DataFrame:
     return summary.withColumn("__a", adjust(F.col(t))).select("*", "__a.p_adj", "__a.t_adj").drop("__a")
 
 
-def evidence_gate(scores: DataFrame, t_adj: float | None, mean_ic: float | None) -> DataFrame:
-    """M17."""
-    c = 0.0 if t_adj is None or mean_ic is None or mean_ic <= 0 else min(1.0, max(0.0, (t_adj - 1) / 2))
-    return scores.withColumn("confidence", F.lit(c)).withColumn("gated", 50 + c * (F.col("ml_alpha") - 50))
+def evidence_gate(scores: DataFrame, summary: DataFrame) -> DataFrame:
+    """Scores drawn to 50 as far as the one row of summary (t_adj, mean_ic), see sidak, doesn't support them."""
+    sure = F.when(F.coalesce(F.col("mean_ic") > 0, F.lit(False)), F.greatest(F.lit(0.0), F.least(F.lit(1.0), (F.col("t_adj") - 1) / 2))).otherwise(0.0)
+    row = summary.agg(F.coalesce(F.max(sure), F.lit(0.0)).alias("confidence"))
+    return scores.crossJoin(F.broadcast(row)).withColumn("gated", 50 + F.col("confidence") * (F.col("ml_alpha") - 50))  # an aggregate: one row
 
 
 def fit_quality(oos: DataFrame) -> DataFrame:
     """M14."""
-    m = oos.crossJoin(F.broadcast(oos.agg(F.avg("fwd_excess").alias("__m"))))  # one row
+    m = oos.crossJoin(F.broadcast(oos.agg(F.avg("fwd_excess").alias("__m"))))  # an aggregate: one row
     return m.agg((1 - F.sum((F.col("fwd_excess") - F.col("pred")) ** 2) / F.sum((F.col("fwd_excess") - F.col("__m")) ** 2)).alias("r2"), F.avg(((F.col("pred") > 0).cast("int") == F.col("outperform")).cast("double")).alias("accuracy"), F.count("*").alias("n"))
 
 
 def contributions(features: DataFrame, model: DataFrame, reg: DataFrame, names: list[str]) -> DataFrame:
     """Coef * z of each feature; names with a null feature are left out."""
     long = features.dropna(subset=names).unpivot(["as_of", "ticker"], names, "feature", "raw_value")
-    j = long.join(F.broadcast(model), "feature").join(F.broadcast(reg), "feature")  # one row a feature
+    j = long.join(model, "feature").join(reg.select("feature", "family"), "feature")
     j = j.withColumn("z_value", (F.col("raw_value") - F.col("mean")) / F.col("sd")).withColumn("contribution", F.col("z_value") * F.col("coef"))
     total = j.groupBy("as_of", "ticker").agg((F.sum("contribution") + F.first("intercept")).alias("total"))
     total = total.withColumn("rank_in_universe", F.rank().over(Window.partitionBy("as_of").orderBy(F.desc(F.round("total", 10)))))
@@ -214,7 +233,7 @@ def top_contributors(local: DataFrame, n: int = 3, positive: bool | None = None)
 def coefficient_stability(folds: DataFrame, model: DataFrame, names: list[str]) -> DataFrame:
     """M24."""
     each = folds.select("fold", F.posexplode("coef").alias("i", "c")).withColumn("feature", F.element_at(F.array(*map(F.lit, names)), F.col("i") + 1))
-    j = each.join(F.broadcast(model.select("feature", "coef")), "feature")  # one row a feature
+    j = each.join(model.select("feature", "coef"), "feature")
     return j.groupBy("feature").agg(F.avg("c").alias("mean_coef"), F.stddev_pop("c").alias("std_coef"), F.avg((F.signum("c") == F.signum("coef")).cast("double")).alias("sign_share"), F.first("coef").alias("coef"))
 
 
@@ -222,7 +241,7 @@ def permutation_importance(panel: DataFrame, folds: DataFrame, names: list[str],
     """Mean fall of the information coefficient when a group's features are exchanged within each date; the order
     comes from a hash of (seed, repeat, group, ticker). Predictions are sums, so a group's part of them is what changes
     hands: one pass over groups and repeats."""
-    j = panel.join(F.broadcast(folds), F.col("as_of").between(F.col("first"), F.col("last")))  # a few folds
+    j = panel.join(F.broadcast(folds), F.col("as_of").between(F.col("first"), F.col("last")))  # as many rows as blocks
     term = {c: (F.col(c) - F.col("mean")[i]) / F.col("sd")[i] * F.col("coef")[i] for i, c in enumerate(names)}
     parts = F.array(*[F.struct(F.lit(g).alias("feature_group"), sum((term[c] for c in own), F.lit(0.0)).alias("part")) for g, own in groups.items()])
     rows = j.select("as_of", "ticker", "fwd_excess", sum(term.values(), F.col("intercept")).alias("pred"), F.explode(parts).alias("g")).select("as_of", "ticker", "fwd_excess", "pred", "g.*")
@@ -241,7 +260,59 @@ def single_feature_ic(panel: DataFrame, reg: DataFrame, names: list[str], lags:
     """One pass over all features."""
     long = panel.unpivot(["as_of", "ticker", "fwd_return"], names, "feature", "x")
     s = ic_summary(ic_by_date(long, "x", keys=["feature"]), ["feature"], lags)
-    return s.join(F.broadcast(reg), "feature").withColumn("as_expected", F.signum("mean_ic") == F.col("sign"))
+    return s.join(reg.select("feature", "family", "sign"), "feature").withColumn("as_expected", (F.col("sign") == 0) | (F.signum("mean_ic") == F.col("sign")))
+
+
+def ic_breakdown(oos: DataFrame, part: str, lags: int = 0) -> DataFrame:
+    """The summary of each part's information coefficients, dates apart. oos needs the column `part`, such as a
+    year, a sector or a regime's label; rows without one are left out."""
+    own = oos.where(F.col(part).isNotNull())
+    return ic_summary(ic_by_date(own, "pred", keys=[part]), [part], lags)
+
+
+def global_explain(panel: DataFrame, names: list[str], regimes: DataFrame | None = None, lags: int = 0) -> dict[str, DataFrame]:
+    """The tables of coefficient stability, importance by family, single features' coefficients and the breakdowns
+    by year and, with regimes (as_of, regime), by regime."""
+    spark = panel.sparkSession
+    reg = registry(spark)
+    folds, model = walk_forward(panel, names), final_fit(panel, names)
+    families: dict[str, list[str]] = {}
+    for f, fam, _ in FEATURES + [(f"f_{c}", fam, 1) for c, fam in RAW]:
+        if f in names:
+            families.setdefault(fam, []).append(f)
+    oos = predict_folds(panel, folds, names)
+    out = {"coefficient_stability": coefficient_stability(folds, model, names), "importance_by_family": permutation_importance(panel, folds, names, families), "single_feature_ic": single_feature_ic(panel, reg, names, lags), "ic_by_year": ic_breakdown(oos.withColumn("year", F.year("as_of")), "year")}
+    if regimes is not None:
+        out["ic_by_regime"] = ic_breakdown(oos.join(regimes.select("as_of", "regime"), "as_of", "left"), "regime")
+    return out
+
+
+def holdout_check(panel: DataFrame, names: list[str], spec_json: str, log: str, share: float = 0.15, lags: int = 0, force: bool = False) -> DataFrame:
+    """Fits on the research dates and scores the holdout once for a specification: spec_id, mean_ic, t_nw, n_dates,
+    already_checked. The result is appended to the table `log`; a later call for the same specification returns what is
+    written there, unless forced, which is written as well."""
+    spark = panel.sparkSession
+    key = spark.range(1).select(spec_hash(F.lit(spec_json)).alias("k")).first().k
+    kept = "spec_id string, mean_ic double, t_nw double, n_dates long, forced boolean, at timestamp"
+    done = spark.createDataFrame([], kept)
+    try:
+        done = spark.read.schema(kept).parquet(log).where(F.col("spec_id") == key)
+        seen = not done.isEmpty()
+    except AnalysisException:  # the first check of all: no table yet
+        seen = False
+    if seen and not force:
+        return done.orderBy(F.desc("at")).limit(1).select("spec_id", "mean_ic", "t_nw", "n_dates", F.lit(True).alias("already_checked"))
+    parts = holdout_split(panel, share)
+    model = final_fit(parts.where("part = 'research'"), names)
+    scored = predict(parts.where("part = 'holdout'").select("as_of", "ticker", *names), model, names).join(panel.select("as_of", "ticker", "fwd_return"), ["as_of", "ticker"])
+    found = ic_summary(ic_by_date(scored, "raw"), lags=lags).select(F.lit(key).alias("spec_id"), "mean_ic", "t_nw", "n_dates", F.lit(bool(seen)).alias("forced"), F.current_timestamp().alias("at"))
+    found.write.mode("append").parquet(log)
+    return spark.read.schema(kept).parquet(log).where(F.col("spec_id") == key).orderBy(F.desc("at")).limit(1).select("spec_id", "mean_ic", "t_nw", "n_dates", F.lit(False).alias("already_checked"))
+
+
+def write_model(model: DataFrame, metadata: dict[str, str], path: str) -> None:
+    """A model's rows with its metadata beside each, as one table that final_fit's readers take."""
+    model.withColumns({k: F.lit(v) for k, v in metadata.items()}).write.mode("overwrite").parquet(path)
 
 
 def reasons(local: DataFrame) -> DataFrame:

@@ -18,14 +18,22 @@ def robust_weights(weights: DataFrame, robust: DataFrame) -> DataFrame:
     return w.select("as_of", "style", (F.col("__w") / F.sum("__w").over(Window.partitionBy("as_of"))).alias("weight"))
 
 
-def integrate(df: DataFrame, aversion: float = 0.3, ml: bool = False) -> DataFrame:
-    """E2 on style_score, hybrid_alpha, theme_fit, [ml_alpha], client_fit, risk_score, liquidity_score, tail, eligible."""
+# fixed values: aversion to risk by the client's band
+AVERSION = {1: 0.35, 2: 0.28, 3: 0.20, 4: 0.12, 5: 0.06}
+
+
+def integrate(df: DataFrame, ml: bool = False) -> DataFrame:
+    """E2 on style_score, hybrid_alpha, theme_fit, [ml_alpha], client_fit, risk_score, liquidity_score, tail, illiquid,
+    hard_excluded, excluded_reason and the client's risk_band."""
     parts = {"style_score": 0.52, "ml_alpha": 0.22, "hybrid_alpha": 0.18, "theme_fit": 0.08} if ml else {"style_score": 0.68, "hybrid_alpha": 0.24, "theme_fit": 0.08}
+    aversion = F.coalesce(*[F.when(F.col("risk_band") == b, a) for b, a in AVERSION.items()])
     core = blend(parts) * (0.5 + 0.5 * F.coalesce("client_fit", F.lit(50.0)) / 100)
     risk = clipped(aversion * (50 - F.coalesce("risk_score", F.lit(50.0))) / 50 * 100, -15.0, 40.0)
-    thin = F.greatest(F.lit(0.0), 20 - F.coalesce("liquidity_score", F.lit(50.0))) * 0.5
+    thin = 0.10 * F.greatest(F.lit(0.0), 50 - F.coalesce("liquidity_score", F.lit(50.0))) / 50 * 100
     score = clipped(core - risk - thin - F.when(F.col("tail"), 6.0).otherwise(0.0))
-    return df.withColumn("integrated_score", F.when(F.col("eligible"), score)).withColumn("ineligible_reason", F.when(~F.col("eligible"), F.coalesce("excluded_reason", F.lit("not in universe"))))
+    out, dry = F.coalesce("hard_excluded", F.lit(False)), F.coalesce("illiquid", F.lit(False))
+    df = df.withColumn("eligible", ~out & ~dry).withColumn("ineligible_reason", F.when(out, F.coalesce("excluded_reason", F.lit(""))).when(dry, "insufficient liquidity").otherwise(""))
+    return df.withColumn("integrated_score", F.when(F.col("eligible"), score))
 
 
 def tilted(df: DataFrame, tilt: float = 0.0) -> DataFrame:
@@ -119,7 +127,7 @@ def trades(target: DataFrame, current: DataFrame) -> DataFrame:
 def book_score(weights: DataFrame, scores: DataFrame) -> DataFrame:
     """Missing scores count as the date's median."""
     mid = scores.groupBy("as_of").agg(F.percentile("score", F.lit(0.5)).alias("__mid"))
-    df = weights.select(*BOOK, "ticker", "weight").join(scores.select("as_of", "ticker", F.col("score").alias("__s")), ["as_of", "ticker"], "left").join(F.broadcast(mid), "as_of", "left")  # one row a date
+    df = weights.select(*BOOK, "ticker", "weight").join(scores.select("as_of", "ticker", F.col("score").alias("__s")), ["as_of", "ticker"], "left").join(mid, "as_of", "left")
     return df.groupBy(*BOOK).agg(F.sum(F.col("weight") * F.coalesce("__s", "__mid")).alias("book_score"))
 
 
@@ -135,10 +143,13 @@ def decision(books: DataFrame, turnover_cap: float = 0.30) -> DataFrame:
 
 
 def holding_classes(df: DataFrame) -> DataFrame:
-    """E14 on value, quality, momentum and the earlier composite `old`."""
-    weak = F.least("value", "quality", "momentum")
-    now = blend({"value": 1.0, "quality": 1.0, "momentum": 1.0})
-    return df.withColumn("composite", now).withColumn("weakest", weak).withColumn("class", F.when(weak < 25, "thesis_broken").when(F.col("old") - now >= 5, "out_of_favor").otherwise("healthy"))
+    """E14 on value, quality, momentum, integrated_score and the earlier one, `old`: a weak part breaks the thesis; where
+    all parts hold, a fallen score is out of favor. Parts that are missing don't count; without any a name is healthy."""
+    names = ("value", "quality", "momentum")
+    weak = F.least(*names)
+    which = F.coalesce(*[F.when(F.col(c) == weak, c) for c in names])
+    fell = F.coalesce(F.col("old") - F.col("integrated_score") >= 5, F.lit(False))
+    return df.withColumn("weakest", which).withColumn("weakest_score", weak).withColumn("class", F.when(weak < 25, "thesis_broken").when(weak.isNotNull() & fell, "out_of_favor").otherwise("healthy"))
 
 
 def verdict(summary: DataFrame) -> DataFrame:

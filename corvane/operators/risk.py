@@ -2,37 +2,52 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corvane.functions.perf import correlation
 from corvane.functions.xs import blend, clipped, pct_rank
 
+STYLES = ("value", "quality", "growth", "garp", "momentum", "low_vol")
+# fixed values: the house's caps, turnover by tolerance, and style multipliers by objective
+HOUSE = {"position": 0.08, "target": 0.05, "sector": 0.25, "turnover": 0.35}
+TURNOVER = {"low": 0.15, "medium": 0.30, "high": 0.50}
+OBJECTIVE_TILTS = {
+    "growth": {"growth": 1.3, "garp": 1.15, "momentum": 1.1, "income": 0.7},
+    "income": {"income": 1.4, "quality": 1.15, "low_vol": 1.1, "growth": 0.7},
+    "capital_preservation": {"low_vol": 1.4, "quality": 1.25, "value": 1.1, "momentum": 0.7, "growth": 0.75},
+}
 ON = "as_of"
 BOOK = ["portfolio_id", "as_of"]
 
 
 def windowed(returns: DataFrame, dates: DataFrame, window: int = 252) -> DataFrame:
-    """returns (date, ticker, close, ret, m) of the last `window` rows before each as_of."""
+    """returns (date, ticker, close, ret, m) of the last `window` rows before each as_of. Rows are numbered and meet the
+    dates of their own and the next stretch of `window` numbers, so pairs grow with the rows, not with rows by dates."""
     w = Window.partitionBy("ticker").orderBy("date")
-    rows = returns.withColumn("i", F.row_number().over(w))
-    at = rows.join(F.broadcast(dates.select("as_of")), F.col("date") == F.col("as_of")).select("as_of", "ticker", F.col("i").alias("now"))  # one date a month at most
-    return rows.join(at, "ticker").where((F.col("i") <= F.col("now")) & (F.col("i") > F.col("now") - window))
+    rows = returns.withColumn("i", F.row_number().over(w)).withColumn("__k", F.floor(F.col("i") / window))
+    at = rows.join(dates.select("as_of"), F.col("date") == F.col("as_of")).select("as_of", "ticker", F.col("i").alias("now"), F.explode(F.array(F.col("__k"), F.col("__k") - 1)).alias("__k"))
+    return rows.join(at, ["ticker", "__k"]).where((F.col("i") <= F.col("now")) & (F.col("i") > F.col("now") - window)).drop("__k")
 
 
 def stock_risk(returns: DataFrame, dates: DataFrame, window: int = 252) -> DataFrame:
-    """Volatility, beta, drawdown and how often it is deep; score, band of five and tail flag."""
-    rows = windowed(returns, dates, window)
+    """Volatility, beta, drawdown of the compounded returns and how often it is deep, over the last `window` returns;
+    safety score, band of five by volatility and tail flag."""
+    first = F.row_number().over(Window.partitionBy(ON, "ticker").orderBy("date")) == 1
+    rows = windowed(returns, dates, window + 1)  # window + 1 prices give window returns
+    rows = rows.withColumn("ret", F.when(~first, F.col("ret"))).withColumn("m", F.when(~first, F.col("m")))
     w = Window.partitionBy(ON, "ticker").orderBy("date").rowsBetween(Window.unboundedPreceding, 0)
-    rows = rows.withColumn("dd", F.col("close") / F.max("close").over(w) - 1)
+    rows = rows.withColumn("curve", F.when(F.col("ret").isNotNull(), F.product(1 + F.coalesce("ret", F.lit(0.0))).over(w))).withColumn("dd", F.col("curve") / F.max("curve").over(w) - 1)
     pair = F.when(F.col("m").isNotNull(), F.col("ret"))
     df = rows.groupBy(ON, "ticker").agg((F.stddev_pop("ret") * 252**0.5).alias("vol"), F.try_divide(F.covar_samp(pair, "m"), F.var_pop("m")).alias("beta"), F.min("dd").alias("mdd"), F.avg((F.col("dd") < -0.10).cast("double")).alias("dd_freq"), F.count("ret").alias("n"))
     df = df.withColumn("beta", F.when(F.col("beta").isNull() | F.isnan("beta") | (F.col("n") < 30), 1.0).otherwise(F.col("beta")))
     df = df.withColumns({"r_vol": pct_rank(F.col("vol"), ON, ascending=False), "r_mdd": pct_rank(F.col("mdd"), ON), "r_freq": pct_rank(F.col("dd_freq"), ON, ascending=False)})
     df = df.withColumn("risk_score", blend({"r_vol": 0.5, "r_mdd": 0.3, "r_freq": 0.2}))
-    place = F.row_number().over(Window.partitionBy(ON).orderBy("risk_score", "ticker"))
-    n = F.count("*").over(Window.partitionBy(ON))
-    df = df.withColumn("risk_band", F.when(n > 1, F.greatest(F.lit(1), F.ceil(5 * (place - 1) / (n - 1)))).otherwise(1).cast("int"))
+    place = F.row_number().over(Window.partitionBy(ON).orderBy(F.col("vol").asc_nulls_last(), "ticker"))  # the band's edges are quintiles of the places
+    n = F.count("vol").over(Window.partitionBy(ON))
+    whole = n == F.count("*").over(Window.partitionBy(ON))  # with a name of unknown volatility all are in the middle
+    band = F.when(whole & (n > 1), F.greatest(F.lit(1), F.ceil(5 * (place - 1) / (n - 1)))).otherwise(3)
+    df = df.withColumn("risk_band", band.cast("int"))
     return df.withColumn("tail", (F.col("vol") > F.percentile("vol", F.lit(0.85)).over(Window.partitionBy(ON))) | (F.col("mdd") < -0.40)).select(ON, "ticker", "vol", "beta", "mdd", "dd_freq", "risk_score", "risk_band", "tail")
 
 
@@ -125,7 +140,7 @@ def historical_stress(weights: DataFrame, returns: DataFrame, windows: DataFrame
     """Fixed-weight books through named windows (scenario, start, end); weights of names with data are rescaled."""
     from corvane.functions.perf import metrics
 
-    r = returns.join(F.broadcast(windows), F.col("date").between(F.col("start"), F.col("end")))  # a short list of scenarios
+    r = returns.join(windows, F.col("date").between(F.col("start"), F.col("end")))
     j = weights.join(r.select("scenario", "date", "ticker", "ret", "m"), "ticker").where(F.col("ret").isNotNull())
     daily = j.groupBy(*BOOK, "scenario", "date").agg((F.sum(F.col("weight") * F.col("ret")) / F.sum("weight")).alias("ret"), F.max("m").alias("m"), F.sum("weight").alias("covered"))
     keys = [*BOOK, "scenario"]
@@ -183,8 +198,8 @@ def exclusions(securities: DataFrame, avoid_sectors: list[str], avoid_themes: li
 
 
 def client_fit(df: DataFrame, preferred: list[str], risk_band: int, income_emphasis: float = 0.2, esg_heavy: list[str] | None = None) -> DataFrame:
-    """C2 on (as_of, ticker, sector, hard_excluded, dividend_yield, vol, beta, growth)."""
-    ranks = {"__yield": pct_rank(F.col("dividend_yield"), ON), "__safe": pct_rank(F.col("vol"), ON, ascending=False), "__low": pct_rank(F.col("beta"), ON, ascending=False), "__grow": pct_rank(F.col("growth"), ON)}
+    """C2 on (as_of, ticker, sector, hard_excluded, dividend_yield, earnings_vol, beta, revenue_growth)."""
+    ranks = {"__yield": pct_rank(F.col("dividend_yield"), ON), "__safe": pct_rank(F.col("earnings_vol"), ON, ascending=False), "__low": pct_rank(F.col("beta"), ON, ascending=False), "__grow": pct_rank(F.col("revenue_growth"), ON)}
     df = df.withColumns(ranks)
     gain = lambda c, k: F.coalesce(k * (F.col(c) - 50), F.lit(0.0))
     fit = 50 + (F.when(F.col("sector").isin(*preferred), 12.0).otherwise(0.0) if preferred else F.lit(0.0)) + gain("__yield", income_emphasis * 0.20)
@@ -198,9 +213,24 @@ def client_fit(df: DataFrame, preferred: list[str], risk_band: int, income_empha
 
 
 def mandate_terms(clients: DataFrame) -> DataFrame:
-    """C4: caps of each client (client_id, risk_band, turnover_tolerance) by risk and tolerance."""
-    return clients.withColumn("position_cap", F.when(F.col("risk_band") <= 2, 0.05).when(F.col("risk_band") >= 4, 0.10).otherwise(0.08)).withColumn("sector_cap", F.when(F.col("risk_band") <= 2, 0.25).otherwise(0.30)).withColumn("turnover_cap", F.when(F.col("turnover_tolerance") == "low", 0.15).when(F.col("turnover_tolerance") == "high", 0.50).otherwise(0.30))
-
-
-def short(column: str) -> Column:
-    return F.round(F.col(column), 6)
+    """C4: the caps of each client (client_id, objective, risk_band, turnover_tolerance), the tighter of the house's and
+    those of its risk, objective and tolerance."""
+    careful, keep = F.col("risk_band") <= 2, F.col("objective") == "capital_preservation"
+    position = F.least(F.lit(HOUSE["position"]), F.when(careful, 0.06), F.when(keep, 0.05))
+    return clients.withColumns({
+        "position_cap": position,
+        "target_cap": F.least(F.lit(HOUSE["target"]), F.when(careful, 0.04)),
+        "sector_cap": F.least(F.lit(HOUSE["sector"]), F.when(careful, 0.20)),
+        "turnover_cap": F.least(F.lit(HOUSE["turnover"]), *[F.when(F.col("turnover_tolerance") == t, x) for t, x in TURNOVER.items()]),
+    })
+
+
+def style_tilts(clients: DataFrame, preferences: DataFrame | None = None) -> DataFrame:
+    """C4: client_id, style, tilt: what the objective multiplies a style's weight by, times 0.6 + 0.8 * preference
+    (0.5 where none of preferences (client_id, style, preference) is given)."""
+    rows = clients.sparkSession.createDataFrame([(o, s, x) for o, own in OBJECTIVE_TILTS.items() for s, x in own.items()], "objective string, style string, __o double")
+    every = clients.select("client_id", "objective", F.explode(F.array(*map(F.lit, STYLES))).alias("style")).join(rows, ["objective", "style"], "left")
+    if preferences is not None:
+        every = every.join(preferences.select("client_id", "style", "preference"), ["client_id", "style"], "left")
+    liking = F.coalesce("preference", F.lit(0.5)) if preferences is not None else F.lit(0.5)
+    return every.select("client_id", "style", (F.coalesce("__o", F.lit(1.0)) * (0.6 + 0.8 * liking)).alias("tilt"))

@@ -72,34 +72,37 @@ def fundamental_scores(df: DataFrame) -> DataFrame:
 
 
 def piotroski(now: DataFrame, prior: DataFrame) -> DataFrame:
-    """Nine tests; one with a null input counts as missing, not failed. prior: the same dates' rows a year before."""
-    p = prior.select(ON, "ticker", *[F.col(c).alias(f"p_{c}") for c in ("roa", "debt_equity", "interest_coverage", "gross_margin", "asset_turnover")])
+    """Nine tests; one with a null input counts as missing, not failed. prior: the same dates' rows a year
+    before. The return on assets is roic, or else roe; turnover rises where revenue grows faster than assets."""
+    now, prior = (df.withColumn("roa", F.coalesce("roic", "roe")) for df in (now, prior))
+    p = prior.select(ON, "ticker", *[F.col(c).alias(f"p_{c}") for c in ("roa", "debt_equity", "interest_coverage", "gross_margin")])
     df = now.join(p, [ON, "ticker"], "left")
     c = F.col
-    tests = {"t_roa": c("roa") > 0, "t_cash": c("fcf_yield") > 0, "t_droa": c("roa") > c("p_roa"), "t_accruals": c("accruals") < 0, "t_debt": c("debt_equity") <= c("p_debt_equity"), "t_cover": c("interest_coverage") >= c("p_interest_coverage"), "t_issue": c("net_issuance") <= 0, "t_margin": c("gross_margin") > c("p_gross_margin"), "t_turnover": c("asset_turnover") > c("p_asset_turnover")}
+    tests = {"t_roa": c("roa") > 0, "t_cash": c("fcf_yield") > 0, "t_droa": c("roa") > c("p_roa"), "t_accruals": c("accruals") < 0, "t_debt": c("debt_equity") < c("p_debt_equity"), "t_cover": c("interest_coverage") > c("p_interest_coverage"), "t_issue": c("net_issuance") <= 0, "t_margin": c("gross_margin") > c("p_gross_margin"), "t_turnover": c("revenue_growth") > c("asset_growth")}
     score = sum((F.coalesce(t.cast("int"), F.lit(0)) for t in tests.values()), F.lit(0))
     seen = sum((t.isNotNull().cast("int") for t in tests.values()), F.lit(0))
     df = df.withColumn("f_score", score).withColumn("f_evaluated", seen).withColumn("f_missing", 9 - seen).withColumn("f_score_pct", F.when(seen > 0, score / seen)).withColumn("f_score_adj", F.when(seen > 0, score / seen * 9))
-    return df.withColumn("piotroski", _rank("f_score_adj")).withColumn("f_strong", F.coalesce(c("f_score_adj") >= 7, F.lit(False))).withColumn("f_weak", F.coalesce(c("f_score_adj") <= 3, F.lit(False))).select(ON, "ticker", "f_score", "f_evaluated", "f_missing", "f_score_pct", "f_score_adj", "piotroski", "f_strong", "f_weak")
+    return df.withColumn("piotroski", _rank("f_score_pct")).withColumn("f_strong", F.coalesce(c("f_score_adj") >= 7, F.lit(False))).withColumn("f_weak", F.coalesce(c("f_score_adj") <= 3, F.lit(False))).select(ON, "ticker", "f_score", "f_evaluated", "f_missing", "f_score_pct", "f_score_adj", "piotroski", "f_strong", "f_weak")
 
 
 def analyst(df: DataFrame, ratings: DataFrame | None = None) -> DataFrame:
-    """Mean of three axes, rated 1 to 5 by (ticker, axis, rating) or else by proxies from fundamentals."""
-    df = _ranked(df, ("gross_margin", "roic", "roe", "growth_stability", "revenue_growth"))
-    proxy = {"moat": blend({"r_gross_margin": 0.5, "r_roic": 0.5}), "management": blend({"r_roe": 0.5, "r_growth_stability": 0.5}), "industry": F.col("r_revenue_growth")}
+    """Mean of three axes, rated 1 to 5 by (ticker, axis, rating) or else by proxies from fundamentals: roic; steady
+    growth and low accruals; gross margin. An axis of neither counts as 50."""
+    df = df.withColumns({f"a_{c}": _rank(c) for c in ("roic", "growth_stability", "accruals", "gross_margin")}).withColumn("a_cash", 100 - F.col("a_accruals"))
+    proxy = {"moat": F.col("a_roic"), "management": blend({"a_growth_stability": 0.5, "a_cash": 0.5}), "industry_structure": F.col("a_gross_margin")}
     if ratings is not None:
-        df = df.join(ratings.groupBy("ticker").pivot("axis", list(proxy)).agg(F.first((F.col("rating") - 1) / 4 * 100)), "ticker", "left")
+        df = df.join(ratings.groupBy("ticker").pivot("axis", list(proxy)).agg(F.max((F.col("rating") - 1) / 4 * 100)), "ticker", "left")
     axes = [F.coalesce(F.col(a) if ratings is not None else F.lit(None).cast("double"), p, F.lit(50.0)) for a, p in proxy.items()]
-    return df.withColumn("analyst", (axes[0] + axes[1] + axes[2]) / 3)
+    return df.withColumn("analyst", (axes[0] + axes[1] + axes[2]) / 3).drop("a_roic", "a_growth_stability", "a_accruals", "a_gross_margin", "a_cash", *proxy)
 
 
 def hybrid_alpha(df: DataFrame) -> DataFrame:
-    """Fundamental and quantitative composites, with a bonus where they agree."""
-    f, q = blend({"value": 0.34, "quality": 0.4, "growth": 0.26}), blend({"momentum": 0.5, "factor": 0.5})
+    """The fundamental composite and that of factor and analyst, with a bonus where they agree."""
+    f, q = blend({"value": 0.34, "quality": 0.4, "growth": 0.26}), blend({"factor": 0.5, "analyst": 0.5})
     df = df.withColumn("__f", f).withColumn("__q", q)
     base = blend({"__f": 0.6, "__q": 0.4})
-    agree = 100 - F.abs(F.col("__f") - F.col("__q"))
-    bonus = F.coalesce(0.10 * (agree - 50), F.lit(0.0)) + F.when((F.col("__f") > 55) & (F.col("__q") > 55), 4.0).otherwise(0.0)
+    agree = clipped(100 - F.abs(F.col("__f") - F.col("__q")))
+    bonus = 0.10 * (agree - 50) + F.when((F.col("__f") > 55) & (F.col("__q") > 55), 4.0).otherwise(0.0)
     return df.withColumn("hybrid_alpha", clipped(base + bonus)).drop("__f", "__q")
 
 
@@ -123,27 +126,51 @@ def _market(prices: DataFrame, benchmarks: DataFrame, name: str = "SPX") -> Data
     return prices.withColumn("ret", F.col("close") / F.lag("close").over(w) - 1).join(m, "date", "left")
 
 
+def rolling(df: DataFrame, window: int, sums: dict, by: str = "ticker") -> DataFrame:
+    """Sums of columns over the last `window` rows of each name, as differences of running sums: one pass however long
+    the window. sums: name to column; nulls count as 0. Rows need i, their number."""
+    w = Window.partitionBy(by).orderBy("date").rowsBetween(Window.unboundedPreceding, 0)
+    run = df.withColumns({f"__{n}": F.sum(F.coalesce(c, F.lit(0.0))).over(w) for n, c in sums.items()})
+    back = Window.partitionBy(by).orderBy("date")
+    return run.withColumns({n: F.col(f"__{n}") - F.coalesce(F.lag(f"__{n}", window).over(back), F.lit(0.0)) for n in sums}).drop(*[f"__{n}" for n in sums])
+
+
+def betas(df: DataFrame, window: int, market: str, name: str) -> DataFrame:
+    """Adds covar_samp(ret, market) / var_pop(market) over `window` rows; null where the market doesn't vary."""
+    r, m = F.col("ret"), F.col(market)
+    both = r.isNotNull() & m.isNotNull()
+    one = lambda test: F.when(test, 1.0)
+    df = rolling(df, window, {"n_b": one(both), "s_r": F.when(both, r), "s_m": F.when(both, m), "s_rm": F.when(both, r * m), "n_m": one(m.isNotNull()), "a_m": m, "a_mm": m * m})
+    cov = F.when(F.col("n_b") > 1, (F.col("s_rm") - F.col("s_r") * F.col("s_m") / F.col("n_b")) / (F.col("n_b") - 1))
+    var = F.try_divide("a_mm", "n_m") - F.try_divide("a_m", "n_m") ** 2
+    return df.withColumn(name, F.when(var > 1e-15, cov / var)).drop("n_b", "s_r", "s_m", "s_rm", "n_m", "a_m", "a_mm")
+
+
 def price_features(prices: DataFrame, benchmarks: DataFrame, window: int = 252) -> DataFrame:
-    """G20, G21 before ranking, for every day: momentum from lag 251 to lag 20 (clamped to the second row of a short
-    history), reversal over 20 days, volatility of 126 returns and beta = covar_samp / var_pop over `window` days."""
-    df = _market(prices, benchmarks)
+    """G20, G21, G24 before ranking, for every day: momentum from lag 251 to lag 20 (clamped to the second row of a short
+    history), reversal over 20 days, volatility of 126 returns, beta = covar_samp / var_pop over `window` days, and gbeta,
+    the same against the NDX's lead over the SPX."""
+    ndx = benchmarks.where("name = 'NDX'").select("date", (F.col("level") / F.lag("level").over(Window.orderBy("date")) - 1).alias("g"))
     w = Window.partitionBy("ticker").orderBy("date")
-    df = df.withColumn("n", F.row_number().over(w))
+    df = _market(prices, benchmarks).join(ndx, "date", "left").withColumn("g", F.col("g") - F.col("m")).withColumn("n", F.row_number().over(w))
     back = F.coalesce(F.lag("close", 251).over(w), F.nth_value("close", 2).over(w))
     near = F.lag("close", 20).over(w)
-    last = w.rowsBetween(1 - window, 0)
-    pair = F.when(F.col("m").isNotNull(), F.col("ret"))
-    beta = F.try_divide(F.covar_samp(pair, F.col("m")).over(last), F.var_pop(F.col("m")).over(last))
-    df = df.select("date", "ticker", "close", "n", "ret", (near / back - 1).alias("mom"), (F.col("close") / near - 1).alias("rev"), (F.stddev_pop("ret").over(w.rowsBetween(-125, 0)) * 252**0.5).alias("volatility"), beta.alias("beta"))
-    few = F.col("n") < 40
-    return df.withColumns({c: F.when(few, None).otherwise(F.col(c)) for c in ("mom", "rev", "volatility")}).withColumn("beta", F.when(F.isnan("beta") | F.col("beta").isNull() | (F.col("n") < 30), 1.0).otherwise(F.col("beta")))
+    df = df.withColumn("mom", near / back - 1).withColumn("rev", F.col("close") / near - 1)
+    df = betas(betas(df, window, "m", "beta"), window, "g", "gbeta")
+    df = rolling(df, 126, {"k": F.when(F.col("ret").isNotNull(), 1.0), "s": F.col("ret"), "ss": F.col("ret") ** 2})
+    var = F.try_divide("ss", "k") - F.try_divide("s", "k") ** 2
+    df = df.withColumn("volatility", F.when(F.col("k") > 0, F.sqrt(F.when(var > 1e-15, var).otherwise(0.0)) * 252**0.5))
+    df = df.select("date", "ticker", "close", "n", "ret", "mom", "rev", "volatility", "beta", "gbeta")
+    few, thin = F.col("n") < 40, F.col("n") < 30
+    df = df.withColumns({c: F.when(few, None).otherwise(F.col(c)) for c in ("mom", "rev", "volatility")})
+    return df.withColumn("beta", F.when(thin, 1.0).otherwise(F.coalesce("beta", F.lit(1.0)))).withColumn("gbeta", F.when(thin, 0.0).otherwise(F.coalesce("gbeta", F.lit(0.0))))
 
 
 def quant_scores(snapshot: DataFrame) -> DataFrame:
     """Ranks of price features and market_cap at as_of."""
     df = snapshot.withColumns({"momentum": _rank("mom"), "reversal": _rank("rev", False), "low_vol": _rank("volatility", False), "size": _rank("market_cap", False), "macro_tilt": _rank("beta", False)})
     factor = blend({"momentum": 0.45, "low_vol": 0.30, "size": 0.15, "reversal": 0.10})
-    return df.withColumn("factor", F.when(F.col("mom").isNull() & F.col("volatility").isNull(), 50.0).otherwise(factor)).select(ON, "ticker", "momentum", "low_vol", "size", "factor", "beta", "macro_tilt", "volatility")
+    return df.withColumn("factor", F.when(F.col("mom").isNull() & F.col("volatility").isNull(), 50.0).otherwise(factor)).select(ON, "ticker", "momentum", "low_vol", "size", "factor", "beta", "gbeta", "macro_tilt", "volatility")
 
 
 def macro_regime(benchmarks: DataFrame) -> DataFrame:
@@ -169,14 +196,17 @@ def macro_fit(snapshot: DataFrame, regime: DataFrame) -> DataFrame:
 
 
 def earnings_event(prices: DataFrame, benchmarks: DataFrame, facts: DataFrame, dates: DataFrame, stale: int = 200) -> DataFrame:
-    """Reaction around the last publication and drift since, both against the market."""
+    """Reaction around the last publication and drift since, both against the market; fundamental_trend is the mean
+    rank of revenue and earnings growth and of the change of roe over a year."""
     w = Window.partitionBy("ticker").orderBy("date")
     spx = benchmarks.where("name = 'SPX'").select("date", F.col("level").alias("m"))
     p = prices.join(spx, "date", "left").withColumn("i", F.row_number().over(w)).select("ticker", "date", "close", "m", "i")
-    at = p.join(F.broadcast(dates.select("as_of")), F.col("date") == F.col("as_of")).select("as_of", "ticker", F.col("i").alias("now"), F.col("close").alias("c_now"), F.col("m").alias("m_now"))  # one date a month
+    at = p.join(dates.select("as_of"), F.col("date") == F.col("as_of")).select("as_of", "ticker", F.col("i").alias("now"), F.col("close").alias("c_now"), F.col("m").alias("m_now"))
     from corvane.operators.panel import as_of
 
-    ev = as_of(facts, at.select("ticker", "as_of")).select("as_of", "ticker", "pub_date", "revenue_growth", "eps_growth", "roe")
+    year = 365
+    then = as_of(facts, at.select("ticker", F.date_sub("as_of", year).alias("as_of"))).select(F.date_add("as_of", year).alias("as_of"), "ticker", F.col("roe").alias("roe_then"))
+    ev = as_of(facts, at.select("ticker", "as_of")).join(then, ["as_of", "ticker"], "left").select("as_of", "ticker", "pub_date", "revenue_growth", "eps_growth", (F.col("roe") - F.col("roe_then")).alias("d_roe"))
     first = as_of(p.select("ticker", F.col("date").alias("pub_date"), F.col("i").alias("i0"), F.col("date").alias("d0")), ev.select("ticker", F.col("pub_date").alias("as_of")).distinct()).select("ticker", F.col("as_of").alias("pub_date"), (F.col("i0") + F.when(F.col("d0") < F.col("as_of"), 1).otherwise(0)).alias("ei"))
     x = at.join(ev, ["as_of", "ticker"]).join(first, ["ticker", "pub_date"])
     x = x.withColumn("lo", F.greatest(F.col("ei") - 3, F.lit(1))).withColumn("hi", F.least(F.col("ei") + 3, F.col("now")))
@@ -185,8 +215,8 @@ def earnings_event(prices: DataFrame, benchmarks: DataFrame, facts: DataFrame, d
     reaction = F.col("c_hi") / F.col("c_lo") - F.col("m_hi") / F.col("m_lo")
     drift = F.col("c_now") / F.col("c_hi") - F.col("m_now") / F.col("m_hi")
     x = x.withColumn("reaction", reaction).withColumn("drift", drift).withColumn("__r", -reaction)
-    x = _ranked(x, ("revenue_growth", "eps_growth", "roe", "__r")).withColumn("fundamental_trend", blend({"r_revenue_growth": 1.0, "r_eps_growth": 1.0, "r_roe": 1.0}))
-    over = F.when(F.col("now") - F.col("ei") > stale, 50.0).otherwise(blend({"r___r": 0.5, "fundamental_trend": 0.5}))
+    x = _ranked(x, ("revenue_growth", "eps_growth", "d_roe", "__r")).withColumn("fundamental_trend", blend({"r_revenue_growth": 1.0, "r_eps_growth": 1.0, "r_d_roe": 1.0}))
+    over = F.when(F.col("now") - F.col("ei") > stale, 50.0).otherwise(F.coalesce(0.5 * F.col("r___r") + 0.5 * F.col("fundamental_trend"), F.lit(50.0)))
     return x.withColumn("overreaction", over).select("as_of", "ticker", "pub_date", "reaction", "drift", "fundamental_trend", "overreaction")
 
 

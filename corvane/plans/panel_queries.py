@@ -10,30 +10,60 @@ from corvane.functions.xs import blend, pct_rank, sector_neutral, winsorize, zsc
 from corvane.operators import backtest, ml, panel, portfolio, risk, signals
 from corvane.sources import star
 from corvane.streaming import marks as streaming
+from corvane.work import cut, new_path
 
-FEATURES = ["value", "quality", "growth", "garp", "discipline", "momentum", "low_vol", "size", "factor", "macro_tilt"]
+FEATURES = ml.BASE
 
 
 def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
     return df.select(*[(F.round(c, digits) + 0.0).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
 
 
-def snapshot(m: star.Market) -> DataFrame:
-    """Facts of every ticker as of every rebalance date."""
-    dates = panel.rebalance_dates(m.prices).select("as_of")
-    grid = m.fundamentals.select("ticker").distinct().join(F.broadcast(dates), how="cross")  # one date a month
-    return panel.as_of(m.fundamentals, grid)
+def dates_of(m: star.Market) -> DataFrame:
+    return panel.rebalance_dates(m.prices).select("as_of")
 
 
-def fundamental(m: star.Market) -> DataFrame:
-    return signals.fundamental_scores(snapshot(m))
+def on_dates(m: star.Market, df: DataFrame) -> DataFrame:
+    """Rows of the rebalance dates, dated as_of."""
+    return df.withColumnRenamed("date", "as_of").join(dates_of(m), "as_of")
 
 
-def quant(m: star.Market) -> DataFrame:
-    dates = panel.rebalance_dates(m.prices).select("as_of")
-    p = signals.price_features(m.prices, m.benchmarks).join(F.broadcast(dates), F.col("date") == F.col("as_of")).drop("date")  # one date a month
+def snapshot(m: star.Market, days_before: int = 0) -> DataFrame:
+    """Facts of every ticker as of every rebalance date, or as many days before it."""
+    grid = m.fundamentals.select("ticker").distinct().join(F.broadcast(dates_of(m)), how="cross")  # one date a month
+    if not days_before:
+        return panel.as_of(m.fundamentals, grid)
+    return panel.as_of(m.fundamentals, grid.withColumn("as_of", F.date_sub("as_of", days_before))).withColumn("as_of", F.date_add("as_of", days_before))
+
+
+def members(m: star.Market) -> DataFrame:
+    """Eligible names of every rebalance date."""
+    return panel.eligible(on_dates(m, panel.adv(m.prices)).select("as_of", "ticker", "close", "adv"), m.securities, min_adv=1000.0)
+
+
+def among(df: DataFrame, only: DataFrame | None) -> DataFrame:
+    return df if only is None else df.join(only.select("as_of", "ticker"), ["as_of", "ticker"], "left_semi")
+
+
+def fundamental(m: star.Market, only: DataFrame | None = None) -> DataFrame:
+    return signals.fundamental_scores(among(snapshot(m), only))
+
+
+def quant(m: star.Market, only: DataFrame | None = None) -> DataFrame:
+    p = on_dates(m, signals.price_features(m.prices, m.benchmarks))
     caps = snapshot(m).select("as_of", "ticker", "market_cap")
-    return signals.quant_scores(p.join(caps, ["as_of", "ticker"], "left"))
+    return signals.quant_scores(among(p.join(caps, ["as_of", "ticker"], "left"), only))
+
+
+def macro(m: star.Market, q: DataFrame) -> DataFrame:
+    return signals.macro_fit(q, signals.macro_regime(m.benchmarks))
+
+
+def features(m: star.Market, extended: bool = False) -> DataFrame:
+    """The model's features, ranked among the eligible names of each date."""
+    only = cut(members(m).select("as_of", "ticker"), "members")
+    facts, q = among(snapshot(m), only), cut(quant(m, only), "quant")
+    return ml.feature_frame(facts, fundamental(m, only), q, macro(m, q), signals.analyst(facts), extended)
 
 
 def style_panel(m: star.Market) -> DataFrame:
@@ -88,18 +118,11 @@ def fundamental_scores(spark, d):
 
 def f_score(spark, d):
     m = star.market(spark, d)
-    dates = panel.rebalance_dates(m.prices).select("as_of")
-    extra = lambda df: df.withColumn("roa", F.coalesce("roic", "roe")).withColumn("asset_turnover", F.try_divide("roe", "roic"))
-    grid = m.fundamentals.select("ticker").distinct().join(F.broadcast(dates), how="cross")  # one date a month
-    prior = panel.as_of(m.fundamentals, grid.withColumn("as_of", F.date_sub("as_of", 365))).withColumn("as_of", F.date_add("as_of", 365))
-    return rounded(signals.piotroski(extra(panel.as_of(m.fundamentals, grid)), extra(prior)))
+    return rounded(signals.piotroski(snapshot(m), snapshot(m, 365)))
 
 
 def universe(spark, d):
-    m = star.market(spark, d)
-    dates = panel.rebalance_dates(m.prices).select("as_of")
-    p = panel.adv(m.prices).join(F.broadcast(dates), F.col("date") == F.col("as_of")).select("as_of", "ticker", "close", "adv")  # one date a month
-    return rounded(panel.eligible(p, m.securities, min_adv=1000.0))
+    return rounded(members(star.market(spark, d)))
 
 
 def cross_section(spark, d):
@@ -132,7 +155,8 @@ def macro_regime(spark, d):
 
 def hybrid(spark, d):
     m = star.market(spark, d)
-    return rounded(signals.compute_signals(fundamental(m), quant(m)).select("as_of", "ticker", "value", "quality", "growth", "momentum", "factor", "hybrid_alpha"))
+    a = signals.analyst(snapshot(m)).select("as_of", "ticker", "analyst")
+    return rounded(signals.compute_signals(fundamental(m), quant(m), [a]).select("as_of", "ticker", "value", "quality", "growth", "factor", "analyst", "hybrid_alpha"))
 
 
 def earnings_events(spark, d):
@@ -148,9 +172,7 @@ def stock_risk(spark, d):
 
 def liquidity(spark, d):
     m = star.market(spark, d)
-    dates = panel.rebalance_dates(m.prices).select("as_of")
-    p = panel.adv(m.prices).join(F.broadcast(dates), F.col("date") == F.col("as_of")).select("as_of", "ticker", "adv")  # one date a month
-    return rounded(risk.liquidity(p))
+    return rounded(risk.liquidity(on_dates(m, panel.adv(m.prices)).select("as_of", "ticker", "adv")))
 
 
 def concentration(spark, d):
@@ -171,20 +193,23 @@ def portfolio_risk(spark, d):
     return rounded(risk.portfolio_risk(book_returns(star.market(spark, d))))
 
 
+def carried(m: star.Market, b: DataFrame) -> DataFrame:
+    """Books of the date before, dated as the next ones."""
+    nxt = panel.rebalance_dates(m.prices).where("next_as_of is not null")
+    prev = b.join(nxt, "as_of").select("portfolio_id", F.col("next_as_of").alias("as_of"), "ticker", "weight")
+    return prev.join(b.select("portfolio_id", "as_of").distinct(), ["portfolio_id", "as_of"], "left_semi")
+
+
 def turnover(spark, d):
     m = star.market(spark, d)
     b = books(m)
-    nxt = panel.rebalance_dates(m.prices).where("next_as_of is not null")
-    prev = b.join(F.broadcast(nxt), "as_of").select("portfolio_id", F.col("next_as_of").alias("as_of"), "ticker", "weight")  # one row a month
-    return rounded(risk.turnover(b, prev.join(b.select("as_of").distinct(), "as_of", "left_semi")))
+    return rounded(risk.turnover(b, carried(m, b)), 9)
 
 
 def trade_list(spark, d):
     m = star.market(spark, d)
     b = books(m)
-    nxt = panel.rebalance_dates(m.prices).where("next_as_of is not null")
-    prev = b.join(F.broadcast(nxt), "as_of").select("portfolio_id", F.col("next_as_of").alias("as_of"), "ticker", "weight")  # one row a month
-    return rounded(portfolio.trades(b, prev.join(b.select("as_of").distinct(), "as_of", "left_semi")))
+    return rounded(portfolio.trades(b, carried(m, b)))
 
 
 def mandate_check(spark, d):
@@ -220,9 +245,11 @@ def average_correlation(spark, d):
     return rounded(risk.average_correlation(own, ["portfolio_id", "as_of"]))
 
 
-def _backtest(spark, d, survivors: bool = False, n: int = 10) -> DataFrame:
+def _backtest(spark, d, survivors: bool = False, n: int = 10, pit: bool = False) -> DataFrame:
     m = star.market(spark, d)
     scores = backtest.template_scores(style_panel(m), backtest.template_table(spark))
+    if pit:
+        scores = backtest.point_in_time(scores, members(m))
     if survivors:
         scores = panel.restrict(scores, m.securities.where("delisting_date is null"))
     seg = panel.segments(m.prices.select("date", "ticker", "close"), panel.rebalance_dates(m.prices))
@@ -237,8 +264,12 @@ def template_daily(spark, d):
     return rounded(_backtest(spark, d))
 
 
+def pit_backtest(spark, d):
+    return rounded(backtest.summary(_backtest(spark, d, pit=True)))
+
+
 def survivorship(spark, d):
-    return rounded(backtest.survivorship_bias(_backtest(spark, d), _backtest(spark, d, True)))
+    return rounded(backtest.survivorship_bias(_backtest(spark, d, pit=True), _backtest(spark, d, True, pit=True)))
 
 
 def market_regime(spark, d):
@@ -248,8 +279,8 @@ def market_regime(spark, d):
 
 def style_weights(spark, d):
     m = star.market(spark, d)
-    regimes = backtest.classify_regime(m.benchmarks, backtest.breadth(m.prices)).join(F.broadcast(panel.rebalance_dates(m.prices)), F.col("date") == F.col("as_of")).select("as_of", "regime")  # one date a month
-    best = backtest.template_table(spark).where("template = 'quality'").select("style", "w")
+    regimes = on_dates(m, backtest.classify_regime(m.benchmarks, backtest.breadth(m.prices))).select("as_of", "regime")
+    best = backtest.best_template(_backtest(spark, d), backtest.template_table(spark))
     return rounded(backtest.style_weights(regimes, backtest.prior_table(spark), best))
 
 
@@ -257,17 +288,22 @@ def signal_stability(spark, d):
     m = star.market(spark, d)
     v = fundamental(m).select("as_of", "ticker", F.col("value").alias("score"))
     nxt = panel.rebalance_dates(m.prices).where("next_as_of is not null")
-    then = v.join(F.broadcast(nxt), "as_of").select(F.col("next_as_of").alias("as_of"), "ticker", "score")  # one row a month
+    then = v.join(nxt, "as_of").select(F.col("next_as_of").alias("as_of"), "ticker", "score")
     return rounded(backtest.stability(v.where("score is not null"), then.where("score is not null")))
 
 
-def training_rows(m: star.Market) -> DataFrame:
-    x = fundamental(m).join(quant(m), ["as_of", "ticker"]).select("as_of", "ticker", *FEATURES)
-    return ml.training_panel(x, ml.labels(m.prices), FEATURES)
+def training_rows(m: star.Market, extended: bool = False) -> DataFrame:
+    return ml.training_panel(features(m, extended), ml.labels(m.prices), ml.EXTENDED if extended else FEATURES)
 
 
 def training_panel(spark, d):
-    return rounded(training_rows(star.market(spark, d)))
+    return rounded(training_rows(star.market(spark, d), extended=True))
+
+
+def feature_registry(spark, d):
+    """The registry with how many rows of the panel know each feature."""
+    x = features(star.market(spark, d), extended=True).unpivot(["as_of", "ticker"], ml.EXTENDED, "feature", "x")
+    return ml.registry(spark).join(x.groupBy("feature").agg(F.count("x").alias("n_known")), "feature")
 
 
 def feature_ic(spark, d):
@@ -275,7 +311,7 @@ def feature_ic(spark, d):
 
 
 def _fitted(spark, d):
-    p = training_rows(star.market(spark, d))
+    p = cut(training_rows(star.market(spark, d)), "panel")  # read for every fold, fit and prediction
     return p, ml.walk_forward(p, FEATURES), ml.final_fit(p, FEATURES)
 
 
@@ -370,13 +406,10 @@ def event_marks(spark, d):
 
 def event_marks_stream(spark, d):
     """ST1 over the events file as a stream, until all of it is read."""
-    import uuid
-
     import pyspark.sql.types as T
 
     schema = T.StructType([T.StructField("event_id", T.LongType()), T.StructField("ts", T.TimestampType()), T.StructField("user_id", T.LongType()), T.StructField("event_type", T.StringType()), T.StructField("props", T.StringType()), T.StructField("value", T.DoubleType())])
-    base = spark.conf.get("spark.checkpoint.dir", None) or f"/tmp/spark-{uuid.uuid4().hex}"
-    path = f"{base}/marks-{uuid.uuid4().hex}"
+    path = new_path(spark, "marks")
     stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(d).select(F.col("user_id").cast("string").alias("portfolio_id"), F.col("ts").alias("date"), (F.col("value") / 1e4).alias("ret"))
     q = streaming.marks(stream).writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start()
     q.awaitTermination()
@@ -397,4 +430,4 @@ def page_fields(spark, d):
     return p.select("page_id", F.size(links).cast("long").alias("n_links"), F.regexp_extract("html", "<title>([^<]*)</title>", 1).alias("title"), F.array_join(links, "|").alias("links"))
 
 
-QUERIES = {f.__name__: f for f in (adapter_prices, adapter_benchmarks, adapter_fundamentals, adapter_securities, value_top10, facts_as_of, fundamental_scores, f_score, universe, cross_section, performance, equity_curves, quant_scores, macro_regime, hybrid, earnings_events, stock_risk, liquidity, concentration, sector_exposure, style_exposure, portfolio_risk, turnover, trade_list, mandate_check, data_quality, robustness, stress_windows, rate_shock, average_correlation, template_backtest, template_daily, survivorship, market_regime, style_weights, signal_stability, training_panel, feature_ic, walk_forward, walk_forward_summary, ridge_model, explain_local, explain_reasons, coefficient_stability, permutation_importance, logistic_model, candidate_selection, portfolio_weights, ledger_nav, return_bootstrap, split_factors, total_return, event_marks, event_marks_stream, event_properties, page_fields)}
+QUERIES = {f.__name__: f for f in (adapter_prices, adapter_benchmarks, adapter_fundamentals, adapter_securities, value_top10, facts_as_of, fundamental_scores, f_score, universe, cross_section, performance, equity_curves, quant_scores, macro_regime, hybrid, earnings_events, stock_risk, liquidity, concentration, sector_exposure, style_exposure, portfolio_risk, turnover, trade_list, mandate_check, data_quality, robustness, stress_windows, rate_shock, average_correlation, template_backtest, template_daily, pit_backtest, survivorship, market_regime, style_weights, signal_stability, training_panel, feature_registry, feature_ic, walk_forward, walk_forward_summary, ridge_model, explain_local, explain_reasons, coefficient_stability, permutation_importance, logistic_model, candidate_selection, portfolio_weights, ledger_nav, return_bootstrap, split_factors, total_return, event_marks, event_marks_stream, event_properties, page_fields)}

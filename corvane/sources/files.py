@@ -12,7 +12,7 @@ BARS = "array<struct<datetime:string,date:string,time:string,time_milliseconds:s
 FACT = "struct<fy:int,fp:string,form:string,val:double,filed:date,end:date>"
 FACTS = f"struct<entityName:string,facts:map<string,map<string,struct<units:map<string,array<{FACT}>>>>>>"
 # fixed values: sector names of the vendors
-SECTORS = {"technology": "Information Technology", "information technology": "Information Technology", "financial services": "Financials", "financials": "Financials", "healthcare": "Health Care", "health care": "Health Care", "consumer cyclical": "Consumer Discretionary", "consumer defensive": "Consumer Staples", "basic materials": "Materials", "materials": "Materials", "energy": "Energy", "utilities": "Utilities", "real estate": "Real Estate", "industrials": "Industrials", "communication services": "Communication Services"}
+SECTORS = {"information technology": "Technology", "technology": "Technology", "healthcare": "Health Care", "health care": "Health Care", "financial services": "Financials", "financials": "Financials", "consumer cyclical": "Consumer Discretionary", "consumer discretionary": "Consumer Discretionary", "consumer defensive": "Consumer Staples", "consumer staples": "Consumer Staples", "industrials": "Industrials", "energy": "Energy", "basic materials": "Materials", "materials": "Materials", "utilities": "Utilities", "communication services": "Communication Services", "real estate": "Real Estate"}
 
 
 def csv_dataset(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
@@ -66,11 +66,11 @@ def metrics_panel(metrics: DataFrame, mapping: dict[str, str], lag_days: int = 4
 
 
 def sector_name(raw: Column) -> Column:
-    """Alias, then substring, then as it is, else Unknown."""
+    """Alias, then substring, else Unknown."""
     low = F.lower(F.trim(raw))
     exact = F.create_map(*[F.lit(x) for kv in SECTORS.items() for x in kv])[low]
     part = F.coalesce(*[F.when(F.contains(low, F.lit(k)), v) for k, v in SECTORS.items()])
-    return F.coalesce(exact, part, F.when(low.isin(*[v.lower() for v in SECTORS.values()]), F.initcap(low)), F.lit("Unknown"))
+    return F.coalesce(exact, part, F.lit("Unknown"))
 
 
 def security_dimension(profiles: DataFrame, facts: DataFrame) -> DataFrame:
@@ -89,7 +89,7 @@ def company_facts(bodies: DataFrame, priorities: DataFrame) -> DataFrame:
     """Facts of (cik, body) for each measure: the first concept that is present of priorities (measure, concept,
     prio, unit); its unit if present, else the first."""
     c = bodies.withColumn("__f", F.from_json("body", FACTS)).select("cik", F.explode("__f.facts").alias("taxonomy", "concepts")).select("cik", F.explode("concepts").alias("concept", "u"))
-    j = c.join(F.broadcast(priorities), "concept")  # a short list of concepts
+    j = c.join(priorities, "concept")
     j = j.withColumn("__k", F.row_number().over(Window.partitionBy("cik", "measure").orderBy("prio"))).where("__k = 1")
     unit = F.coalesce(F.try_element_at("u.units", F.col("unit")), F.element_at(F.map_values("u.units"), 1))
     return j.select("cik", "measure", "concept", F.explode(unit).alias("r")).select("cik", "measure", "concept", "r.*")
@@ -128,7 +128,7 @@ def sec_panel(pairs: DataFrame, prices: DataFrame) -> DataFrame:
 
 def sic_sector(df: DataFrame, bands: DataFrame) -> DataFrame:
     """The first of the ordered bands (lo, hi, prio, sector) that holds sic."""
-    j = df.join(F.broadcast(bands), F.col("sic").between(F.col("lo"), F.col("hi")), "left")  # some tens of bands
+    j = df.join(bands, F.col("sic").between(F.col("lo"), F.col("hi")), "left")
     return j.groupBy(*df.columns).agg(F.coalesce(F.min_by("sector", "prio"), F.lit("Unknown")).alias("sector"))
 
 
@@ -136,7 +136,7 @@ def filing_counts(submissions: DataFrame, dates: DataFrame, days: int = 180) ->
     """Insider filings of the last `days` days; submissions: ticker, body."""
     recent = F.from_json("body", "struct<filings:struct<recent:struct<form:array<string>,filingDate:array<date>,accessionNumber:array<string>>>>")["filings"]["recent"]
     rows = submissions.select("ticker", F.explode(F.arrays_zip(recent["form"].alias("form"), recent["filingDate"].alias("filed"), recent["accessionNumber"].alias("accession"))).alias("r")).select("ticker", "r.*").where("trim(form) = '4'")
-    return rows.join(F.broadcast(dates), F.col("filed").between(F.date_sub("as_of", days), F.col("as_of"))).groupBy("as_of", "ticker").agg(F.count("*").alias("n_filings"))  # a few report dates
+    return rows.join(dates, F.col("filed").between(F.date_sub("as_of", days), F.col("as_of"))).groupBy("as_of", "ticker").agg(F.count("*").alias("n_filings"))
 
 
 def insider_trades(filings: DataFrame, most: int = 25) -> DataFrame:
@@ -176,7 +176,7 @@ def linked(statements: DataFrame, links: DataFrame) -> DataFrame:
 def market_index(returns: DataFrame) -> DataFrame:
     """100 times the compounded value-weighted return, as SPX and NDX."""
     level = 100 * F.product(1 + F.coalesce(F.col("vwretd"), F.lit(0.0))).over(Window.orderBy("date"))  # one row a day
-    return returns.select("date", level.alias("level"), F.explode(F.array(F.lit("SPX"), F.lit("NDX"))).alias("name"))
+    return returns.select("date", level.alias("level")).select("date", "level", F.explode(F.array(F.lit("SPX"), F.lit("NDX"))).alias("name"))
 
 
 def write_report(tables: dict[str, DataFrame], folder: str, decision: DataFrame | None = None) -> None:

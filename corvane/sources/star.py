@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corvane.functions.xs import safe_ratio
+from corvane.work import cut
 
 FIELDS = ("market_cap", "pe", "pb", "ev_ebit", "fcf_yield", "accruals", "roe", "roic", "gross_margin", "earnings_vol", "debt_equity", "interest_coverage", "revenue_growth", "eps_growth", "growth_stability", "net_issuance", "asset_growth", "dividend_yield", "payout_ratio", "adv_usd")
 DELISTED = "2000-01-01"
@@ -45,7 +46,7 @@ def prices(spark: SparkSession, sf_dir: str) -> DataFrame:
     seen = _vwap(lines.groupBy("ticker", "date").agg(F.sum("p").alias("p"), F.sum("q").alias("q")), "ticker")
     calendar = lines.select("date").distinct()
     first = seen.groupBy("ticker").agg(F.min("date").alias("first"))
-    grid = first.join(F.broadcast(calendar), F.col("date") >= F.col("first")).select("ticker", "date")  # a date dimension: some thousands of days
+    grid = first.join(calendar, F.col("date") >= F.col("first")).select("ticker", "date")
     full = grid.join(seen.select("ticker", "date", "close", F.col("q").cast("double").alias("volume")), ["ticker", "date"], "left")
     w = Window.partitionBy("ticker").orderBy("date")
     full = full.select("date", "ticker", F.last("close", ignorenulls=True).over(w).alias("close"), F.coalesce("volume", F.lit(0.0)).alias("volume"))
@@ -74,7 +75,7 @@ def fundamentals(spark: SparkSession, sf_dir: str) -> DataFrame:
     one = one.withColumn("earnings_vol", F.when(F.count("eps_growth").over(so_far) >= 3, F.stddev_pop("eps_growth").over(so_far)))
     one = one.join(nation, "ticker", "left").withColumn("growth_stability", 1 / (1 + F.col("earnings_vol")))
     one = one.withColumn("dividend_yield", F.when(F.col("pays"), 0.05 * F.col("back")).otherwise(0.0)).withColumn("payout_ratio", F.when(F.col("pays"), F.col("back")).otherwise(0.0))
-    return one.select(F.date_add(F.last_day("month"), 15).alias("pub_date"), "ticker", *[F.round(c, 8).alias(c) for c in FIELDS])
+    return one.select(F.date_add(F.last_day("month"), 15).alias("pub_date"), "ticker", *FIELDS)
 
 
 def securities(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -87,8 +88,21 @@ def securities(spark: SparkSession, sf_dir: str) -> DataFrame:
     return own.select(F.col("s_suppkey").cast("string").alias("ticker"), F.col("s_name").alias("name"), F.col("r_name").alias("sector"), F.coalesce("themes", F.array().cast("array<string>")).alias("themes"), (F.col("s_nationkey") % 2 == 0).alias("pays_dividend"), F.lit("common").alias("security_type"), F.lit(None).cast("date").alias("listing_date"), F.when(F.col("s_suppkey") % 10 == 7, F.lit(DELISTED).cast("date")).alias("delisting_date"))
 
 
+_markets: dict[tuple, Market] = {}
+
+
 def market(spark: SparkSession, sf_dir: str) -> Market:
-    return Market(prices(spark, sf_dir), benchmarks(spark, sf_dir), fundamentals(spark, sf_dir), securities(spark, sf_dir))
+    """The four tables, written to the shared folder once a session, as each query uses them more than once. The files
+    of sf_dir are taken not to change meanwhile; forget() drops what is remembered."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _markets:
+        made = {f.__name__: f(spark, sf_dir) for f in (prices, benchmarks, fundamentals, securities)}
+        _markets[key] = Market(**{name: cut(df, name) for name, df in made.items()})
+    return _markets[key]
+
+
+def forget() -> None:
+    _markets.clear()
 
 
 #: The same tables in ANSI SQL, as the head of oracle queries.
@@ -106,6 +120,6 @@ months as (select ticker, date_trunc('month', date)::date as month, sum(p)::doub
 lagged as (select *, lag(rev, 12) over w as rev0, lag(disc, 12) over w as disc0, lag(n, 12) over w as n0, lag(qty, 12) over w as qty0, sum(rev) over y as rev_sum, avg(rev) over y as rev_avg from months window w as (partition by ticker order by month), y as (partition by ticker order by month rows between 11 preceding and current row)),
 ratios as (select ticker, month, rev_sum as market_cap, rev / nullif(disc, 0) as pe, rev / nullif(tax, 0) as pb, (rev + tax) / nullif(disc, 0) as ev_ebit, (disc - tax) / nullif(rev, 0) as fcf_yield, ret / nullif(rev, 0) - disc / nullif(rev, 0) as accruals, disc / nullif(rev_avg, 0) as roe, disc / nullif(rev + tax, 0) as roic, 1 - (disc + tax) / nullif(rev, 0) as gross_margin, tax / nullif(disc, 0) as debt_equity, rev / nullif(tax + disc, 0) as interest_coverage, rev / nullif(rev0, 0) - 1 as revenue_growth, (disc / nullif(n, 0)) / nullif(disc0 / nullif(n0, 0), 0) - 1 as eps_growth, n / nullif(n0, 0) - 1 as net_issuance, qty / nullif(qty0, 0) - 1 as asset_growth, ret / nullif(rev, 0) as back, rev_avg as adv_usd from lagged),
 spread as (select *, case when count(eps_growth) over w >= 3 then stddev_pop(eps_growth) over w end as earnings_vol from ratios window w as (partition by ticker order by month rows between unbounded preceding and current row)),
-fundamentals as (select last_day(month) + 15 as pub_date, ticker, {", ".join(f"round({e}, 8) as {c}" for c, e in [(c, {"growth_stability": "1 / (1 + earnings_vol)", "dividend_yield": "case when s_nationkey % 2 = 0 then 0.05::double * back else 0.0::double end", "payout_ratio": "case when s_nationkey % 2 = 0 then back else 0.0::double end"}.get(c, c)) for c in FIELDS])} from spread left join supplier on cast(s_suppkey as varchar) = ticker),
+fundamentals as (select last_day(month) + 15 as pub_date, ticker, {", ".join(f"{e} as {c}" for c, e in [(c, {"growth_stability": "1 / (1 + earnings_vol)", "dividend_yield": "case when s_nationkey % 2 = 0 then 0.05::double * back else 0.0::double end", "payout_ratio": "case when s_nationkey % 2 = 0 then back else 0.0::double end"}.get(c, c)) for c in FIELDS])} from spread left join supplier on cast(s_suppkey as varchar) = ticker),
 securities as (select cast(s_suppkey as varchar) as ticker, s_name as name, r_name as sector, s_nationkey % 2 = 0 as pays_dividend, case when s_suppkey % 10 = 7 then date '{DELISTED}' end as delisting_date from supplier join nation on s_nationkey = n_nationkey join region on n_regionkey = r_regionkey)
 """
