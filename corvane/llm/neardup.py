@@ -1,7 +1,7 @@
 """Near duplicates: a similarity self-join of shingle sets by chosen paths, and the components of its links.
 
-Documents with equal sets become one representative first. Each of `trees` independent trees sends a representative
-down `branches` selected minwise tokens at every node. A node with at most `small` members compares all of them; a
+Documents with equal sets become one representative first. Each of `trees` independent trees takes a representative by
+one of its minwise tokens and sends it down one or two more, selected at every node. A node with at most `small` members compares all of them; a
 larger one compares each member with a hub of its own. Candidates pass a signature test with a wide margin and are
 confirmed on full sets. Large nodes at the roots whose members are in one component by then are done; those with few
 members outside their main component compare these with all members, in blocks; the others branch again, and what is
@@ -132,13 +132,16 @@ def _between_blocks(least: int, percent: int):
 PAIR = "a long, b long, est long"
 
 
-def _branch(rows: DataFrame, branches: int) -> DataFrame:
-    """Children of each node: by `branches` different slots that the node's hash selects."""
+def _branch(rows: DataFrame, percent: int) -> DataFrame:
+    """Children of each node, by different slots that the node's hash selects: 100 / percent of them on average, as many
+    as keep the expected number of paths that two members just similar enough share."""
+    whole, rest = divmod(100, percent)
     first = F.pmod(F.xxhash64("node", F.lit(0)), F.lit(SLOTS))
     step = F.pmod(F.xxhash64("node", F.lit(1)), F.lit(SLOTS // 2)) * 2 + 1  # odd: no slot comes twice
-    slots = [F.pmod(first + step * k, F.lit(SLOTS)).cast("int") for k in range(branches)]
-    kids = F.array(*[F.xxhash64("node", s, F.substring("sketch", s + 1, F.lit(1))) for s in slots])
-    return rows.select("rep", "sketch", "comp", F.explode(kids).alias("node"))
+    slots = [F.pmod(first + step * k, F.lit(SLOTS)).cast("int") for k in range(whole + 1)]
+    kids = [F.xxhash64("node", s, F.substring("sketch", s + 1, F.lit(1))) for s in slots]
+    more = F.pmod(F.xxhash64("node", F.lit(2)), F.lit(percent)) < rest
+    return rows.select("rep", "sketch", "comp", F.explode(F.when(more, F.array(*kids)).otherwise(F.array(*kids[:-1]))).alias("node"))
 
 
 def _held(df: DataFrame, most: int = 4_000_000) -> DataFrame:
@@ -201,19 +204,20 @@ def _sets_of(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
     return docs.select("doc_id", "text").join(_held(wanted.withColumnRenamed("rep", "doc_id")), "doc_id", "left_semi").mapInArrow(run, "rep long, shingles binary, bytes long")
 
 
-def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, trees: int = 4, branches: int = 2, small: int = 24, levels: int = 3, block_bytes: int = 4_000_000) -> DataFrame:
+def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, trees: int = 8, small: int = 24, levels: int = 3, block_bytes: int = 4_000_000) -> DataFrame:
     """doc_id, n_shingles, component_id and kept for each row of docs (doc_id, text; other columns are ignored).
 
     Two documents are linked if 100 * |intersection| >= percent * |union| of their sets of `width`-word shingles.
     component_id is the smallest doc_id reachable over links, kept is doc_id = component_id. Null and wordless texts
     have no shingles and no links. Rows that share a doc_id are one document: they get one component. A null doc_id
     takes no part: component_id null, kept true. No cap drops pairs; recall is that of the trees: a pair just at 0.8
-    meets with probability 1 - (1 - .8)**(trees * branches) at the first level, over 0.99999 with the defaults.
+    meets with probability 1 - (1 - .8)**trees at the first level, over 0.99999 with the defaults, and over 0.999 at the
+    third. percent is 50 at least.
     """
     spark = docs.sparkSession
     small_batches(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    sigs = cut(docs.mapInArrow(_signatures(width, trees * branches), "doc_id long, n long, h1 long, h2 long, sketch binary, nodes array<long>"), "signatures")
+    sigs = cut(docs.mapInArrow(_signatures(width, trees), "doc_id long, n long, h1 long, h2 long, sketch binary, nodes array<long>"), "signatures")
     live = sigs.where("n > 0 and doc_id is not null")
     equal = live.groupBy("n", "h1", "h2")
     reps = equal.agg(F.min("doc_id").alias("rep"))
@@ -232,7 +236,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, trees: i
     if not rows.isEmpty():
         deep, rows, pairs = rows.where(F.col("outside") <= small).select("rep", "sketch", "node"), rows.where(F.col("outside") > small), None
         for _ in range(levels - 1):
-            found, rows = _level(_branch(rows, branches), small, least)
+            found, rows = _level(_branch(rows, percent), small, least)
             pairs = found if pairs is None else pairs.unionByName(found)
         deep = cut(deep.unionByName(rows.select("rep", "sketch", "node")), "deep")
         pairs = cut(_best(pairs), "pairs") if pairs is not None else None
