@@ -48,7 +48,7 @@ def stock_risk(returns: DataFrame, dates: DataFrame, window: int = 252) -> DataF
     whole = n == F.count("*").over(Window.partitionBy(ON))  # with a name of unknown volatility all are in the middle
     band = F.when(whole & (n > 1), F.greatest(F.lit(1), F.ceil(5 * (place - 1) / (n - 1)))).otherwise(3)
     df = df.withColumn("risk_band", band.cast("int"))
-    return df.withColumn("tail", (F.col("vol") > F.percentile("vol", F.lit(0.85)).over(Window.partitionBy(ON))) | (F.col("mdd") < -0.40)).select(ON, "ticker", "vol", "beta", "mdd", "dd_freq", "risk_score", "risk_band", "tail")
+    return df.withColumn("tail", F.coalesce((F.col("vol") > F.percentile("vol", F.lit(0.85)).over(Window.partitionBy(ON))) | (F.col("mdd") < -0.40), F.lit(False))).select(ON, "ticker", "vol", "beta", "mdd", "dd_freq", "risk_score", "risk_band", "tail")
 
 
 def liquidity(df: DataFrame, portfolio_value: float = 1e8, min_weight: float = 0.01) -> DataFrame:

@@ -19,7 +19,7 @@ q1 as (select permno, datadate, coalesce(rdq, datadate + 60) as pub_date, mcap a
 q2 as (select *, case when count(eps_growth) over w >= 3 then stddev_pop(eps_growth) over w end as earnings_vol from q1 window w as (partition by permno order by datadate rows between unbounded preceding and current row)), q3 as (select *, 1 / (1 + earnings_vol) as growth_stability from q2)"""
 
 SQL: dict[str, str] = {
-    "csv_dataset": C + ", few as (select * from securities where ticker::int <= 10 and ticker <> '3'), a as (select ticker, count(*) as n_prices, sum(close) as sum_close from prices group by ticker), f as (select ticker, count(pe) as n_pe from fundamentals group by ticker), " + THEMES + " select ticker, sector, pays_dividend, len(themes)::bigint as n_themes, n_prices, round(sum_close, 3) + 0.0::double as sum_close, n_pe, 0::bigint as n_accruals from few join themes on s_suppkey::varchar = ticker join a using (ticker) join f using (ticker)",
+    "csv_dataset": C + ", few as (select * from securities where ticker::int <= 9 and ticker <> '3'), a as (select ticker, count(*) as n_prices, sum(close) as sum_close from prices group by ticker), f as (select ticker, count(pe) as n_pe from fundamentals group by ticker), " + THEMES + " select ticker, sector, pays_dividend, len(themes)::bigint as n_themes, n_prices, round(sum_close, 3) + 0.0::double as sum_close, n_pe, 0::bigint as n_accruals from few join themes on s_suppkey::varchar = ticker join a using (ticker) join f using (ticker)",
     "provider_payloads": C + "select provider, ticker, date, close, volume from prices, (values ('a'), ('b'), ('c')) v(provider) where volume > 0",
     "metrics_panel": C + VOL + " select ticker, pub_date, round(pe, 6) + 0.0::double as pe, round(roe, 6) + 0.0::double as roe, round(eps_growth, 6) + 0.0::double as eps_growth, round(coalesce(dividend_yield, 0), 6) + 0.0::double as dividend_yield, null::double as pb, round(vol, 6) + 0.0::double as earnings_vol, round(1 / (1 + vol), 6) + 0.0::double as growth_stability from ev",
     "security_dimension": C + ", l as (select ticker, last(dividend_yield order by pub_date) > 0 as pays from fundamentals where dividend_yield is not null group by ticker) select ticker, case when ticker = '5' then ticker else name end as name, case sector when 'AFRICA' then 'Materials' when 'AMERICA' then 'Technology' when 'ASIA' then 'Consumer Discretionary' when 'EUROPE' then 'Financials' else 'Unknown' end as sector, coalesce(pays, false) as pays_dividend from securities left join l using (ticker)",
@@ -38,11 +38,11 @@ SQL: dict[str, str] = {
     "market_index": C + ", r as (select date, level / lag(level) over (order by date) - 1 as r from benchmarks where name = 'SPX') select date, name, round(100 * product(1 + coalesce(r, 0)) over (partition by name order by date rows between unbounded preceding and current row), 6) + 0.0::double as level from r, (values ('SPX'), ('NDX')) v(name)",
     "source_coverage": C + "select ticker from (select ticker from securities union all select 'none') where ticker not in (select ticker from prices where volume > 0 and date < date '1998-01-01' group by ticker having count(*) > 150)",
     "index_report": C + "select 'N' || s_nationkey as index_id, count(*) as n_listed, count(*) filter (delisting_date is null) as n_available from supplier join securities on ticker = s_suppkey::varchar group by s_nationkey",
-    "aligned_prices": C + ", o as (select ticker, date, close from prices where volume > 0), f as (select ticker, min(date) as first from o group by ticker), g as (select ticker, b.date from f join (select distinct date from benchmarks) b on b.date >= first) select ticker, date, round(last_value(close ignore nulls) over (partition by ticker order by date), 6) + 0.0::double as close from g left join o using (ticker, date)",
+    "aligned_prices": C + ", o as (select ticker, date, close from prices where volume > 0), f as (select ticker, min(date) as first from o group by ticker), g as (select ticker, b.date from f join (select distinct date from benchmarks) b on b.date >= first) select ticker, date, last_value(close ignore nulls) over (partition by ticker order by date) as close from g left join o using (ticker, date)",
     "merged_batches": C + "select ticker, count(*) as n, round(avg(case when ticker::int % 2 = 0 then close else close * 2 end), 6) + 0.0::double as mean_close from prices group by ticker",
     "recent_prices": C + ", b as (select * from prices where date <= date '1999-12-31' and date >= date '1999-12-31' - 400) select date, ticker, round(close, 6) + 0.0::double as close, round(volume, 6) + 0.0::double as volume from b where date >= (select min(date) from (select distinct date from b order by date desc limit 63))",
     "schedules": C + ", d as (select date, row_number() over (order by date) as n from (select distinct date from prices)), e as (select distinct last_day(date) as e from d) select 'month end' as kind, (e - case dayofweek(e) when 0 then 2 when 6 then 1 else 0 end)::date as date from e union all select 'weekly', date from d where dayofweek(date) = 5 and n > 252 union all select 'monthly', max(date) from d group by date_trunc('month', date) having max(n) > 252",
-    "quarterly_ratios": C + QUARTERS + out("permno datadate pub_date " + " ".join(f"{c}:r" for c in "market_cap pe pb ev_ebit fcf_yield accruals roe roic gross_margin debt_equity interest_coverage dividend_yield revenue_growth eps_growth net_issuance asset_growth earnings_vol growth_stability".split()), "q3"),
+    "quarterly_ratios": C + QUARTERS + out("permno datadate pub_date " + " ".join(f"round({c},9)+0.0::double~as~{c}" for c in "market_cap pe pb ev_ebit fcf_yield accruals roe roic gross_margin debt_equity interest_coverage dividend_yield revenue_growth eps_growth net_issuance asset_growth earnings_vol growth_stability".split()), "q3").replace("~", " "),
     "restated_series": C + STEPS + ", p as (select ticker, date + 10 as filed, val from s) select p.ticker, filed, round(p.val / coalesce(factor, 1), 6) + 0.0::double as val, round(factor, 6) + 0.0::double as factor from p asof left join u on p.ticker = u.ticker and p.filed >= u.date",
     "macro_fit": C + ASOF + QUANT + FIT + out("as_of ticker beta:r gbeta:r macro_fit:r", "quant join mf using (as_of, ticker)"),
     "theme_fit": C + ", " + THEMES + ", j as (select s.ticker, sector, coalesce(themes, []) as t from securities s left join themes on s_suppkey::varchar = s.ticker) select ticker, (case when list_contains(t, 'PROMO') then 20 when len(list_intersect(t, ['ECONOMY', 'SMALL', 'LARGE', 'MEDIUM'])) > 0 then least(50 + 12.0 * len(list_intersect(t, ['ECONOMY', 'SMALL', 'LARGE', 'MEDIUM'])), 85) else 50 end)::double as theme_fit, sector = 'ASIA' or list_has_any(t, ['STANDARD', 'PROMO']) as hard_excluded, case when sector = 'ASIA' then 'sector: ASIA' when list_has_any(t, ['STANDARD', 'PROMO']) then 'theme: ' || array_to_string(list_filter(t, lambda x: x in ('STANDARD', 'PROMO')), ', ') end as excluded_reason from j",

@@ -114,7 +114,7 @@ TESTS = ["roa > 0", "fcf_yield > 0", "roa > p_roa", "accruals < 0", "debt_equity
 RISK = RISK_WIN(253) + f""", k0 as (select as_of, ticker, date, case when i > min(i) over (partition by as_of, ticker) then ret end as ret, case when i > min(i) over (partition by as_of, ticker) then m end as m from win),
 k1 as (select *, case when ret is not null then product(1 + coalesce(ret, 0)) over (partition by as_of, ticker order by date rows between unbounded preceding and current row) end as curve from k0), k2 as (select *, curve / max(curve) over (partition by as_of, ticker order by date rows between unbounded preceding and current row) - 1 as dd from k1),
 k3 as (select as_of, ticker, stddev_pop(ret) * sqrt(252) as vol, case when covar_samp(case when m is not null then ret end, m) / nullif(var_pop(m), 0) is null or count(ret) < 30 then 1 else covar_samp(case when m is not null then ret end, m) / nullif(var_pop(m), 0) end as beta, min(dd) as mdd, avg((dd < -0.10::double)::int) as dd_freq from k2 group by as_of, ticker), k4 as (select *, {rank('vol', False)} as r_vol, {rank('mdd')} as r_mdd, {rank('dd_freq', False)} as r_freq from k3), k5 as (select *, {mix(r_vol=.5, r_mdd=.3, r_freq=.2)} as risk_score from k4),
-risks as (select *, case when count(vol) over ({X}) = count(*) over ({X}) and count(vol) over ({X}) > 1 then greatest(1, ceil(5.0::double * (row_number() over ({X} order by vol nulls last, ticker) - 1) / (count(vol) over ({X}) - 1))) else 3 end::int as risk_band, vol > quantile_cont(vol, 0.85) over ({X}) or mdd < -0.40::double as tail from k5)"""
+risks as (select *, case when count(vol) over ({X}) = count(*) over ({X}) and count(vol) over ({X}) > 1 then greatest(1, ceil(5.0::double * (row_number() over ({X} order by vol nulls last, ticker) - 1) / (count(vol) over ({X}) - 1))) else 3 end::int as risk_band, coalesce(vol > quantile_cont(vol, 0.85) over ({X}) or mdd < -0.40::double, false) as tail from k5)"""
 
 SQL: dict[str, str] = {
     "adapter_prices": C + "select date, ticker, close, volume from prices",
