@@ -148,7 +148,7 @@ class Scanner:
     def weight(self, word: str) -> float:
         """Log-odds of the word or else of its longest stem that has some, 0 where nothing is known; less the rent."""
         if (w := self.known.get(word)) is None:
-            if len(self.known) > 200_000:
+            if len(self.known) > 60_000:
                 self.known.clear()
             own = self.weights
             odds = own[word] if word in own else next((own[x] for k in reversed(STEMS) if len(word) >= k and (x := word[:k] + "*") in own), 0.0)
@@ -200,7 +200,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 40_000, prior: float
     every text scores the rate of label 1. lambda is at most 10. A document with several labels counts once for each.
     """
     spark = docs.sparkSession
-    small_batches(spark)
+    small_batches(spark, 400)
     own = labels.where("toxic in (0, 1) and doc_id is not null").select("doc_id", F.col("toxic").cast("long").alias("toxic")).distinct()
     total = own.count()
     keep = int(1_000_000 * min(1.0, max_rows / max(total, 1)))
@@ -259,7 +259,7 @@ def score(docs: DataFrame, model: ToxicityModel, least: float = 0.0) -> DataFram
     text, for segments expected less than once by chance) to docs (text, ...); columns of these names are replaced.
     Null and empty texts score as texts without passages; repeated rows repeat; an empty table gives no rows. With
     least > 0 only rows that score less are kept."""
-    small_batches(docs.sparkSession)
+    small_batches(docs.sparkSession, 400)
     docs = docs.drop("toxicity", "n_tokens", "passages")
     kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("score", pa.float64()), ("evalue", pa.float64())]))
 
