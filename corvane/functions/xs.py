@@ -50,8 +50,8 @@ def winsorize(df: DataFrame, column: str, keys: list[str], low: float = 0.02, hi
 
 
 def sector_neutral(df: DataFrame, column: str, keys: list[str], sector: str = "sector") -> DataFrame:
-    """Demeaned within sector, then ranked over keys."""
-    gap = df.withColumn("__gap", F.col(column) - F.avg(column).over(by(*keys, sector)))
+    """Demeaned within sector, then ranked over keys; gaps that are equal but for rounding are ties."""
+    gap = df.withColumn("__gap", F.round(F.col(column) - F.avg(column).over(by(*keys, sector)), 9))
     return gap.withColumn(column, pct_rank(F.col("__gap"), *keys)).drop("__gap")
 
 

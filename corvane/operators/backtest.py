@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from corvane.functions.perf import correlation, metrics
 from corvane.functions.xs import normalised, pct_rank
+from corvane.operators.panel import as_of
 
 STYLES = ("value", "quality", "growth", "garp", "momentum", "low_vol")
 # fixed values: style weights of the templates
@@ -89,11 +90,34 @@ def classify_regime(benchmarks: DataFrame, breadths: DataFrame) -> DataFrame:
     return b.select("date", F.when(F.col("n") < 60, "sideways_low_vol").otherwise(F.concat_ws("_", trend, vol)).alias("regime"), "breadth")
 
 
-def best_template(daily: DataFrame, templates: DataFrame) -> DataFrame:
-    """template, style and normalised weight w of the template with the highest Sharpe ratio; ties go to the first name,
-    a null ratio comes last."""
-    first = summary(daily).orderBy(F.desc_nulls_last("sharpe"), "template").limit(1).select("template")
-    return templates.join(first, "template").select("template", "style", (F.greatest("w", F.lit(0.0)) / F.sum(F.greatest("w", F.lit(0.0))).over(Window.partitionBy("template"))).alias("w"))
+def trailing_best(daily: DataFrame, dates: DataFrame, calendar: DataFrame, lookback: int = 1000) -> DataFrame:
+    """as_of, template, sharpe: at each date the template with the highest Sharpe ratio over the last `lookback`
+    days of the calendar (date) up to it. Ratios come from running sums of log returns, returns and their squares, taken
+    at both ends of the window. A ratio of 0 or none comes last, ties go by the order of TEMPLATES, so a date without
+    history has the first of them. daily: template, date, ret."""
+    day = Window.orderBy("date")  # one row a day
+    days = calendar.select("date").distinct().withColumn("start", F.coalesce(F.lag("date", lookback - 1).over(day), F.first("date").over(day)))
+    ends = dates.select("as_of").join(days, F.col("as_of") == F.col("date")).select("as_of", "start")
+    w = Window.partitionBy("template").orderBy("date").rowsBetween(Window.unboundedPreceding, 0)
+    known = daily.where("ret is not null")
+    log = F.when(F.col("ret") > -1, F.log1p("ret")).otherwise(-1e5)
+    sums = known.select("template", F.col("date").alias("pub_date"), F.count("ret").over(w).alias("n"), F.sum(log).over(w).alias("l"), F.sum("ret").over(w).alias("s"), F.sum(F.col("ret") ** 2).over(w).alias("q"))
+    spark = daily.sparkSession
+    names = spark.createDataFrame([(t, i) for i, t in enumerate(TEMPLATES)], "template string, place int")
+    grid = ends.join(names, how="cross")  # a row for each date and template
+    at = lambda c, p: as_of(sums, grid.select("template", F.col(c).alias("as_of")).distinct(), key="template").select("template", F.col("as_of").alias(c), *[F.col(x).alias(f"{p}{x}") for x in "nlsq"])
+    both = grid.join(at("as_of", "b"), ["template", "as_of"], "left").join(at("start", "a"), ["template", "start"], "left")
+    diff = lambda x: F.coalesce(f"b{x}", F.lit(0)) - F.coalesce(f"a{x}", F.lit(0))
+    both = both.select("as_of", "template", "place", *[diff(x).alias(x) for x in "nlsq"])
+    sd = F.sqrt(F.greatest(F.col("q") / F.col("n") - (F.col("s") / F.col("n")) ** 2, F.lit(0.0)))
+    ratio = F.when((F.col("n") >= 2) & (sd > 1e-12), (F.exp(F.col("l") * 252 / F.col("n")) - 1) / (sd * 252**0.5))
+    order = F.when(F.abs(ratio) > 1e-12, F.round(ratio, 9)).desc_nulls_last()
+    return both.withColumn("sharpe", ratio).withColumn("k", F.row_number().over(Window.partitionBy("as_of").orderBy(order, "place"))).where("k = 1").select("as_of", "template", "sharpe")
+
+
+def blend_of(best: DataFrame, templates: DataFrame) -> DataFrame:
+    """as_of, style and normalised weight w of each date's template."""
+    return best.join(templates, "template").select("as_of", "style", normalised(F.col("w"), "as_of").alias("w"))
 
 
 def point_in_time(scores: DataFrame, members: DataFrame) -> DataFrame:
@@ -101,12 +125,32 @@ def point_in_time(scores: DataFrame, members: DataFrame) -> DataFrame:
     return scores.join(members.select("as_of", "ticker").distinct(), ["as_of", "ticker"], "left_semi")
 
 
-def stability(now: DataFrame, then: DataFrame) -> DataFrame:
-    """Rank correlation, drift and confidence of a composite (as_of, ticker, score) against an earlier one."""
-    j = now.join(then.select("as_of", "ticker", F.col("score").alias("old")), ["as_of", "ticker"])
-    j = j.withColumn("a", pct_rank(F.col("score"), "as_of")).withColumn("b", pct_rank(F.col("old"), "as_of"))
-    out = j.groupBy("as_of").agg(correlation("a", "b").alias("rho"), F.avg(F.abs(F.col("score") - F.col("old"))).alias("drift"))
-    return out.withColumn("confidence", F.greatest(F.lit(0.0), F.least(F.lit(1.0), 0.5 * (F.coalesce("rho", F.lit(0.0)) + 1) - 0.003 * F.col("drift"))))
+def lagged_dates(dates: DataFrame, calendar: DataFrame, rows: int = 5) -> DataFrame:
+    """as_of and the day `rows` rows of the calendar (date) before it, null where there is none."""
+    days = calendar.select("date").distinct().withColumn("lagged", F.lag("date", rows).over(Window.orderBy("date")))  # one row a day
+    return dates.select("as_of").join(days, F.col("as_of") == F.col("date")).select("as_of", "lagged")
+
+
+def stability(panel: DataFrame, lags: DataFrame, weights: DataFrame) -> DataFrame:
+    """The rank correlation of a composite with itself on the lagged day, the mean change of the styles and the
+    confidence from both. panel: as_of, ticker and styles, of dates and lagged days alike; lags: as_of, lagged; weights:
+    as_of, style, weight, with portfolio_id where each client has its own. Missing styles count as 50 in composites and
+    not at all in the change; with under five common names, or no lagged day, the confidence is 0.5."""
+    keys = [c for c in ("portfolio_id", "as_of") if c in weights.columns]
+    then = panel.select(F.col("as_of").alias("lagged"), "ticker", *[F.col(s).alias(f"old_{s}") for s in STYLES])
+    both = panel.join(lags.where("lagged is not null"), "as_of").join(then, ["lagged", "ticker"])
+    moved = both.groupBy("as_of").agg(F.count("*").alias("n"), *[F.avg(F.abs(F.col(s) - F.col(f"old_{s}"))).alias(s) for s in STYLES])
+    known = F.filter(F.array(*STYLES), lambda x: x.isNotNull())
+    moved = moved.select("as_of", "n", F.try_divide(F.aggregate(known, F.lit(0.0), lambda a, x: a + x), F.size(known)).alias("drift"))
+    wide = weights.groupBy(*keys).pivot("style", list(STYLES)).agg(F.sum("weight")).select(*keys, *[F.coalesce(s, F.lit(0.0)).alias(f"w_{s}") for s in STYLES])
+    mean = lambda p: sum((F.col(f"w_{s}") * F.coalesce(f"{p}{s}", F.lit(50.0)) for s in STYLES), F.lit(0.0)) / sum((F.col(f"w_{s}") for s in STYLES), F.lit(0.0))
+    pairs = both.join(wide, "as_of").select(*keys, F.round(mean(""), 9).alias("x"), F.round(mean("old_"), 9).alias("y"))
+    ranked = pairs.withColumn("a", pct_rank(F.col("x"), *keys)).withColumn("b", pct_rank(F.col("y"), *keys))
+    rho = ranked.groupBy(*keys).agg(correlation("a", "b").alias("rho"))
+    out = wide.select(*keys).join(rho, keys, "left").join(moved, "as_of", "left")
+    enough = F.coalesce(F.col("n") >= 5, F.lit(False))
+    sure = F.greatest(F.lit(0.0), F.least(F.lit(1.0), 0.5 * (F.coalesce("rho", F.lit(0.0)) + 1) - 0.003 * F.col("drift")))
+    return out.select(*keys, F.when(enough, F.coalesce("rho", F.lit(0.0))).alias("rho"), F.when(enough, F.col("drift")).alias("drift"), F.when(enough, sure).otherwise(0.5).alias("confidence"))
 
 
 def prior_table(spark) -> DataFrame:
@@ -114,12 +158,13 @@ def prior_table(spark) -> DataFrame:
 
 
 def style_weights(regimes: DataFrame, priors: DataFrame, best: DataFrame | None = None, tilts: DataFrame | None = None, share: float = 0.35) -> DataFrame:
-    """The regime's prior blended with the best template's weights (style, w), tilted (client_id, style, tilt;
-    else 1) and normalised over the styles of the panel. regimes: as_of, regime."""
+    """The regime's prior blended with the weights of each date's best template (as_of, style, w; see
+    trailing_best), tilted (client_id, style, tilt; else 1) and normalised over the styles of the panel. regimes: as_of,
+    regime."""
     df = regimes.join(priors.where(F.col("style").isin(*STYLES)), "regime")
     raw = F.col("prior")
     if best is not None:
-        df = df.join(best.select("style", "w"), "style", "left")
+        df = df.join(best.select("as_of", "style", "w"), ["as_of", "style"], "left")
         raw = (1 - share) * raw + share * F.coalesce("w", F.lit(0.0))
     keys = ["as_of"] if tilts is None else ["client_id", "as_of"]
     if tilts is not None:

@@ -149,6 +149,101 @@ def logistic_fit(panel: DataFrame, names: list[str], l2: float = 1.0) -> DataFra
     return panel.sparkSession.createDataFrame([(c, float(w), float(stats[f"m_{c}"]), float(sd[c]), float(fit.intercept)) for c, w in zip(names, fit.coefficients, strict=True)], "feature string, coef double, mean double, sd double, intercept double")
 
 
+def fold_dates(panel: DataFrame, min_train: int = 12, blocks: int = 5, purge: int = 1) -> DataFrame:
+    """Fold, first, last (test dates) and cutoff: a fold trains on the dates before its cutoff. As walk_forward."""
+    days = panel.select("as_of").distinct().withColumn("i", F.row_number().over(Window.orderBy("as_of")) - 1)  # one row a date
+    n = days.count()
+    size = max(1, math.ceil((n - min_train) / blocks))
+    starts = list(range(min_train, n, size)) if n > min_train + 1 else []
+    spark = panel.sparkSession
+    marks = spark.createDataFrame([(f, b, min(b + size, n) - 1, max(b - purge, 0)) for f, b in enumerate(starts)], "fold int, b int, e int, c int")
+    at = lambda x, name: days.select(F.col("i").alias(x), F.col("as_of").alias(name))
+    return marks.join(at("b", "first"), "b").join(at("e", "last"), "e").join(at("c", "cutoff"), "c").select("fold", "first", "last", "cutoff")
+
+
+def logistic_walk_forward(panel: DataFrame, names: list[str], target: str = "outperform", l2: float = 1.0, min_train: int = 12, blocks: int = 5, purge: int = 1, rounds: int = 25, least: int = 30) -> DataFrame:
+    """M9, M10 for the classification task, in the form of walk_forward: each fold's logistic regression on features
+    standardised by its own training rows, with a penalty of l2 / 2 on the squared coefficients and none on the intercept.
+
+    Iteratively reweighted least squares: an iteration is one grouped pass for all folds at once, whose weighted sums of
+    products are added up where the rows are; the few coefficients are solved here. Folds with under `least` training
+    rows, or whose rows have one label alone, fall out."""
+    k = len(names)
+    folds = {r.fold: r for r in fold_dates(panel, min_train, blocks, purge).collect()}  # as many rows as blocks
+    spark = panel.sparkSession
+    schema = "fold int, first date, last date, intercept double, n_train long, coef array<double>, mean array<double>, sd array<double>"
+    if not folds:
+        return spark.createDataFrame([], schema)
+    few = spark.createDataFrame([(f, r.cutoff) for f, r in folds.items()], "fold int, cutoff date")
+    rows = panel.join(F.broadcast(few), F.col("as_of") < F.col("cutoff")).select("fold", F.col(target).cast("double").alias("__y"), *names)
+    stats = rows.groupBy("fold").agg(F.count("*").alias("n"), F.avg("__y").alias("share"), F.array(*[F.avg(c) for c in names]).alias("mean"), F.array(*[F.stddev_pop(c) for c in names]).alias("sd"))
+    stats = {r.fold: r for r in stats.collect() if r.n >= least and 0 < r.share < 1}
+    if not stats:
+        return spark.createDataFrame([], schema)
+    mean = {f: np.array(r["mean"]) for f, r in stats.items()}
+    sd = {f: np.where(np.array(r["sd"]) < 1e-12, 1.0, np.array(r["sd"])) for f, r in stats.items()}
+    beta, still = {f: np.zeros(k + 1) for f in stats}, set(stats)
+    pairs = [(i, j) for i in range(k + 1) for j in range(i, k + 1)]
+    for _ in range(rounds):
+        now = spark.createDataFrame([(f, beta[f].tolist(), mean[f].tolist(), sd[f].tolist()) for f in sorted(still)], "fold int, __b array<double>, __m array<double>, __s array<double>")
+        x = [F.lit(1.0).alias("__x0")] + [((F.col(c) - F.col("__m")[i]) / F.col("__s")[i]).alias(f"__x{i + 1}") for i, c in enumerate(names)]
+        z = rows.join(F.broadcast(now), "fold").select("fold", "__y", "__b", *x)
+        z = z.withColumn("__p", 1 / (1 + F.exp(-sum((F.col(f"__x{i}") * F.col("__b")[i] for i in range(k + 1)), F.lit(0.0)))))
+        z = z.withColumn("__w", F.col("__p") * (1 - F.col("__p"))).withColumn("__r", F.col("__y") - F.col("__p"))
+        sums = z.groupBy("fold").agg(F.array(*[F.sum(F.col("__w") * F.col(f"__x{i}") * F.col(f"__x{j}")) for i, j in pairs]).alias("h"), F.array(*[F.sum(F.col("__r") * F.col(f"__x{i}")) for i in range(k + 1)]).alias("g"))
+        for r in sums.collect():  # a row of a fold
+            h = np.zeros((k + 1, k + 1))
+            for v, (i, j) in zip(r.h, pairs, strict=True):
+                h[i, j] = h[j, i] = v
+            ridge = l2 * np.diag([0.0, *[1.0] * k])
+            step = np.linalg.solve(h + ridge, np.array(r.g) - ridge @ beta[r.fold])
+            beta[r.fold] = beta[r.fold] + step
+            if np.abs(step).max() < 1e-10:
+                still.discard(r.fold)
+        if not still:
+            break
+    out = [(f, folds[f].first, folds[f].last, float(beta[f][0]), int(stats[f].n), beta[f][1:].tolist(), mean[f].tolist(), sd[f].tolist()) for f in sorted(stats)]
+    return spark.createDataFrame(out, schema)
+
+
+def classify_folds(panel: DataFrame, folds: DataFrame, names: list[str]) -> DataFrame:
+    """Out-of-sample probabilities of logistic_walk_forward's folds, as `pred`."""
+    return predict_folds(panel, folds, names).withColumn("pred", 1 / (1 + F.exp(-F.col("pred"))))
+
+
+def accuracy(oos: DataFrame) -> DataFrame:
+    """Share of probabilities on the side of their label, and the number of rows."""
+    return oos.agg(F.avg(((F.col("pred") >= 0.5).cast("int") == F.col("outperform")).cast("double")).alias("oos_accuracy"), F.count("*").alias("n"))
+
+
+def rolling_folds(panel: DataFrame, names: list[str], target: str = "fwd_excess", alpha: float = 10.0, every: int = 6, lookback_days: int | None = None, first: int = 12, purge: int = 7, least: int = 30) -> DataFrame:
+    """A ridge model refitted at every `every`-th date from the `first`-th on, in the form of walk_forward; it
+    scores the dates up to the next refit. It trains on the dates at least `purge` before it and, with lookback_days, not
+    older than these. One pass sums each date; a window's sums are differences of running sums, so a refit costs no more
+    than its solution. Refits with under `least` rows are left out: the model before scores their dates too."""
+    k = len(names)
+    schema = "fold int, first date, last date, intercept double, n_train long, coef array<double>, mean array<double>, sd array<double>"
+
+    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("as_of").reset_index(drop=True)
+        total, days, rows = np.cumsum(np.stack(pdf["sums"].to_list()), axis=0), pd.to_datetime(pdf.as_of), []
+        for b in range(first, len(pdf), every):
+            end = b - purge - 1
+            start = -1 if lookback_days is None else int((days < days[b] - pd.Timedelta(days=lookback_days)).sum()) - 1
+            if end <= start:
+                continue
+            sums = total[end] - (total[start] if start >= 0 else 0)
+            if sums[0] < least:
+                continue
+            w, icept, mean, sd = _ridge(sums, k, alpha)
+            rows.append([len(rows), pdf.as_of[b], pdf.as_of.iloc[-1], float(icept), int(round(sums[0])), w.tolist(), mean.tolist(), sd.tolist()])
+        for a, z in zip(rows, rows[1:], strict=False):
+            a[2] = max(d for d in pdf.as_of if d < z[1])
+        return pd.DataFrame(rows, columns=["fold", "first", "last", "intercept", "n_train", "coef", "mean", "sd"])
+
+    return gram(panel, names, target).groupBy(F.lit(1).alias("one")).applyInPandas(solve, schema)
+
+
 def ic_by_date(df: DataFrame, score: str, target: str = "fwd_return", keys: list[str] = ()) -> DataFrame:
     """Rank correlation of each date; null under three rows."""
     own = ["as_of", *keys]

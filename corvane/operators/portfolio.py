@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corvane.functions.xs import blend, clipped, pct_rank
@@ -41,72 +41,96 @@ def tilted(df: DataFrame, tilt: float = 0.0) -> DataFrame:
     return df.withColumn("score", (1 - tilt) * F.col("integrated_score") + tilt * F.coalesce(pct_rank(F.col("market_cap"), *BOOK), F.lit(50.0)))
 
 
-def candidates(df: DataFrame, max_holdings: int = 25, sector_cap: float = 0.30) -> DataFrame:
-    """At most max(2, ceil(cap * holdings) + 1) names of a sector, then the best max_holdings."""
-    most = max(2, int(np.ceil(sector_cap * max_holdings)) + 1)
+def candidates(df: DataFrame, max_holdings: int = 25, sector_cap: float | Column = 0.30) -> DataFrame:
+    """At most max(2, ceil(cap * holdings) + 1) names of a sector, then the best max_holdings. The cap may be a
+    column, such as each client's own."""
+    cap = F.lit(sector_cap) if isinstance(sector_cap, float) else sector_cap
+    most = F.greatest(F.lit(2), F.ceil(F.round(cap * max_holdings, 9)) + 1)
     order = (F.round("score", 8).desc(), F.col("ticker"))
     own = df.where(F.col("score").isNotNull())
     own = own.withColumn("__s", F.row_number().over(Window.partitionBy(*BOOK, "sector").orderBy(*order))).where(F.col("__s") <= most)
     return own.withColumn("place", F.row_number().over(Window.partitionBy(*BOOK).orderBy(*order))).where(F.col("place") <= max_holdings).drop("__s")
 
 
-def base_weights(df: DataFrame, concentration: float = 1.0, position_cap: float = 0.10, min_weight: float = 0.01) -> DataFrame:
-    """Weights by score and each name's cap."""
+def base_weights(df: DataFrame, concentration: float | Column = 1.0, position_cap: float | Column = 0.10, min_weight: float = 0.01) -> DataFrame:
+    """Weights by score and each name's cap, which is its liquidity's where that is tighter."""
     w = Window.partitionBy(*BOOK)
-    raw = F.power(F.col("score") - F.min("score").over(w) + 5, concentration)
-    cap = F.greatest(F.least(F.lit(position_cap), F.coalesce("max_weight_by_liquidity", F.lit(1.0))), F.lit(min_weight))
+    lit = lambda x: F.lit(x) if isinstance(x, float) else x
+    raw = F.power(F.col("score") - F.min("score").over(w) + 5, lit(concentration))
+    cap = F.greatest(F.least(lit(position_cap), F.coalesce("max_weight_by_liquidity", F.lit(1.0))), F.lit(min_weight))
     return df.withColumn("__raw", raw).withColumn("base", F.col("__raw") / F.sum("__raw").over(w)).withColumn("cap", cap).drop("__raw")
 
 
-def filled(w: np.ndarray, cap: np.ndarray, rounds: int = 50) -> np.ndarray:
-    """Weights over their caps give the excess to the others in proportion; the sum stays 1."""
-    w = w / w.sum()
-    for _ in range(rounds):
-        over = w > cap + 1e-12
-        if not over.any():
-            break
-        excess = (w[over] - cap[over]).sum()
-        w = np.where(over, cap, w)
-        room = ~over & (w < cap)
-        if not room.any() or w[room].sum() <= 0:
-            break
-        w[room] += excess * w[room] / w[room].sum()
-    return w / w.sum()
-
-
-def sector_filled(w: np.ndarray, cap: np.ndarray, sector: np.ndarray, most: float, rounds: int = 50) -> np.ndarray:
-    """Sectors over their cap are scaled down, the excess goes where there is headroom."""
-    for _ in range(rounds):
-        sums = {s: w[sector == s].sum() for s in set(sector)}
-        over = [s for s, x in sums.items() if x > most + 1e-9]
-        if not over:
-            break
-        excess = 0.0
-        for s in over:
-            excess += sums[s] - most
-            w = np.where(sector == s, w * most / sums[s], w)
-        head = np.where(np.isin(sector, over), 0.0, np.maximum(cap - w, 0.0))
-        if head.sum() <= 1e-12:
-            break
-        w = w + np.minimum(head, excess * head / head.sum())
-    return filled(w, cap)
-
-
-def construct(df: DataFrame, sector_cap: float = 0.30, min_weight: float = 0.01, min_holdings: int = 5) -> DataFrame:
-    """Each book's weights (base, cap, sector); books are bounded by their mandate, one small group each."""
-
-    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("ticker").reset_index(drop=True)
-        w = sector_filled(filled(pdf.base.to_numpy(), pdf.cap.to_numpy()), pdf.cap.to_numpy(), pdf.sector.to_numpy(), sector_cap)
-        keep = w >= min_weight - 1e-12
-        if keep.sum() >= min_holdings and not keep.all():
-            pdf, w = pdf[keep].reset_index(drop=True), w[keep]
-        for _ in range(3):
-            w = sector_filled(filled(w, pdf.cap.to_numpy()), pdf.cap.to_numpy(), pdf.sector.to_numpy(), sector_cap)
-        return pdf.assign(weight=w)[["portfolio_id", "as_of", "ticker", "sector", "score", "weight"]]
-
-    own = df.select("portfolio_id", "as_of", "ticker", F.coalesce("sector", F.lit("Unknown")).alias("sector"), "score", "base", "cap")
-    return own.groupBy(*BOOK).applyInPandas(solve, "portfolio_id string, as_of date, ticker string, sector string, score double, weight double")
+def _let(value: Column, body) -> Column:
+    """body of one evaluation of value."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def _total(xs: Column) -> Column:
+    return F.aggregate(xs, F.lit(0.0), lambda a, x: a + x)
+
+
+def _shares(w: Column) -> Column:
+    return _let(_total(w), lambda t: F.transform(w, lambda x: x / t))
+
+
+def filled(weights: Column, caps: Column) -> Column:
+    """E7 on arrays: min(cap, level * weight) with the level at which the sum is 1. In order of cap over weight a name is
+    capped as long as what is left for the others would lift it over its cap; where all caps don't reach 1 together,
+    their shares. Repeated proportional hand-outs end there too."""
+    ratio = lambda w, c: F.struct(F.when(w > 0, c / w).otherwise(1e300).alias("r"), c.alias("c"), w.alias("w"))
+
+    def level(w: Column) -> Column:
+        step = lambda s, x: F.when(x["r"] * s["o"] < 1 - s["c"], F.struct((s["c"] + x["c"]).alias("c"), (s["o"] - x["w"]).alias("o"))).otherwise(s)
+        start = F.struct(F.lit(0.0).alias("c"), F.lit(1.0).alias("o"))
+        return F.aggregate(F.array_sort(F.zip_with(w, caps, ratio)), start, step, lambda s: F.when(s["o"] > 1e-12, (1 - s["c"]) / s["o"]).otherwise(1e300))
+
+    capped = lambda w: _let(level(w), lambda k: F.zip_with(w, caps, lambda x, c: F.least(c, k * x)))
+    return _let(_shares(weights), lambda w: _shares(capped(w)))
+
+
+def sector_filled(weights: Column, caps: Column, sectors: Column, most: Column, rounds: int = 50) -> Column:
+    """E8 on arrays: in each round the sectors that are over their cap at its start, by name, are scaled down one after
+    the other; what each frees goes to all names outside it by their headroom. Then position caps hold again."""
+
+    def of(w: Column, s: Column) -> Column:
+        return _total(F.zip_with(w, sectors, lambda x, t: F.when(t == s, x).otherwise(0.0)))
+
+    def scaled(v: Column, s: Column, total: Column) -> Column:
+        less = F.zip_with(v, sectors, lambda x, t: F.when(t == s, x * most / total).otherwise(x))
+        freed = of(v, s) * (1 - most / total)
+        room = lambda u: F.zip_with(F.zip_with(u, caps, lambda x, c: F.greatest(c - x, F.lit(0.0))), sectors, lambda h, t: F.when(t == s, 0.0).otherwise(h))
+        give = lambda u, h: _let(F.struct(freed.alias("f"), _total(h).alias("t")), lambda k: F.when(k["t"] > 0, F.zip_with(u, h, lambda x, y: x + k["f"] * y / k["t"])).otherwise(u))
+        return _let(less, lambda u: _let(room(u), lambda h: give(u, h)))
+
+    def one_round(state: Column) -> Column:
+        w = _shares(state["w"])
+        over = lambda x: F.filter(F.transform(F.array_sort(F.array_distinct(sectors)), lambda s: F.struct(s.alias("s"), of(x, s).alias("t"))), lambda g: g["t"] > most + 1e-9)
+        fold = lambda x, own: F.struct(F.aggregate(own, x, lambda v, g: scaled(v, g["s"], g["t"])).alias("w"), (F.size(own) == 0).alias("done"))
+        return _let(w, lambda x: _let(over(x), lambda own: fold(x, own)))
+
+    start = F.struct(weights.alias("w"), F.lit(False).alias("done"))
+    ended = F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), start, lambda s, _: F.when(s["done"], s).otherwise(one_round(s)), lambda s: s["w"])
+    return _let(ended, lambda w: filled(w, caps))
+
+
+def construct(df: DataFrame, min_weight: float = 0.01, min_holdings: int = 5) -> DataFrame:
+    """Each book's weights from base, cap, sector and the book's sector_cap; names under min_weight go where at least
+    min_holdings stay. A book is one row with an array of its names, whose number its mandate bounds."""
+    name = F.struct("ticker", F.coalesce("sector", F.lit("Unknown")).alias("sector"), "score", "base", F.col("cap").cast("double").alias("cap"))
+    books = df.groupBy(*BOOK).agg(F.first("sector_cap").cast("double").alias("most"), F.array_sort(F.collect_list(name)).alias("n"))
+
+    def solved(names: str, w: Column) -> Column:
+        caps, sectors = F.transform(names, lambda x: x["cap"]), F.transform(names, lambda x: x["sector"])
+        return _let(filled(w, caps), lambda v: sector_filled(v, caps, sectors, F.col("most")))
+
+    books = books.withColumn("w", solved("n", F.transform("n", lambda x: x["base"])))
+    every = F.zip_with("n", "w", lambda x, w: F.struct(x["ticker"].alias("ticker"), x["sector"].alias("sector"), x["score"].alias("score"), w.alias("base"), x["cap"].alias("cap")))
+    books = books.withColumn("n", every).withColumn("kept", F.filter("n", lambda x: x["base"] >= min_weight))
+    books = books.withColumn("n", F.when(F.size("kept") >= min_holdings, F.col("kept")).otherwise(F.col("n"))).drop("kept", "w")
+    books = books.withColumn("w", solved("n", _shares(F.transform("n", lambda x: x["base"]))))
+    rows = books.select(*BOOK, F.explode(F.arrays_zip("n", "w")).alias("x"))
+    return rows.select(*BOOK, "x.n.ticker", "x.n.sector", "x.n.score", F.col("x.w").alias("weight"))
 
 
 def posture(regime) -> tuple:
@@ -131,11 +155,12 @@ def book_score(weights: DataFrame, scores: DataFrame) -> DataFrame:
     return df.groupBy(*BOOK).agg(F.sum(F.col("weight") * F.coalesce("__s", "__mid")).alias("book_score"))
 
 
-def decision(books: DataFrame, turnover_cap: float = 0.30) -> DataFrame:
-    """E13 on one row a book: new_score, old_score, cost, initial, violations, quality, confidence, d_vol, d_beta, turnover."""
+def decision(books: DataFrame, turnover_cap: float = 0.35) -> DataFrame:
+    """E13 on one row a book: new_score, old_score, cost, initial, violations, quality, confidence, d_vol, d_beta,
+    turnover. The turnover cap is the house's for all clients; a change of risk that isn't known passes."""
     c = F.col
     df = books.withColumn("improvement", c("new_score") - F.coalesce("old_score", F.lit(0.0)) - 100 * c("cost"))
-    gates = {"gate_improvement": c("initial") | (c("improvement") >= 1.5), "gate_mandate": c("violations") == 0, "gate_quality": c("quality") != "Critical", "gate_confidence": c("confidence") >= 0.35, "gate_risk": c("initial") | ((c("d_vol") <= 0.02) & (c("d_beta") <= 0.15)), "gate_turnover": c("initial") | (c("turnover") <= turnover_cap)}
+    gates = {"gate_improvement": c("initial") | (c("improvement") >= 1.5), "gate_mandate": c("violations") == 0, "gate_quality": c("quality") != "Critical", "gate_confidence": c("confidence") >= 0.35, "gate_risk": c("initial") | (F.coalesce(c("d_vol") <= 0.02, F.lit(True)) & F.coalesce(c("d_beta") <= 0.15, F.lit(True))), "gate_turnover": c("initial") | (c("turnover") <= turnover_cap)}
     df = df.withColumns({k: F.coalesce(g, F.lit(False)) for k, g in gates.items()})
     ok = F.forall(F.array(*gates), lambda x: x)
     failed = F.array_join(F.filter(F.array(*[F.when(~c(g), F.lit(g.removeprefix("gate_"))) for g in gates]), lambda x: x.isNotNull()), ", ")
@@ -152,9 +177,9 @@ def holding_classes(df: DataFrame) -> DataFrame:
     return df.withColumn("weakest", which).withColumn("weakest_score", weak).withColumn("class", F.when(weak < 25, "thesis_broken").when(weak.isNotNull() & fell, "out_of_favor").otherwise("healthy"))
 
 
-def verdict(summary: DataFrame) -> DataFrame:
-    """variants' Sharpe ratios side by side."""
-    p = summary.groupBy().pivot("variant", ["rules", "ml"]).agg(F.first("sharpe"))
+def verdict(summary: DataFrame, keys: list[str] = ()) -> DataFrame:
+    """variants' Sharpe ratios side by side, for each of keys."""
+    p = summary.groupBy(*keys).pivot("variant", ["rules", "ml"]).agg(F.first("sharpe"))
     d = F.col("ml") - F.col("rules")
     return p.withColumn("delta", d).withColumn("verdict", F.when(d > 0.05, "added").when(d < -0.05, "hurt").otherwise("neutral"))
 

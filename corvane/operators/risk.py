@@ -87,10 +87,12 @@ def portfolio_risk(daily: DataFrame) -> DataFrame:
     return daily.groupBy(*BOOK).agg((F.stddev_pop("ret") * 252**0.5).alias("vol"), F.when(F.count("ret") > 20, beta).otherwise(1.0).alias("beta"), F.count("*").alias("n_days"))
 
 
-def alerts(conc: DataFrame, sectors: DataFrame, position_cap: float = 0.10, top5_cap: float = 0.40, sector_cap: float = 0.30) -> DataFrame:
-    """One row for each breach."""
-    row = lambda df, test, what, x: df.where(test).select(*BOOK, F.lit(what).alias("alert"), x.alias("amount"))
-    return row(conc, F.col("top1") > position_cap, "position", F.col("top1")).unionByName(row(conc, F.col("top5") > top5_cap, "top5", F.col("top5"))).unionByName(row(sectors, F.col("exposure") > sector_cap, "sector", F.col("exposure")))
+def alerts(conc: DataFrame, sectors: DataFrame, position_cap: float = 0.08, sector_cap: float = 0.25, least: int = 20, most: int = 30) -> DataFrame:
+    """One row for each breach: too few or too many names, the largest position, each sector over its cap."""
+    row = lambda df, test, what, x: df.where(test).select(*BOOK, F.lit(what).alias("alert"), x.cast("double").alias("amount"))
+    n = F.col("n_positions")
+    out = row(conc, n < least, "few holdings", n).unionByName(row(conc, n > most, "many holdings", n))
+    return out.unionByName(row(conc, F.col("top1") > position_cap + 1e-9, "position", F.col("top1"))).unionByName(row(sectors, F.col("exposure") > sector_cap + 1e-9, "sector", F.col("exposure")))
 
 
 def crowding(exposures: DataFrame, styles: list[str]) -> DataFrame:
@@ -113,27 +115,35 @@ def robustness(scores: DataFrame, styles: list[str]) -> DataFrame:
 
 
 def data_quality(rows: DataFrame, facts: DataFrame) -> DataFrame:
-    """R11 over windowed rows (as_of, ticker, close, ret); facts: as-of rows with market_cap."""
-    per = rows.groupBy(ON, "ticker").agg(F.avg(F.col("close").isNull().cast("double")).alias("missing"), ((F.count_distinct("close") <= 1) & (F.count("close") > 1)).alias("stale"), F.sum((F.abs("ret") > 0.5).cast("int")).alias("outliers"))
-    out = per.groupBy(ON).agg(F.avg("missing").alias("missing"), F.sum(F.col("stale").cast("int")).alias("stale"), F.sum("outliers").alias("outliers"), F.count("*").alias("n"))
-    cover = facts.groupBy(ON).agg(F.count("market_cap").alias("c"))
-    out = out.join(cover, ON, "left").withColumn("coverage", F.coalesce("c", F.lit(0)) / F.col("n")).drop("c")
-    bad = (F.col("missing") > 0.20) | (F.col("coverage") < 0.50)
-    warn = (F.col("missing") > 0.05) | (F.col("stale") > 0) | (F.col("outliers") > 0) | (F.col("coverage") < 0.80)
+    """R11 over windowed rows (as_of, ticker, close, ret); facts: as-of rows, all of whose fields count for coverage."""
+    per = rows.groupBy(ON, "ticker").agg(F.avg(F.col("close").isNull().cast("double")).alias("missing"), ((F.count_distinct("close") <= 1) & (F.count("close") > 1)).alias("stale"), (F.max(F.abs("ret")) > 0.5).alias("outlier"))
+    out = per.groupBy(ON).agg(F.avg("missing").alias("missing"), F.sum(F.col("stale").cast("int")).alias("stale"), F.sum(F.coalesce("outlier", F.lit(False)).cast("int")).alias("outliers"), F.count("*").alias("n"))
+    fields = [c for c in facts.columns if c not in (ON, "ticker", "pub_date")]
+    cover = facts.groupBy(ON).agg((sum((F.count(c) for c in fields), F.lit(0)) / (F.count("*") * len(fields))).alias("coverage"))
+    out = out.join(cover, ON, "left").withColumn("coverage", F.coalesce("coverage", F.lit(0.0)))
+    bad = (F.col("missing") > 0.10) | (F.col("coverage") < 0.6) | (F.col("stale") > 0.2 * F.greatest(F.col("n"), F.lit(1)))
+    warn = (F.col("missing") > 0.02) | (F.col("stale") > 0) | (F.col("outliers") > 0) | (F.col("coverage") < 0.9)
     return out.withColumn("status", F.when(bad, "Critical").when(warn, "Warning").otherwise("OK"))
 
 
-def mandate_violations(weights: DataFrame, securities: DataFrame, cap: float = 0.10, sector_cap: float = 0.30, least: int = 5, most: int = 40, avoid: list[str] = ()) -> DataFrame:
-    """One row for each rule that a book breaks."""
-    w = weights.join(securities.select("ticker", "sector"), "ticker", "left")
-    book = w.groupBy(*BOOK).agg(F.min("weight").alias("low"), F.max("weight").alias("high"), F.sum(F.abs("weight")).alias("gross"), F.count(F.when(F.col("weight") > 0, 1)).alias("n"))
-    sectors = w.groupBy(*BOOK, "sector").agg(F.sum("weight").alias("e"))
-    rules = {"short": (book, F.col("low") < 0), "gross": (book, F.col("gross") > 1 + 1e-9), "holdings": (book, ~F.col("n").between(least, most)), "position cap": (book, F.col("high") > cap + 1e-9), "sector cap": (sectors, F.col("e") > sector_cap + 1e-9), "excluded sector": (sectors, F.col("sector").isin(*avoid) & (F.col("e") > 0) if avoid else F.lit(False))}
-    out = None
-    for name, (df, test) in rules.items():
-        one = df.where(test).select(*BOOK, F.lit(name).alias("rule")).distinct()
-        out = one if out is None else out.unionByName(one)
-    return out
+def mandate_violations(weights: DataFrame, securities: DataFrame, terms: DataFrame, least: int = 20, most: int = 30, tol: float = 1e-6) -> DataFrame:
+    """One row for each rule that a book breaks. terms: portfolio_id, as_of where they change with it, position_cap,
+    sector_cap, and, where the client excludes any, avoid_sectors and avoid_themes (arrays of strings). Weights within
+    tol of 0 don't count."""
+    kinds = ("avoid_sectors", "avoid_themes")
+    terms = terms.withColumns({c: F.array().cast("array<string>") for c in kinds if c not in terms.columns})
+    keys = [k for k in BOOK if k in terms.columns]
+    w = weights.where(F.abs("weight") > tol).join(securities.select("ticker", "sector", *[c for c in ("themes",) if c in securities.columns]), "ticker", "left")
+    w = w.join(terms.select(*keys, "position_cap", "sector_cap", *kinds), keys)
+    themes = F.coalesce("themes", F.array().cast("array<string>")) if "themes" in w.columns else F.array().cast("array<string>")
+    avoided = lambda c: F.coalesce(c, F.array().cast("array<string>"))
+    hit = lambda test: F.max(F.coalesce(test, F.lit(False)))
+    x = F.col("weight")
+    book = w.groupBy(*BOOK).agg((F.min(x) < -tol).alias("short"), (F.sum(x) > 1 + 1e-4).alias("gross"), (~F.count("*").between(least, most)).alias("holdings"), hit(x > F.col("position_cap") + 1e-6).alias("position cap"), hit(F.array_contains(avoided(F.col("avoid_sectors")), F.col("sector"))).alias("excluded sector"), hit(F.arrays_overlap(themes, avoided(F.col("avoid_themes")))).alias("excluded theme"))
+    sectors = w.groupBy(*BOOK, "sector", "sector_cap").agg(F.sum(x).alias("e")).where(F.col("e") > F.col("sector_cap") + 1e-6).select(*BOOK).distinct()
+    rules = ["short", "gross", "holdings", "position cap", "excluded sector", "excluded theme"]
+    broken = book.select(*BOOK, F.explode(F.filter(F.array(*[F.when(F.col(f"`{r}`"), F.lit(r)) for r in rules]), lambda r: r.isNotNull())).alias("rule"))
+    return broken.unionByName(sectors.withColumn("rule", F.lit("sector cap")))
 
 
 def historical_stress(weights: DataFrame, returns: DataFrame, windows: DataFrame) -> DataFrame:
@@ -190,26 +200,30 @@ def bootstrap(daily: DataFrame, n_sims: int = 1000, horizon: int = 126, block: i
 
 
 def exclusions(securities: DataFrame, avoid_sectors: list[str], avoid_themes: list[str]) -> DataFrame:
-    """C1."""
+    """C1 of one client."""
     lits = F.array(*map(F.lit, avoid_themes)).cast("array<string>")
     sector = F.col("sector").isin(*avoid_sectors) if avoid_sectors else F.lit(False)
     reason = F.when(sector, F.concat(F.lit("sector: "), "sector")).when(F.arrays_overlap("themes", lits), F.concat(F.lit("theme: "), F.array_join(F.array_intersect("themes", lits), ", ")))
     return securities.withColumn("excluded_reason", reason).withColumn("hard_excluded", reason.isNotNull())
 
 
-def client_fit(df: DataFrame, preferred: list[str], risk_band: int, income_emphasis: float = 0.2, esg_heavy: list[str] | None = None) -> DataFrame:
-    """C2 on (as_of, ticker, sector, hard_excluded, dividend_yield, earnings_vol, beta, revenue_growth)."""
+def client_fit(df: DataFrame, clients: DataFrame) -> DataFrame:
+    """C1, C2 for every client: df (as_of, ticker, sector, themes, dividend_yield, earnings_vol, beta, revenue_growth) by
+    clients (portfolio_id, risk_band, income_emphasis, and the arrays preferred, avoid_sectors, avoid_themes and
+    esg_heavy, null where a client has none): portfolio_id, as_of, ticker, client_fit, hard_excluded, excluded_reason.
+    Ranks are those of a date, made once for all clients; the rows are one for each client and name."""
     ranks = {"__yield": pct_rank(F.col("dividend_yield"), ON), "__safe": pct_rank(F.col("earnings_vol"), ON, ascending=False), "__low": pct_rank(F.col("beta"), ON, ascending=False), "__grow": pct_rank(F.col("revenue_growth"), ON)}
-    df = df.withColumns(ranks)
+    df = df.withColumns(ranks).select(ON, "ticker", "sector", "themes", *ranks).join(clients, how="cross")
+    none = F.array().cast("array<string>")
+    has = lambda c, x: F.coalesce(F.array_contains(c, F.col(x)), F.lit(False))
+    shared = F.array_intersect(F.coalesce("themes", none), F.coalesce("avoid_themes", none))
+    reason = F.when(has("avoid_sectors", "sector"), F.concat(F.lit("sector: "), "sector")).when(F.size(shared) > 0, F.concat(F.lit("theme: "), F.array_join(shared, ", ")))
     gain = lambda c, k: F.coalesce(k * (F.col(c) - 50), F.lit(0.0))
-    fit = 50 + (F.when(F.col("sector").isin(*preferred), 12.0).otherwise(0.0) if preferred else F.lit(0.0)) + gain("__yield", income_emphasis * 0.20)
-    if risk_band <= 2:
-        fit = fit + gain("__safe", 0.15) + gain("__low", 0.10)
-    if risk_band >= 4:
-        fit = fit + gain("__grow", 0.15)
-    if esg_heavy is not None:
-        fit = fit + F.when(F.col("sector").isin(*esg_heavy), -8.0).otherwise(3.0)
-    return df.withColumn("client_fit", F.when(F.col("hard_excluded"), 0.0).otherwise(clipped(fit))).drop(*ranks)
+    band = F.col("risk_band")
+    fit = 50 + F.when(has("preferred", "sector"), 12.0).otherwise(0.0) + gain("__yield", F.col("income_emphasis") * 0.20)
+    fit = fit + F.when(band <= 2, gain("__safe", 0.15) + gain("__low", 0.10)).otherwise(0.0) + F.when(band >= 4, gain("__grow", 0.15)).otherwise(0.0)
+    fit = fit + F.when(F.col("esg_heavy").isNull(), 0.0).when(has("esg_heavy", "sector"), -8.0).otherwise(3.0)
+    return df.withColumn("excluded_reason", reason).withColumn("hard_excluded", reason.isNotNull()).select(*BOOK, "ticker", F.when(F.col("hard_excluded"), 0.0).otherwise(clipped(fit)).alias("client_fit"), "hard_excluded", "excluded_reason")
 
 
 def mandate_terms(clients: DataFrame) -> DataFrame:

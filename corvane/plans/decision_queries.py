@@ -2,20 +2,22 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from corvane.functions.xs import pct_rank
 from corvane.operators import backtest, decision, ml, panel, portfolio, risk, signals
-from corvane.plans.panel_queries import FEATURES, _fitted, book_returns, books, carried, dates_of, features, fundamental, members, on_dates, quant, rounded, snapshot, style_panel
+from corvane.plans.panel_queries import FEATURES, _fitted, books, carried, dates_of, features, fundamental, lags_of, members, on_dates, quant, rounded, snapshot, style_panel
 from corvane.sources import star
 from corvane.work import cut, new_path
 
 BOOK = ["portfolio_id", "as_of"]
-CLIENTS = [("balanced", "balanced", 3, "medium"), ("careful", "capital_preservation", 2, "low"), ("bold", "growth", 4, "high")]
+CLIENTS = "portfolio_id string, objective string, risk_band int, turnover_tolerance string, preferred array<string>, income_emphasis double, esg_heavy array<string>, avoid_sectors array<string>, avoid_themes array<string>"
 
 
 def clients(spark) -> DataFrame:
-    return spark.createDataFrame(CLIENTS, "client_id string, objective string, risk_band int, turnover_tolerance string")
+    """Three mandates; the careful one weighs environmental and social terms and excludes a sector's names."""
+    return spark.createDataFrame([("balanced", "balanced", 3, "medium", ["EUROPE"], 0.2, None, [], ["PROMO"]), ("careful", "capital_preservation", 2, "low", ["EUROPE"], 0.2, ["ASIA"], [], ["PROMO"]), ("bold", "growth", 4, "high", ["EUROPE"], 0.2, None, [], ["PROMO"])], CLIENTS)
 
 
 def mandate_terms(spark, d):
@@ -36,13 +38,8 @@ def style_tilts(spark, d):
 
 def _fits(m: star.Market, q: DataFrame) -> DataFrame:
     """C1, C2 of each client."""
-    s = risk.exclusions(m.securities, [], ["PROMO"])
-    base = snapshot(m).select("as_of", "ticker", "dividend_yield", "earnings_vol", "revenue_growth").join(q.select("as_of", "ticker", "beta"), ["as_of", "ticker"], "left").join(s.select("ticker", "sector", "hard_excluded", "excluded_reason"), "ticker")
-    out = None
-    for name, goal, band, _ in CLIENTS:
-        one = risk.client_fit(base, ["EUROPE"], band, 1.0 if goal == "income" else 0.2, ["ASIA"] if name == "careful" else None).withColumn("portfolio_id", F.lit(name))
-        out = one if out is None else out.unionByName(one)
-    return out.select(*BOOK, "ticker", "client_fit", "hard_excluded", "excluded_reason")
+    base = snapshot(m).select("as_of", "ticker", "dividend_yield", "earnings_vol", "revenue_growth").join(q.select("as_of", "ticker", "beta"), ["as_of", "ticker"], "left").join(m.securities.select("ticker", "sector", "themes"), "ticker")
+    return risk.client_fit(base, clients(m.prices.sparkSession))
 
 
 def client_fit(spark, d):
@@ -54,7 +51,7 @@ def alerts(spark, d):
     """R7."""
     m = star.market(spark, d)
     b = cut(books(m), "books")
-    return rounded(risk.alerts(risk.concentration(b), risk.sector_exposure(b, m.securities), 0.102, 0.505, 0.38))
+    return rounded(risk.alerts(risk.concentration(b), risk.sector_exposure(b, m.securities), 0.102, 0.38, 11, 30))
 
 
 def crowding(spark, d):
@@ -108,60 +105,82 @@ def _regimes(m: star.Market) -> DataFrame:
 
 
 class Run:
-    """The parts of a decision run over all clients and dates that its tables share."""
+    """The parts of a decision run over all clients and dates, made once for its passes and variants. ml_alpha (as_of,
+    ticker, ml_alpha): predictions, which scores take in unless asked not to; blend: style weights take in each date's
+    best template; neutral: styles are ranked against their sectors."""
 
-    def __init__(self, spark, d, ml_alpha: DataFrame | None = None):
+    def __init__(self, spark, d, ml_alpha: DataFrame | None = None, blend: bool = True, neutral: bool = False):
         m = self.m = star.market(spark, d)
-        q = cut(quant(m), "quant")
-        f = cut(fundamental(m), "fundamental")
-        self.panel = cut(f.join(q, ["as_of", "ticker"]).select("as_of", "ticker", *backtest.STYLES), "styles")
-        a = signals.analyst(snapshot(m)).select("as_of", "ticker", "analyst")
+        self.lags, days = lags_of(m)
+        every = cut(style_panel(m, days), "styles")
+        self.every = every
+        panel_now = every.join(dates_of(m), "as_of", "left_semi")
+        self.panel = cut(decision.sector_neutral_styles(panel_now, m.securities), "neutral") if neutral else panel_now
+        q, f, shot = cut(quant(m), "quant"), fundamental(m), cut(snapshot(m), "snapshot")
+        a = signals.analyst(shot).select("as_of", "ticker", "analyst")
         s = signals.compute_signals(f, q, [a]).select("as_of", "ticker", "hybrid_alpha")
         themes = m.securities.select("ticker", "sector", signals.theme_fit(F.col("themes"), ["ECONOMY", "SMALL"], ["PROMO"]).alias("theme_fit"))
-        safe = cut(risk.stock_risk(signals._market(m.prices, m.benchmarks), dates_of(m)), "risk").select("as_of", "ticker", "risk_score", "tail")
+        self.returns = signals._market(m.prices, m.benchmarks).select("date", "ticker", "close", "ret", "m")
+        safe = risk.stock_risk(self.returns, dates_of(m)).select("as_of", "ticker", "risk_score", "tail")
         traded = risk.liquidity(on_dates(m, panel.adv(m.prices)).select("as_of", "ticker", "adv"), 1e4, 0.02).select("as_of", "ticker", "liquidity_score", "illiquid", "max_weight_by_liquidity")
-        caps = snapshot(m).select("as_of", "ticker", "market_cap")
-        names = s.join(themes, "ticker").join(safe, ["as_of", "ticker"]).join(traded, ["as_of", "ticker"]).join(caps, ["as_of", "ticker"], "left")
+        names = s.join(themes, "ticker").join(safe, ["as_of", "ticker"]).join(traded, ["as_of", "ticker"]).join(shot.select("as_of", "ticker", "market_cap"), ["as_of", "ticker"], "left")
         self.ml = ml_alpha is not None
         self.names = cut(names.join(ml_alpha, ["as_of", "ticker"]) if self.ml else names, "names")
-        self.clients = clients(spark).withColumnRenamed("client_id", "portfolio_id")
-        self.terms = risk.mandate_terms(self.clients)
+        self.shot, self.clients = shot, clients(spark)
         self.fit = cut(_fits(m, q), "fit")
         self.regimes = cut(_regimes(m), "regimes")
-        tilts = risk.style_tilts(clients(spark))
-        w = backtest.style_weights(self.regimes, backtest.prior_table(spark), tilts=tilts)
+        self.limits = cut(decision.book_limits(self.regimes, risk.mandate_terms(self.clients)), "limits")
+        best = None
+        if blend:
+            t = backtest.template_scores(panel_now, backtest.template_table(spark))
+            seg = panel.segments(m.prices.select("date", "ticker", "close"), panel.rebalance_dates(m.prices))
+            daily = cut(backtest.segment_returns(backtest.top_n(t, 10), seg), "daily")
+            best = cut(backtest.blend_of(backtest.trailing_best(daily, dates_of(m), m.prices.select("date")), backtest.template_table(spark)), "blend")
+        tilts = risk.style_tilts(self.clients.withColumnRenamed("portfolio_id", "client_id"))
+        self.raw = cut(backtest.style_weights(self.regimes, backtest.prior_table(spark), best, tilts).withColumnRenamed("client_id", "portfolio_id"), "raw")
         r = risk.robustness(self.panel, list(backtest.STYLES)).unpivot(["as_of"], list(backtest.STYLES), "style", "robustness")
-        scaled = w.join(r, ["as_of", "style"], "left").select(F.col("client_id").alias("portfolio_id"), "as_of", "style", (F.col("weight") * (0.5 + 0.5 * F.coalesce("robustness", F.lit(50.0)) / 100)).alias("weight"))
+        scaled = self.raw.join(r, ["as_of", "style"], "left").select("portfolio_id", "as_of", "style", (F.col("weight") * (0.5 + 0.5 * F.coalesce("robustness", F.lit(50.0)) / 100)).alias("weight"))
         self.weights = cut(scaled, "weights")  # means of scores don't need their sum to be 1
+        self.members = cut(members(m).select("as_of", "ticker"), "members")
 
-    def scored(self, weights: DataFrame | None = None) -> DataFrame:
-        return decision.scored_names(self.panel, self.names, self.weights if weights is None else weights, self.fit, self.clients, members(self.m), self.ml)
+    def scored(self, weights: DataFrame | None = None, ml: bool | None = None) -> DataFrame:
+        return decision.scored_names(self.panel, self.names, self.weights if weights is None else weights, self.fit, self.clients, self.members, self.ml if ml is None else ml)
 
-    def books(self) -> tuple[DataFrame, DataFrame]:
+    def books(self, tilt: float = 0.0, ml: bool | None = None) -> tuple[DataFrame, DataFrame]:
         """Scores and books after the pass that fades crowded styles."""
-        first = cut(decision.books_of(self.scored(), self.regimes, self.terms), "books")
-        scored = cut(self.scored(decision.uncrowded(self.weights, first, self.panel)), "scored")
-        return scored, cut(decision.books_of(scored, self.regimes, self.terms), "books")
+        first = cut(decision.books_of(self.scored(ml=ml), self.limits, tilt), "books")
+        scored = cut(self.scored(decision.uncrowded(self.weights, first, self.panel), ml), "scored")
+        return scored, cut(decision.books_of(scored, self.limits, tilt), "books")
 
 
 def integrated_scores(spark, d):
-    """E2 over all clients and dates."""
-    return rounded(Run(spark, d).scored().select(*BOOK, "ticker", "style_score", "integrated_score", "eligible", "ineligible_reason"))
+    """E2 over all clients and dates, by priors alone."""
+    return rounded(Run(spark, d, blend=False).scored().select(*BOOK, "ticker", "style_score", "integrated_score", "eligible", "ineligible_reason"))
+
+
+def neutral_styles(spark, d):
+    """X7 for all styles: the panel that a sector-neutral run scores."""
+    m = star.market(spark, d)
+    return rounded(decision.sector_neutral_styles(style_panel(m), m.securities))
+
+
+def tilted_candidates(spark, d):
+    """The value scores tilted by a quarter to size, and the names that they select."""
+    m = star.market(spark, d)
+    s = fundamental(m).select(F.lit("value").alias("portfolio_id"), "as_of", "ticker", F.col("value").alias("integrated_score")).join(snapshot(m).select("as_of", "ticker", "market_cap"), ["as_of", "ticker"]).join(m.securities.select("ticker", "sector"), "ticker")
+    return rounded(portfolio.candidates(portfolio.tilted(s, 0.25), 12, 0.25).select(*BOOK, "ticker", "score", "place"))
 
 
 def decision_run(spark, d):
     """Each client's decision at each rebalance date, against the candidate book of the date before."""
     run = Run(spark, d)
     scored, b = run.books()
-    m, now = run.m, carried(run.m, b)
-    r = signals._market(m.prices, m.benchmarks)
-    win = cut(risk.windowed(r, dates_of(m)).select("as_of", "date", "ticker", "ret", "m"), "window")
-    quality = risk.data_quality(risk.windowed(r, dates_of(m), 60), snapshot(m))
-    v = scored.where("portfolio_id = 'balanced'").select("as_of", "ticker", F.col("style_score").alias("score")).where("score is not null")
-    nxt = panel.rebalance_dates(m.prices).where("next_as_of is not null")
-    sure = backtest.stability(v, v.join(nxt, "as_of").select(F.col("next_as_of").alias("as_of"), "ticker", "score"))
-    out = decision.decisions(b, now, scored, risk.book_returns(b, win), risk.book_returns(now, win), m.securities, quality, sure, run.terms)
-    return rounded(out.select(*BOOK, "initial", "new_score", "old_score", "turnover", "cost", "violations", "quality", "confidence", "improvement", "trade", "blocked_by"))
+    m, now = run.m, cut(carried(run.m, b), "carried")
+    win = cut(risk.windowed(run.returns, dates_of(m)).select("as_of", "date", "ticker", "ret", "m"), "window")
+    quality = risk.data_quality(risk.windowed(run.returns, dates_of(m), 60), run.shot)
+    sure = backtest.stability(run.every, run.lags, run.raw)
+    out = decision.decisions(b, now, scored, risk.book_returns(b, win), risk.book_returns(now, win), m.securities, quality, sure, run.limits)
+    return rounded(out.select(*BOOK, "initial", "new_score", "old_score", "turnover", "cost", "violations", "quality", "confidence", "d_vol", "d_beta", "improvement", "trade", "blocked_by"))
 
 
 def index_holdings(spark, d):
@@ -172,29 +191,43 @@ def index_holdings(spark, d):
     return rounded(decision.index_holdings(b, scored, run.m.securities, s))
 
 
-def ml_comparison(spark, d):
-    """Rule books against books with walk-forward predictions, refitted in five runs and purged by the labels'
-    length, on the dates that have predictions."""
-    m = star.market(spark, d)
-    p = cut(ml.training_panel(features(m), ml.labels(m.prices), FEATURES), "panel")
-    folds = ml.walk_forward(p, FEATURES, purge=7)
-    from corvane.functions.xs import pct_rank
-
+def ml_comparison(spark, d, every: int = 6, lookback_days: int | None = 1460):
+    """Rule books against books with predictions of models refitted at every sixth date on the last four years,
+    purged by the labels' length, and the benchmark, on the dates that have predictions."""
+    m, p = star.market(spark, d), _panel(spark, d)
+    folds = ml.rolling_folds(p, FEATURES, every=every, lookback_days=lookback_days)
     alpha = cut(ml.predict_folds(p, folds, FEATURES).select("as_of", "ticker", pct_rank(F.col("pred"), "as_of").alias("ml_alpha")), "alpha")
-    run, plain = Run(spark, d, alpha), Run(spark, d)
-    dates = alpha.select("as_of").distinct()
-    variants = {"ml": run.books()[1], "rules": plain.books()[1].join(dates, "as_of", "left_semi")}
-    from pyspark.sql import Window
-
+    run = Run(spark, d, alpha, blend=False)
     seg = panel.segments(m.prices.select("date", "ticker", "close"), panel.rebalance_dates(m.prices))
     w = Window.partitionBy("as_of", "ticker").orderBy("date")
     seg = seg.withColumn("ret", F.col("close") / F.lag("close").over(w) - 1).select("as_of", "date", "ticker", "ret")
-    rows = cut(decision.comparison(variants, seg, lambda b: carried(m, b)), "comparison")
-    out = None
-    for name, *_ in CLIENTS:
-        one = portfolio.verdict(rows.where(F.col("portfolio_id") == name)).withColumn("portfolio_id", F.lit(name))
-        out = one if out is None else out.unionByName(one)
-    return rounded(rows.join(out.select("portfolio_id", "delta", "verdict"), "portfolio_id"))
+    spx = m.benchmarks.where("name = 'SPX'").select("date", (F.col("level") / F.lag("level").over(Window.orderBy("date")) - 1).alias("m"))  # one row a day
+    rows = cut(decision.comparison({"ml": run.books()[1], "rules": run.books(ml=False)[1]}, seg, lambda b: carried(m, b), spx), "comparison")
+    return rounded(rows.join(portfolio.verdict(rows, ["portfolio_id"]).select("portfolio_id", "delta", "verdict"), "portfolio_id"))
+
+
+def rolling_models(spark, d):
+    """Coefficients of each refit, a row a feature."""
+    f = ml.rolling_folds(_panel(spark, d), FEATURES, every=6, lookback_days=1460)
+    return rounded(f.select("fold", "first", "last", "n_train", "intercept", F.posexplode("coef").alias("i", "coef")).withColumn("feature", F.element_at(F.array(*map(F.lit, FEATURES)), F.col("i") + 1)).drop("i"))
+
+
+def classifier_folds(spark, d):
+    """Coefficients of each fold's classification, a row a feature."""
+    f = ml.logistic_walk_forward(_panel(spark, d), FEATURES, purge=7)
+    return rounded(f.select("fold", "first", "last", "n_train", "intercept", F.posexplode("coef").alias("i", "coef")).withColumn("feature", F.element_at(F.array(*map(F.lit, FEATURES)), F.col("i") + 1)).drop("i"))
+
+
+def classifier_summary(spark, d):
+    """The classification's information coefficients and accuracy out of sample."""
+    p = _panel(spark, d)
+    oos = cut(ml.classify_folds(p, ml.logistic_walk_forward(p, FEATURES, purge=7), FEATURES), "oos")
+    return rounded(ml.ic_summary(ml.ic_by_date(oos, "pred"), lags=5).crossJoin(ml.accuracy(oos)))  # one row each
+
+
+def _panel(spark, d) -> DataFrame:
+    m = star.market(spark, d)
+    return cut(ml.training_panel(features(m), ml.labels(m.prices), FEATURES), "panel")
 
 
 def holdout_split(spark, d):
@@ -263,4 +296,4 @@ def explain_families(spark, d):
     return rounded(ml.family_rollup(local, families).join(top, ["as_of", "ticker"]))
 
 
-QUERIES = {f.__name__: f for f in (mandate_terms, style_tilts, client_fit, alerts, crowding, market_shock, posture, book_scores, holding_classes, robust_style_weights, integrated_scores, decision_run, index_holdings, ml_comparison, holdout_split, holdout_check, ic_breakdowns, global_explain, evidence, fit_quality, explain_families)}
+QUERIES = {f.__name__: f for f in (mandate_terms, style_tilts, client_fit, alerts, crowding, market_shock, posture, book_scores, holding_classes, robust_style_weights, integrated_scores, neutral_styles, tilted_candidates, decision_run, index_holdings, ml_comparison, rolling_models, classifier_folds, classifier_summary, holdout_split, holdout_check, ic_breakdowns, global_explain, evidence, fit_quality, explain_families)}

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from corvane.plans.panel_sql import ASOF, BOOKS, DATES, FUND, MACRO, MEMBERS, METRICS, PRIORS, QUANT, REGIME, RETS, RISK, STYLED, STYLES, X, C, clip, mix, out, rank
+from corvane.plans.panel_sql import ASOF, BOOKS, BOTH, DATES, FUND, MACRO, MEMBERS, METRICS, MOVES, PRIORS, QUALITY, QUANT, REGIME, RETS, RISK, STABLE, STYLED, STYLES, X, C, clip, mix, out, rank
 
 CUSTOMER = "case c_nationkey % 4 when 0 then '{}' when 1 then '{}' when 2 then '{}' else '{}' end as objective"
 # fixed values: objective, style, multiplier
@@ -40,11 +40,27 @@ sc as (select y.*, {mix(style_score=.68, hybrid_alpha=.24, theme_fit=.08)} * (0.
   from sty y join hz using (as_of, ticker) join th using (ticker) join risks using (as_of, ticker) join lz using (as_of, ticker) left join fits using (portfolio_id, as_of, ticker) join cl using (portfolio_id)),
 scored as (select portfolio_id, as_of, ticker, style_score, case when not ex and not dry and inside then {clip('raw')} end as integrated_score, not ex and not dry as eligible, case when ex then 'theme: PROMO' when dry then 'insufficient liquidity' else '' end as ineligible_reason from sc)"""
 
+BETA = "case when count(ret) > 20 then covar_samp(case when m is not null then ret end, m) / nullif(var_pop(m), 0) else 1 end"
+NUMBERED = lambda days, name: f", n{name} as (select *, row_number() over (partition by ticker order by date) as i from rets), {name} as (select a.date as as_of, b.* from n{name} a join reb0 on a.date = reb0.as_of join n{name} b on a.ticker = b.ticker and b.i <= a.i and b.i > a.i - {days})"
+
 SQL: dict[str, str] = {
     "mandate_terms": f"with c as (select c_custkey as client_id, {CUSTOMER.format('capital_preservation', 'income', 'balanced', 'balanced')}, c_nationkey % 5 + 1 as risk_band, (['low', 'medium', 'high'])[c_custkey % 3 + 1] as turnover_tolerance from customer) select *, least(0.08::double, case when risk_band <= 2 then 0.06::double end, case when objective = 'capital_preservation' then 0.05::double end) as position_cap, case when risk_band <= 2 then 0.04::double else 0.05::double end as target_cap, case when risk_band <= 2 then 0.2::double else 0.25::double end as sector_cap, case turnover_tolerance when 'low' then 0.15::double when 'medium' then 0.3::double else 0.35::double end as turnover_cap from c",
     "style_tilts": f"with c as (select c_custkey as client_id, {CUSTOMER.format('growth', 'income', 'capital_preservation', 'balanced')} from customer) select client_id, st.style, round(coalesce(x, 1) * (0.6::double + 0.8::double * case when client_id % 3 = 0 and st.style = 'value' then 1 else 0.5::double end), 6) + 0.0::double as tilt from c cross join {NAMES} left join {TILTS} t on t.objective = c.objective and t.style = st.style",
     "client_fit": C + FUND + QUANT + FITS + out("portfolio_id as_of ticker client_fit:r hard_excluded excluded_reason", "fits"),
-    "alerts": C + FUND + BOOKS + ", a0 as (select portfolio_id, as_of, max(weight) as top1, sum(weight) filter (j <= 5) as top5 from (select *, row_number() over (partition by as_of order by weight desc, ticker) as j from books) group by all), a1 as (select portfolio_id, as_of, sum(weight) as e from books left join securities using (ticker) group by portfolio_id, as_of, sector), a2 as (select portfolio_id, as_of, 'position' as alert, top1 as amount from a0 where top1 > 0.102::double union all select portfolio_id, as_of, 'top5', top5 from a0 where top5 > 0.505::double union all select portfolio_id, as_of, 'sector', e from a1 where e > 0.38::double) " + out("portfolio_id as_of alert amount:r", "a2"),
+    "alerts": C + FUND + BOOKS + ", a0 as (select portfolio_id, as_of, max(weight) as top1, count(*)::double as n from books group by all), a1 as (select portfolio_id, as_of, sum(weight) as e from books left join securities using (ticker) group by portfolio_id, as_of, sector), a2 as (select portfolio_id, as_of, 'few holdings' as alert, n as amount from a0 where n < 11 union all select portfolio_id, as_of, 'many holdings', n from a0 where n > 30 union all select portfolio_id, as_of, 'position', top1 from a0 where top1 > 0.102::double + 1e-9 union all select portfolio_id, as_of, 'sector', e from a1 where e > 0.38::double + 1e-9) " + out("portfolio_id as_of alert amount:r", "a2"),
+    "mandate_check": C + FUND + THEMES + BOOKS + ", b as (select x.*, sector, coalesce(list_contains(t, 'PROMO'), false) as promo from books x left join securities using (ticker) left join themes using (ticker)) select distinct portfolio_id, as_of, rule from (select portfolio_id, as_of, 'position cap' as rule from b where weight > 0.105::double + 1e-6 union all select portfolio_id, as_of, 'sector cap' from b group by portfolio_id, as_of, sector having sum(weight) > 0.4::double + 1e-6 union all select portfolio_id, as_of, 'holdings' from b group by portfolio_id, as_of having count(*) not between 5 and 40 union all select portfolio_id, as_of, 'excluded sector' from b where sector = 'ASIA' union all select portfolio_id, as_of, 'excluded theme' from b where promo)",
+    "neutral_styles": C + STYLED + ", n0 as (select as_of, ticker, style, round(x - avg(x) over (partition by as_of, style, sector), 9) as gap from (select * from styles unpivot include nulls (x for style in (" + ", ".join(STYLES) + "))) join securities using (ticker)), n1 as (select as_of, ticker, style, " + rank("gap", True, "as_of, style") + " as r from n0), n2 as (select as_of, ticker, " + ", ".join(f"max(r) filter (style = '{s}') as {s}" for s in STYLES) + " from n1 group by as_of, ticker) " + out("as_of ticker " + " ".join(f"{s}:r" for s in STYLES), "n2"),
+    "tilted_candidates": C + FUND + f", t0 as (select 'value' as portfolio_id, f.as_of, f.ticker, sector, 0.75::double * f.value + 0.25::double * coalesce({rank('market_cap', True, 'f.as_of')}, 50) as score from fund f join facts using (as_of, ticker) join securities s on s.ticker = f.ticker), t1 as (select *, row_number() over (partition by as_of, sector order by round(score, 8) desc, ticker) as j from t0 where score is not null), t2 as (select *, row_number() over (partition by as_of order by round(score, 8) desc, ticker)::int as place from t1 where j <= 4) " + out("portfolio_id as_of ticker score:r place", "t2", "where place <= 12"),
+    "value_book_decisions": C + BOTH(STYLED) + REGIME + STABLE + ", fund0 as (select * from fund where as_of in (select as_of from reb0))" + MOVES.replace("from fund where", "from fund0 where") + NUMBERED(252, "win") + NUMBERED(60, "win60") + QUALITY.replace("from win group", "from win60 group") + f""",
+risk1 as (select as_of, stddev_pop(ret) * sqrt(252) as vol, {BETA} as beta from (select as_of, date, sum(coalesce(weight * ret, 0)) as ret, max(m) as m from books join win using (as_of, ticker) group by all) group by as_of),
+risk0 as (select as_of, stddev_pop(ret) * sqrt(252) as vol, {BETA} as beta from (select as_of, date, sum(coalesce(weight * ret, 0)) as ret, max(m) as m from prev join win using (as_of, ticker) group by all) group by as_of),
+mid as (select as_of, quantile_cont(value, 0.5) as mid from fund0 group by as_of), sco as (select as_of, ticker, value from fund0),
+new as (select as_of, sum(weight * coalesce(value, mid)) as new_score from books left join sco using (as_of, ticker) left join mid using (as_of) group by as_of), old as (select as_of, sum(weight * coalesce(value, mid)) as old_score from prev left join sco using (as_of, ticker) left join mid using (as_of) group by as_of),
+tu as (select as_of, sum(abs(target_weight - current_weight)) / 2 as turnover from moves group by as_of),
+mv as (select as_of from books left join securities using (ticker) group by as_of, sector having sum(weight) > 0.4::double + 1e-6 union select as_of from books where weight > 0.103::double + 1e-6),
+d0 as (select new.as_of, old_score is null as initial, new_score, old_score, turnover, r1.vol - r0.vol as d_vol, r1.beta - r0.beta as d_beta, confidence, status as quality, new_score - coalesce(old_score, 0) - 100 * (2 * turnover * 9.0::double / 1e4::double) as improvement, new.as_of not in (select as_of from mv) as clean from new left join old using (as_of) left join tu using (as_of) left join risk1 r1 using (as_of) left join risk0 r0 using (as_of) left join sure using (as_of) left join quality using (as_of)),
+d1 as (select *, initial or coalesce(improvement >= 1.5::double, false) as gate_improvement, clean as gate_mandate, coalesce(quality <> 'Critical', false) as gate_quality, coalesce(confidence >= 0.35::double, false) as gate_confidence, initial or (coalesce(d_vol <= 0.02::double, true) and coalesce(d_beta <= 0.15::double, true)) as gate_risk, initial or coalesce(turnover <= 0.35::double, false) as gate_turnover from d0),
+d2 as (select *, 'value' as portfolio_id, gate_improvement and gate_mandate and gate_quality and gate_confidence and gate_risk and gate_turnover as trade, concat_ws(', ', case when not gate_improvement then 'improvement' end, case when not gate_mandate then 'mandate' end, case when not gate_quality then 'quality' end, case when not gate_confidence then 'confidence' end, case when not gate_risk then 'risk' end, case when not gate_turnover then 'turnover' end) as blocked_by from d1) """ + out("portfolio_id as_of initial new_score:r old_score:r turnover:r d_vol:r d_beta:r confidence:r quality improvement:r gate_improvement gate_mandate gate_quality gate_confidence gate_risk gate_turnover trade blocked_by", "d2"),
     "crowding": C + STYLED + BOOKS + f", e as (select portfolio_id, as_of, {', '.join(f'sum(weight * coalesce(s.{s}, 50)) / sum(weight) as {s}' for s in STYLES)} from books left join styles s using (as_of, ticker) group by all) select portfolio_id, as_of, concat_ws(',', {', '.join(f'case when {s} > 70 then {s!r} end' for s in STYLES)}) as crowded, round({clip('100 - 2 * greatest(momentum - 50, 0)')}, 6) + 0.0::double as crowding_score from e",
     "market_shock": C + FUND + QUANT + BOOKS + out("portfolio_id as_of impact:r", "(select portfolio_id, as_of, sum(weight * coalesce(beta, 1)) * -0.2::double as impact from books left join quant using (as_of, ticker) group by all)"),
     "posture": C + REGIME + " select date, regime, case when regime = 'bull_low_vol' then 1.3::double when regime like 'bear%' or regime like '%high_vol' then 0.7::double else 1.0::double end as concentration, case when regime like 'bear%' or regime like '%high_vol' then 0.06::double end as position_cap from regimes",

@@ -108,6 +108,37 @@ def annual_pairs(spark, d):
     return rounded(files.annual_pair(s, grid), 2)
 
 
+def company_panel(spark, d):
+    """From bodies of company facts to the monthly fields: sixteen measures of each supplier's years under their
+    concepts, sales restated in even years, cash, debt and weighted share counts for some, a split in 1996."""
+    y = star._lines(spark, d).groupBy("ticker", F.year("date").alias("fy")).agg(F.sum("p").cast("double").alias("rev"), F.sum(F.col("p") * F.col("d")).cast("double").alias("disc"), F.sum(F.col("p") * F.col("t")).cast("double").alias("tax"), F.sum("q").cast("double").alias("qty"))
+    k, c = F.col("ticker").cast("int"), F.col
+    fact = lambda val, filed="-03-01", form="10-K": F.struct("fy", F.lit("FY").alias("fp"), F.lit(form).alias("form"), val.cast("double").alias("val"), F.concat((c("fy") + 1).cast("string"), F.lit(filed)).alias("filed"), F.concat(text("fy"), F.lit("-12-31")).alias("end"))
+    shares = c("qty") * F.when(c("fy") >= 1996, 4.0).otherwise(1.0)
+    values = {"SalesRevenueNet": c("rev"), "NetIncomeLoss": c("disc") - c("tax") / 2, "GrossProfit": c("rev") - c("tax"), "OperatingIncomeLoss": c("disc"), "NetCashProvidedByUsedInOperatingActivities": c("disc") + 3, "PaymentsToAcquirePropertyPlantAndEquipment": c("tax") / 4, "PaymentsOfDividends": F.when(k % 2 == 0, c("disc") / 10), "InterestExpenseDebt": c("tax") / 8, "EarningsPerShareBasic": c("disc") / c("qty"), "WeightedAverageNumberOfDilutedSharesOutstanding": F.when(k % 4 == 0, shares), "StockholdersEquity": c("tax") * 2, "Liabilities": c("disc"), "Assets": c("rev") * 2, "CashAndCashEquivalentsAtCarryingValue": F.when(k % 2 == 1, c("tax") / 2), "LongTermDebt": F.when(k % 3 > 0, c("disc") / 2), "EntityCommonStockSharesOutstanding": shares}
+    units = {"EarningsPerShareBasic": "USD/shares", "WeightedAverageNumberOfDilutedSharesOutstanding": "shares", "EntityCommonStockSharesOutstanding": "shares"}
+    own = y.groupBy("ticker").agg(*[F.collect_list(F.when(v.isNotNull(), fact(v))).alias(n) for n, v in values.items()], F.collect_list(F.when(c("fy") % 2 == 0, fact(c("rev") + 1, "-06-01", "10-K/A"))).alias("again"))
+    entry = lambda n: F.struct(F.lit(n).alias("key"), F.struct(F.create_map(F.lit(units.get(n, "USD")), F.concat(n, "again") if n == "SalesRevenueNet" else F.col(n)).alias("units")).alias("value"))
+    part = lambda names: F.map_from_entries(F.filter(F.array(*[entry(n) for n in names]), lambda e: F.size(F.element_at(F.map_values(e["value"]["units"]), 1)) > 0))
+    cover = ["EntityCommonStockSharesOutstanding"]
+    facts = F.map_from_arrays(F.array(F.lit("us-gaap"), F.lit("dei")), F.array(part([n for n in values if n not in cover]), part(cover)))
+    bodies = own.select(F.col("ticker").alias("cik"), F.to_json(F.struct(F.lit("x").alias("entityName"), facts.alias("facts"))).alias("body"))
+    wanted = [(m, n, i, units.get(names[-1], "USD")) for m, names in CONCEPTS.items() for i, n in enumerate(names)]
+    found = cut(files.company_facts(bodies, spark.createDataFrame(wanted, "measure string, concept string, prio int, unit string")), "facts")
+    m = star.market(spark, d)
+    grid = panel.as_of(m.prices.select("ticker", F.col("date").alias("pub_date"), "close"), m.prices.select("ticker").distinct().join(panel.month_ends(m.prices), how="cross"))  # one date a month
+    flows, stocks = files.annual_series(found.where(F.col("measure").isin(*files.FLOWS))), files.instant_series(found.where(F.col("measure").isin(*files.STOCKS)))
+    return rounded(files.company_panel(flows, stocks, grid.select(F.col("ticker").alias("cik"), "as_of", "close")))
+
+
+# fixed values: concepts of each measure, the first that a company has counts
+CONCEPTS = {
+    "revenue": ["RevenueFromContractWithCustomerExcludingAssessedTax", "Revenues", "SalesRevenueNet"], "net_income": ["NetIncomeLoss"], "eps": ["EarningsPerShareDiluted", "EarningsPerShareBasic"], "gross_profit": ["GrossProfit"], "operating_income": ["OperatingIncomeLoss"],
+    "ocf": ["NetCashProvidedByUsedInOperatingActivities"], "capex": ["PaymentsToAcquirePropertyPlantAndEquipment"], "dividends": ["PaymentsOfDividendsCommonStock", "PaymentsOfDividends"], "interest": ["InterestExpense", "InterestExpenseDebt"], "weighted_shares": ["WeightedAverageNumberOfDilutedSharesOutstanding", "WeightedAverageNumberOfSharesOutstandingBasic"],
+    "equity": ["StockholdersEquity", "StockholdersEquityIncludingPortionAttributableToNoncontrollingInterest"], "liabilities": ["Liabilities"], "assets": ["Assets"], "cash": ["CashAndCashEquivalentsAtCarryingValue"], "debt": ["LongTermDebtNoncurrent", "LongTermDebt"], "shares": ["EntityCommonStockSharesOutstanding"],
+}
+
+
 def sic_sectors(spark, d):
     """S12."""
     bands = spark.createDataFrame([(100, 999, 0, "Materials"), (900, 1500, 1, "Energy"), (1501, 1900, 2, "Utilities")], "lo int, hi int, prio int, sector string")
@@ -268,4 +299,4 @@ def prior_facts(spark, d):
     return rounded(snapshot(star.market(spark, d), 365).select("as_of", "ticker", "pub_date", "roe", "gross_margin"))
 
 
-QUERIES = {f.__name__: f for f in (csv_dataset, provider_payloads, metrics_panel, security_dimension, ticker_map, annual_facts, instant_facts, annual_pairs, sic_sectors, filing_counts, insider_trades, insider_scores, crsp_daily, crsp_identities, crsp_delisted, linked_statements, market_index, source_coverage, index_report, aligned_prices, merged_batches, recent_prices, schedules, quarterly_ratios, restated_series, macro_fit, theme_fit, prior_facts)}
+QUERIES = {f.__name__: f for f in (csv_dataset, provider_payloads, metrics_panel, security_dimension, ticker_map, annual_facts, instant_facts, annual_pairs, company_panel, sic_sectors, filing_counts, insider_trades, insider_scores, crsp_daily, crsp_identities, crsp_delisted, linked_statements, market_index, source_coverage, index_report, aligned_prices, merged_batches, recent_prices, schedules, quarterly_ratios, restated_series, macro_fit, theme_fit, prior_facts)}

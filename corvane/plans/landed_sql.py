@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from corvane.plans.panel_sql import ASOF, C, DATES, FIT, FUND, QUANT, RETS, out, rank
+from corvane.plans.panel_sql import ASOF, C, DATES, FIELDS, FIT, FUND, QUANT, RETS, out, rank
 
 VOL = ", ev as (select *, case when count(eps_growth) over w >= 3 then stddev_pop(eps_growth) over w end as vol from fundamentals window w as (partition by ticker order by pub_date rows between unbounded preceding and current row))"
 YEARS = ", yearly as (select ticker, year(date)::int as fy, sum(p)::double as rev, sum(q)::double as qty from lines group by 1, 2)"
@@ -18,7 +18,22 @@ q1 as (select permno, datadate, coalesce(rdq, datadate + 60) as pub_date, mcap a
   {_G('saleq')} as revenue_growth, {_G('epspxq')} as eps_growth, {_G('cshoq')} as net_issuance, {_G('atq')} as asset_growth from q0 window w as (partition by permno order by datadate)),
 q2 as (select *, case when count(eps_growth) over w >= 3 then stddev_pop(eps_growth) over w end as earnings_vol from q1 window w as (partition by permno order by datadate rows between unbounded preceding and current row)), q3 as (select *, 1 / (1 + earnings_vol) as growth_stability from q2)"""
 
+COMPANY = """, y0 as (select ticker, year(date)::int as fy, sum(p)::double as rev, sum(p * d)::double as disc, sum(p * t)::double as tax, sum(q)::double as qty from lines group by 1, 2),
+y1 as (select *, ticker::int as k, make_date(fy + 1, 3, 1) as filed, rev + case when fy % 2 = 0 then 1 else 0 end as sales, make_date(fy + 1, case when fy % 2 = 0 then 6 else 3 end, 1) as sales_filed, qty * case when fy >= 1996 then 4.0::double else 1.0::double end as sh from y0),
+y2 as (select *, sh / lag(sh) over (partition by ticker order by fy) as r from y1), y3 as (select *, coalesce(product(case when r >= 1.45::double or (r > 0 and r <= 0.69::double) then r else 1 end) over (partition by ticker order by fy rows between 1 following and unbounded following), 1) as factor from y2),
+y4 as (select *, disc / qty / factor as eps, lag(disc / qty / factor) over w as p_eps, lag(sh) over w as p_sh, lag(sales) over w as p_sales from y3 window w as (partition by ticker order by fy)),
+md as (select distinct last_day(date) as e from prices), me as (select (e - case dayofweek(e) when 0 then 2 when 6 then 1 else 0 end)::date as as_of from md),
+g0 as (select a.as_of, t.ticker from me a, (select distinct ticker from prices) t), g1 as (select g0.as_of, g0.ticker, p.close from g0 asof join prices p on g0.ticker = p.ticker and g0.as_of >= p.date),
+g2 as (select g.*, y.* exclude (ticker, sales, p_sales, sales_filed) from g1 g asof left join y4 y on g.ticker = y.ticker and g.as_of >= y.filed), g3 as (select g.*, s.sales, s.p_sales from g2 g asof left join y4 s on g.ticker = s.ticker and g.as_of >= s.sales_filed),
+g4 as (select g.*, o.rev as rev_old, o.sh as sh_old from g3 g asof left join y4 o on g.ticker = o.ticker and (g.as_of - 365) >= o.filed),
+g5 as (select *, close * sh * factor as cap, disc - tax / 2 as ni, tax * 2 as eq, case when ticker::int % 3 > 0 then disc / 2 end as debt, case when ticker::int % 2 = 1 then tax / 2 end as cash, case when ticker::int % 2 = 0 then disc / 10 end as div from g4),
+g6 as (select ticker as cik, as_of, cap as market_cap, case when eps > 0 then close / eps end as pe, case when eq > 0 then cap / eq end as pb, case when disc > 0 then (cap + coalesce(debt, 0) - coalesce(cash, 0)) / disc end as ev_ebit, case when cap > 0 then (disc + 3 - tax / 4) / cap end as fcf_yield, case when rev > 0 then (ni - disc - 3) / (rev * 2) end as accruals, case when eq > 0 then ni / eq end as roe, case when eq + coalesce(debt, 0) > 0 then ni / (eq + coalesce(debt, 0)) end as roic,
+  (rev - tax) / nullif(sales, 0) as gross_margin, case when eq > 0 then disc / eq end as debt_equity, case when tax > 0 then disc / (tax / 8) end as interest_coverage, case when p_sales > 0 then sales / p_sales - 1 end as revenue_growth, case when p_eps > 0 then eps / p_eps - 1 end as eps_growth, coalesce(case when ticker::int % 4 = 0 and p_sh > 0 then sh / p_sh - 1 end, case when sh_old > 0 then sh / sh_old - 1 end) as net_issuance, case when rev_old > 0 then rev / rev_old - 1 end as asset_growth,
+  case when cap > 0 then coalesce(div / cap, 0) end as dividend_yield, coalesce(case when ni > 0 then div / ni end, 0) as payout_ratio, null::double as adv_usd from g5),
+g7 as (select *, case when count(eps_growth) over w >= 3 then stddev_pop(eps_growth) over w end as earnings_vol from g6 window w as (partition by cik order by as_of rows between unbounded preceding and current row)), company as (select *, 1 / (1 + earnings_vol) as growth_stability from g7)"""
+
 SQL: dict[str, str] = {
+    "company_panel": C + COMPANY + out("cik as_of " + " ".join(f"{c}:r" for c in FIELDS), "company"),
     "csv_dataset": C + ", few as (select * from securities where ticker::int <= 9 and ticker <> '3'), a as (select ticker, count(*) as n_prices, sum(close) as sum_close from prices group by ticker), f as (select ticker, count(pe) as n_pe from fundamentals group by ticker), " + THEMES + " select ticker, sector, pays_dividend, len(themes)::bigint as n_themes, n_prices, round(sum_close, 3) + 0.0::double as sum_close, n_pe, 0::bigint as n_accruals from few join themes on s_suppkey::varchar = ticker join a using (ticker) join f using (ticker)",
     "provider_payloads": C + "select provider, ticker, date, close, volume from prices, (values ('a'), ('b'), ('c')) v(provider) where volume > 0",
     "metrics_panel": C + VOL + " select ticker, pub_date, round(pe, 6) + 0.0::double as pe, round(roe, 6) + 0.0::double as roe, round(eps_growth, 6) + 0.0::double as eps_growth, round(coalesce(dividend_yield, 0), 6) + 0.0::double as dividend_yield, null::double as pb, round(vol, 6) + 0.0::double as earnings_vol, round(1 / (1 + vol), 6) + 0.0::double as growth_stability from ev",

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from corvane.functions import perf
 from corvane.functions.xs import blend, pct_rank, sector_neutral, winsorize, zscore
-from corvane.operators import backtest, ml, panel, portfolio, risk, signals
+from corvane.operators import backtest, decision, ml, panel, portfolio, risk, signals
 from corvane.sources import star
 from corvane.streaming import marks as streaming
 from corvane.work import cut, new_path
@@ -23,14 +23,14 @@ def dates_of(m: star.Market) -> DataFrame:
     return panel.rebalance_dates(m.prices).select("as_of")
 
 
-def on_dates(m: star.Market, df: DataFrame) -> DataFrame:
-    """Rows of the rebalance dates, dated as_of."""
-    return df.withColumnRenamed("date", "as_of").join(dates_of(m), "as_of")
+def on_dates(m: star.Market, df: DataFrame, at: DataFrame | None = None) -> DataFrame:
+    """Rows of the rebalance dates, or of those of `at`, dated as_of."""
+    return df.withColumnRenamed("date", "as_of").join(dates_of(m) if at is None else at, "as_of")
 
 
-def snapshot(m: star.Market, days_before: int = 0) -> DataFrame:
+def snapshot(m: star.Market, days_before: int = 0, at: DataFrame | None = None) -> DataFrame:
     """Facts of every ticker as of every rebalance date, or as many days before it."""
-    grid = m.fundamentals.select("ticker").distinct().join(F.broadcast(dates_of(m)), how="cross")  # one date a month
+    grid = m.fundamentals.select("ticker").distinct().join(F.broadcast(dates_of(m) if at is None else at), how="cross")  # one date a month, or two
     if not days_before:
         return panel.as_of(m.fundamentals, grid)
     return panel.as_of(m.fundamentals, grid.withColumn("as_of", F.date_sub("as_of", days_before))).withColumn("as_of", F.date_add("as_of", days_before))
@@ -45,13 +45,13 @@ def among(df: DataFrame, only: DataFrame | None) -> DataFrame:
     return df if only is None else df.join(only.select("as_of", "ticker"), ["as_of", "ticker"], "left_semi")
 
 
-def fundamental(m: star.Market, only: DataFrame | None = None) -> DataFrame:
-    return signals.fundamental_scores(among(snapshot(m), only))
+def fundamental(m: star.Market, only: DataFrame | None = None, at: DataFrame | None = None) -> DataFrame:
+    return signals.fundamental_scores(among(snapshot(m, at=at), only))
 
 
-def quant(m: star.Market, only: DataFrame | None = None) -> DataFrame:
-    p = on_dates(m, signals.price_features(m.prices, m.benchmarks))
-    caps = snapshot(m).select("as_of", "ticker", "market_cap")
+def quant(m: star.Market, only: DataFrame | None = None, at: DataFrame | None = None) -> DataFrame:
+    p = on_dates(m, signals.price_features(m.prices, m.benchmarks), at)
+    caps = snapshot(m, at=at).select("as_of", "ticker", "market_cap")
     return signals.quant_scores(among(p.join(caps, ["as_of", "ticker"], "left"), only))
 
 
@@ -66,8 +66,14 @@ def features(m: star.Market, extended: bool = False) -> DataFrame:
     return ml.feature_frame(facts, fundamental(m, only), q, macro(m, q), signals.analyst(facts), extended)
 
 
-def style_panel(m: star.Market) -> DataFrame:
-    return fundamental(m).join(quant(m), ["as_of", "ticker"]).select("as_of", "ticker", *backtest.STYLES)
+def style_panel(m: star.Market, at: DataFrame | None = None) -> DataFrame:
+    return fundamental(m, at=at).join(quant(m, at=at), ["as_of", "ticker"]).select("as_of", "ticker", *backtest.STYLES)
+
+
+def lags_of(m: star.Market) -> tuple[DataFrame, DataFrame]:
+    """Rebalance dates with the day five rows before each, and all these days as as_of."""
+    lags = cut(backtest.lagged_dates(dates_of(m), m.prices.select("date").distinct()), "lags")
+    return lags, lags.select("as_of").unionByName(lags.where("lagged is not null").select(F.col("lagged").alias("as_of"))).distinct()
 
 
 def books(m: star.Market, n: int = 10) -> DataFrame:
@@ -214,7 +220,8 @@ def trade_list(spark, d):
 
 def mandate_check(spark, d):
     m = star.market(spark, d)
-    return risk.mandate_violations(books(m), m.securities, cap=0.105, sector_cap=0.4)
+    terms = spark.createDataFrame([("value", 0.105, 0.4, ["ASIA"], ["PROMO"])], "portfolio_id string, position_cap double, sector_cap double, avoid_sectors array<string>, avoid_themes array<string>")
+    return risk.mandate_violations(books(m), m.securities, terms, least=5, most=40)
 
 
 def data_quality(spark, d):
@@ -277,19 +284,25 @@ def market_regime(spark, d):
     return rounded(backtest.classify_regime(m.benchmarks, backtest.breadth(m.prices)))
 
 
+def best_templates(spark, d):
+    """The best template of each date by its trailing figures."""
+    m = star.market(spark, d)
+    return rounded(backtest.trailing_best(cut(_backtest(spark, d), "daily"), dates_of(m), m.prices.select("date")))
+
+
 def style_weights(spark, d):
     m = star.market(spark, d)
     regimes = on_dates(m, backtest.classify_regime(m.benchmarks, backtest.breadth(m.prices))).select("as_of", "regime")
-    best = backtest.best_template(_backtest(spark, d), backtest.template_table(spark))
-    return rounded(backtest.style_weights(regimes, backtest.prior_table(spark), best))
+    best = backtest.trailing_best(cut(_backtest(spark, d), "daily"), dates_of(m), m.prices.select("date"))
+    return rounded(backtest.style_weights(regimes, backtest.prior_table(spark), backtest.blend_of(best, backtest.template_table(spark))))
 
 
 def signal_stability(spark, d):
+    """B10 of the regime's composite, against five rows before."""
     m = star.market(spark, d)
-    v = fundamental(m).select("as_of", "ticker", F.col("value").alias("score"))
-    nxt = panel.rebalance_dates(m.prices).where("next_as_of is not null")
-    then = v.join(nxt, "as_of").select(F.col("next_as_of").alias("as_of"), "ticker", "score")
-    return rounded(backtest.stability(v.where("score is not null"), then.where("score is not null")))
+    lags, days = lags_of(m)
+    regimes = on_dates(m, backtest.classify_regime(m.benchmarks, backtest.breadth(m.prices))).select("as_of", "regime")
+    return rounded(backtest.stability(cut(style_panel(m, days), "styles"), lags, backtest.style_weights(regimes, backtest.prior_table(spark))))
 
 
 def training_rows(m: star.Market, extended: bool = False) -> DataFrame:
@@ -368,13 +381,31 @@ def candidate_selection(spark, d):
 
 def constructed(m: star.Market) -> DataFrame:
     c = portfolio.candidates(_scored(m), 15).withColumn("max_weight_by_liquidity", F.lit(None).cast("double"))
-    return portfolio.construct(portfolio.base_weights(c, 1.2, 0.12))
+    return portfolio.construct(portfolio.base_weights(c, 1.2, 0.12).withColumn("sector_cap", F.lit(0.30)))
 
 
 def portfolio_weights(spark, d):
     return rounded(constructed(star.market(spark, d)))
 
 
+def value_book_decisions(spark, d):
+    """E12, E13 of the value books against those of the date before: scores, costs, gates and what blocks a trade."""
+    m = star.market(spark, d)
+    b = cut(books(m), "books")
+    now = cut(carried(m, b), "carried")
+    r = signals._market(m.prices, m.benchmarks).select("date", "ticker", "close", "ret", "m")
+    win = cut(risk.windowed(r, dates_of(m)).select("as_of", "date", "ticker", "ret", "m"), "window")
+    quality = risk.data_quality(risk.windowed(r, dates_of(m), 60), snapshot(m))
+    lags, days = lags_of(m)
+    regimes = cut(on_dates(m, backtest.classify_regime(m.benchmarks, backtest.breadth(m.prices))).select("as_of", "regime"), "regimes")
+    sure = backtest.stability(cut(style_panel(m, days), "styles"), lags, backtest.style_weights(regimes, backtest.prior_table(spark)))
+    scored = fundamental(m).select(F.lit("value").alias("portfolio_id"), "as_of", "ticker", F.col("value").alias("integrated_score"))
+    limits = spark.createDataFrame([("value", 0.103, 0.4)], "portfolio_id string, position_cap double, sector_cap double")
+    out = decision.decisions(b, now, scored, risk.book_returns(b, win), risk.book_returns(now, win), m.securities, quality, sure, limits, holdings=(5, 40))
+    gates = [f"gate_{g}" for g in ("improvement", "mandate", "quality", "confidence", "risk", "turnover")]
+    return rounded(out.select("portfolio_id", "as_of", "initial", "new_score", "old_score", "turnover", "d_vol", "d_beta", "confidence", "quality", "improvement", *gates, "trade", "blocked_by"))
+
+
 def ledger_nav(spark, d):
     m = star.market(spark, d)
     return rounded(portfolio.ledger(constructed(m).select("portfolio_id", "as_of", "ticker", "weight"), m.prices), 2)
@@ -430,4 +461,4 @@ def page_fields(spark, d):
     return p.select("page_id", F.size(links).cast("long").alias("n_links"), F.regexp_extract("html", "<title>([^<]*)</title>", 1).alias("title"), F.array_join(links, "|").alias("links"))
 
 
-QUERIES = {f.__name__: f for f in (adapter_prices, adapter_benchmarks, adapter_fundamentals, adapter_securities, value_top10, facts_as_of, fundamental_scores, f_score, universe, cross_section, performance, equity_curves, quant_scores, macro_regime, hybrid, earnings_events, stock_risk, liquidity, concentration, sector_exposure, style_exposure, portfolio_risk, turnover, trade_list, mandate_check, data_quality, robustness, stress_windows, rate_shock, average_correlation, template_backtest, template_daily, pit_backtest, survivorship, market_regime, style_weights, signal_stability, training_panel, feature_registry, feature_ic, walk_forward, walk_forward_summary, ridge_model, explain_local, explain_reasons, coefficient_stability, permutation_importance, logistic_model, candidate_selection, portfolio_weights, ledger_nav, return_bootstrap, split_factors, total_return, event_marks, event_marks_stream, event_properties, page_fields)}
+QUERIES = {f.__name__: f for f in (adapter_prices, adapter_benchmarks, adapter_fundamentals, adapter_securities, value_top10, facts_as_of, fundamental_scores, f_score, universe, cross_section, performance, equity_curves, quant_scores, macro_regime, hybrid, earnings_events, stock_risk, liquidity, concentration, sector_exposure, style_exposure, portfolio_risk, turnover, trade_list, mandate_check, data_quality, robustness, stress_windows, rate_shock, average_correlation, template_backtest, template_daily, pit_backtest, survivorship, market_regime, best_templates, style_weights, signal_stability, training_panel, feature_registry, feature_ic, walk_forward, walk_forward_summary, ridge_model, explain_local, explain_reasons, coefficient_stability, permutation_importance, logistic_model, candidate_selection, portfolio_weights, value_book_decisions, ledger_nav, return_bootstrap, split_factors, total_return, event_marks, event_marks_stream, event_properties, page_fields)}

@@ -116,6 +116,52 @@ k1 as (select *, case when ret is not null then product(1 + coalesce(ret, 0)) ov
 k3 as (select as_of, ticker, stddev_pop(ret) * sqrt(252) as vol, case when covar_samp(case when m is not null then ret end, m) / nullif(var_pop(m), 0) is null or count(ret) < 30 then 1 else covar_samp(case when m is not null then ret end, m) / nullif(var_pop(m), 0) end as beta, min(dd) as mdd, avg((dd < -0.10::double)::int) as dd_freq from k2 group by as_of, ticker), k4 as (select *, {rank('vol', False)} as r_vol, {rank('mdd')} as r_mdd, {rank('dd_freq', False)} as r_freq from k3), k5 as (select *, {mix(r_vol=.5, r_mdd=.3, r_freq=.2)} as risk_score from k4),
 risks as (select *, case when count(vol) over ({X}) = count(*) over ({X}) and count(vol) over ({X}) > 1 then greatest(1, ceil(5.0::double * (row_number() over ({X} order by vol nulls last, ticker) - 1) / (count(vol) over ({X}) - 1))) else 3 end::int as risk_band, coalesce(vol > quantile_cont(vol, 0.85) over ({X}) or mdd < -0.40::double, false) as tail from k5)"""
 
+QUALITY = f""", qp as (select as_of, ticker, avg((close is null)::int) as missing, count(distinct close) <= 1 and count(close) > 1 as stale, coalesce(max(abs(ret)) > 0.5::double, false) as outlier from win group by all), qo as (select as_of, avg(missing) as missing, sum(stale::int) as stale, sum(outlier::int) as outliers, count(*) as n from qp group by as_of),
+qv as (select qo.*, coalesce(c, 0) as coverage from qo left join (select as_of, ({' + '.join(f'count({c})' for c in FIELDS)})::double / (count(*) * {len(FIELDS)}) as c from facts group by as_of) using (as_of)),
+quality as (select as_of, missing, stale::bigint as stale, outliers::bigint as outliers, n, coverage, case when missing > 0.10::double or coverage < 0.6::double or stale > 0.2::double * n then 'Critical' when missing > 0.02::double or stale > 0 or outliers > 0 or coverage < 0.9::double then 'Warning' else 'OK' end as status from qv)"""
+# fixed values: templates in the order that decides ties
+BEST = """, cal as (select date, row_number() over (order by date) as i from (select distinct date from prices)), tw as (select r.as_of, coalesce(b.date, (select min(date) from prices)) as start from reb r join cal c on c.date = r.as_of left join cal b on b.i = c.i - 999),
+tr as (select tw.as_of, d.template, product(1 + ret) as g, count(*) as n, stddev_pop(ret) as sd from tw join daily d on d.date > tw.start and d.date <= tw.as_of group by tw.as_of, d.template),
+tb as (select tw.as_of, v.template, place, case when n >= 2 and sd > 1e-12 then (power(g, 252.0::double / n) - 1) / (sd * sqrt(252)) end as sharpe from tw cross join (values ('deep_value', 0), ('quality_compounder', 1), ('garp_blend', 2), ('momentum_tilt', 3), ('defensive_low_vol', 4), ('hybrid_multifactor', 5)) v(template, place) left join tr on tr.as_of = tw.as_of and tr.template = v.template),
+best as (select as_of, template, sharpe from tb qualify row_number() over (partition by as_of order by case when abs(sharpe) > 1e-12 then round(sharpe, 9) end desc nulls last, place) = 1)"""
+# the same chain on the rebalance dates and on the days five rows before each
+REB0 = DATES.replace("reb as (", "reb0 as (", 1) + ", cal0 as (select date, row_number() over (order by date) as i from (select distinct date from prices)), lags as (select r.as_of, b.date as lagged from reb0 r join cal0 c on c.date = r.as_of left join cal0 b on b.i = c.i - 5), reb as (select as_of, next_as_of from reb0 union all select distinct lagged, null::date from lags where lagged is not null and lagged not in (select as_of from reb0))"
+BOTH = lambda text: text.replace(DATES, REB0, 1)
+STABLE = f""", sw as (select r.as_of, {', '.join(f"coalesce(sum(p.prior) filter (p.style = '{c}'), 0) as w_{c}" for c in STYLES)} from reb0 r join regimes g on g.date = r.as_of join {PRIORS} p using (regime) group by r.as_of),
+sb as (select l.as_of, n.ticker, {', '.join(f'n.{c}, o.{c} as old_{c}' for c in STYLES)} from lags l join styles n on n.as_of = l.as_of join styles o on o.as_of = l.lagged and o.ticker = n.ticker),
+sm as (select as_of, count(*) as n, {', '.join(f'avg(abs({c} - old_{c})) as {c}' for c in STYLES)} from sb group by as_of), sd as (select as_of, n, ({' + '.join(f'coalesce({c}, 0)' for c in STYLES)}) / nullif({' + '.join(f'({c} is not null)::int' for c in STYLES)}, 0) as drift from sm),
+sx as (select sb.as_of, round(({' + '.join(f'w_{c} * coalesce({c}, 50)' for c in STYLES)}) / ({' + '.join(f'w_{c}' for c in STYLES)}), 9) as x, round(({' + '.join(f'w_{c} * coalesce(old_{c}, 50)' for c in STYLES)}) / ({' + '.join(f'w_{c}' for c in STYLES)}), 9) as y from sb join sw using (as_of)),
+sr as (select as_of, {rank('x')} as a, {rank('y')} as b from sx), sc0 as (select as_of, coalesce(covar_pop(a, b) / nullif(stddev_pop(a) * stddev_pop(b), 0), 0) as rho from sr group by as_of),
+sure as (select sw.as_of, case when n >= 5 then rho end as rho, case when n >= 5 then drift end as drift, case when n >= 5 then greatest(0, least(1, 0.5::double * (rho + 1) - 0.003::double * drift)) else 0.5::double end as confidence from sw left join sc0 using (as_of) left join sd using (as_of))"""
+
+
+def filled(src: str, to: str) -> str:
+    """Rows of src (as_of, ticker, sector, score, cap, w) with w water-filled to caps."""
+    t = to
+    order = "partition by as_of order by cap / u, cap, u rows between unbounded preceding and 1 preceding"
+    return f""", {t}1 as (select *, w / sum(w) over ({X}) as u from {src}), {t}2 as (select *, coalesce(sum(cap) over ({order}), 0) as c0, 1 - coalesce(sum(u) over ({order}), 0) as o from {t}1), {t}3 as (select *, cap / u * o < 1 - c0 as capped from {t}2),
+{t}4 as (select *, case when 1 - coalesce(sum(u) filter (capped) over ({X}), 0) > 1e-12 then (1 - coalesce(sum(cap) filter (capped) over ({X}), 0)) / (1 - coalesce(sum(u) filter (capped) over ({X}), 0)) else 1e300 end as level from {t}3),
+{to} as (select as_of, ticker, sector, score, cap, least(cap, level * u) / sum(least(cap, level * u)) over ({X}) as w from {t}4)"""
+
+
+def sectors_filled(src: str, to: str, most: float) -> str:
+    """Fifty rounds over at most five sectors each: one step a sector, in the order of names; then caps again."""
+    t = to + "r"
+    m = f"{most}::double"
+    return f""", {t}(step, as_of, ticker, sector, score, cap, k, w, tot) as (select 0, as_of, ticker, sector, score, cap, dense_rank() over ({X} order by sector), w, 0.0::double from {src}
+  union all select step + 1, as_of, ticker, sector, score, cap, k, case when s > {m} + 1e-9 then v + case when h > 0 then freed * head / h else 0 end else u end, tot from (
+    select *, sum(head) over ({X}) as h from (select *, case when k = now then 0 else greatest(cap - v, 0) end as head from (
+      select *, case when k = now and s > {m} + 1e-9 then u * {m} / s else u end as v, coalesce(sum(u) filter (k = now) over ({X}), 0) * (1 - {m} / nullif(s, 0)) as freed from (
+        select *, coalesce(max(tot) filter (k = now) over ({X}), 0) as s from (
+          select step, as_of, ticker, sector, score, cap, k, u, step % 5 + 1 as now, case when step % 5 = 0 then sum(u) over (partition by as_of, k) else tot end as tot from (
+            select *, case when step % 5 = 0 then w / sum(w) over ({X}) else w end as u from {t} where step < 250)))))))
+, {t}x as (select as_of, ticker, sector, score, cap, w from {t} where step = 250)""" + filled(f"{t}x", to)
+
+
+PICKED15 = ", pick as (select as_of, f.ticker, sector, value as score, row_number() over (partition by as_of, sector order by round(value, 8) desc, f.ticker) as j from fund f join securities using (ticker) where value is not null), pick2 as (select *, row_number() over (partition by as_of order by round(score, 8) desc, ticker) as place from pick where j <= 6), w0 as (select as_of, ticker, sector, score, 0.12::double as cap, power(score - min(score) over (partition by as_of) + 5, 1.2::double) as w from pick2 where place <= 15)"
+BUILT = PICKED15 + filled("w0", "wa") + sectors_filled("wa", "wb", 0.30) + ", wk as (select *, count(*) filter (w >= 0.01::double) over (partition by as_of) as good from wb), wc as (select as_of, ticker, sector, score, cap, w from wk where w >= 0.01::double or good < 5)" + filled("wc", "wd") + sectors_filled("wd", "we", 0.30)
+RECURSIVE = C.replace("with ", "with recursive ", 1)
+
 SQL: dict[str, str] = {
     "adapter_prices": C + "select date, ticker, close, volume from prices",
     "adapter_benchmarks": C + "select date, name, level from benchmarks",
@@ -126,7 +172,7 @@ SQL: dict[str, str] = {
     "fundamental_scores": C + FUND + out(F_COLS, "fund"),
     "f_score": C + ASOF + ", old as (select g.as_of, f.* from grid2 g asof join fundamentals f on g.ticker = f.ticker and (g.as_of - 365) >= f.pub_date), t as (select n.*, coalesce(n.roic, n.roe) as roa, coalesce(o.roic, o.roe) as p_roa, o.debt_equity as p_debt_equity, o.interest_coverage as p_interest_coverage, o.gross_margin as p_gross_margin from facts n left join old o on n.as_of = o.as_of and n.ticker = o.ticker), " + f"s as (select as_of, ticker, ({' + '.join(f'coalesce(({t})::int, 0)' for t in TESTS)}) as f_score, ({' + '.join(f'(({t}) is not null)::int' for t in TESTS)}) as f_evaluated from t), u as (select *, 9 - f_evaluated as f_missing, f_score::double / nullif(f_evaluated, 0) as f_score_pct, f_score::double / nullif(f_evaluated, 0) * 9 as f_score_adj from s), v as (select *, {rank('f_score_pct')} as piotroski, coalesce(f_score_adj >= 7, false) as f_strong, coalesce(f_score_adj <= 3, false) as f_weak from u) " + out("as_of ticker f_score f_evaluated f_missing f_score_pct:r f_score_adj:r piotroski:r f_strong f_weak", "v"),
     "universe": C + DATES + MEMBERS + out("as_of ticker close:r adv:r", "members"),
-    "cross_section": C + ASOF + f", q as (select as_of, quantile_cont(pe, 0.02) as lo, quantile_cont(pe, 0.98) as hi, count(pe) as n from facts group by as_of), w as (select f.as_of, f.ticker, case when q.n < 3 then pe when pe is not null then greatest(lo, least(hi, pe)) end as pe, roe, sector from facts f join q using (as_of) join securities s on s.ticker = f.ticker), z as (select *, case when coalesce(stddev_pop(pe) over ({X}), 0) = 0 then 0 else (pe - avg(pe) over ({X})) / stddev_pop(pe) over ({X}) end as z, {rank('pe', False)} as rank, roe - avg(roe) over (partition by as_of, sector) as gap from w), n as (select *, {rank('gap')} as neutral from z), b as (select *, {mix(rank=.7, neutral=.3)} as mixed from n) " + out("as_of ticker pe:r z:r rank:r neutral:r mixed:r", "b"),
+    "cross_section": C + ASOF + f", q as (select as_of, quantile_cont(pe, 0.02) as lo, quantile_cont(pe, 0.98) as hi, count(pe) as n from facts group by as_of), w as (select f.as_of, f.ticker, case when q.n < 3 then pe when pe is not null then greatest(lo, least(hi, pe)) end as pe, roe, sector from facts f join q using (as_of) join securities s on s.ticker = f.ticker), z as (select *, case when coalesce(stddev_pop(pe) over ({X}), 0) = 0 then 0 else (pe - avg(pe) over ({X})) / stddev_pop(pe) over ({X}) end as z, {rank('pe', False)} as rank, round(roe - avg(roe) over (partition by as_of, sector), 9) as gap from w), n as (select *, {rank('gap')} as neutral from z), b as (select *, {mix(rank=.7, neutral=.3)} as mixed from n) " + out("as_of ticker pe:r z:r rank:r neutral:r mixed:r", "b"),
     "performance": C + RETS + METRICS("ticker", "rets") + out("ticker ann_return:r ann_vol:r sharpe:r total_return:r max_drawdown:r n_days worst_year:r", "metrics"),
     "equity_curves": C + ", r as (select *, level / lag(level) over (partition by name order by date) - 1 as ret from benchmarks), e as (select *, product(1 + ret) over (partition by name order by date rows between unbounded preceding and current row) as equity from r where ret is not null), f as (select *, equity / max(equity) over (partition by name order by date rows between unbounded preceding and current row) - 1 as drawdown from e) " + out("date name ret:r equity:r drawdown:r", "f"),
     "quant_scores": C + ASOF + QUANT + out("as_of ticker momentum:r low_vol:r size:r factor:r beta:r gbeta:r macro_tilt:r volatility:r", "quant"),
@@ -140,8 +186,7 @@ SQL: dict[str, str] = {
     "portfolio_risk": C + FUND + BOOKS + RETS + SEG + ", d as (select portfolio_id, as_of, date, sum(coalesce(weight * ret, 0)) as ret, max(m) as m from books join seg using (as_of, ticker) group by all), p as (select portfolio_id, as_of, stddev_pop(ret) * sqrt(252) as vol, case when count(ret) > 20 then covar_samp(case when m is not null then ret end, m) / var_pop(m) else 1 end as beta, count(*) as n_days from d group by all) " + out("portfolio_id as_of vol:r beta:r n_days", "p"),
     "turnover": C + FUND + MOVES + f", t as (select portfolio_id, as_of, sum(abs(target_weight - current_weight)) / 2 as turnover, sum(abs(target_weight - current_weight)) * 9.0::double / 1e4::double as cost from moves group by all), u as (select *, {clip('100 * (1 - turnover / 0.5::double)')} as turnover_score from t) " + "select portfolio_id, as_of, round(turnover, 9) as turnover, round(cost, 9) as cost, round(turnover_score, 9) as turnover_score from u",
     "trade_list": C + FUND + MOVES + ", t as (select *, target_weight - current_weight as delta from moves), u as (select *, case when abs(delta) <= 1e-6 then 'hold' when current_weight <= 1e-6 then 'add' when target_weight <= 1e-6 then 'exit' when delta > 0 then 'increase' else 'trim' end as action from t) " + out("portfolio_id as_of ticker target_weight:r current_weight:r delta:r action", "u"),
-    "mandate_check": C + FUND + BOOKS + ", b as (select portfolio_id, as_of, max(weight) as high, count(*) as n from books group by all), s as (select distinct portfolio_id, as_of from (select portfolio_id, as_of, sector, sum(weight) as e from books left join securities using (ticker) group by all) where e > 0.4 + 1e-9) select portfolio_id, as_of, 'position cap' as rule from b where high > 0.105 + 1e-9 union all select portfolio_id, as_of, 'sector cap' from s union all select portfolio_id, as_of, 'holdings' from b where n not between 5 and 40",
-    "data_quality": C + RISK_WIN(60) + ASOF.replace(DATES, "") + ", p as (select as_of, ticker, avg((close is null)::int) as missing, count(distinct close) <= 1 and count(close) > 1 as stale, sum((abs(ret) > 0.5)::int) as outliers from win group by all), o as (select as_of, avg(missing) as missing, sum(stale::int) as stale, sum(outliers) as outliers, count(*) as n from p group by as_of), v as (select o.*, coalesce(c, 0)::double / n as coverage from o left join (select as_of, count(market_cap) as c from facts group by as_of) using (as_of)), w as (select as_of, missing, stale::bigint as stale, outliers::bigint as outliers, n, coverage, case when missing > 0.20 or coverage < 0.50 then 'Critical' when missing > 0.05 or stale > 0 or outliers > 0 or coverage < 0.80 then 'Warning' else 'OK' end as status from v) " + out("as_of missing:r stale outliers n coverage:r status", "w"),
+    "data_quality": C + RISK_WIN(60) + ASOF.replace(DATES, "") + QUALITY + out("as_of missing:r stale outliers n coverage:r status", "quality"),
     "robustness": C + STYLED + out("as_of " + " ".join(f"{s}:r" for s in STYLES), f"(select as_of, {', '.join(f'100 * (0.5::double * avg(({s} is not null)::int) + 0.5::double * least(coalesce(stddev_pop({s}), 0) / 20, 1)) as {s}' for s in STYLES)} from styles group by as_of)"),
     "rate_shock": C + FUND + BOOKS + f", d as (select b.*, {rank('pe', True, 'portfolio_id, as_of')} as k from books b left join facts using (as_of, ticker)) " + out("portfolio_id as_of impact:r", "(select portfolio_id, as_of, -0.01::double * sum(weight * (2 + 8 * coalesce(k / 100, 0.5::double))) as impact from d group by all)"),
     "average_correlation": C + FUND + BOOKS + RETS + SEG + ", o as (select portfolio_id, as_of, ticker, date, ret from books join seg using (as_of, ticker)), p as (select a.portfolio_id, a.as_of, a.ticker as t1, b.ticker as t2, covar_pop(a.ret, b.ret) / nullif(stddev_pop(case when b.ret is not null then a.ret end) * stddev_pop(case when a.ret is not null then b.ret end), 0) as c from o a join o b on a.as_of = b.as_of and a.date = b.date and a.ticker < b.ticker group by all) " + out("portfolio_id as_of avg_corr:r n_pairs", "(select portfolio_id, as_of, avg(c) as avg_corr, count(c) as n_pairs from p group by all)"),
@@ -150,11 +195,13 @@ SQL: dict[str, str] = {
     "pit_backtest": C + STYLED + MEMBERS + backtest(False, pit=True) + METRICS("template", "daily") + out("template ann_return:r ann_vol:r sharpe:r total_return:r max_drawdown:r n_days worst_year:r", "metrics"),
     "survivorship": C + STYLED + MEMBERS + backtest(False, pit=True) + backtest(True, "x", pit=True) + ", a as (select template, power(product(1 + ret), 252.0::double / count(*)) - 1 as all_names from daily group by template), b as (select template, power(product(1 + ret), 252.0::double / count(*)) - 1 as survivors from dailyx group by template), c as (select *, survivors - all_names as bias from a join b using (template)) " + out("template all_names:r survivors:r bias:r", "c"),
     "market_regime": C + REGIME + out("date regime breadth:r", "regimes"),
-    "style_weights": C + STYLED + REGIME + backtest(False) + METRICS("template", "daily") + f", best as (select style, w / sum(w) over () as w from {TEMPLATES} where template = (select template from metrics order by sharpe desc nulls last, template limit 1)), wr as (select as_of, regime, p.style, 0.65::double * p.prior + 0.35::double * coalesce(t.w, 0) as raw from reb join regimes on regimes.date = reb.as_of join {PRIORS} p using (regime) left join best t on t.style = p.style) " + out("as_of regime style weight:r", "(select *, greatest(raw, 0) / sum(greatest(raw, 0)) over (partition by as_of) as weight from wr)"),
-    "signal_stability": C + FUND + f", j as (select n.as_of, n.ticker, n.value as score, o.value as old from fund n join reb r on r.next_as_of = n.as_of join fund o on o.as_of = r.as_of and o.ticker = n.ticker where n.value is not null and o.value is not null), k as (select *, {rank('score')} as a, {rank('old')} as b from j), s as (select as_of, corr(a, b) as rho, avg(abs(score - old)) as drift from k group by as_of), t as (select *, greatest(0, least(1, 0.5::double * (coalesce(rho, 0) + 1) - 0.003::double * drift)) as confidence from s) " + out("as_of rho:r drift:r confidence:r", "t"),
+    "best_templates": C + STYLED + backtest(False) + BEST + out("as_of template sharpe:r", "best"),
+    "style_weights": C + STYLED + REGIME + backtest(False) + BEST + f", bw as (select as_of, style, w / sum(w) over (partition by as_of) as w from best join {TEMPLATES} using (template)), wr as (select reb.as_of, regime, p.style, 0.65::double * p.prior + 0.35::double * coalesce(t.w, 0) as raw from reb join regimes on regimes.date = reb.as_of join {PRIORS} p using (regime) left join bw t on t.as_of = reb.as_of and t.style = p.style) " + out("as_of regime style weight:r", "(select *, greatest(raw, 0) / sum(greatest(raw, 0)) over (partition by as_of) as weight from wr)"),
+    "signal_stability": C + BOTH(STYLED) + REGIME + STABLE + out("as_of rho:r drift:r confidence:r", "sure"),
     "training_panel": C + TRAIN + out("as_of ticker " + " ".join(f"{c}:r" for c in ALL) + " fwd_return:r fwd_excess:r outperform", "train"),
     "feature_registry": C + FRAME + f", r as (select feature, family, sign::int as sign, source, lag_days::int as lag_days, min_history_days::int as min_history_days, is_proxy from (values {REGISTRY}) v(feature, family, sign, source, lag_days, min_history_days, is_proxy)) select r.*, coalesce(n_known, 0) as n_known from r left join (select feature, count(x) as n_known from (unpivot frame on {', '.join(ALL)} into name feature value x) group by feature) using (feature)",
     "candidate_selection": C + FUND + ", s as (select 'value' as portfolio_id, as_of, f.ticker, sector, value as score, row_number() over (partition by as_of, sector order by round(value, 8) desc, f.ticker) as j from fund f join securities using (ticker) where value is not null), t as (select *, row_number() over (partition by as_of order by round(score, 8) desc, ticker)::int as place from s where j <= 5) " + out("portfolio_id as_of ticker sector score:r place", "t", "where place <= 12"),
+    "portfolio_weights": RECURSIVE + FUND + BUILT + out("portfolio_id as_of ticker sector score:r weight:r", "(select 'value' as portfolio_id, as_of, ticker, sector, score, w as weight from we)"),
     "split_factors": C + ", s as (select ticker, month as date, qty as val, qty / lag(qty) over (partition by ticker order by month) as r from months), t as (select *, case when r >= 1.45::double or (r > 0 and r <= 0.69::double) then r else 1 end as step from s), u as (select *, coalesce(product(step) over (partition by ticker order by date rows between 1 following and unbounded following), 1) as factor from t) " + out("ticker date val:r factor:r", "u"),
     "total_return": C + RETS + ", t as (select ticker as permno, date, first_value(close) over w * product(1 + coalesce(ret, 0)) over (w rows between unbounded preceding and current row) as level from rets window w as (partition by ticker order by date)) " + out("permno date level:r", "t"),
     "event_marks": "select cast(user_id as varchar) as portfolio_id, event_id, round(100 * product(1 + value / 1e4) over w, 6) + 0.0::double as nav, count(*) over w as n_marks from events window w as (partition by user_id order by ts, event_id rows between unbounded preceding and current row)",

@@ -115,15 +115,49 @@ def annual_pair(series: DataFrame, grid: DataFrame) -> DataFrame:
     return j.withColumn("k", k).where("k <= 2").groupBy("cik", "as_of", "measure").agg(F.max(F.when(F.col("k") == 1, F.col("val"))).alias("latest"), F.max(F.when(F.col("k") == 2, F.col("val"))).alias("previous"))
 
 
-def sec_panel(pairs: DataFrame, prices: DataFrame) -> DataFrame:
-    """Price-aware ratios of the annual measures at each (cik, as_of); prices: cik, as_of, close."""
-    m = pairs.groupBy("cik", "as_of").pivot("measure", ["net_income", "equity", "assets", "revenue", "gross_profit", "operating_income", "ocf", "capex", "debt", "interest", "dividends", "shares", "eps"]).agg(F.first("latest").alias("now"), F.first("previous").alias("was")).join(prices, ["cik", "as_of"])
-    n, w = (lambda c: F.col(f"{c}_now")), (lambda c: F.col(f"{c}_was"))
-    cap = F.col("close") * n("shares")
+# measures of the monthly panel: flows by fiscal year, and stocks of a day
+FLOWS = ("revenue", "net_income", "eps", "gross_profit", "operating_income", "ocf", "capex", "dividends", "interest", "weighted_shares")
+STOCKS = ("equity", "liabilities", "assets", "cash", "debt", "shares")
+
+
+def company_panel(annual: DataFrame, instant: DataFrame, grid: DataFrame) -> DataFrame:
+    """FIELDS of each (cik, as_of) of grid (cik, as_of, close, and adv if known), from what was filed by then.
+    annual: cik, measure, fy, val, filed of FLOWS, one row a fiscal year (see annual_series); instant: cik, measure, val,
+    filed of STOCKS, one row a filing (see instant_series).
+
+    All measures, the share counts' split factors and the grid are one sequence of days a company, carried forward in one
+    shuffle: of a flow the last two fiscal years filed by a day, of a stock the last value by it and by 365 days before.
+    Shares count on the basis of the latest split; earnings a share are restated by the factor in force at their own
+    filing. Growth is measured over the months of the grid so far. Companies of the grid without any facts have rows of
+    nulls."""
+    from corvane.operators.panel import split_factors
+
+    of = lambda m, x: F.when(F.col("measure") == m, x)
+    flows = annual.groupBy("cik", "filed").agg(*[F.collect_list(of(m, F.struct("fy", "val"))).alias(f"f_{m}") for m in FLOWS])
+    stocks = instant.groupBy("cik", "filed").agg(*[F.max(of(m, F.col("val"))).alias(f"s_{m}") for m in STOCKS])
+    steps = split_factors(instant.where("measure = 'shares'").select(F.col("cik").alias("ticker"), F.col("filed").alias("date"), "val")).select(F.col("ticker").alias("cik"), F.col("date").alias("filed"), "factor")
+    events = flows.join(stocks, ["cik", "filed"], "full").join(steps, ["cik", "filed"], "left").withColumn("day", F.unix_date("filed")).drop("filed")
+    asked = grid.select("cik", "as_of", "close", (F.col("adv") if "adv" in grid.columns else F.lit(None)).cast("double").alias("adv_usd"), F.unix_date("as_of").alias("day"))
+    days = Window.partitionBy("cik").orderBy("day")
+    now, year_ago = days.rangeBetween(Window.unboundedPreceding, 0), days.rangeBetween(Window.unboundedPreceding, -365)
+    rows = events.unionByName(asked, allowMissingColumns=True).withColumn("factor", F.coalesce(F.last("factor", True).over(now), F.lit(1.0)))
+    rows = rows.withColumn("f_eps", F.transform("f_eps", lambda x: F.struct(x["fy"].alias("fy"), (x["val"] / F.col("factor")).alias("val"))))
+    known = {f"f_{m}": F.slice(F.sort_array(F.flatten(F.collect_list(f"f_{m}").over(now)), asc=False), 1, 2) for m in FLOWS}
+    known |= {f"s_{m}": F.last(f"s_{m}", True).over(now) for m in STOCKS}
+    known |= {f"y_{m}": F.last(f"s_{m}", True).over(year_ago) for m in ("assets", "shares")}
+    rows = rows.select("cik", "as_of", "close", "adv_usd", "factor", *[x.alias(k) for k, x in known.items()]).where("as_of is not null")
+    last, before = (lambda m: F.try_element_at(f"f_{m}", F.lit(1))["val"]), (lambda m: F.try_element_at(f"f_{m}", F.lit(2))["val"])
+    rows = rows.select("cik", "as_of", "close", "adv_usd", (F.col("close") * F.col("s_shares") * F.col("factor")).alias("cap"), *[x(m).alias(f"{p}{m}") for m in FLOWS for p, x in (("", last), ("p_", before))], *[F.col(f"s_{m}").alias(m) for m in STOCKS], "y_assets", "y_shares")
+    c = F.col
     over = lambda a, b: F.when(b > 0, a / b)
-    growth = lambda c: F.when(w(c) > 0, n(c) / w(c) - 1)
-    debt = F.coalesce(n("debt"), F.lit(0.0))
-    return m.select("cik", "as_of", cap.alias("market_cap"), over(cap, n("net_income")).alias("pe"), over(cap, n("equity")).alias("pb"), over(cap + debt, n("operating_income")).alias("ev_ebit"), over(n("ocf") - F.coalesce(n("capex"), F.lit(0.0)), cap).alias("fcf_yield"), over(n("net_income") - n("ocf"), n("assets")).alias("accruals"), over(n("net_income"), n("equity")).alias("roe"), over(n("operating_income"), n("equity") + debt).alias("roic"), over(n("gross_profit"), n("revenue")).alias("gross_margin"), over(debt, n("equity")).alias("debt_equity"), over(n("operating_income"), n("interest")).alias("interest_coverage"), growth("revenue").alias("revenue_growth"), growth("eps").alias("eps_growth"), growth("shares").alias("net_issuance"), growth("assets").alias("asset_growth"), F.coalesce(over(n("dividends"), cap), F.lit(0.0)).alias("dividend_yield"), F.coalesce(over(n("dividends"), n("net_income")), F.lit(0.0)).alias("payout_ratio"))
+    zero = lambda m: F.coalesce(m, F.lit(0.0))
+    growth = lambda m: over(c(m), c(f"p_{m}")) - 1
+    capital = c("equity") + zero("debt")
+    out = rows.select("cik", "as_of", c("cap").alias("market_cap"), over(c("close"), c("eps")).alias("pe"), over(c("cap"), c("equity")).alias("pb"), over(c("cap") + zero("debt") - zero("cash"), c("operating_income")).alias("ev_ebit"), over(c("ocf") - c("capex"), c("cap")).alias("fcf_yield"), over(c("net_income") - c("ocf"), c("assets")).alias("accruals"), over(c("net_income"), c("equity")).alias("roe"), over(c("net_income"), capital).alias("roic"), F.when(c("revenue") != 0, c("gross_profit") / c("revenue")).alias("gross_margin"), over(c("liabilities"), c("equity")).alias("debt_equity"), over(c("operating_income"), c("interest")).alias("interest_coverage"), growth("revenue").alias("revenue_growth"), growth("eps").alias("eps_growth"), F.coalesce(growth("weighted_shares"), over(c("shares"), c("y_shares")) - 1).alias("net_issuance"), (over(c("assets"), c("y_assets")) - 1).alias("asset_growth"), F.when(c("cap") > 0, F.coalesce(c("dividends") / c("cap"), F.lit(0.0))).alias("dividend_yield"), F.coalesce(over(c("dividends"), c("net_income")), F.lit(0.0)).alias("payout_ratio"), "adv_usd")
+    so_far = Window.partitionBy("cik").orderBy("as_of").rowsBetween(Window.unboundedPreceding, 0)
+    spread = F.when(F.count("eps_growth").over(so_far) >= 3, F.stddev_pop("eps_growth").over(so_far))
+    out = out.withColumn("earnings_vol", spread).withColumn("growth_stability", 1 / (1 + c("earnings_vol")))
+    return out.select("cik", "as_of", *FIELDS)
 
 
 def sic_sector(df: DataFrame, bands: DataFrame) -> DataFrame:

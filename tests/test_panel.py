@@ -59,9 +59,9 @@ def test_newey_west_is_naive_without_lags_and_sidak_lowers(spark):
 
 
 def test_water_fill_respects_caps(spark):
-    rows = [("p", D(2020, 1, 1), f"t{i}", "a" if i < 4 else "b", 50.0 + 10 * i, (i + 1) / 36, 0.25) for i in range(8)]
-    df = spark.createDataFrame(rows, "portfolio_id string, as_of date, ticker string, sector string, score double, base double, cap double")
-    got = portfolio.construct(df, sector_cap=0.6).collect()
+    rows = [("p", D(2020, 1, 1), f"t{i}", "a" if i < 4 else "b", 50.0 + 10 * i, (i + 1) / 36, 0.25, 0.6) for i in range(8)]
+    df = spark.createDataFrame(rows, "portfolio_id string, as_of date, ticker string, sector string, score double, base double, cap double, sector_cap double")
+    got = portfolio.construct(df).collect()
     assert sum(r.weight for r in got) == pytest.approx(1)
     assert max(r.weight for r in got) <= 0.25 + 1e-6
     assert sum(r.weight for r in got if r.sector == "b") <= 0.6 + 1e-3

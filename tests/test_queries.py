@@ -7,7 +7,7 @@ import pytest
 import __spark_entry__ as entry
 
 SF = "/root/testdata/sf0.001"
-NAMES = ["value_top10", "quant_scores", "stock_risk", "template_backtest", "market_regime", "universe", "event_marks_stream", "f_score", "csv_dataset", "provider_payloads", "annual_facts", "instant_facts", "annual_pairs", "filing_counts", "insider_scores", "crsp_delisted", "linked_statements", "market_index", "aligned_prices", "quarterly_ratios", "restated_series", "schedules", "index_report", "source_coverage", "metrics_panel", "theme_fit", "alerts", "ic_breakdowns", "earnings_events", "style_weights", "mandate_terms", "style_tilts"]
+NAMES = ["value_top10", "quant_scores", "stock_risk", "template_backtest", "market_regime", "universe", "event_marks_stream", "f_score", "csv_dataset", "provider_payloads", "annual_facts", "instant_facts", "annual_pairs", "filing_counts", "insider_scores", "crsp_delisted", "linked_statements", "market_index", "aligned_prices", "quarterly_ratios", "restated_series", "schedules", "index_report", "source_coverage", "metrics_panel", "theme_fit", "alerts", "ic_breakdowns", "earnings_events", "style_weights", "mandate_terms", "style_tilts", "best_templates", "signal_stability", "portfolio_weights", "value_book_decisions", "tilted_candidates", "neutral_styles", "company_panel", "mandate_check", "data_quality", "cross_section"]
 
 
 def plain(v):
