@@ -134,7 +134,9 @@ def test_licences_of_edge_cases(spark):
     mit = "Released under the MIT License."
     rows = [(1, mit), (1, mit), (None, mit), (2, words(rng, 100_000) + "\n" + mit), (3, "The licensed premises renew their liquor licence each year."), (4, "This work is licensed under the Sybase Open Watcom Public License version 1.0")]
     got = licences.find(spark.createDataFrame(rows, DOCS).withColumn("family", F.lit("clash")), model).collect()
-    assert sum(r.family == "mit" and r.confirmed for r in got) == 4 and [r.paragraph for r in got if r.doc_id == 2 and r.family == "mit"] == [1]
+    found = [(r.doc_id, r.paragraph) for r in got if r.family == "mit" and r.confirmed]
+    assert found.count((1, 0)) == 2 and found.count((None, 0)) == 1 and set(found) == {(1, 0), (None, 0), (2, 0)}  # a line without an end runs on
+    assert {r.doc_id for r in got} == {1, None, 2, 3, 4}
     assert all(r.family == "unknown" and not r.confirmed for r in got if r.doc_id in (3, 4))
     assert all(r.confirmed == (r.family != "unknown") for r in got)
 
