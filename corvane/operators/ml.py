@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
+import json
 import math
 
 import numpy as np
 import pandas as pd
-from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corvane.functions.perf import correlation
 from corvane.functions.xs import pct_rank
+from corvane.sources import registry as trials
 
 # fixed values: feature, family, expected sign of the composites, then fields of the raw ranks and their families
 FEATURES = [("value", "value", 1), ("quality", "quality", 1), ("growth", "growth", 1), ("garp", "growth", 1), ("discipline", "discipline", 1), ("momentum", "momentum", 1), ("low_vol", "risk", 1), ("size", "risk", 1), ("factor", "momentum", 0), ("macro_tilt", "macro", 0), ("macro_fit", "macro", 0), ("analyst", "analyst_proxy", 0)]
@@ -382,45 +383,98 @@ def global_explain(panel: DataFrame, names: list[str], regimes: DataFrame | None
     return out
 
 
-def holdout_check(panel: DataFrame, names: list[str], spec_json: str, log: str, share: float = 0.15, lags: int = 0, force: bool = False) -> DataFrame:
+CHECKS = "spec_id string, family string, spec string, mean_ic double, t_nw double, n_dates long, forced boolean, at timestamp"
+
+
+def holdout_check(panel: DataFrame, names: list[str], spec: dict, family: str, log: str, share: float = 0.15, lags: int = 0, force: bool = False) -> DataFrame:
     """Fits on the research dates and scores the holdout once for a specification: spec_id, mean_ic, t_nw, n_dates,
-    already_checked. The result is appended to the table `log`; a later call for the same specification returns what is
-    written there, unless forced, which is written as well."""
-    spark = panel.sparkSession
-    key = spark.range(1).select(spec_hash(F.lit(spec_json)).alias("k")).first().k
-    kept = "spec_id string, mean_ic double, t_nw double, n_dates long, forced boolean, at timestamp"
-    done = spark.createDataFrame([], kept)
-    try:
-        done = spark.read.schema(kept).parquet(log).where(F.col("spec_id") == key)
-        seen = not done.isEmpty()
-    except AnalysisException:  # the first check of all: no table yet
-        seen = False
-    if seen and not force:
-        return done.orderBy(F.desc("at")).limit(1).select("spec_id", "mean_ic", "t_nw", "n_dates", F.lit(True).alias("already_checked"))
-    parts = holdout_split(panel, share)
-    model = final_fit(parts.where("part = 'research'"), names)
-    scored = predict(parts.where("part = 'holdout'").select("as_of", "ticker", *names), model, names).join(panel.select("as_of", "ticker", "fwd_return"), ["as_of", "ticker"])
-    found = ic_summary(ic_by_date(scored, "raw"), lags=lags).select(F.lit(key).alias("spec_id"), "mean_ic", "t_nw", "n_dates", F.lit(bool(seen)).alias("forced"), F.current_timestamp().alias("at"))
-    found.write.mode("append").parquet(log)
-    return spark.read.schema(kept).parquet(log).where(F.col("spec_id") == key).orderBy(F.desc("at")).limit(1).select("spec_id", "mean_ic", "t_nw", "n_dates", F.lit(False).alias("already_checked"))
-
-
-def write_model(model: DataFrame, metadata: dict[str, str], path: str) -> None:
-    """A model's rows with its metadata beside each, as one table that final_fit's readers take."""
-    model.withColumns({k: F.lit(v) for k, v in metadata.items()}).write.mode("overwrite").parquet(path)
-
-
-def reasons(local: DataFrame) -> DataFrame:
-    """Two families that help most and the one that hurts most, in words."""
-    fam = local.groupBy("as_of", "ticker", "family", "rank_in_universe").agg(F.sum("contribution").alias("c"))
-    w = Window.partitionBy("as_of", "ticker")
-    fam = fam.withColumn("up", F.row_number().over(w.orderBy(F.desc(F.round("c", 10)), "family"))).withColumn("down", F.row_number().over(w.orderBy(F.round("c", 10), "family")))
-    clause = F.format_string("%s (%+.4f)", "family", "c")
-    out = fam.groupBy("as_of", "ticker", "rank_in_universe").agg(F.array_sort(F.collect_list(F.when((F.col("up") <= 2) & (F.col("c") > 0), F.struct("up", clause.alias("t"))))).alias("p"), F.max(F.when((F.col("down") == 1) & (F.col("c") < 0), clause)).alias("m"))
-    text = F.concat_ws("; ", F.concat(F.lit("supported by "), F.array_join(F.transform("p", lambda x: x["t"]), ", ")), F.concat(F.lit("held back by "), F.col("m")))
-    return out.select("as_of", "ticker", "rank_in_universe", text.alias("reason"))
-
-
-def spec_hash(spec):
-    """First 12 characters of the SHA-1 of a JSON text."""
-    return F.substring(F.sha1(spec), 1, 12)
+    already_checked. Who first claims the specification in the folder `log` scores it; all others get what was written
+    there, or nulls while it is not written yet or if that check broke off. force scores it again, which is written as
+    well and as forced."""
+    spark, key = panel.sparkSession, trials.spec_id(spec, family)
+    mine = trials.create(spark, f"{log}/claims/{key}.json", {"spec_id": key, "at": trials.now()})
+    if mine or force:
+        parts = holdout_split(panel, share)
+        model = final_fit(parts.where("part = 'research'"), names)
+        scored = predict(parts.where("part = 'holdout'").select("as_of", "ticker", *names), model, names).join(panel.select("as_of", "ticker", "fwd_return"), ["as_of", "ticker"])
+        found = ic_summary(ic_by_date(scored, "raw"), lags=lags).first()
+        own = {c: found[c] for c in ("mean_ic", "t_nw", "n_dates")} if found else {}
+        trials.create(spark, f"{log}/checks/{key}-{trials.now().replace(':', '')}.json", {"spec_id": key, "family": family, "spec": json.dumps(spec, sort_keys=True), **own, "forced": not mine, "at": trials.now()})
+    done = trials.records(spark, f"{log}/checks", CHECKS).where(F.col("spec_id") == key).orderBy(F.desc("at")).limit(1)
+    asked = spark.createDataFrame([(key, not (mine or force))], "spec_id string, already_checked boolean")
+    return asked.join(done, "spec_id", "left").select("spec_id", "mean_ic", "t_nw", "n_dates", "already_checked")
+
+
+def write_model(model: DataFrame, metrics: DataFrame, path: str, **metadata: str) -> None:
+    """A model as two tables: its rows (feature, coef, mean, sd, intercept), and one row of its metrics (one row)
+    and metadata."""
+    model.write.mode("overwrite").parquet(f"{path}/rows")
+    metrics.withColumns({k: F.lit(v) for k, v in metadata.items()}).write.mode("overwrite").parquet(f"{path}/about")
+
+
+def read_model(spark, path: str) -> tuple[DataFrame, DataFrame]:
+    """The rows, as predict() takes them, and the row of metrics and metadata."""
+    return spark.read.parquet(f"{path}/rows"), spark.read.parquet(f"{path}/about")
+
+
+# fixed values: what is said of a family that helps and of one that hurts, by its feature's percentile
+PHRASES = [
+    ("value", "cheap on valuation", "expensive on valuation"), ("quality", "strong on profitability", "weak on profitability"), ("growth", "growing well", "growing slowly"), ("momentum", "in a strong price trend", "in a weak price trend"),
+    ("risk", "low-risk on volatility and size", "higher-risk on volatility and size"), ("macro", "well-matched to today's market regime", "poorly matched to today's market regime"), ("issuance", "returning capital to shareholders", "diluting shareholders"),
+    ("discipline", "disciplined with capital", "loose with capital"), ("analyst_proxy", "favoured by the fundamentals-based analyst proxy", "disfavoured by the fundamentals-based analyst proxy"), ("sector", "well-positioned within its sector", "weak within its sector"), ("interaction", "supported by a combined signal", "held back by a combined signal"),
+]
+# fixed values: words that the house's style doesn't use
+UNWANTED = ("delve", "tapestry", "robust", "pivot", "seamless")
+
+
+def _whole(x) -> Column:
+    return F.bround(x, 0).cast("int").cast("string")
+
+
+def reasons(local: DataFrame, confidence: DataFrame, facts: DataFrame | None = None) -> DataFrame:
+    """as_of, ticker, rank_in_universe, reason, style_ok: in words, where a name stands among those of its date, the
+    two families that help most, the one that hurts most, and how far the model is to be trusted (confidence: one row).
+
+    A family is said by its feature of the largest contribution: by that feature's percentile in bands, or, where facts
+    (as_of, ticker and raw fields) know the field behind it, by the figure itself. style_ok: no long dash and none of the
+    unwanted words."""
+    spark, keys = local.sparkSession, ["as_of", "ticker"]
+    fam = local.groupBy(*keys, "family", "rank_in_universe").agg(F.sum("contribution").alias("c"), F.max_by(F.struct("feature", "raw_value"), F.struct(F.round(F.abs("contribution"), 10), "feature")).alias("top"))
+    said = spark.createDataFrame(PHRASES, "family string, good string, bad string")
+    fam = fam.join(F.broadcast(said), "family", "left")  # a dozen rows
+    plain = F.regexp_replace("family", "_", " ")
+    good, bad = F.coalesce("good", F.concat(F.lit("favourable on "), plain)), F.coalesce("bad", F.concat(F.lit("unfavourable on "), plain))
+    p = F.col("top.raw_value")
+    band = F.when((p >= 85) | (p <= 15), "clearly ").otherwise("somewhat ")
+    words = F.concat(band, F.when(p >= 50, good).otherwise(bad), F.lit(" (percentile "), _whole(p), F.lit(")"))
+    if facts is not None:
+        fields = ("net_issuance", "asset_growth", "pe", "pb", "roe")
+        fam = fam.join(facts.select(*keys, *[F.col(c).alias(f"r_{c}") for c in fields]), keys, "left")
+        up = lambda x: F.when(x >= 0, "up ").otherwise("down ")
+        r = {c: F.col(f"r_{c}") for c in fields}
+        over = F.lit("% over the trailing year")
+        figures = {"net_issuance": F.concat(F.lit("share count "), up(r["net_issuance"]), _whole(F.abs(r["net_issuance"]) * 100), over), "asset_growth": F.concat(F.lit("total assets "), up(r["asset_growth"]), _whole(F.abs(r["asset_growth"]) * 100), over), "pe": F.when(r["pe"] > 0, F.concat(F.lit("trades at "), F.format_string("%.1f", F.bround(r["pe"], 1)), F.lit("x earnings"))), "pb": F.when(r["pb"] > 0, F.concat(F.lit("trades at "), F.format_string("%.1f", F.bround(r["pb"], 1)), F.lit("x book value"))), "roe": F.concat(F.lit("posts a "), _whole(r["roe"] * 100), F.lit("% return on equity"))}
+        field = F.regexp_replace("top.feature", "^f_", "")
+        figure = F.coalesce(*[F.when((field == c) & r[c].isNotNull(), x) for c, x in figures.items()])
+        words = F.when(figure.isNotNull(), F.concat(figure, F.lit(" ("), F.when(F.col("c") > 0, good).otherwise(bad), F.lit(")"))).otherwise(words)
+    w = Window.partitionBy(*keys)
+    fam = fam.select(*keys, "rank_in_universe", "c", plain.alias("family"), words.alias("said"), F.row_number().over(w.orderBy(F.desc(F.round("c", 10)), "family")).alias("up"), F.row_number().over(w.orderBy(F.round("c", 10), "family")).alias("down"))
+    pick = lambda test, x: F.max(F.when(test, x))
+    helps, hurts = (F.col("c") > 0), (F.col("c") < 0)
+    one = fam.groupBy(*keys, "rank_in_universe").agg(pick(helps & (F.col("up") == 1), F.struct("family", "said")).alias("a"), pick(helps & (F.col("up") == 2), F.col("said")).alias("b"), pick(hurts & (F.col("down") == 1), F.struct("family", "said")).alias("d"))
+    n = F.count("*").over(Window.partitionBy("as_of"))
+    one = one.withColumn("pct", 100.0 * (1 - (F.col("rank_in_universe") - 1) / F.greatest(F.lit(1), n - 1))).crossJoin(F.broadcast(confidence.select(F.col("confidence").alias("sure"))))  # one row
+    pct, sure = F.col("pct"), F.format_string("%.2f", F.bround("sure", 2))
+    place = F.when(pct >= 80, F.concat("ticker", F.lit(" sits in the model's top "), _whole(100 - pct), F.lit("% (score "), _whole(pct), F.lit(")."))).when(pct <= 20, F.concat("ticker", F.lit(" sits in the model's bottom "), _whole(pct), F.lit("% (score "), _whole(pct), F.lit(")."))).otherwise(F.concat("ticker", F.lit(" lands near the middle of the pack (score "), _whole(pct), F.lit(").")))
+    trust = F.when(F.col("sure") <= 0.05, F.concat(F.lit("Model confidence is "), sure, F.lit(", so this view doesn't change the portfolio."))).when(F.col("sure") < 0.5, F.concat(F.lit("Model confidence is only "), sure, F.lit(", so this view carries limited weight.")))
+    text = F.concat_ws(" ", place, F.concat(F.lit("The biggest push comes from "), "a.family", F.lit(": it's "), "a.said", F.lit(".")), F.concat(F.lit("It also helps that the stock is "), "b", F.lit(".")), F.concat(F.lit("The drag is "), "d.family", F.lit(": it's "), "d.said", F.lit(".")), trust)
+    return one.select(*keys, "rank_in_universe", text.alias("reason")).withColumn("style_ok", ~F.contains("reason", F.lit("\u2014")) & ~F.lower("reason").rlike("|".join(UNWANTED)))
+
+
+def view(scores: DataFrame, summary: DataFrame, local: DataFrame, facts: DataFrame | None = None) -> DataFrame:
+    """One row a name: raw and gated score, the gate's confidence, rank and reason. scores as of predict(), summary
+    as of sidak(), local as of contributions(); names without contributions have no reason."""
+    gated = evidence_gate(scores, summary)
+    sure = gated.agg(F.coalesce(F.max("confidence"), F.lit(0.0)).alias("confidence"))
+    said = reasons(local, sure, facts)
+    return gated.select("as_of", "ticker", F.col("ml_alpha").alias("raw_score"), F.col("gated").alias("score"), "confidence", (F.col("confidence") <= 0.05).alias("gated_off")).join(said, ["as_of", "ticker"], "left")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from corvane.functions.xs import pct_rank
 from corvane.operators import backtest, decision, ml, panel, portfolio, risk, signals
 from corvane.plans.panel_queries import FEATURES, _fitted, books, carried, dates_of, features, fundamental, lags_of, members, on_dates, quant, rounded, snapshot, style_panel
-from corvane.sources import star
+from corvane.sources import registry, report, star
 from corvane.work import cut, new_path
 
 BOOK = ["portfolio_id", "as_of"]
@@ -237,14 +237,47 @@ def holdout_split(spark, d):
 
 
 def holdout_check(spark, d):
-    """A specification scored once; the second call gives what the first one wrote."""
+    """A specification scored once; the second call gives what the first one wrote."""
+    p, log, spec = _panel(spark, d), new_path(spark, "holdout"), {"alpha": 10.0, "features": "base"}
+    first = cut(ml.holdout_check(p, FEATURES, spec, "ridge", log), "first")
+    return rounded(first.unionByName(ml.holdout_check(p, FEATURES, spec, "ridge", log)))
+
+
+def stored_model(spark, d):
+    """The final model written with its metrics and read back, a row a feature."""
+    p, path = _panel(spark, d), new_path(spark, "model")
+    folds = ml.walk_forward(p, FEATURES)
+    ml.write_model(ml.final_fit(p, FEATURES), ml.ic_summary(ml.ic_by_date(ml.predict_folds(p, folds, FEATURES), "pred"), lags=5), path, task="regression", target="fwd_excess")
+    model, about = ml.read_model(spark, path)
+    return rounded(model.crossJoin(F.broadcast(about.select("mean_ic", "t_nw", "n_dates", "task", "target"))))  # one row
+
+
+def ml_view(spark, d):
+    """Gated and raw scores with their reasons at all dates of the panel. Three strengths of the
+    model are logged as trials of one family, whose number the gate's adjustment takes."""
+    p, log = _panel(spark, d), new_path(spark, "trials")
+    for alpha in (1.0, 10.0, 100.0):
+        ics = ml.ic_summary(ml.ic_by_date(ml.predict_folds(p, ml.walk_forward(p, FEATURES, alpha=alpha), FEATURES), "pred"), lags=5).first()
+        registry.log_experiment(spark, log, "ridge", {"alpha": alpha}, {"mean_ic": ics.mean_ic, "t_nw": ics.t_nw})
+    trials = registry.count_trials(spark, log, "ridge")
+    summary = cut(ml.sidak(ml.ic_summary(ml.ic_by_date(ml.predict_folds(p, ml.walk_forward(p, FEATURES), FEATURES), "pred"), lags=5), trials), "summary")
+    x = p.select("as_of", "ticker", *FEATURES)
+    model = cut(ml.final_fit(p, FEATURES), "model")
+    return rounded(ml.view(ml.predict(x, model, FEATURES), summary, cut(ml.contributions(x, model, ml.registry(spark), FEATURES), "local"), snapshot(star.market(spark, d))))
+
+
+def published_report(spark, d):
+    """Books and regimes published for all dates, the later half again with other weights, then a run that breaks off
+    before it is shown: what a reader sees."""
     m = star.market(spark, d)
-    p = cut(ml.training_panel(features(m), ml.labels(m.prices), FEATURES), "panel")
-    log = new_path(spark, "holdout")
-    spec = '{"alpha": 10.0, "features": "base"}'
-    ml.write_model(ml.final_fit(p, FEATURES), {"spec": spec}, new_path(spark, "model"))
-    first = cut(ml.holdout_check(p, FEATURES, spec, log), "first")
-    return rounded(first.unionByName(ml.holdout_check(p, FEATURES, spec, log)))
+    b, r = cut(books(m), "books"), cut(_regimes(m), "regimes")
+    folder = new_path(spark, "report")
+    report.publish({"portfolio": b, "regimes": r}, folder)
+    half = b.where("as_of >= date'1997-01-01'")
+    report.publish({"portfolio": half.withColumn("weight", F.col("weight") / 2)}, folder)
+    report.write_run({"portfolio": b.withColumn("weight", F.lit(9.0))}, folder)
+    seen = report.published(spark, folder, "portfolio").join(report.published(spark, folder, "regimes"), "as_of", "left")
+    return rounded(seen.select("portfolio_id", "as_of", "ticker", "weight", "regime"))
 
 
 def ic_breakdowns(spark, d):
@@ -261,24 +294,23 @@ def ic_breakdowns(spark, d):
 
 
 def global_explain(spark, d):
-    """Every table's number of rows and sum of its figures."""
-    m = star.market(spark, d)
-    p = cut(ml.training_panel(features(m), ml.labels(m.prices), FEATURES), "panel")
+    """Every figure of every table: view, item (what the row is of), figure, value."""
+    m, p = star.market(spark, d), _panel(spark, d)
     regimes = signals.macro_regime(m.benchmarks).select(F.col("date").alias("as_of"), F.col("label").alias("regime"))
     out = None
     for name, df in ml.global_explain(p, FEATURES, regimes).items():
-        figures = [F.coalesce(F.col(c), F.lit(0.0)) for c, t in df.dtypes if t == "double"]
-        one = df.agg(F.count("*").alias("n_rows"), F.sum(sum(figures, F.lit(0.0))).alias("total")).withColumn("view", F.lit(name))
+        item = next(c for c in ("feature", "feature_group", "year", "regime") if c in df.columns)
+        figures = [c for c, t in df.dtypes if t in ("double", "bigint", "int") and c != item]
+        one = df.select(F.col(item).cast("string").alias("item"), *[F.col(c).cast("double").alias(c) for c in figures]).unpivot(["item"], figures, "figure", "value").withColumn("view", F.lit(name))
         out = one if out is None else out.unionByName(one)
-    return rounded(out)
+    return rounded(out.select("view", "item", "figure", "value"))
 
 
 def evidence(spark, d):
-    """Scores of the last date, drawn to 50 as far as the evidence is weak."""
+    """Scores of all dates, drawn to 50 as far as the evidence is weak."""
     p, folds, model = _fitted(spark, d)
     summary = ml.sidak(ml.ic_summary(ml.ic_by_date(ml.predict_folds(p, folds, FEATURES), "pred"), lags=5), trials=12)
-    last = p.agg(F.max("as_of").alias("as_of"))
-    return rounded(ml.evidence_gate(ml.predict(p.join(last, "as_of").select("as_of", "ticker", *FEATURES), model, FEATURES), summary))
+    return rounded(ml.evidence_gate(ml.predict(p.select("as_of", "ticker", *FEATURES), model, FEATURES), summary))
 
 
 def fit_quality(spark, d):
@@ -296,4 +328,4 @@ def explain_families(spark, d):
     return rounded(ml.family_rollup(local, families).join(top, ["as_of", "ticker"]))
 
 
-QUERIES = {f.__name__: f for f in (mandate_terms, style_tilts, client_fit, alerts, crowding, market_shock, posture, book_scores, holding_classes, robust_style_weights, integrated_scores, neutral_styles, tilted_candidates, decision_run, index_holdings, ml_comparison, rolling_models, classifier_folds, classifier_summary, holdout_split, holdout_check, ic_breakdowns, global_explain, evidence, fit_quality, explain_families)}
+QUERIES = {f.__name__: f for f in (mandate_terms, style_tilts, client_fit, alerts, crowding, market_shock, posture, book_scores, holding_classes, robust_style_weights, integrated_scores, neutral_styles, tilted_candidates, decision_run, index_holdings, ml_comparison, rolling_models, classifier_folds, classifier_summary, holdout_split, holdout_check, stored_model, ml_view, published_report, ic_breakdowns, global_explain, evidence, fit_quality, explain_families)}

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from corvane.plans.panel_sql import ASOF, BOOKS, BOTH, DATES, FUND, MACRO, MEMBERS, METRICS, MOVES, PRIORS, QUALITY, QUANT, REGIME, RETS, RISK, STABLE, STYLED, STYLES, X, C, clip, mix, out, rank
+from corvane.plans.panel_sql import ALL, ASOF, BOOKS, BOTH, DATES, FRAME, FUND, MACRO, MEMBERS, METRICS, MOVES, PRIORS, QUALITY, QUANT, REGIME, REGISTRY, RETS, RISK, STABLE, STYLED, STYLES, X, C, clip, mix, out, rank
 
 CUSTOMER = "case c_nationkey % 4 when 0 then '{}' when 1 then '{}' when 2 then '{}' else '{}' end as objective"
 # fixed values: objective, style, multiplier
@@ -40,6 +40,21 @@ sc as (select y.*, {mix(style_score=.68, hybrid_alpha=.24, theme_fit=.08)} * (0.
   from sty y join hz using (as_of, ticker) join th using (ticker) join risks using (as_of, ticker) join lz using (as_of, ticker) left join fits using (portfolio_id, as_of, ticker) join cl using (portfolio_id)),
 scored as (select portfolio_id, as_of, ticker, style_score, case when not ex and not dry and inside then {clip('raw')} end as integrated_score, not ex and not dry as eligible, case when ex then 'theme: PROMO' when dry then 'insufficient liquidity' else '' end as ineligible_reason from sc)"""
 
+# fixed values: family, words for one that helps, words for one that hurts
+PHRASES = """('value', 'cheap on valuation', 'expensive on valuation'), ('quality', 'strong on profitability', 'weak on profitability'), ('growth', 'growing well', 'growing slowly'), ('momentum', 'in a strong price trend', 'in a weak price trend'), ('risk', 'low-risk on volatility and size', 'higher-risk on volatility and size'),
+('macro', 'well-matched to today''s market regime', 'poorly matched to today''s market regime'), ('issuance', 'returning capital to shareholders', 'diluting shareholders'), ('discipline', 'disciplined with capital', 'loose with capital'), ('analyst_proxy', 'favoured by the fundamentals-based analyst proxy', 'disfavoured by the fundamentals-based analyst proxy')"""
+WHOLE = lambda x: f"round_even({x}, 0)::int::varchar"
+TENTH = lambda x: f"printf('%.1f', round_even({x}, 1))"
+REASONS = f""", r0 as (select as_of, ticker, feature, family, x, (x - 50) / 25 * ((length(feature) % 5) * 0.1::double - 0.2::double) as c from (unpivot (select * from frame where {' and '.join(f'{c} is not null' for c in ALL)}) on {', '.join(ALL)} into name feature value x) join (select feature, family from (values {REGISTRY}) v(feature, family, a1, a2, a3, a4, a5)) using (feature)),
+r1 as (select as_of, ticker, rank() over (partition by as_of order by round(t, 10) desc) as k, count(*) over (partition by as_of) as n from (select as_of, ticker, sum(c) as t from r0 group by all)),
+r2 as (select as_of, ticker, family, sum(c) as c, max_by(struct_pack(feature := feature, x := x), struct_pack(a := round(abs(c), 10), b := feature)) as top from r0 group by all),
+r3 as (select r2.*, good, bad, replace(r2.family, '_', ' ') as fam, regexp_replace(top.feature, '^f_', '') as field, net_issuance, asset_growth, pe, pb, roe from r2 left join (values {PHRASES}) p(family, good, bad) on p.family = r2.family left join facts_all f on f.as_of = r2.as_of and f.ticker = r2.ticker),
+r4 as (select *, case field when 'net_issuance' then 'share count ' || case when net_issuance >= 0 then 'up ' else 'down ' end || {WHOLE('abs(net_issuance) * 100')} || '% over the trailing year' when 'asset_growth' then 'total assets ' || case when asset_growth >= 0 then 'up ' else 'down ' end || {WHOLE('abs(asset_growth) * 100')} || '% over the trailing year'
+  when 'pe' then case when pe > 0 then 'trades at ' || {TENTH('pe')} || 'x earnings' end when 'pb' then case when pb > 0 then 'trades at ' || {TENTH('pb')} || 'x book value' end when 'roe' then 'posts a ' || {WHOLE('roe * 100')} || '% return on equity' end as figure from r3),
+r5 as (select *, case when figure is not null then figure || ' (' || case when c > 0 then good else bad end || ')' else case when top.x >= 85 or top.x <= 15 then 'clearly ' else 'somewhat ' end || case when top.x >= 50 then good else bad end || ' (percentile ' || {WHOLE('top.x')} || ')' end as said, row_number() over (partition by as_of, ticker order by round(c, 10) desc, fam) as up, row_number() over (partition by as_of, ticker order by round(c, 10), fam) as down from r4),
+r6 as (select as_of, ticker, max(fam) filter (c > 0 and up = 1) as fa, max(said) filter (c > 0 and up = 1) as sa, max(said) filter (c > 0 and up = 2) as sb, max(fam) filter (c < 0 and down = 1) as fd, max(said) filter (c < 0 and down = 1) as sd from r5 group by all),
+r7 as (select r6.as_of, r6.ticker, k, concat_ws(' ', case when pct >= 80 then r6.ticker || ' sits in the model''s top ' || {WHOLE('100 - pct')} || '% (score ' || {WHOLE('pct')} || ').' when pct <= 20 then r6.ticker || ' sits in the model''s bottom ' || {WHOLE('pct')} || '% (score ' || {WHOLE('pct')} || ').' else r6.ticker || ' lands near the middle of the pack (score ' || {WHOLE('pct')} || ').' end,
+  'The biggest push comes from ' || fa || ': it''s ' || sa || '.', 'It also helps that the stock is ' || sb || '.', 'The drag is ' || fd || ': it''s ' || sd || '.', 'Model confidence is only 0.30, so this view carries limited weight.') as reason from r6 join (select *, 100.0::double * (1 - (k - 1)::double / greatest(1, n - 1)) as pct from r1) q on q.as_of = r6.as_of and q.ticker = r6.ticker)"""
 BETA = "case when count(ret) > 20 then covar_samp(case when m is not null then ret end, m) / nullif(var_pop(m), 0) else 1 end"
 NUMBERED = lambda days, name: f", n{name} as (select *, row_number() over (partition by ticker order by date) as i from rets), {name} as (select a.date as as_of, b.* from n{name} a join reb0 on a.date = reb0.as_of join n{name} b on a.ticker = b.ticker and b.i <= a.i and b.i > a.i - {days})"
 
@@ -50,6 +65,8 @@ SQL: dict[str, str] = {
     "alerts": C + FUND + BOOKS + ", a0 as (select portfolio_id, as_of, max(weight) as top1, count(*)::double as n from books group by all), a1 as (select portfolio_id, as_of, sum(weight) as e from books left join securities using (ticker) group by portfolio_id, as_of, sector), a2 as (select portfolio_id, as_of, 'few holdings' as alert, n as amount from a0 where n < 11 union all select portfolio_id, as_of, 'many holdings', n from a0 where n > 30 union all select portfolio_id, as_of, 'position', top1 from a0 where top1 > 0.102::double + 1e-9 union all select portfolio_id, as_of, 'sector', e from a1 where e > 0.38::double + 1e-9) " + out("portfolio_id as_of alert amount:r", "a2"),
     "mandate_check": C + FUND + THEMES + BOOKS + ", b as (select x.*, sector, coalesce(list_contains(t, 'PROMO'), false) as promo from books x left join securities using (ticker) left join themes using (ticker)) select distinct portfolio_id, as_of, rule from (select portfolio_id, as_of, 'position cap' as rule from b where weight > 0.105::double + 1e-6 union all select portfolio_id, as_of, 'sector cap' from b group by portfolio_id, as_of, sector having sum(weight) > 0.4::double + 1e-6 union all select portfolio_id, as_of, 'holdings' from b group by portfolio_id, as_of having count(*) not between 5 and 40 union all select portfolio_id, as_of, 'excluded sector' from b where sector = 'ASIA' union all select portfolio_id, as_of, 'excluded theme' from b where promo)",
     "neutral_styles": C + STYLED + ", n0 as (select as_of, ticker, style, round(x - avg(x) over (partition by as_of, style, sector), 9) as gap from (select * from styles unpivot include nulls (x for style in (" + ", ".join(STYLES) + "))) join securities using (ticker)), n1 as (select as_of, ticker, style, " + rank("gap", True, "as_of, style") + " as r from n0), n2 as (select as_of, ticker, " + ", ".join(f"max(r) filter (style = '{s}') as {s}" for s in STYLES) + " from n1 group by as_of, ticker) " + out("as_of ticker " + " ".join(f"{s}:r" for s in STYLES), "n2"),
+    "published_report": C + FUND + BOOKS + REGIME + out("portfolio_id as_of ticker weight:r regime", "(select portfolio_id, b.as_of, ticker, case when b.as_of >= date '1997-01-01' then weight / 2 else weight end as weight, regime from books b left join regimes on regimes.date = b.as_of)"),
+    "score_reasons": C + FRAME + REASONS + " select as_of, ticker, k as rank_in_universe, reason, reason not like '%' || chr(8212) || '%' and not regexp_matches(lower(reason), 'delve|tapestry|robust|pivot|seamless') as style_ok from r7",
     "tilted_candidates": C + FUND + f", t0 as (select 'value' as portfolio_id, f.as_of, f.ticker, sector, 0.75::double * f.value + 0.25::double * coalesce({rank('market_cap', True, 'f.as_of')}, 50) as score from fund f join facts using (as_of, ticker) join securities s on s.ticker = f.ticker), t1 as (select *, row_number() over (partition by as_of, sector order by round(score, 8) desc, ticker) as j from t0 where score is not null), t2 as (select *, row_number() over (partition by as_of order by round(score, 8) desc, ticker)::int as place from t1 where j <= 4) " + out("portfolio_id as_of ticker score:r place", "t2", "where place <= 12"),
     "value_book_decisions": C + BOTH(STYLED) + REGIME + STABLE + ", fund0 as (select * from fund where as_of in (select as_of from reb0))" + MOVES.replace("from fund where", "from fund0 where") + NUMBERED(252, "win") + NUMBERED(60, "win60") + QUALITY.replace("from win group", "from win60 group") + f""",
 risk1 as (select as_of, stddev_pop(ret) * sqrt(252) as vol, {BETA} as beta from (select as_of, date, sum(coalesce(weight * ret, 0)) as ret, max(m) as m from books join win using (as_of, ticker) group by all) group by as_of),

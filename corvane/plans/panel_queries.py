@@ -349,8 +349,21 @@ def explain_local(spark, d):
 
 
 def explain_reasons(spark, d):
-    p, _, model = _fitted(spark, d)
-    return ml.reasons(ml.contributions(p.select("as_of", "ticker", *FEATURES), model, ml.registry(spark), FEATURES))
+    """M28 of the fitted model, its confidence that of the walk-forward summary."""
+    p, folds, model = _fitted(spark, d)
+    summary = ml.sidak(ml.ic_summary(ml.ic_by_date(ml.predict_folds(p, folds, FEATURES), "pred"), lags=5), trials=12)
+    sure = ml.evidence_gate(ml.predict(p.select("as_of", "ticker", *FEATURES), model, FEATURES), summary).select("confidence").limit(1)
+    return ml.reasons(ml.contributions(p.select("as_of", "ticker", *FEATURES), model, ml.registry(spark), FEATURES), sure)
+
+
+def score_reasons(spark, d):
+    """M21, M28 of a stated linear model over all features, with the figures behind them."""
+    m = star.market(spark, d)
+    reg = ml.registry(spark)
+    coef = (F.length("feature") % 5) * 0.1 - 0.2
+    model = reg.select("feature", coef.alias("coef"), F.lit(50.0).alias("mean"), F.lit(25.0).alias("sd"), F.lit(0.0).alias("intercept"))
+    local = cut(ml.contributions(features(m, extended=True), model, reg, ml.EXTENDED), "local")
+    return ml.reasons(local, spark.createDataFrame([(0.3,)], "confidence double"), snapshot(m))
 
 
 def coefficient_stability(spark, d):
@@ -461,4 +474,4 @@ def page_fields(spark, d):
     return p.select("page_id", F.size(links).cast("long").alias("n_links"), F.regexp_extract("html", "<title>([^<]*)</title>", 1).alias("title"), F.array_join(links, "|").alias("links"))
 
 
-QUERIES = {f.__name__: f for f in (adapter_prices, adapter_benchmarks, adapter_fundamentals, adapter_securities, value_top10, facts_as_of, fundamental_scores, f_score, universe, cross_section, performance, equity_curves, quant_scores, macro_regime, hybrid, earnings_events, stock_risk, liquidity, concentration, sector_exposure, style_exposure, portfolio_risk, turnover, trade_list, mandate_check, data_quality, robustness, stress_windows, rate_shock, average_correlation, template_backtest, template_daily, pit_backtest, survivorship, market_regime, best_templates, style_weights, signal_stability, training_panel, feature_registry, feature_ic, walk_forward, walk_forward_summary, ridge_model, explain_local, explain_reasons, coefficient_stability, permutation_importance, logistic_model, candidate_selection, portfolio_weights, value_book_decisions, ledger_nav, return_bootstrap, split_factors, total_return, event_marks, event_marks_stream, event_properties, page_fields)}
+QUERIES = {f.__name__: f for f in (adapter_prices, adapter_benchmarks, adapter_fundamentals, adapter_securities, value_top10, facts_as_of, fundamental_scores, f_score, universe, cross_section, performance, equity_curves, quant_scores, macro_regime, hybrid, earnings_events, stock_risk, liquidity, concentration, sector_exposure, style_exposure, portfolio_risk, turnover, trade_list, mandate_check, data_quality, robustness, stress_windows, rate_shock, average_correlation, template_backtest, template_daily, pit_backtest, survivorship, market_regime, best_templates, style_weights, signal_stability, training_panel, feature_registry, feature_ic, walk_forward, walk_forward_summary, ridge_model, explain_local, explain_reasons, score_reasons, coefficient_stability, permutation_importance, logistic_model, candidate_selection, portfolio_weights, value_book_decisions, ledger_nav, return_bootstrap, split_factors, total_return, event_marks, event_marks_stream, event_properties, page_fields)}

@@ -1,5 +1,4 @@
-"""Landed files to canonical tables: CSV datasets, provider payloads, company facts, filings, research tables, and the
-sinks of reports and experiment logs."""
+"""Landed files to canonical tables: CSV datasets, provider payloads, company facts, filings and research tables."""
 
 from __future__ import annotations
 
@@ -213,22 +212,6 @@ def market_index(returns: DataFrame) -> DataFrame:
     return returns.select("date", level.alias("level")).select("date", "level", F.explode(F.array(F.lit("SPX"), F.lit("NDX"))).alias("name"))
 
 
-def write_report(tables: dict[str, DataFrame], folder: str, decision: DataFrame | None = None) -> None:
-    """Every table by date, the decision as JSON."""
-    for name, df in tables.items():
-        df.write.partitionBy("as_of").mode("overwrite").csv(f"{folder}/{name}", header=True)
-    if decision is not None:
-        decision.select(F.to_json(F.struct("*")).alias("value")).write.mode("overwrite").text(f"{folder}/decision")
-
-
-def log_experiment(spark: SparkSession, path: str, family: str, spec_json: str, metric: float) -> None:
-    """Appends one record with the hash of its specification."""
-    from corvane.operators.ml import spec_hash
-
-    row = spark.createDataFrame([(family, spec_json, float(metric))], "family string, spec string, metric double")
-    row.withColumn("spec_hash", spec_hash(F.col("spec"))).withColumn("at", F.current_timestamp()).write.mode("append").parquet(path)
-
-
 def coverage(requested: DataFrame, prices: DataFrame, least: int = 20) -> DataFrame:
     """Requested tickers with `least` usable rows or fewer."""
     ok = prices.where("close is not null").groupBy("ticker").count().where(F.col("count") > least)
