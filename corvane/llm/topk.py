@@ -93,13 +93,13 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 20, block: int = 4096
 
     v holds whole numbers whose products stay under 2**53; rows with null v or vec_id take no part; vectors of different
     lengths don't meet. Repeated vec_ids count as one row each, none of them against its own id; other columns are
-    ignored. Rows and queries are dealt into blocks of bounded size and every block of queries meets every block of
-    rows, so no task grows with the tables. Pivots are the first of `sample` rows drawn by a hash.
+    ignored. Rows and queries are dealt into blocks of bounded size by a number of each written row, so equal rows part
+    as well, and every block of queries meets every block of rows: no task grows with the tables. Pivots are the first of `sample` rows drawn by a hash.
     """
     spark = vectors.sparkSession
     small_batches(spark)
-    rows = cut(vectors.where("vec_id is not null and v is not null").select(F.col("vec_id").cast("long").alias("vec_id"), "v"), "vectors")
-    asks = cut(queries.where("vec_id is not null and v is not null").select(F.col("vec_id").cast("long").alias("vec_id"), "v"), "asks")
+    written = lambda df, name: cut(df.where("vec_id is not null and v is not null").select(F.col("vec_id").cast("long").alias("vec_id"), "v", F.monotonically_increasing_id().alias("salt")), name)
+    rows, asks = written(vectors, "vectors"), written(queries, "asks")
     square = F.aggregate("v", F.lit(0).cast("long"), lambda a, x: a + x * x)
     n, length2 = rows.agg(F.count("*"), F.max(square)).first()
     m = asks.count()
@@ -109,10 +109,10 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 20, block: int = 4096
     for r in rows.orderBy(F.xxhash64("vec_id", F.lit(5)), "vec_id", "v").limit(sample).collect():
         by_size.setdefault(len(r.v), []).append(r)
     drawn = {d: (np.array([r.vec_id for r in own]), np.array([r.v for r in own], dtype=np.float64)) for d, own in by_size.items()}
-    asks = asks.mapInArrow(_floors(drawn, k), "vec_id long, v array<long>, floor long")
+    asks = asks.mapInArrow(_floors(drawn, k), "vec_id long, v array<long>, salt long, floor long")
     p = {d: x[:pivots] for d, (_, x) in drawn.items()}
     row_blocks, ask_blocks = -(-n // block), -(-m // query_block)
-    deal = lambda c, parts: F.pmod(F.xxhash64("vec_id", "v", F.lit(9)), F.lit(parts)).cast("int").alias(c)
+    deal = lambda c, parts: F.pmod(F.xxhash64("salt", F.lit(9)), F.lit(parts)).cast("int").alias(c)
     every = lambda c, parts: F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias(c)
     pairs = rows.select("vec_id", "v", F.lit(0).cast("long").alias("floor"), F.lit(False).alias("is_query"), deal("rb", row_blocks), every("qb", ask_blocks)).unionByName(asks.select("vec_id", "v", "floor", F.lit(True).alias("is_query"), every("rb", row_blocks), deal("qb", ask_blocks)))
     found = pairs.withColumn("size", F.size("v")).groupBy("size", "rb", "qb").applyInArrow(_search(p, float(length2), k, step), HITS)

@@ -211,3 +211,13 @@ def test_pipeline_mix_of_one_repeated_id(spark, seed):
     for r in pipeline.mix_sources(spark, docs, "").collect():
         got[r.source] += len(r.text.split())
     assert all(abs(got[s] - t) <= 0.1 * t for s, t in targets.items())
+
+
+def test_top_k_of_very_many_equal_rows(spark):
+    """Copies of one vector under one id part into blocks like any others; ties go to the smaller ids."""
+    rows = [(7, [1, 2])] * 6000 + [(i, [1, 2]) for i in range(100, 140)] + [(40, [3, 1]), (60, [0, 1])]
+    df = spark.createDataFrame(rows, "vec_id long, v array<long>")
+    got = top_k(df, df.where("vec_id in (40, 60)"), k=5, block=500).collect()
+    assert sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in got) == sorted([(40, i + 1, 7, 5) for i in range(5)] + [(60, i + 1, 7, 2) for i in range(5)])
+    deal = F.pmod(F.xxhash64(F.monotonically_increasing_id(), F.lit(9)), F.lit(13))
+    assert df.groupBy(deal.alias("b")).count().agg(F.max("count")).first()[0] < 700

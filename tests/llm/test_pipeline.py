@@ -53,3 +53,17 @@ def test_run_equals_stages_and_survives_an_empty_table(spark, folder, tmp_path):
     for _, stage in pipeline.STAGES:
         empty = stage(spark, empty, folder)
     assert empty.count() == 0
+
+
+def test_columns_of_clashing_names_pass_every_stage(spark, folder):
+    """Columns that operators add under the same names keep the documents' own values."""
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    names = ["toxicity", "n_tokens", "passages", "component_id", "kept", "size", "taken", "segments", "features", "__key", "__n"]
+    for c in names:
+        docs = docs.withColumn(c, F.concat(F.lit(f"{c}:"), F.col("doc_id").cast("string")))
+    for name, stage in pipeline.STAGES[:-1]:
+        docs = pipeline.cut(stage(spark, docs, folder), name)
+        assert docs.columns == [*SCHEMA.replace(",", "").split()[::2], *names]
+        wrong = docs.where(" or ".join(f"`{c}` <> concat('{c}:', doc_id)" for c in names))
+        assert docs.count() > 0 and wrong.count() == 0
+    assert pipeline.STAGES[-1][1](spark, docs, folder).columns == ["doc_id", "start", "n_tokens", "ids_crc32"]
