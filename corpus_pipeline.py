@@ -7,6 +7,7 @@ to the next one. Thresholds of the filters are the operators' production paramet
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -19,12 +20,29 @@ from corvane.llm.neardup import near_duplicates
 from corvane.llm.queries import mix_targets, tokenizer_path
 
 
+#: Columns of documents that stages read.
+READ = ("doc_id", "text", "source", "n_chars")
+
+
+def keeps_columns(stage: Callable[[SparkSession, DataFrame, str], DataFrame]) -> Callable[[SparkSession, DataFrame, str], DataFrame]:
+    """All other columns pass the stage under names of their own, so that none meets what its operator adds."""
+
+    @wraps(stage)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        names = {c: f"__kept{i}" for i, c in enumerate(docs.columns) if c not in READ}
+        return stage(spark, docs.withColumnsRenamed(names), sf_dir).withColumnsRenamed({v: k for k, v in names.items()}).select(*docs.columns)
+
+    return run
+
+
+@keeps_columns
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score under 0.5 stay; the model learns from the labels of documents that are in docs."""
     model = toxicity.fit(docs, table(spark, sf_dir, "labels").select("doc_id", "toxic"))
     return toxicity.score(docs, model, least=0.5).select(*docs.columns)
 
 
+@keeps_columns
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each component of near duplicates stays (five-word shingles, similarity 0.8), the one of the
     smallest doc_id. Rows that share a doc_id are documents of their own where their texts differ: the one of the least
@@ -43,11 +61,13 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     return once.unionByName(rest, allowMissingColumns=True).select(*docs.columns).unionByName(docs.where("doc_id is null"))
 
 
+@keeps_columns
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a passage of the benchmark stay."""
     return decontaminate(docs, table(spark, sf_dir, "benchmark"))
 
 
+@keeps_columns
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The mix as rows: a document comes once for each epoch of its source and once more if it stands before the cut of
     the last one; one at the cut comes with as many of its first words as the budget still takes. Documents without
@@ -74,7 +94,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def write_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token shards of all rows in the shared folder; returns what reading them back gives for each row. Rows with a
     null doc_id have no key in a shard: they end here."""
-    return tokens.read_shards(tokens.write_shards(docs, tokenizer_path())).select("doc_id", "start", "n_tokens", "ids_crc32")
+    return tokens.read_shards(tokens.write_shards(docs.select("doc_id", "text"), tokenizer_path())).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
