@@ -460,6 +460,23 @@ def event_marks_stream(spark, d):
     return rounded(spark.read.schema(streaming.OUT).parquet(f"{path}/out").groupBy("portfolio_id").agg(F.max_by("nav", "n_marks").alias("nav"), F.max("n_marks").alias("n_marks")))
 
 
+def event_positions(spark, d):
+    """ST1 over the events file as a stream: each user trades the event's type at its value, whole shares by its number;
+    the marks of the days that the watermark has closed."""
+    import pyspark.sql.types as T
+
+    from corvane.streaming.positions import positions
+
+    schema = T.StructType([T.StructField("event_id", T.LongType()), T.StructField("ts", T.TimestampType()), T.StructField("user_id", T.LongType()), T.StructField("event_type", T.StringType()), T.StructField("value", T.DoubleType())])
+    path = new_path(spark, "positions")
+    stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(d)
+    stream = stream.select(F.col("user_id").cast("string").alias("portfolio_id"), F.col("ts").alias("at"), F.col("event_type").alias("ticker"), (F.col("value") + 1).alias("price"), (F.col("event_id") % 5 - 2).cast("double").alias("shares"))
+    q = positions(stream).writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start()
+    q.awaitTermination()
+    marks = spark.read.parquet(f"{path}/out").where("kind = 'mark'")
+    return rounded(marks.select("portfolio_id", "date", "nav", "cash", "n_positions"), 4)
+
+
 def event_properties(spark, d):
     """Nested JSON properties by type."""
     e = spark.read.parquet(f"{d}/events.parquet")
@@ -474,4 +491,4 @@ def page_fields(spark, d):
     return p.select("page_id", F.size(links).cast("long").alias("n_links"), F.regexp_extract("html", "<title>([^<]*)</title>", 1).alias("title"), F.array_join(links, "|").alias("links"))
 
 
-QUERIES = {f.__name__: f for f in (adapter_prices, adapter_benchmarks, adapter_fundamentals, adapter_securities, value_top10, facts_as_of, fundamental_scores, f_score, universe, cross_section, performance, equity_curves, quant_scores, macro_regime, hybrid, earnings_events, stock_risk, liquidity, concentration, sector_exposure, style_exposure, portfolio_risk, turnover, trade_list, mandate_check, data_quality, robustness, stress_windows, rate_shock, average_correlation, template_backtest, template_daily, pit_backtest, survivorship, market_regime, best_templates, style_weights, signal_stability, training_panel, feature_registry, feature_ic, walk_forward, walk_forward_summary, ridge_model, explain_local, explain_reasons, score_reasons, coefficient_stability, permutation_importance, logistic_model, candidate_selection, portfolio_weights, value_book_decisions, ledger_nav, return_bootstrap, split_factors, total_return, event_marks, event_marks_stream, event_properties, page_fields)}
+QUERIES = {f.__name__: f for f in (adapter_prices, adapter_benchmarks, adapter_fundamentals, adapter_securities, value_top10, facts_as_of, fundamental_scores, f_score, universe, cross_section, performance, equity_curves, quant_scores, macro_regime, hybrid, earnings_events, stock_risk, liquidity, concentration, sector_exposure, style_exposure, portfolio_risk, turnover, trade_list, mandate_check, data_quality, robustness, stress_windows, rate_shock, average_correlation, template_backtest, template_daily, pit_backtest, survivorship, market_regime, best_templates, style_weights, signal_stability, training_panel, feature_registry, feature_ic, walk_forward, walk_forward_summary, ridge_model, explain_local, explain_reasons, score_reasons, coefficient_stability, permutation_importance, logistic_model, candidate_selection, portfolio_weights, value_book_decisions, ledger_nav, return_bootstrap, split_factors, total_return, event_marks, event_marks_stream, event_positions, event_properties, page_fields)}

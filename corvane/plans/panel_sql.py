@@ -206,6 +206,10 @@ SQL: dict[str, str] = {
     "total_return": C + RETS + ", t as (select ticker as permno, date, first_value(close) over w * product(1 + coalesce(ret, 0)) over (w rows between unbounded preceding and current row) as level from rets window w as (partition by ticker order by date)) " + out("permno date level:r", "t"),
     "event_marks": "select cast(user_id as varchar) as portfolio_id, event_id, round(100 * product(1 + value / 1e4) over w, 6) + 0.0::double as nav, count(*) over w as n_marks from events window w as (partition by user_id order by ts, event_id rows between unbounded preceding and current row)",
     "event_marks_stream": "select cast(user_id as varchar) as portfolio_id, round(100 * product(1 + value / 1e4), 6) as nav, count(*) as n_marks from events group by user_id",
+    "event_positions": """with e as (select user_id::varchar as p, epoch_ms(ts) as ms, epoch_ms(ts) // 86400000 as day, event_type as t, value + 1 as price, (event_id % 5 - 2)::double as s from events),
+days as (select distinct p, day from e where (day + 1) * 86400000 - 1 <= (select max(ms) from e) - 2 * 86400000),
+pos as (select d.p, d.day, t, sum(s) as n, last(price order by ms, price, s) as px, -sum(s * price) as paid, bool_or(s <> 0) as traded from days d join e on e.p = d.p and e.day <= d.day group by d.p, d.day, t)
+select p as portfolio_id, date '1970-01-01' + day::int as date, round(sum(paid) + sum(n * px), 4) + 0.0::double as nav, round(sum(paid), 4) + 0.0::double as cash, (count(*) filter (abs(n) > 1e-12))::int as n_positions from pos group by p, day""",
     "event_properties": "select event_type, count(*) as n, count(json_extract(props, '$.k')) as with_k, sum(cast(json_extract(props, '$.k') as bigint))::bigint as sum_k, count(distinct user_id) as users from events group by event_type",
     "page_fields": "select page_id, len(regexp_extract_all(html, '<a href=\"([^\"]*)\"', 1))::bigint as n_links, regexp_extract(html, '<title>([^<]*)</title>', 1) as title, array_to_string(regexp_extract_all(html, '<a href=\"([^\"]*)\"', 1), '|') as links from pages",
 }
