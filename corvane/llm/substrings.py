@@ -224,7 +224,6 @@ def _repeats(docs: DataFrame, length: int, gram: int) -> tuple[DataFrame, DataFr
         named = now.mapInArrow(_names(block, length, gram), ROWS).withColumn("rid", F.monotonically_increasing_id())
         named = cut(named, f"block{block}")
         hulls = named.where("s is not null").groupBy("c", "s").agg(F.sum("w").alias("total"), F.min("rid").alias("first"), F.min(lo).alias("lo"), F.max(hi).alias("hi")).where("total >= 2")
-        hulls = cut(hulls, f"hulls{block}")
         named = named.join(hulls, ["c", "s"], "left")
         if block != blocks[-1]:
             named = cut(named, f"marked{block}")
@@ -235,7 +234,6 @@ def _repeats(docs: DataFrame, length: int, gram: int) -> tuple[DataFrame, DataFr
             break
         unsettled = F.col("total").isNull()
         going = named.groupBy("c").agg(F.sum("w").alias("all"), F.max(unsettled & (F.col("w") == 1)).alias("open")).where("all >= 2 and open").select("c")
-        going = cut(going, f"going{block}")
         left = named.where(unsettled | (F.col("rid") == F.col("first"))).join(going, "c", "left_semi")
         whole = F.shiftleft(start, 32).bitwiseOR(F.shiftleft(F.col("lo").cast("long"), 16)).bitwiseOR(F.col("hi").cast("long"))
         again = F.struct(F.when(unsettled, F.col("at")).otherwise(whole).alias("at"), F.when(unsettled, F.col("w")).otherwise(2).alias("w"))
