@@ -51,10 +51,12 @@ def segment_returns(picks: DataFrame, segments: DataFrame, include_entry: bool =
     """Equal-weight daily returns of the picks between rebalances. segments: date, ticker, close, as_of. The first
     day of a segment has no return within it and is left out; include_entry counts it from the rebalance day's price."""
     w = Window.partitionBy("as_of", "ticker").orderBy("date")
-    r = segments.withColumn("ret", F.col("close") / F.lag("close").over(w) - 1)
+    own = picks.select("template", "as_of", "ticker")
+    # rows of names that no template holds go before the rest are ordered by day
+    r = segments.join(own.select("as_of", "ticker").distinct(), ["as_of", "ticker"], "left_semi").withColumn("ret", F.col("close") / F.lag("close").over(w) - 1)
     if include_entry:
         r = r.withColumn("ret", F.coalesce("ret", F.col("close") / F.col("entry_close") - 1))
-    held = picks.select("template", "as_of", "ticker").join(r.select("as_of", "ticker", "date", "ret"), ["as_of", "ticker"])
+    held = own.join(r.select("as_of", "ticker", "date", "ret"), ["as_of", "ticker"])
     return held.groupBy("template", "date").agg(F.avg("ret").alias("ret"), F.first("as_of").alias("as_of")).where(F.col("ret").isNotNull())
 
 

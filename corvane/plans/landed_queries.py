@@ -19,10 +19,10 @@ def csv_dataset(spark, d):
     """The tables as CSV, prices and benchmarks wide, read back; a ticker of no securities row falls out."""
     m = star.market(spark, d)
     path = new_path(spark, "csv")
-    few = m.securities.where("cast(ticker as int) <= 9 and ticker <> '3'")
-    names = [str(k) for k in range(10)]
+    few = m.securities.where("ticker <> '3'")
+    names = sorted(r.ticker for r in m.prices.select("ticker").distinct().collect())  # the columns of a wide file
     wide = lambda df, key, names, value: df.groupBy("date").pivot(key, names).agg(F.first(value))
-    wide(m.prices.where(F.col("ticker").isin(*names)), "ticker", names, "close").write.csv(f"{path}/prices.csv", header=True)
+    wide(m.prices, "ticker", names, "close").write.csv(f"{path}/prices.csv", header=True)
     wide(m.benchmarks, "name", ["SPX", "NDX"], "level").write.csv(f"{path}/benchmarks.csv", header=True)
     m.fundamentals.withColumnRenamed("pub_date", "date").drop("accruals").write.csv(f"{path}/fundamentals.csv", header=True)
     few.select("ticker", "name", "sector", F.array_join("themes", "|").alias("themes"), F.col("pays_dividend").cast("int").cast("string").alias("pays_dividend")).write.csv(f"{path}/meta.csv", header=True)
@@ -93,9 +93,9 @@ def annual_facts(spark, d):
 
 
 def instant_facts(spark, d):
-    """Values by filing date; their growth over a year as of each rebalance date."""
+    """Values of each measure by filing date; their growth over a year as of each rebalance date."""
     m = star.market(spark, d)
-    s = files.instant_series(_company_facts(spark, d)).where("measure = 'assets'").select(F.col("cik").alias("ticker"), F.col("filed").alias("pub_date"), "val")
+    s = files.instant_series(_company_facts(spark, d)).select(F.concat_ws("|", "cik", "measure").alias("ticker"), F.col("filed").alias("pub_date"), "val")
     grid = s.select("ticker").distinct().join(F.broadcast(dates_of(m)), how="cross")  # one date a month
     return rounded(panel.yoy_instant(s, grid))
 
@@ -167,12 +167,9 @@ def insider_trades(spark, d):
 
 
 def insider_scores(spark, d):
-    """As of the last rebalance date, with the counts of filings as a third choice."""
-    m = star.market(spark, d)
-    last = dates_of(m).agg(F.max("as_of").alias("as_of"))
-    t = _insiders(spark, d).where("cast(ticker as int) % 3 <> 0")
-    n = filing_counts(spark, d).join(last, "as_of")
-    return rounded(signals.insider_score(n.join(t, "ticker", "left")).select("as_of", "ticker", "detail", "insider"))
+    """As of each rebalance date, with the counts of filings as a third choice."""
+    n = filing_counts(spark, d)
+    return rounded(signals.insider_score(n.join(_insiders(spark, d), "ticker", "left")).select("as_of", "ticker", "detail", "insider"))
 
 
 def _crsp(m: star.Market) -> DataFrame:
@@ -182,8 +179,8 @@ def _crsp(m: star.Market) -> DataFrame:
 
 def crsp_daily(spark, d):
     """S15."""
-    permnos = spark.range(1, 50, 2).select(F.col("id").cast("int").alias("permno"))
-    return rounded(files.daily_stock(_crsp(star.market(spark, d)), permnos, "1998-01-01", "1999-12-31"))
+    m = star.market(spark, d)
+    return rounded(files.daily_stock(_crsp(m), m.securities.select(F.col("ticker").cast("int").alias("permno")), "1900-01-01", "2100-12-31"))
 
 
 def crsp_identities(spark, d):
@@ -226,7 +223,7 @@ def source_coverage(spark, d):
     """Requested tickers with too few rows, one of them unknown."""
     m = star.market(spark, d)
     asked = m.securities.select("ticker").unionByName(spark.createDataFrame([("none",)], "ticker string"))
-    return files.coverage(asked, m.prices.where("volume > 0 and date < date'1998-01-01'"), 150)
+    return files.coverage(asked, m.prices.where("volume > 0"), 520)
 
 
 def index_report(spark, d):

@@ -34,24 +34,24 @@ g7 as (select *, case when count(eps_growth) over w >= 3 then stddev_pop(eps_gro
 
 SQL: dict[str, str] = {
     "company_panel": C + COMPANY + out("cik as_of " + " ".join(f"{c}:r" for c in FIELDS), "company"),
-    "csv_dataset": C + ", few as (select * from securities where ticker::int <= 9 and ticker <> '3'), a as (select ticker, count(*) as n_prices, sum(close) as sum_close from prices group by ticker), f as (select ticker, count(pe) as n_pe from fundamentals group by ticker), " + THEMES + " select ticker, sector, pays_dividend, len(themes)::bigint as n_themes, n_prices, round(sum_close, 3) + 0.0::double as sum_close, n_pe, 0::bigint as n_accruals from few join themes on s_suppkey::varchar = ticker join a using (ticker) join f using (ticker)",
+    "csv_dataset": C + ", few as (select * from securities where ticker <> '3'), a as (select ticker, count(*) as n_prices, sum(close) as sum_close from prices group by ticker), f as (select ticker, count(pe) as n_pe from fundamentals group by ticker), " + THEMES + " select ticker, sector, pays_dividend, len(themes)::bigint as n_themes, n_prices, round(sum_close, 3) + 0.0::double as sum_close, n_pe, 0::bigint as n_accruals from few join themes on s_suppkey::varchar = ticker join a using (ticker) join f using (ticker)",
     "provider_payloads": C + "select provider, ticker, date, close, volume from prices, (values ('a'), ('b'), ('c')) v(provider) where volume > 0",
     "metrics_panel": C + VOL + " select ticker, pub_date, round(pe, 6) + 0.0::double as pe, round(roe, 6) + 0.0::double as roe, round(eps_growth, 6) + 0.0::double as eps_growth, round(coalesce(dividend_yield, 0), 6) + 0.0::double as dividend_yield, null::double as pb, round(vol, 6) + 0.0::double as earnings_vol, round(1 / (1 + vol), 6) + 0.0::double as growth_stability from ev",
     "security_dimension": C + ", l as (select ticker, last(dividend_yield order by pub_date) > 0 as pays from fundamentals where dividend_yield is not null group by ticker) select ticker, case when ticker = '5' then ticker else name end as name, case sector when 'AFRICA' then 'Materials' when 'AMERICA' then 'Technology' when 'ASIA' then 'Consumer Discretionary' when 'EUROPE' then 'Financials' else 'Unknown' end as sector, coalesce(pays, false) as pays_dividend from securities left join l using (ticker)",
     "ticker_map": "select upper(s_name) as ticker, lpad(s_suppkey::varchar, 10, '0') as cik from supplier",
     "annual_facts": C + ANNUAL + " select cik, measure, concept, fy, form, round(val, 2) + 0.0::double as val, filed from annual",
-    "instant_facts": C + DATES + YEARS + ", i as (select ticker, make_date(fy + 1, 3, 1) as filed, qty as val from yearly), g as (select as_of, ticker from reb, (select distinct ticker from i)), n as (select g.*, i.val as v1 from g asof join i on g.ticker = i.ticker and g.as_of >= i.filed), o as (select n.*, i.val as v0 from n asof left join i on n.ticker = i.ticker and (n.as_of - 365) >= i.filed) select ticker, as_of, round(case when v0 > 0 then v1 / v0 - 1 end, 6) + 0.0::double as yoy from o",
+    "instant_facts": C + DATES + YEARS + ", i as (select ticker || '|assets' as ticker, make_date(fy + 1, 3, 1) as filed, qty as val from yearly union all select ticker || '|revenue', make_date(fy + 1, 3, 1), rev from yearly union all select ticker || '|revenue', make_date(fy + 1, 6, 1), rev + 1 from yearly where fy % 2 = 0), g as (select as_of, ticker from reb, (select distinct ticker from i)), n as (select g.*, i.val as v1 from g asof join i on g.ticker = i.ticker and g.as_of >= i.filed), o as (select n.*, i.val as v0 from n asof left join i on n.ticker = i.ticker and (n.as_of - 365) >= i.filed) select ticker, as_of, round(case when v0 > 0 then v1 / v0 - 1 end, 6) + 0.0::double as yoy from o",
     "annual_pairs": C + DATES + ANNUAL + ", k as (select a.cik, r.as_of, a.measure, val, row_number() over (partition by a.cik, r.as_of, a.measure order by fy desc) as k from reb r join annual a on a.filed <= r.as_of) select cik, as_of, measure, round(max(val) filter (k = 1), 2) + 0.0::double as latest, round(max(val) filter (k = 2), 2) + 0.0::double as previous from k where k <= 2 group by all",
     "sic_sectors": "select s_suppkey::varchar as ticker, s_nationkey * 90 + 50 as sic, case when s_nationkey * 90 + 50 between 100 and 999 then 'Materials' when s_nationkey * 90 + 50 between 900 and 1500 then 'Energy' when s_nationkey * 90 + 50 between 1501 and 1900 then 'Utilities' else 'Unknown' end as sector from supplier",
     "filing_counts": C + FILED + " select as_of, ticker, n_filings from filed",
     "insider_trades": C + TRADES + " select ticker, buys, sells, round(buy_value, 2) + 0.0::double as buy_value, round(sell_value, 2) + 0.0::double as sell_value from trades",
-    "insider_scores": C + FILED + TRADES + f", j as (select f.as_of, f.ticker, n_filings, case when buy_value + sell_value > 0 then (buy_value - sell_value) / (buy_value + sell_value) when buys + sells > 0 then (buys - sells)::double / (buys + sells) end as net from filed f left join (select * from trades where ticker::int % 3 <> 0) t using (ticker) where f.as_of = (select max(as_of) from reb)), k as (select *, {rank('n_filings')} as r from j) select as_of, ticker, net is not null as detail, round(coalesce(50 + 50 * net, r, 50), 6) + 0.0::double as insider from k",
-    "crsp_daily": C + CRSP + out("permno date prc:r ret:r vol:r shrout:r", "crsp", "where permno % 2 = 1 and permno < 50 and date between date '1998-01-01' and date '1999-12-31'"),
+    "insider_scores": C + FILED + TRADES + f", j as (select f.as_of, f.ticker, n_filings, case when buy_value + sell_value > 0 then (buy_value - sell_value) / (buy_value + sell_value) when buys + sells > 0 then (buys - sells)::double / (buys + sells) end as net from filed f left join trades t using (ticker)), k as (select *, {rank('n_filings')} as r from j) select as_of, ticker, net is not null as detail, round(coalesce(50 + 50 * net, r, 50), 6) + 0.0::double as insider from k",
+    "crsp_daily": C + CRSP + out("permno date prc:r ret:r vol:r shrout:r", "crsp"),
     "crsp_identities": "select s_suppkey::int as permno, case when s_suppkey % 5 > 0 then 'T' || s_suppkey else 'P' || s_suppkey end as ticker, 'Company 1' as name, s_nationkey as sic, 1 as exchcd from supplier where s_suppkey % 7 <> 0",
     "crsp_delisted": C + CRSP + ", base as (select permno, date, first_value(prc) over w as seed, product(1 + coalesce(ret, 0)) over (w rows between unbounded preceding and current row) as g, count(*) over (w rows between unbounded preceding and current row) as n from crsp window w as (partition by permno order by date)), ends as (select permno, max(date) as date, max_by(abs(seed) * g, date) as level, max(n) as n from base group by permno) select permno, case when permno % 10 = 7 then greatest(date + 1, date '2000-01-01') else date end as date, round(case when permno % 20 = 7 then level * 0.45::double when permno % 20 = 17 then level * 1.05::double else level end, 6) + 0.0::double as level, n + (permno % 10 = 7)::bigint as n from ends",
     "linked_statements": C + "select ticker as gvkey, case when pub_date <= date '1998-06-30' then ticker::int else ticker::int + 1000 end as permno, pub_date as datadate, round(pe, 6) + 0.0::double as pe from fundamentals",
     "market_index": C + ", r as (select date, level / lag(level) over (order by date) - 1 as r from benchmarks where name = 'SPX') select date, name, round(100 * product(1 + coalesce(r, 0)) over (partition by name order by date rows between unbounded preceding and current row), 6) + 0.0::double as level from r, (values ('SPX'), ('NDX')) v(name)",
-    "source_coverage": C + "select ticker from (select ticker from securities union all select 'none') where ticker not in (select ticker from prices where volume > 0 and date < date '1998-01-01' group by ticker having count(*) > 150)",
+    "source_coverage": C + "select ticker from (select ticker from securities union all select 'none') where ticker not in (select ticker from prices where volume > 0 group by ticker having count(*) > 520)",
     "index_report": C + "select 'N' || s_nationkey as index_id, count(*) as n_listed, count(*) filter (delisting_date is null) as n_available from supplier join securities on ticker = s_suppkey::varchar group by s_nationkey",
     "aligned_prices": C + ", o as (select ticker, date, close from prices where volume > 0), f as (select ticker, min(date) as first from o group by ticker), g as (select ticker, b.date from f join (select distinct date from benchmarks) b on b.date >= first) select ticker, date, last_value(close ignore nulls) over (partition by ticker order by date) as close from g left join o using (ticker, date)",
     "merged_batches": C + "select ticker, count(*) as n, round(avg(case when ticker::int % 2 = 0 then close else close * 2 end), 6) + 0.0::double as mean_close from prices group by ticker",

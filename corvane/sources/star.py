@@ -40,31 +40,40 @@ def _vwap(days: DataFrame, *keys: str) -> DataFrame:
     return days.withColumn("close", level).withColumn("n", F.row_number().over(w)).where("n > 19").drop("n")
 
 
-def prices(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every trading day from a ticker's first price on: gaps filled forward with volume 0, none after its delisting."""
-    lines = _lines(spark, sf_dir)
-    seen = _vwap(lines.groupBy("ticker", "date").agg(F.sum("p").alias("p"), F.sum("q").alias("q")), "ticker")
-    calendar = lines.select("date").distinct()
-    first = seen.groupBy("ticker").agg(F.min("date").alias("first"))
-    grid = first.join(calendar, F.col("date") >= F.col("first")).select("ticker", "date")
+def daily(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exact sums of each ticker and day, from which prices, benchmarks and fundamentals follow: one pass over the lines.
+    ps, qs: those of small parts, null where there are none."""
+    part = spark.read.parquet(f"{sf_dir}/part.parquet").where("p_size <= 25").select(F.col("p_partkey").alias("l_partkey"), F.lit(True).alias("small"))
+    p, q = F.col("p"), F.col("q")
+    return _lines(spark, sf_dir).join(part, "l_partkey", "left").groupBy("ticker", "date").agg(F.sum(p).alias("p"), F.sum(q).alias("q"), F.sum(F.when(F.col("small"), p)).alias("ps"), F.sum(F.when(F.col("small"), q)).alias("qs"), F.sum(p * F.col("d")).alias("disc"), F.sum(p * F.col("t")).alias("tax"), F.count("*").alias("n"), F.sum(F.when(F.col("back"), p).otherwise(0)).alias("ret"))
+
+
+def prices(spark: SparkSession, sf_dir: str, days: DataFrame | None = None) -> DataFrame:
+    """Every trading day from a ticker's first price on: gaps filled forward with volume 0, none after its delisting. The
+    calendar's days have numbers, so that a ticker's run of days meets them by equality."""
+    days = daily(spark, sf_dir) if days is None else days
+    seen = _vwap(days.select("ticker", "date", "p", "q"), "ticker")
+    calendar = days.select("date").distinct().withColumn("i", F.row_number().over(Window.orderBy("date")))  # one row a day
+    first = seen.groupBy("ticker").agg(F.min("date").alias("date")).join(calendar, "date").select("ticker", "i")
+    runs = first.crossJoin(F.broadcast(calendar.agg(F.max("i").alias("last"))))  # an aggregate: one row
+    grid = runs.select("ticker", F.explode(F.sequence("i", "last")).alias("i")).join(calendar, "i").select("ticker", "date")
     full = grid.join(seen.select("ticker", "date", "close", F.col("q").cast("double").alias("volume")), ["ticker", "date"], "left")
     w = Window.partitionBy("ticker").orderBy("date")
     full = full.select("date", "ticker", F.last("close", ignorenulls=True).over(w).alias("close"), F.coalesce("volume", F.lit(0.0)).alias("volume"))
     return full.where(~((F.col("ticker").cast("long") % 10 == 7) & (F.col("date") > F.lit(DELISTED).cast("date"))))
 
 
-def benchmarks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = _lines(spark, sf_dir)
-    part = spark.read.parquet(f"{sf_dir}/part.parquet").where("p_size <= 25").select(F.col("p_partkey").alias("l_partkey"))
-    small = lines.join(part, "l_partkey", "left_semi")
-    total = lambda df, name: df.groupBy("date").agg(F.sum("p").alias("p"), F.sum("q").alias("q")).withColumn("name", F.lit(name))
-    return _vwap(total(lines, "SPX").unionByName(total(small, "NDX")), "name").select("date", "name", F.col("close").alias("level"))
+def benchmarks(spark: SparkSession, sf_dir: str, days: DataFrame | None = None) -> DataFrame:
+    days = daily(spark, sf_dir) if days is None else days
+    total = lambda p, q, name: days.where(F.col(q).isNotNull()).groupBy("date").agg(F.sum(p).alias("p"), F.sum(q).alias("q")).withColumn("name", F.lit(name))
+    return _vwap(total("p", "q", "SPX").unionByName(total("ps", "qs", "NDX")), "name").select("date", "name", F.col("close").alias("level"))
 
 
-def fundamentals(spark: SparkSession, sf_dir: str) -> DataFrame:
+def fundamentals(spark: SparkSession, sf_dir: str, days: DataFrame | None = None) -> DataFrame:
     """Monthly figures of each ticker, published 15 days after the month's end."""
     m = F.trunc("date", "month")
-    sums = _lines(spark, sf_dir).groupBy("ticker", m.alias("month")).agg(F.sum("p").alias("rev"), F.sum(F.col("p") * F.col("d")).alias("disc"), F.sum(F.col("p") * F.col("t")).alias("tax"), F.count("*").alias("n"), F.sum("q").alias("qty"), F.sum(F.when(F.col("back"), F.col("p")).otherwise(0)).alias("ret"))
+    days = daily(spark, sf_dir) if days is None else days
+    sums = days.groupBy("ticker", m.alias("month")).agg(F.sum("p").alias("rev"), F.sum("disc").alias("disc"), F.sum("tax").alias("tax"), F.sum("n").alias("n"), F.sum("q").alias("qty"), F.sum("ret").alias("ret"))
     sums = sums.select("ticker", "month", *[F.col(c).cast("double").alias(c) for c in ("rev", "disc", "tax", "n", "qty", "ret")])
     w = Window.partitionBy("ticker").orderBy("month")
     year, old = w.rowsBetween(-11, 0), lambda c: F.lag(c, 12).over(w)
@@ -96,7 +105,8 @@ def market(spark: SparkSession, sf_dir: str) -> Market:
     of sf_dir are taken not to change meanwhile; forget() drops what is remembered."""
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _markets:
-        made = {f.__name__: f(spark, sf_dir) for f in (prices, benchmarks, fundamentals, securities)}
+        days = cut(daily(spark, sf_dir), "daily")
+        made = {f.__name__: f(spark, sf_dir, days) for f in (prices, benchmarks, fundamentals)} | {"securities": securities(spark, sf_dir)}
         _markets[key] = Market(**{name: cut(df, name) for name, df in made.items()})
     return _markets[key]
 
