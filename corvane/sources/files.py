@@ -108,10 +108,14 @@ def instant_series(facts: DataFrame) -> DataFrame:
 
 
 def annual_pair(series: DataFrame, grid: DataFrame) -> DataFrame:
-    """The last two fiscal years known on each date."""
-    j = grid.join(series, "cik").where(F.col("filed") <= F.col("as_of"))
-    k = F.row_number().over(Window.partitionBy("cik", "as_of", "measure").orderBy(F.desc("fy")))
-    return j.withColumn("k", k).where("k <= 2").groupBy("cik", "as_of", "measure").agg(F.max(F.when(F.col("k") == 1, F.col("val"))).alias("latest"), F.max(F.when(F.col("k") == 2, F.col("val"))).alias("previous"))
+    """The last two fiscal years known on each date of grid (cik, as_of), for each measure of which there is one.
+    Years and dates are one sequence of days, carried forward."""
+    asked = series.select("cik", "measure").distinct().join(grid.select("cik", "as_of"), "cik").withColumn("day", F.unix_date("as_of"))
+    events = series.select("cik", "measure", F.unix_date("filed").alias("day"), F.struct("fy", "val").alias("y"))
+    w = Window.partitionBy("cik", "measure").orderBy("day").rangeBetween(Window.unboundedPreceding, 0)
+    known = F.slice(F.sort_array(F.collect_list("y").over(w), asc=False), 1, 2)
+    rows = events.unionByName(asked, allowMissingColumns=True).withColumn("k", known).where("as_of is not null and size(k) > 0")
+    return rows.select("cik", "as_of", "measure", F.col("k")[0]["val"].alias("latest"), F.try_element_at("k", F.lit(2))["val"].alias("previous"))
 
 
 # measures of the monthly panel: flows by fiscal year, and stocks of a day
@@ -169,7 +173,12 @@ def filing_counts(submissions: DataFrame, dates: DataFrame, days: int = 180) ->
     """Insider filings of the last `days` days; submissions: ticker, body."""
     recent = F.from_json("body", "struct<filings:struct<recent:struct<form:array<string>,filingDate:array<date>,accessionNumber:array<string>>>>")["filings"]["recent"]
     rows = submissions.select("ticker", F.explode(F.arrays_zip(recent["form"].alias("form"), recent["filingDate"].alias("filed"), recent["accessionNumber"].alias("accession"))).alias("r")).select("ticker", "r.*").where("trim(form) = '4'")
-    return rows.join(dates, F.col("filed").between(F.date_sub("as_of", days), F.col("as_of"))).groupBy("as_of", "ticker").agg(F.count("*").alias("n_filings"))
+    # filings and dates are one sequence of days, of which the last ones are counted
+    asked = rows.select("ticker").distinct().join(dates.select("as_of"), how="cross").withColumn("day", F.unix_date("as_of"))  # one row a ticker and date
+    events = rows.select("ticker", F.unix_date("filed").alias("day"), F.lit(1).alias("one"))
+    w = Window.partitionBy("ticker").orderBy("day").rangeBetween(-days, 0)
+    counted = events.unionByName(asked, allowMissingColumns=True).withColumn("n_filings", F.count("one").over(w))
+    return counted.where("as_of is not null and n_filings > 0").select("as_of", "ticker", "n_filings")
 
 
 def insider_trades(filings: DataFrame, most: int = 25) -> DataFrame:

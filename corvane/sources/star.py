@@ -101,9 +101,14 @@ _markets: dict[tuple, Market] = {}
 
 
 def market(spark: SparkSession, sf_dir: str) -> Market:
-    """The four tables, written to the shared folder once a session, as each query uses them more than once. The files
-    of sf_dir are taken not to change meanwhile; forget() drops what is remembered."""
-    key = (spark.sparkContext.applicationId, sf_dir)
+    """The four tables, written to the shared folder once a session, as each query uses them more than once, and again
+    where files of sf_dir have changed meanwhile. forget() drops what is remembered."""
+    state = []
+    for name in ("lineitem", "part", "supplier", "nation", "region"):
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/{name}.parquet")
+        status = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(path)
+        state.append((status.getModificationTime(), status.getLen()))
+    key = (spark.sparkContext.applicationId, sf_dir, *state)
     if key not in _markets:
         days = cut(daily(spark, sf_dir), "daily")
         made = {f.__name__: f(spark, sf_dir, days) for f in (prices, benchmarks, fundamentals)} | {"securities": securities(spark, sf_dir)}
