@@ -11,8 +11,10 @@ from __future__ import annotations
 
 import functools
 import hashlib
+import itertools
 import math
 import re
+from collections.abc import Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -98,10 +100,10 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(out)
 
 
-def _decoy_scores(letters: str, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Class and rounded score of decoys that lie end to end in letters (A-Z, a-z), as length_class and randomness
-    give them one by one."""
-    code = np.frombuffer(letters.encode(), np.uint8).astype(np.int64)
+def _decoy_scores(letters: str | np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Class and rounded score of decoys that lie end to end in letters (A-Z, a-z; text or its bytes), as length_class
+    and randomness give them one by one."""
+    code = np.frombuffer(letters.encode() if isinstance(letters, str) else letters, np.uint8).astype(np.int64)
     at = np.where(code >= 97, code - 71, code - 65)  # places in the alphabet `letters`
     starts = np.concatenate(([0], ends[:-1]))
     n = ends - starts
@@ -129,56 +131,58 @@ def _decoy_scores(letters: str, ends: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return np.searchsorted(CLASSES, n, side="right") - 1, np.rint(-worst * STEP).astype(np.int64)
 
 
-class Decoys:
-    """Neighbouring plain words run together to the least length of a class: for each class from all words, a decoy at
-    the end of the last one. Words at a text's end that don't fill a decoy are run together with those of later texts
-    of the same task, so that short texts give decoys of all classes too."""
-
-    def __init__(self):
-        self.rest: list[list[str]] = [[] for _ in CLASSES]
-
-    def counts(self, texts: list[str]) -> dict[tuple[int, int], int]:
-        """Decoys by class and score."""
-        found: dict[tuple[int, int], int] = {}
-        each = [PLAIN_START.findall(t) for t in texts]
-        words = [w for ws in each for w in ws]
-        bounds = np.cumsum([0, *map(len, each)]).tolist()
-        for k, goal in enumerate(CLASSES):
-            parts, loose = self._take(words, bounds, goal)
-            late = self.rest[k] + loose
-            more, self.rest[k] = self._take(late, [0, len(late)], goal)
-            parts += more
-            for i in range(0, len(parts), 20_000):  # bounds the table of letter counts
-                own = parts[i : i + 20_000]
-                cls, score = _decoy_scores("".join(own), np.cumsum([len(x) for x in own]))
-                keys, n = np.unique(cls * 1000 - score, return_counts=True)
-                for key, m in zip(keys.tolist(), n.tolist(), strict=True):
-                    at = key // 1000, -(key % 1000)
-                    found[at] = found.get(at, 0) + m
-        return found
-
-    @staticmethod
-    def _take(words: list[str], bounds: list[int], goal: int) -> tuple[list[str], list[str]]:
-        """Decoys within bounds (word numbers where texts begin and the last ends), and the words left over."""
-        if not words:
-            return [], []
-        letters = "".join(words)
-        ends = np.cumsum([len(w) for w in words])
-        starts = np.concatenate(([0], ends))
-        after = (np.searchsorted(ends, starts[:-1] + goal) + 1).tolist()  # the word after a decoy that begins here
-        starts = starts.tolist()
-        parts, loose = [], []
-        for i, end in zip(bounds, bounds[1:], strict=False):
+def decoys(texts: list[list[str]], classes: Sequence[int] = range(len(CLASSES))) -> tuple[dict[tuple[int, int], int], list[list[int]]]:
+    """Decoys of texts (their plain words) by class and score, and how many words each text has left for each class.
+
+    Neighbouring words of a text are run together to the least length of a class: for each class from all words, a decoy
+    at the end of the last one. What doesn't fill one at a text's end is left; it has fewer letters than the class."""
+    found: dict[tuple[int, int], int] = {}
+    left = [[0] * len(CLASSES) for _ in texts]
+    words = [w for ws in texts for w in ws]
+    if not words:
+        return found, left
+    code = np.frombuffer("".join(words).encode(), np.uint8)
+    starts = np.concatenate(([0], np.cumsum([len(w) for w in words])))
+    bounds = np.cumsum([0, *map(len, texts)]).tolist()
+    for k in classes:
+        goal = CLASSES[k]
+        after = (np.searchsorted(starts[1:], starts[:-1] + goal) + 1).tolist()  # the word after a decoy that begins here
+        first, last = [], []
+        for t, (i, end) in enumerate(itertools.pairwise(bounds)):
             while i < end and (j := after[i]) <= end:
-                parts.append(letters[starts[i] : starts[j]])
+                first.append(i)
+                last.append(j)
                 i = j
-            loose += words[i:end]
-        return parts, loose
+            left[t][k] = end - i
+        for i in range(0, len(first), 20_000):  # bounds the table of letter counts
+            own, n = starts[first[i : i + 20_000]], starts[last[i : i + 20_000]]
+            ends = np.cumsum(n - own)
+            at = np.arange(ends[-1]) + np.repeat(own - np.concatenate(([0], ends[:-1])), n - own)
+            cls, score = _decoy_scores(code[at], ends)
+            keys, each = np.unique(cls * 1000 - score, return_counts=True)
+            for key, m in zip(keys.tolist(), each.tolist(), strict=True):
+                place = key // 1000, -(key % 1000)
+                found[place] = found.get(place, 0) + m
+    return found, left
+
+
+def run_on(tails: list[tuple[str, list[int], int]]) -> dict[tuple[int, int], int]:
+    """Decoys of what texts had left (words, words left for each class, number of texts), run together in order: the
+    first copies of all, the second copies of those that have one, and so on. Copies never run on into each other."""
+    found: dict[tuple[int, int], int] = {}
+    tails, done = sorted(tails), 0
+    for level in sorted({n for *_, n in tails}):
+        own = [(tail.split(" "), left) for tail, left, n in tails if n >= level]
+        for k in range(len(CLASSES)):
+            loose = [w for words, left in own if left[k] for w in words[-left[k] :]]
+            for (cls, score), m in decoys([loose], [k])[0].items():
+                found[cls, score] = found.get((cls, score), 0) + m * (level - done)
+        done = level
+    return found
 
 
 def _scan(batches):
-    """For each text its base spans and candidates; decoys of a batch as counts in its first row."""
-    decoys = Decoys()
+    """For each text its base spans, candidates and what its decoys left; decoys of a batch as counts in its first row."""
     for b in batches:
         rows, texts = [], [t or "" for t in b.column("text").to_pylist()]
         for text in texts:
@@ -190,16 +194,25 @@ def _scan(batches):
                 if kind := encoding_of(m.group()):
                     cand.append({"start": m.start(), "end": m.end(), "cls": length_class(m.end() - m.start()), "score": round(randomness(m.group(), kind) * STEP)})
             rows.append(([{"start": s, "kind": k, "end": e} for s, k, e in base], cand))
+        words = [PLAIN_START.findall(t) for t in texts]
+        counted, left = decoys(words)
         seen = [[] for _ in rows]
         if rows:
-            seen[0] = [{"cls": c, "score": s, "n": n} for (c, s), n in decoys.counts(texts).items()]
+            seen[0] = [{"cls": c, "score": s, "n": n} for (c, s), n in counted.items()]
+        tails = [" ".join(ws[-max(n) :]) if max(n) else "" for ws, n in zip(words, left, strict=True)]
         spans = pa.array([r[0] for r in rows], pa.list_(pa.struct([("start", pa.int64()), ("kind", pa.int64()), ("end", pa.int64())])))
         cands = pa.array([r[1] for r in rows], pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("cls", pa.int64()), ("score", pa.int64())])))
         counts = pa.array(seen, pa.list_(pa.struct([("cls", pa.int64()), ("score", pa.int64()), ("n", pa.int64())])))
-        yield pa.RecordBatch.from_arrays([b.column("doc_id"), spans, cands, counts], ["doc_id", "base", "cands", "decoys"])
+        yield pa.RecordBatch.from_arrays([b.column("doc_id"), spans, cands, counts, pa.array(tails, pa.string()), pa.array(left, pa.list_(pa.int32()))], ["doc_id", "base", "cands", "decoys", "tail", "loose"])
 
 
-SCANNED = "doc_id long, base array<struct<start: long, kind: long, end: long>>, cands array<struct<start: long, end: long, cls: long, score: long>>, decoys array<struct<cls: long, score: long, n: long>>"
+def _run_on(group: pa.Table) -> pa.Table:
+    found = run_on(list(zip(*[group.column(c).to_pylist() for c in ("tail", "loose", "n")], strict=True)))
+    rows = [(c, s, n) for (c, s), n in found.items()]
+    return pa.table([pa.array([r[i] for r in rows], pa.int64()) for i in range(3)], ["cls", "score", "n"])
+
+
+SCANNED = "doc_id long, base array<struct<start: long, kind: long, end: long>>, cands array<struct<start: long, end: long, cls: long, score: long>>, decoys array<struct<cls: long, score: long, n: long>>, tail string, loose array<int>"
 
 
 def thresholds(cands: DataFrame, rate: float) -> DataFrame:
@@ -212,17 +225,22 @@ def thresholds(cands: DataFrame, rate: float) -> DataFrame:
     return sums.where((F.col("t_up") > 0) & (p <= rate * F.col("t_up") / F.col("t_all"))).groupBy("cls").agg(F.min("score").alias("least"))
 
 
-def scan(docs: DataFrame, rate: float = 0.01) -> DataFrame:
+def scan(docs: DataFrame, rate: float = 0.01, per_block: int = 2_000) -> DataFrame:
     """doc_id and spans (start, kind, end in code points; kind counts KINDS) of docs (doc_id, text), ordered by start,
     then kind. The fixed patterns always stay; `random` spans are added where they overlap none of them and pass the
-    battery at false-discovery rate `rate`, judged over all of docs. Null texts are empty, repeated rows and null ids
-    are scanned like others, an empty table gives no rows."""
+    battery at false-discovery rate `rate`, judged over all of docs. Words that fill no decoy at a text's end are run
+    together with those of other texts, in blocks of about per_block texts that the words themselves choose, so results
+    don't depend on how rows lie in tasks. Null texts are empty, repeated rows and null ids are scanned like others, an
+    empty table gives no rows."""
     spark = docs.sparkSession
     small_batches(spark)
     found = cut(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_scan, SCANNED), "secrets")
     none, each = F.lit(0).cast("long"), F.lit(1).cast("long")
     seen = F.concat(F.transform("cands", lambda c: F.struct(c["cls"].alias("cls"), c["score"].alias("score"), each.alias("t"), none.alias("d"))), F.transform("decoys", lambda c: F.struct(c["cls"].alias("cls"), c["score"].alias("score"), none.alias("t"), c["n"].alias("d"))))
-    limits = {r.cls: r.least for r in thresholds(found.select(F.explode(seen).alias("c")).select("c.*"), rate).collect()}
+    blocks = max(1, -(-found.count() // per_block))
+    tails = found.where("tail != ''").groupBy("tail", "loose").agg(F.count("*").alias("n")).withColumn("block", F.pmod(F.xxhash64("tail", "loose"), F.lit(blocks)))
+    more = tails.groupBy("block").applyInArrow(_run_on, "cls long, score long, n long").select("cls", "score", none.alias("t"), F.col("n").alias("d"))
+    limits = {r.cls: r.least for r in thresholds(found.select(F.explode(seen).alias("c")).select("c.*").unionByName(more), rate).collect()}
     passes = F.lit(False)
     pick = lambda c: F.coalesce(F.element_at(F.create_map(*[F.lit(int(v)) for kv in limits.items() for v in kv]), c["cls"].cast("int")) <= c["score"], passes) if limits else passes
     added = F.transform(F.filter("cands", pick), lambda c: F.struct(c["start"].alias("start"), F.lit(3).cast("long").alias("kind"), c["end"].alias("end")))

@@ -3,6 +3,7 @@ tables, clashing columns."""
 
 import random
 import re
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -149,13 +150,30 @@ def test_decoys_equal_the_battery_and_use_all_words():
     cls, score = secrets._decoy_scores("".join(parts), secrets.np.array(ends))
     assert cls.tolist() == [secrets.length_class(len(p)) for p in parts]
     assert all(abs(s - secrets.randomness(p, secrets.encoding_of(p)) * secrets.STEP) <= 0.5 + 1e-6 for s, p in zip(score.tolist(), parts, strict=True))
-    made = secrets.Decoys()
-    texts = ["abcde fghij 12 klmno, pqrst x9 uvwxy"] * 64  # 25 letters of plain words each, 1,600 in all
-    found = made.counts(texts[:30])
-    for at, n in made.counts(texts[30:]).items():
-        found[at] = found.get(at, 0) + n
-    by = {c: sum(n for (k, _), n in found.items() if k == c) for c in range(6)}
-    assert by == {0: 64 + 64 * 5 // 20, 1: 64, 2: 1600 // 35, 3: 1600 // 40, 4: 1600 // 65, 5: 1600 // 130}
+    words = ["abcde", "fghij", "klmno", "pqrst", "uvwxy"]  # 25 letters: one decoy of 20 and one of 24, then five letters or none
+    found, left = secrets.decoys([words] * 64)
+    assert {c: sum(n for (k, _), n in found.items() if k == c) for c in range(6)} == {0: 64, 1: 64, 2: 0, 3: 0, 4: 0, 5: 0}
+    assert left == [[1, 0, 5, 5, 5, 5]] * 64 and secrets.decoys([]) == ({}, []) and secrets.decoys([[]]) == ({}, [[0] * 6])
+    tails = [(" ".join(words[i:] + words[:i]), left[0], 1) for i in range(5)] * 13  # 65 texts
+    more = secrets.run_on(tails)
+    assert {c: sum(n for (k, _), n in more.items() if k == c) for c in range(6)} == {0: 65 // 4, 1: 0, 2: 1625 // 35, 3: 1625 // 40, 4: 1625 // 65, 5: 1625 // 130}
+    once = secrets.run_on([(t, n, 13) for t, n, _ in tails[:5]])  # copies as counts: 13 layers of five texts
+    assert once == {k: 13 * n for k, n in secrets.run_on(tails[:5]).items()}
+    assert secrets.run_on([(t, n, i) for i, (t, n, _) in enumerate(tails[:5], 1)]) == dict(sum((Counter(secrets.run_on([(t, n, 1) for t, n, _ in tails[i:5]])) for i in range(5)), Counter()))
+
+
+def test_secret_thresholds_do_not_depend_on_partitions(spark):
+    rng = random.Random(8)
+    plain = ["".join(rng.choice("etaoinshr") for _ in range(rng.randrange(2, 9))) for _ in range(9_000)]
+    texts = [(i, " ".join(plain[i * 9 : i * 9 + 9])) for i in range(1000)] + [(5, "one text in many copies")] * 300
+    texts += [(2000 + i, "see " + "".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789") for _ in range(20 + i))) for i in range(60)]
+    texts += [(3000 + i, "".join(rng.choice("etaoinshr") for _ in range(30)) + "1") for i in range(100)]
+    seen = []
+    for parts in (1, 7, 40):
+        rng.shuffle(texts)
+        rows = secrets.scan(spark.createDataFrame(texts, DOCS).repartition(parts), per_block=100).collect()
+        seen.append(sorted((r.doc_id, [tuple(s) for s in r.spans]) for r in rows))
+    assert seen[0] == seen[1] == seen[2] and sum(bool(s) for i, s in seen[0] if 2000 <= i < 3000) > 30
 
 
 def test_battery_separates_random_from_text():
