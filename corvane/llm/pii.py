@@ -24,6 +24,7 @@ FORMATS = {
     "ssn": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
     "card": r"(?<![\d-])\d{4}([ -]?)\d{4}\1\d{4}\1\d{1,7}(?![\d-])|(?<![\d-])\d{13,19}(?![\d-])|(?<![\d-])\d{4}[ -]\d{6}[ -]\d{5}(?![\d-])",
 }
+CHUNK = 256  # finds whose lengths are summed at once
 PATTERN = "|".join(f"(?:{p})" for k, p in FORMATS.items() if k != "card") + "|(?:" + FORMATS["card"].replace(r"([ -]?)", r"(?<sep>[ -]?)").replace(r"\1", r"\k<sep>") + ")"
 DATES = {"iso_date": "yyyy-MM-dd", "dot_date": "dd.MM.yyyy", "slash_date": "MM/dd/yyyy"}
 
@@ -201,8 +202,16 @@ def pseudonymize(docs: DataFrame, key: str) -> DataFrame:
     found = found.withColumn("__hits", F.transform("__hits", lambda h: F.struct(h["v"].alias("v"), h["k"].alias("k"), pseudonym(h["v"], h["k"], key).alias("p"))))
     parts = F.when(F.size("__hits") > 0, F.split(text, PATTERN, -1))
     found = found.withColumn("__parts", parts)
-    begin = lambda i: F.aggregate(F.slice("__parts", 1, i + 1), F.lit(0), lambda a, x: a + F.length(x)) + F.aggregate(F.slice("__hits", 1, i), F.lit(0), lambda a, x: a + F.length(x["v"]))
+    # places of finds: sums of lengths over whole chunks of finds, then within the chunk, so that texts of very many finds
+    # don't sum all earlier parts again for each
+    steps = F.transform("__hits", lambda h, i: F.length(F.get("__parts", i)) + F.length(h["v"]))
+    found = found.withColumn("__steps", steps)
+    total = lambda first, n: F.aggregate(F.slice("__steps", first, n), F.lit(0), lambda a, x: a + x)
+    chunks = F.transform(F.sequence(F.lit(0), F.floor(F.size("__steps") / CHUNK).cast("int")), lambda c: total(c * CHUNK + 1, F.lit(CHUNK)))
+    found = found.withColumn("__chunks", F.when(F.size("__hits") > 0, chunks))
+    chunk = lambda i: F.floor(i / CHUNK).cast("int")
+    begin = lambda i: F.aggregate(F.slice("__chunks", F.lit(1), chunk(i)), F.lit(0), lambda a, x: a + x) + total(chunk(i) * CHUNK + 1, i % CHUNK) + F.length(F.get("__parts", i))
     spans = F.filter(F.transform("__hits", lambda h, i: F.struct(h["k"].alias("kind"), begin(i).cast("long").alias("start"), h["p"].alias("value"))), lambda s: s["kind"].isNotNull())
     new = F.array_join(F.transform("__parts", lambda x, i: F.concat(x, F.coalesce(F.get(F.col("__hits"), i)["p"], F.lit("")))), "")
     out = found.withColumn("pii", F.when(text.isNotNull(), F.when(F.size("__hits") > 0, spans).otherwise(F.array().cast("array<struct<kind:string,start:bigint,value:string>>"))))
-    return out.withColumn("text", F.when(F.size("__hits") > 0, new).otherwise(text)).drop("__hits", "__parts")
+    return out.withColumn("text", F.when(F.size("__hits") > 0, new).otherwise(text)).drop("__hits", "__parts", "__steps", "__chunks")

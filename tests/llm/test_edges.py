@@ -111,6 +111,20 @@ def test_pseudonyms_of_edge_cases(spark):
     assert pii.pseudonymize(spark.createDataFrame([], DOCS), "key").count() == 0
 
 
+@pytest.mark.parametrize("n", [1, 255, 256, 257, 3000])
+def test_places_of_many_finds_in_one_text(spark, n):
+    rng = random.Random(n)
+    parts = [(rng.choice(["é ", "𝄞 at ", "", "no "]) + " ", rng.choice(["ann@example.org", "123-45-6789", "10.1.2.3"])) for _ in range(n)]
+    text, want = "", []
+    for before, value in parts:
+        text += before
+        want.append((len(text), value))
+        text += value + " ;"
+    row = pii.pseudonymize(spark.createDataFrame([(1, text)], DOCS), "key").first()
+    assert [s.start for s in row.pii] == [at for at, _ in want]
+    assert [s.kind for s in row.pii] == [{"a": "email", "1": "ssn"}.get(v[0]) if v != "10.1.2.3" else "ipv4" for _, v in want]
+
+
 def test_pii_query_finds_what_plain_patterns_find(spark):
     texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
     mail = re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}")
