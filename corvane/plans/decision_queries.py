@@ -134,7 +134,7 @@ class Run:
         if blend:
             t = backtest.template_scores(panel_now, backtest.template_table(spark))
             seg = panel.segments(m.prices.select("date", "ticker", "close"), panel.rebalance_dates(m.prices))
-            daily = cut(backtest.segment_returns(backtest.top_n(t, 10), seg), "daily")
+            daily = cut(backtest.segment_returns(cut(backtest.top_n(t, 10), "picks"), seg), "daily")
             best = cut(backtest.blend_of(backtest.trailing_best(daily, dates_of(m), m.prices.select("date")), backtest.template_table(spark)), "blend")
         tilts = risk.style_tilts(self.clients.withColumnRenamed("portfolio_id", "client_id"))
         self.raw = cut(backtest.style_weights(self.regimes, backtest.prior_table(spark), best, tilts).withColumnRenamed("client_id", "portfolio_id"), "raw")

@@ -260,7 +260,7 @@ def _backtest(spark, d, survivors: bool = False, n: int = 10, pit: bool = False)
     if survivors:
         scores = panel.restrict(scores, m.securities.where("delisting_date is null"))
     seg = panel.segments(m.prices.select("date", "ticker", "close"), panel.rebalance_dates(m.prices))
-    return backtest.segment_returns(backtest.top_n(scores, n), seg)
+    return backtest.segment_returns(cut(backtest.top_n(scores, n), "picks"), seg)  # read twice: names held, then their rows
 
 
 def template_backtest(spark, d):
