@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import groupby
 
 from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
@@ -14,54 +15,53 @@ STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvide
 
 
 class Book(StatefulProcessor):
-    """Rows of a day wait in a list until the watermark has passed it; a timer at its end then takes all that came for it
-    and for days before, in the order of their times, and marks the book. A row of a closed day is put out as `late`."""
+    """Rows of open days wait in a list. One timer a book stands at the end of its earliest waiting day; once the watermark
+    has passed it, all days that are over are marked in one go, from rows in the order of their times, so state is read and
+    written once a book and batch, not once a day. A row of a closed day is put out as `late`."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.waiting = handle.getListState("waiting", "ms long, ticker string, price double, shares double")
-        self.held = handle.getMapState("held", "ticker string", "shares double")
-        self.last = handle.getMapState("last", "ticker string", "price double")
-        self.account = handle.getValueState("account", "cash double, closed long")
+        self.book = handle.getValueState("book", "cash double, closed long, tickers array<string>, shares array<double>, prices array<double>")
 
-    def _account(self) -> tuple[float, int]:
-        return tuple(self.account.get()) if self.account.exists() else (0.0, -(1 << 40))
+    def _book(self) -> tuple[float, int, dict[str, tuple[float, float]]]:
+        kept = self.book.get()
+        if kept is None:
+            return 0.0, -(1 << 40), {}
+        cash, closed, tickers, shares, prices = kept
+        return cash, closed, {t: (n, x) for t, n, x in zip(tickers, shares, prices)}
 
     def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
-        _, closed = self._account()
-        days, waiting = set(), []
+        _, closed, _ = self._book()
+        waiting = []
         for r in rows:
             day = r.ms // DAY
             if day <= closed:
                 yield Row(portfolio_id=key[0], kind="late", date=_date(day), nav=None, cash=None, n_positions=None, ticker=r.ticker, price=r.price, shares=r.shares)
             else:
-                days.add(day)
                 waiting.append((r.ms, r.ticker, r.price, r.shares))
         if waiting:
             self.waiting.appendList(waiting)
-        for day in days:
-            self.handle.registerTimer((day + 1) * DAY - 1)
+            self.handle.registerTimer((min(waiting)[0] // DAY + 1) * DAY - 1)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
-        day = expiredTimerInfo.getExpiryTimeInMs() // DAY
-        cash, closed = self._account()
-        if day <= closed:
+        over = max(expiredTimerInfo.getExpiryTimeInMs() // DAY, timerValues.getCurrentWatermarkInMs() // DAY - 1)
+        cash, closed, held = self._book()
+        if expiredTimerInfo.getExpiryTimeInMs() // DAY <= closed:
             return
         rows = sorted(tuple(r) for r in self.waiting.get())
-        for ms, ticker, price, shares in (r for r in rows if r[0] // DAY <= day):
-            if shares:
-                had = self.held.getValue((ticker,))[0] if self.held.containsKey((ticker,)) else 0.0
-                self.held.updateValue((ticker,), (had + shares,))
+        left = [r for r in rows if r[0] // DAY > over]
+        for closed, own in groupby(rows[: len(rows) - len(left)], lambda r: r[0] // DAY):
+            for _, ticker, price, shares in own:
+                held[ticker] = (held[ticker][0] + shares if ticker in held else shares, price)
                 cash -= shares * price
-            self.last.updateValue((ticker,), (price,))
-        left = [r for r in rows if r[0] // DAY > day]
+            nav = cash + sum(n * x for n, x in held.values())
+            yield Row(portfolio_id=key[0], kind="mark", date=_date(closed), nav=nav, cash=cash, n_positions=sum(abs(n) > 1e-12 for n, _ in held.values()), ticker=None, price=None, shares=None)
         self.waiting.clear()
         if left:
             self.waiting.put(left)
-        self.account.update((cash, day))
-        own = [(k[0], v[0]) for k, v in self.held.iterator()]
-        nav = cash + sum(n * self.last.getValue((t,))[0] for t, n in own)
-        yield Row(portfolio_id=key[0], kind="mark", date=_date(day), nav=nav, cash=cash, n_positions=sum(abs(n) > 1e-12 for _, n in own), ticker=None, price=None, shares=None)
+            self.handle.registerTimer((left[0][0] // DAY + 1) * DAY - 1)
+        self.book.update((cash, closed, list(held), [n for n, _ in held.values()], [x for _, x in held.values()]))
 
     def close(self) -> None:
         pass

@@ -2,9 +2,10 @@
 
 import datetime as dt
 
+from pyspark.sql import Row
 from pyspark.sql import types as T
 
-from corvane.streaming.positions import positions
+from corvane.streaming.positions import DAY, Book, positions
 
 SCHEMA = "portfolio_id string, at timestamp, ticker string, price double, shares double"
 
@@ -39,3 +40,62 @@ def test_marks_of_several_batches(spark, tmp_path):
         ("y", "mark", 6, 50.0, 50.0, 0, None, None),
     ]
     assert seen[1] == 0 and seen[2] == 3  # nothing is marked before its day is over
+
+
+class _Handle:
+    """Lists, values and maps of one key that count how often they are asked, and its timers."""
+
+    def __init__(self):
+        self.calls, self.timers, self.kept = 0, set(), {}
+
+    def state(self, name, *schema):
+        handle = self
+
+        class State:
+            def __getattr__(self, call):
+                kept = handle.kept.setdefault(name, [[], None, {}])
+
+                def run(*args):
+                    handle.calls += 1
+                    if name == "waiting":
+                        if call == "get":
+                            return iter(list(kept[0]))
+                        kept[0] = {"appendList": lambda: kept[0] + args[0], "put": lambda: list(args[0]), "clear": list}[call]()
+                    elif call in ("get", "exists"):
+                        return kept[1] if call == "get" else kept[1] is not None
+                    elif call == "update":
+                        kept[1] = args[0]
+                    elif call == "updateValue":
+                        kept[2][args[0]] = args[1]
+                    else:
+                        return {"containsKey": lambda: args[0] in kept[2], "getValue": lambda: kept[2][args[0]], "iterator": lambda: list(kept[2].items())}[call]()
+
+                return run
+
+        return State()
+
+    getListState = getValueState = getMapState = state
+
+    def registerTimer(self, ms):
+        self.timers.add(ms)
+
+
+class _At:
+    def __init__(self, ms):
+        self.getCurrentWatermarkInMs = self.getExpiryTimeInMs = lambda: ms
+
+
+def test_state_is_asked_once_a_book_not_once_a_day():
+    row = Row("ms", "ticker", "price", "shares")
+    handle, book = _Handle(), Book()
+    book.init(handle)
+    assert not list(book.handleInputRows(("x",), (row(d * DAY + 5, "A", 1.0 + d, 1.0) for d in range(300)), _At(0)))
+    watermark, marks = 250 * DAY, []
+    while due := [t for t in handle.timers if t < watermark]:
+        handle.timers.remove(min(due))
+        marks += book.handleExpiredTimer(("x",), _At(watermark), _At(min(due)))
+    assert [(m.date - dt.date(1970, 1, 1)).days for m in marks] == list(range(250))
+    assert marks[2].nav == 3 * 3.0 - (1.0 + 2.0 + 3.0) and marks[2].n_positions == 1
+    assert handle.calls < 20
+    late = list(book.handleInputRows(("x",), [row(9 * DAY, "A", 1.0, 1.0)], _At(watermark)))
+    assert [r.kind for r in late] == ["late"]
