@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corvane.sources.star import FIELDS
+from corvane.work import cut
 
 BARS = "array<struct<datetime:string,date:string,time:string,time_milliseconds:string,open:string,close:string,adjClose:string,volume:string>>"
 FACT = "struct<fy:int,fp:string,form:string,val:double,filed:date,end:date>"
@@ -14,14 +15,50 @@ FACTS = f"struct<entityName:string,facts:map<string,map<string,struct<units:map<
 SECTORS = {"information technology": "Technology", "technology": "Technology", "healthcare": "Health Care", "health care": "Health Care", "financial services": "Financials", "financials": "Financials", "consumer cyclical": "Consumer Discretionary", "consumer discretionary": "Consumer Discretionary", "consumer defensive": "Consumer Staples", "consumer staples": "Consumer Staples", "industrials": "Industrials", "energy": "Energy", "basic materials": "Materials", "materials": "Materials", "utilities": "Utilities", "communication services": "Communication Services", "real estate": "Real Estate"}
 
 
+FIELD = r',("(?:[^"\\]|\\.|"")*+"|[^,]*)'
+
+
+def _cells(line: Column) -> Column:
+    """Fields of a CSV line, without their quotes."""
+    bare = lambda x: F.regexp_replace(F.substring(x, 2, F.length(x) - 2), r'\\(.)|"(")', "$1$2")
+    quoted = F.transform(F.regexp_extract_all(F.concat(F.lit(","), line), F.lit(FIELD), F.lit(1)), lambda x: F.when(x.startswith('"'), bare(x)).otherwise(x))
+    return F.when(F.contains(line, F.lit('"')), quoted).otherwise(F.split(line, ","))
+
+
+def wide_rows(spark: SparkSession, path: str) -> DataFrame:
+    """date, name and cell of a wide CSV with a column a name. Lines are read as texts and their cells meet the header's
+    names by place, so that plans don't grow with names."""
+    lines = spark.read.text(path).withColumnRenamed("value", "line")
+    first = lines.first()
+    head = "" if first is None else first.line
+    names = spark.createDataFrame([(head,)], "head string").select("head", _cells(F.col("head")).alias("names"))
+    rows = lines.where("line <> ''").join(F.broadcast(names), F.col("line") != F.col("head")).withColumn("cells", _cells(F.col("line")))  # one row
+    day = F.get("cells", F.array_position("names", "date").cast("int") - 1)
+    return rows.select(day.alias("date"), F.col("names").alias("name"), F.col("cells").alias("cell")).select("date", F.explode(F.arrays_zip("name", "cell")).alias("c")).select("date", "c.*")
+
+
+def write_wide(df: DataFrame, key: str, value: str, path: str) -> None:
+    """A line a date, a column a name. Lines are put together from each date's values, sorted by their names' places,
+    with as many commas between two as lie between their places; the header is the name of the one column written."""
+    names = df.agg(F.array_sort(F.collect_set(key)).alias("names"))
+    places = names.select(F.posexplode("names").alias("__i", key)).withColumn("__i", F.col("__i") + 1)
+    own = df.where(F.col(value).isNotNull()).join(places, key).groupBy("date").agg(F.array_sort(F.collect_list(F.struct("__i", F.col(value).cast("string").alias("x")))).alias("a"))
+    every = names.first().names  # the header is one line
+    before = lambda i: F.when(i > 0, F.get("a", i - 1)["__i"]).otherwise(0)
+    cell = lambda x, i: F.when(x["__i"] > before(i), F.concat(F.repeat(F.lit(","), x["__i"] - before(i)), x["x"])).otherwise("")
+    rest = F.repeat(F.lit(","), F.lit(len(every)) - F.element_at("a", -1)["__i"])
+    quoted = lambda n: f'"{n.replace(chr(92), chr(92) * 2).replace(chr(34), chr(92) + chr(34))}"' if any(c in n for c in ',"\\') else n
+    line = F.concat(F.col("date").cast("string"), F.array_join(F.transform("a", cell), ""), rest)
+    own.select(line.alias(",".join(["date", *map(quoted, every)]))).write.csv(path, header=True, sep="\x01", quote="")
+
+
 def csv_dataset(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
     """Prices.csv and benchmarks.csv are wide, fundamentals.csv and meta.csv long; only tickers in both stay."""
     read = lambda n: spark.read.csv(f"{folder}/{n}.csv", header=True)
 
     def long(name: str, key: str, value: str) -> DataFrame:
-        wide = read(name)
-        names = [c for c in wide.columns if c != "date"]
-        return wide.unpivot(["date"], names, key, value).select(F.to_date("date").alias("date"), key, F.expr(f"try_cast({value} as double)").alias(value)).where(f"{value} is not null and not isnan({value})")
+        rows = wide_rows(spark, f"{folder}/{name}.csv").where("name <> 'date'")
+        return rows.select(F.to_date("date").alias("date"), F.col("name").alias(key), F.expr("try_cast(cell as double)").alias(value)).where(f"{value} is not null and not isnan({value})")
 
     meta = read("meta")
     themes = F.filter(F.split(F.coalesce("themes", F.lit("")), r"\|"), lambda x: (x != "") & (x != "nan"))
@@ -29,7 +66,7 @@ def csv_dataset(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
     facts = read("fundamentals")
     facts = facts.select(F.to_date("date").alias("pub_date"), "ticker", *[(F.expr(f"nanvl(try_cast({c} as double), null)") if c in facts.columns else F.lit(None).cast("double")).alias(c) for c in FIELDS])
     prices = long("prices", "ticker", "close").join(meta.select("ticker"), "ticker", "left_semi")
-    both = prices.select("ticker").distinct()
+    both = cut(prices.select("ticker").distinct(), "names")  # one more pass over the prices, not one a table
     return {"prices": prices, "benchmarks": long("benchmarks", "name", "level"), "fundamentals": facts.join(both, "ticker", "left_semi"), "securities": meta.join(both, "ticker", "left_semi")}
 
 
