@@ -26,7 +26,8 @@ PRIORS = f"(select r as regime, s as style, w::double as prior from (values {PRI
 
 
 def rank(x: str, high: bool = True, part: str = "as_of") -> str:
-    order = "asc" if high else "desc"
+    """Values that are equal to eight digits are ties."""
+    order, x = "asc" if high else "desc", f"round({x}, 8)"
     return f"case when {x} is null then null when min({x}) over (partition by {part}) = max({x}) over (partition by {part}) then 50 else (rank() over (partition by {part} order by {x} {order} nulls last) + (count(*) over (partition by {part}, {x}) - 1) / 2.0::double) / count({x}) over (partition by {part}) * 100 end"
 
 
@@ -114,7 +115,7 @@ TESTS = ["roa > 0", "fcf_yield > 0", "roa > p_roa", "accruals < 0", "debt_equity
 RISK = RISK_WIN(253) + f""", k0 as (select as_of, ticker, date, case when i > min(i) over (partition by as_of, ticker) then ret end as ret, case when i > min(i) over (partition by as_of, ticker) then m end as m from win),
 k1 as (select *, case when ret is not null then product(1 + coalesce(ret, 0)) over (partition by as_of, ticker order by date rows between unbounded preceding and current row) end as curve from k0), k2 as (select *, curve / max(curve) over (partition by as_of, ticker order by date rows between unbounded preceding and current row) - 1 as dd from k1),
 k3 as (select as_of, ticker, stddev_pop(ret) * sqrt(252) as vol, case when covar_samp(case when m is not null then ret end, m) / nullif(var_pop(m), 0) is null or count(ret) < 30 then 1 else covar_samp(case when m is not null then ret end, m) / nullif(var_pop(m), 0) end as beta, min(dd) as mdd, avg((dd < -0.10::double)::int) as dd_freq from k2 group by as_of, ticker), k4 as (select *, {rank('vol', False)} as r_vol, {rank('mdd')} as r_mdd, {rank('dd_freq', False)} as r_freq from k3), k5 as (select *, {mix(r_vol=.5, r_mdd=.3, r_freq=.2)} as risk_score from k4),
-risks as (select *, case when count(vol) over ({X}) = count(*) over ({X}) and count(vol) over ({X}) > 1 then greatest(1, ceil(5.0::double * (row_number() over ({X} order by vol nulls last, ticker) - 1) / (count(vol) over ({X}) - 1))) else 3 end::int as risk_band, coalesce(vol > quantile_cont(vol, 0.85) over ({X}) or mdd < -0.40::double, false) as tail from k5)"""
+risks as (select *, case when count(vol) over ({X}) = count(*) over ({X}) and count(vol) over ({X}) > 1 then greatest(1, ceil(5.0::double * (row_number() over ({X} order by round(vol, 8) nulls last, ticker) - 1) / (count(vol) over ({X}) - 1))) else 3 end::int as risk_band, coalesce(round(vol, 8) > quantile_cont(round(vol, 8), 0.85) over ({X}) or mdd < -0.40::double, false) as tail from k5)"""
 
 QUALITY = f""", qp as (select as_of, ticker, avg((close is null)::int) as missing, count(distinct close) <= 1 and count(close) > 1 as stale, coalesce(max(abs(ret)) > 0.5::double, false) as outlier from win group by all), qo as (select as_of, avg(missing) as missing, sum(stale::int) as stale, sum(outlier::int) as outliers, count(*) as n from qp group by as_of),
 qv as (select qo.*, coalesce(c, 0) as coverage from qo left join (select as_of, ({' + '.join(f'count({c})' for c in FIELDS)})::double / (count(*) * {len(FIELDS)}) as c from facts group by as_of) using (as_of)),
@@ -177,7 +178,7 @@ SQL: dict[str, str] = {
     "equity_curves": C + ", r as (select *, level / lag(level) over (partition by name order by date) - 1 as ret from benchmarks), e as (select *, product(1 + ret) over (partition by name order by date rows between unbounded preceding and current row) as equity from r where ret is not null), f as (select *, equity / max(equity) over (partition by name order by date rows between unbounded preceding and current row) - 1 as drawdown from e) " + out("date name ret:r equity:r drawdown:r", "f"),
     "quant_scores": C + ASOF + QUANT + out("as_of ticker momentum:r low_vol:r size:r factor:r beta:r gbeta:r macro_tilt:r volatility:r", "quant"),
     "macro_regime": C + MACRO + out("date trend:r vol:r vol_z:r dd:r leadership:r risk_on:r label", "w5"),
-    "hybrid": C + FUND + QUANT + f", h as (select as_of, ticker, value, quality, growth, factor, analyst, {mix(value=.34, quality=.4, growth=.26)} as f, {mix(factor=.5, analyst=.5)} as q from fund full join quant using (as_of, ticker)), i as (select *, {clip(mix(f=.6, q=.4) + ' + 0.10::double * (greatest(0, least(100, 100 - abs(f - q))) - 50) + case when f > 55 and q > 55 then 4 else 0 end')} as hybrid_alpha from h) " + out("as_of ticker value:r quality:r growth:r factor:r analyst:r hybrid_alpha:r", "i"),
+    "hybrid": C + FUND + QUANT + f", h as (select as_of, ticker, value, quality, growth, factor, analyst, {mix(value=.34, quality=.4, growth=.26)} as f, {mix(factor=.5, analyst=.5)} as q from fund full join quant using (as_of, ticker)), i as (select *, {clip(mix(f=.6, q=.4) + ' + (0.10::double * (' + clip('100 - abs(f - q)') + ' - 50) + case when f > 55 and q > 55 then 4 else 0 end)')}::decimal(18, 9) as hybrid_alpha from h) " + out("as_of ticker value:r quality:r growth:r factor:r analyst:r hybrid_alpha:r", "i"),
     "stock_risk": C + RISK + out("as_of ticker vol:r beta:r mdd:r dd_freq:r risk_score:r risk_band tail", "risks"),
     "liquidity": C + DATES + f", a as (select *, avg(close * volume) over (partition by ticker order by date rows between 62 preceding and current row) as adv from prices), b as (select a.date as as_of, ticker, adv from a join reb on a.date = reb.as_of), c as (select *, {rank('adv')} as liquidity_score, 0.10::double * adv as max_safe_trade, least(1, 0.10::double * adv / 1e8) as max_weight_by_liquidity, least(1, 0.10::double * adv / 1e8) < 0.01::double as illiquid from b) " + out("as_of ticker adv:r liquidity_score:r max_safe_trade:r max_weight_by_liquidity:r illiquid", "c"),
     "concentration": C + FUND + BOOKS + ", c as (select portfolio_id, as_of, max(weight) as top1, sum(weight) filter (j <= 5) as top5, sum(weight * weight) as hhi, 1 / sum(weight * weight) as effective_n, count(*) as n_positions, -max(weight) as worst_single from (select *, row_number() over (partition by as_of order by weight desc, ticker) as j from books) group by all) " + out("portfolio_id as_of top1:r top5:r hhi:r effective_n:r n_positions worst_single:r", "c"),
