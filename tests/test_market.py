@@ -48,3 +48,12 @@ def test_prices_are_filled_forward_to_the_end(spark):
     days = spark.sql("select string(t) as ticker, date_add(date'1999-06-01', d) as date, cast(100 + d as decimal(28,2)) as p, cast(2 as decimal(28,2)) as q from (select 1 as t, explode(sequence(0, 30)) as d union all select 2, explode(array(0, 1, 2, 3, 4, 5, 6, 7, 8, 9, 10, 11, 12, 13, 14, 15, 16, 17, 18, 20, 24)))")
     own = [(r.date.day, r.date.month, r.volume) for r in star.prices(spark, "", days).where("ticker = '2'").orderBy("date").collect()]
     assert own == [(21, 6, 2.0), (22, 6, 0.0), (23, 6, 0.0), (24, 6, 0.0), (25, 6, 2.0), *[(d, 6, 0.0) for d in range(26, 31)], (1, 7, 0.0)]
+
+
+def test_windows_of_books_hold_their_names_alone(spark):
+    m = star.market(spark, SF)
+    returns = signals._market(m.prices, m.benchmarks).select("date", "ticker", "close", "ret", "m")
+    held = plans.dates_of(m).select("as_of", F.lit("3").alias("ticker"))
+    got = plans.held_window(m, returns, held, held)
+    want = risk.windowed(returns, plans.dates_of(m)).where("ticker = '3'").select(got.columns)
+    assert got.count() == want.count() > 0 and not got.exceptAll(want).count()
