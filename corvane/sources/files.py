@@ -146,12 +146,13 @@ def instant_series(facts: DataFrame) -> DataFrame:
 
 def annual_pair(series: DataFrame, grid: DataFrame) -> DataFrame:
     """The last two fiscal years known on each date of grid (cik, as_of), for each measure of which there is one.
-    Years and dates are one sequence of days, carried forward."""
-    asked = series.select("cik", "measure").distinct().join(grid.select("cik", "as_of"), "cik").withColumn("day", F.unix_date("as_of"))
-    events = series.select("cik", "measure", F.unix_date("filed").alias("day"), F.struct("fy", "val").alias("y"))
-    w = Window.partitionBy("cik", "measure").orderBy("day").rangeBetween(Window.unboundedPreceding, 0)
-    known = F.slice(F.sort_array(F.collect_list("y").over(w), asc=False), 1, 2)
-    rows = events.unionByName(asked, allowMissingColumns=True).withColumn("k", known).where("as_of is not null and size(k) > 0")
+    A company's years and dates are two short lists: only what was filed moves, the rows of all dates are made where they
+    end."""
+    known = F.sort_array(F.collect_list(F.struct("fy", "val", "filed")), asc=False).alias("y")
+    years = series.where("cik is not null").repartition("cik").groupBy("cik", "measure").agg(known)
+    dates = grid.where("as_of is not null").groupBy("cik").agg(F.collect_list("as_of").alias("d"))
+    rows = years.join(dates, "cik").select("cik", "measure", "y", F.explode("d").alias("as_of"))
+    rows = rows.withColumn("k", F.filter("y", lambda y: F.coalesce(y["filed"].cast("date") <= F.col("as_of"), F.lit(True)))).where("size(k) > 0")
     return rows.select("cik", "as_of", "measure", F.col("k")[0]["val"].alias("latest"), F.try_element_at("k", F.lit(2))["val"].alias("previous"))
 
 
