@@ -6,7 +6,7 @@ import datetime as dt
 from pyspark.sql import functions as F
 
 from corvane.functions.xs import pct_rank, ranked
-from corvane.operators import panel, signals
+from corvane.operators import panel, risk, signals
 from corvane.plans import panel_queries as plans
 from corvane.sources import files, star
 
@@ -56,3 +56,17 @@ def test_years_of_a_company_move_without_its_dates(spark):
     assert not steps(out, "Window")
     assert not [s for s in steps(out, "Exchange hashpartitioning") if "as_of" in s and "cik" not in s]
     assert sorted(map(tuple, out.collect())) == [("1", day(2001, 3, 1), "revenue", 5.0, None), ("1", day(2002, 7, 1), "assets", 3.0, None), ("1", day(2002, 7, 1), "revenue", 7.0, 5.0), ("2", day(1990, 1, 1), "assets", 1.0, None)]
+
+
+def test_risk_of_dates_is_made_where_a_tickers_rows_lie(spark):
+    m = star.market(spark, SF)
+    dates = plans.dates_of(m).localCheckpoint()
+    returns = signals._market(m.prices, m.benchmarks.localCheckpoint()).where("volume > 0 or ticker = '3'")  # days with gaps
+    made = risk.stock_risk(returns, dates)
+    assert not [x for x in steps(made, "Exchange hashpartitioning") if "ticker" in x]
+    assert not steps(made, "Generate")
+    near = lambda df, cs: df.select("as_of", "ticker", *[F.round(c, 8).alias(c) for c in cs])
+    rows = risk.windowed(returns, dates, 31).where("i > now - 30 and i > 1")  # 30 returns of 31 prices
+    plain = rows.groupBy("as_of", "ticker").agg((F.stddev_pop("ret") * 252**0.5).alias("vol"))
+    want, got = near(plain.where("vol is not null"), ["vol"]), near(risk.stock_risk(returns, dates, 30).where("vol is not null"), ["vol"])
+    assert want.count() == got.count() > 0 and not want.exceptAll(got).count()
