@@ -57,3 +57,31 @@ def test_windows_of_books_hold_their_names_alone(spark):
     got = plans.held_window(m, returns, held, held)
     want = risk.windowed(returns, plans.dates_of(m)).where("ticker = '3'").select(got.columns)
     assert got.count() == want.count() > 0 and not got.exceptAll(want).count()
+
+
+def test_features_come_from_observed_prices_alone(spark):
+    m = star.market(spark, SF)
+    days = m.traded.where("i % 13 = 0").select(F.col("date").alias("as_of"))
+    same = ["as_of", "ticker", "beta", "gbeta", "mom", "rev", "volatility"]
+    rounded = lambda df, names: df.select("as_of", "ticker", *[F.round(c, 8).alias(c) for c in names])
+    want = signals.price_features(m.prices, m.benchmarks, dates=days.select(F.col("as_of").alias("date"))).withColumnRenamed("date", "as_of").select(same)
+    got = plans.price_features(m, days).select(same)
+    pair = got.join(want.select("as_of", "ticker", *[F.col(c).alias(f"w_{c}") for c in same[2:]]), ["as_of", "ticker"], "full")
+    far = lambda c: ~F.col(c).eqNullSafe(F.col(f"w_{c}")) & ~F.coalesce(F.abs(F.col(c) - F.col(f"w_{c}")) < 1e-9, F.lit(False))
+    assert got.count() == want.count() == pair.count() > 0
+    assert not any(pair.where(far(c)).count() for c in same[2:])
+    betas = rounded(plans.price_features(m, days, betas=True), ["beta", "gbeta"])
+    assert not betas.exceptAll(rounded(got, ["beta", "gbeta"])).count() and betas.count() == got.count()
+
+
+def test_days_with_prices(spark):
+    m = star.market(spark, SF)
+    assert sorted(m.traded.select("date").collect()) == sorted(m.prices.select("date").distinct().collect())
+
+
+def test_macro_fit_makes_no_price_between_observed_ones(spark):
+    from corvane.plans import landed_queries
+
+    star.forget()
+    assert landed_queries.macro_fit(spark, SF).count()
+    assert not {"prices", "fundamentals", "securities"} & vars(star.market(spark, SF)).keys()
