@@ -140,13 +140,15 @@ class Encoder:
     """Ids of whole texts by the tokenizers library. Text is encoded in pieces that begin at single white space: the
     tokenizer's own word pattern never joins characters across such a place, so equal pieces are encoded once, many of
     them in one call with line ends between. A text with any other white space is encoded whole, and so are all texts
-    where PROBE shows that the tokenizer works otherwise."""
+    where PROBE shows that the tokenizer works otherwise. Of the pieces that are known, those that were not met since
+    `limit` others came are forgotten."""
 
-    def __init__(self, path: str, end: bytes, limit: int = 300_000, stem_limit: int = 1_000_000):
+    def __init__(self, path: str, end: bytes, limit: int = 200_000, stem_limit: int = 1_000_000):
         from tokenizers import Tokenizer
 
         self.tok, self.end, self.limit, self.stem_limit = Tokenizer.from_file(path), end, limit, stem_limit
         self.known: dict[str, bytes | None] = {}
+        self.earlier: dict[str, bytes | None] = {}
         self.stems: dict[str, bytes] = {}
         self.line = self._ids(["\n"])[0]
         self.splits = True
@@ -157,8 +159,8 @@ class Encoder:
 
     def _learn(self, words: list[str]) -> None:
         """Ids of words, each with what stands before it: a space, or nothing at the beginning of a line."""
-        for i in range(0, len(words), 2000):
-            own = words[i : i + 2000]
+        for i in range(0, len(words), 100):
+            own = words[i : i + 100]
             ids = np.frombuffer(self._ids(["\n".join(own)])[0], dtype="<u4")
             cuts = np.flatnonzero(ids == int.from_bytes(self.line, "little")) if len(self.line) == 4 else ()
             if len(cuts) == len(own) - 1:
@@ -171,37 +173,53 @@ class Encoder:
     def _pieces(self, pieces: set[str]) -> None:
         """Letters and what follows them are always parted by the tokenizer (but for an apostrophe), so a piece's letters
         and its tail are known apart."""
-        parts = []
+        known, earlier, stems = self.known, self.earlier, self.stems
+        later, new = [], set()
         for p in pieces:
-            line = p[:1] == "\n"
-            word = p[1:] if line else p
-            if not word or word[0].isspace() or word[-1].isspace():
-                self.known[p] = None
+            if (ids := earlier.get(p)) is not None:
+                known[p] = ids
                 continue
-            tail = ""
-            if not word.isalpha() and (m := _LETTERS.match(word)) and word[m.end()] != "'" and not word[m.end()].isspace():
-                word, tail = m.group(), word[m.end() :]
-            parts.append((p, line, word if line else " " + word, tail))
-        stems = self.stems
-        self._learn([w for w in {x for _, _, w, t in parts for x in (w, t) if x} if w not in stems])
-        for p, line, word, tail in parts:
+            line = p[:1] == "\n"
+            word, tail = p[1:] if line else p, ""
+            if not word.isalpha():
+                if not word or word[-1].isspace():
+                    known[p] = None
+                    continue
+                if m := _LETTERS.match(word):
+                    at = m.end()
+                    if (c := word[at : at + 1]) and c != "'" and not c.isspace():
+                        word, tail = word[:at], word[at:]
+                elif word[0].isspace():
+                    known[p] = None
+                    continue
+            if not line:
+                word = " " + word
+            ids, rest = stems.get(word), stems.get(tail) if tail else b""
+            if ids is None or rest is None:
+                later.append((p, word, tail))
+                new.update((word, tail) if tail else (word,))
+            else:
+                known[p] = self.line + ids + rest if line else ids + rest
+        self._learn([w for w in new if w not in stems])
+        for p, word, tail in later:
             ids = stems[word] + stems[tail] if tail else stems[word]
-            self.known[p] = self.line + ids if line else ids
+            known[p] = self.line + ids if p[0] == "\n" else ids
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         if not self.splits:
             return [ids + self.end for ids in self._ids([t or "" for t in texts])]
         if len(self.known) > self.limit:
-            self.known.clear()
+            self.known, self.earlier = {}, self.known
         if len(self.stems) > self.stem_limit:
             self.stems.clear()
-        known, skip = self.known, len(self.line)
+        skip = len(self.line)
         split = [("\n" + t if t else "").replace("\n", " \n").split(" ")[1:] for t in texts]
-        self._pieces(set().union(*split) - known.keys())
+        self._pieces(set().union(*split).difference(self.known))
+        known = self.known.__getitem__
         out, whole = [], []
         for k, s in enumerate(split):
             try:
-                out.append(b"".join([known[p] for p in s])[skip:] + self.end)
+                out.append(b"".join(map(known, s))[skip:] + self.end)
             except TypeError:
                 whole.append(k)
                 out.append(b"")

@@ -83,6 +83,22 @@ def test_another_tokenizer_encodes_whole_texts(tmp_path):
     assert np.frombuffer(enc.encode(["a b|a b"])[0], "<u4").tolist() == [*tok.encode("a b|a b").ids, 0]
 
 
+def test_pieces_met_lately_stay_known_when_others_are_forgotten():
+    from tokenizers import Tokenizer
+
+    path = queries.tokenizer_path()
+    tok, enc, learned = Tokenizer.from_file(path), tokens.Encoder(path, b"\0\0\0\0", limit=20, stem_limit=0), []
+    learn = enc._learn
+    enc._learn = lambda words: (learned.extend(words), learn(words))[1]
+    one = " ".join(f"word{a}{b}," for a in "abcdef" for b in "ghijk")
+    odd = ["x\ty z", "don't  stop", "\u00a0a b\u00a0 c", "a\u2003b\n\n c.\r", "'tis o'x ... !a \u0301b", one + "\n" + one, None, "\n", " "]
+    for texts in ([one], odd, [one], odd, ["new words", one], odd):
+        assert enc.encode(texts) == [np.array([*tok.encode(t or "", add_special_tokens=False).ids, 0], "<u4").tobytes() for t in texts]
+    learned.clear()
+    enc.encode([one])
+    assert not learned
+
+
 def test_top_k_of_lengths_repeats_and_few_rows(spark):
     rng = random.Random(3)
     rows = [(i % 90, [rng.randrange(-50, 50) for _ in range(4 if i % 3 else 6)]) for i in range(150)] + [(7, []), (None, [1, 2, 3, 4])]
