@@ -87,6 +87,22 @@ def test_many_copies_with_common_passages(spark):
     assert found_repeats(spark, rows, 60) == expected_repeats(rows, 60)
 
 
+def test_rows_of_a_large_group_stay_apart(spark):
+    """Rows of one key, most of all, and of null keys: as a plain join, but in no one task."""
+    rows = spark.range(0, 20_000, numPartitions=8).select("id", F.when(F.col("id") % 10 > 0, 7).when(F.col("id") % 100 > 0, F.col("id") % 3000).alias("c"))
+    groups = rows.where("c % 3 = 1").groupBy("c").agg(F.min("id").alias("first"), F.count("*").alias("size"))
+    in_tasks = lambda df: [r.n for r in df.groupBy(F.spark_partition_id()).agg(F.count("id").alias("n"), F.max("first")).collect()]
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as if the groups were many
+    try:
+        for how in ("left", "inner"):
+            got, plain = substrings._joined(rows, groups, ["c"], 20_000, how), rows.join(groups.drop("size"), "c", how)
+            assert sorted(got.select("id", "c", "first").collect(), key=str) == sorted(plain.select("id", "c", "first").collect(), key=str)
+            assert max(in_tasks(plain)) >= 18_000
+            assert max(in_tasks(got)) < 4000
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 def test_without_repeats_keeps_rows_and_columns(spark):
     rows = [(1, "0123456789abcdefghij", "k"), (2, "x0123456789abcdefghijy", "k2"), (3, None, None), (4, "same same same same!", "a"), (4, "same same same same!", "b")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, kept string")
