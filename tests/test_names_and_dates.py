@@ -100,3 +100,15 @@ def test_reasons_of_rows_are_those_of_parts(spark):
     assert a.count() == 12 and sorted(map(str, a.collect())) == sorted(map(str, b.collect()))
     assert not lines(wide, "Exchange hashpartitioning", "ticker")
     assert by_name(x).join(x, KEYS).count() == 12
+
+
+def test_style_scores_group_no_rows_of_names(spark):
+    panel_rows = [(dt.date(2020, 1, 1), "A", 10.0, None, 30.0, None, None, None), (dt.date(2020, 1, 1), "B", None, None, None, None, 5.0, None), (dt.date(2020, 2, 1), "A", 1.0, 2.0, 3.0, 4.0, 5.0, 6.0), (dt.date(2020, 3, 1), "A", 1.0, 2.0, 3.0, 4.0, 5.0, 6.0)]
+    styles = spark.createDataFrame(panel_rows, "as_of date, ticker string, value double, quality double, growth double, garp double, momentum double, low_vol double")
+    rows = [("a", dt.date(2020, 1, 1), "value", 1.0), ("a", dt.date(2020, 1, 1), "growth", 3.0), ("a", dt.date(2020, 1, 1), "quality", 9.0), ("b", dt.date(2020, 1, 1), "momentum", 0.0), ("a", dt.date(2020, 2, 1), "value", None)]
+    weights = spark.createDataFrame(rows, "portfolio_id string, as_of date, style string, weight double")
+    got = decision.style_scores(styles, weights)
+    long = styles.unpivot(KEYS, list(decision.STYLES), "style", "x").where("x is not null").join(weights, ["as_of", "style"])
+    want = long.groupBy("portfolio_id", *KEYS).agg(F.try_divide(F.sum(F.col("x") * F.col("weight")), F.sum("weight")).alias("style_score"))
+    assert sorted(map(str, got.select(want.columns).collect())) == sorted(map(str, want.collect())) and got.count() == 3
+    assert not lines(got, "Exchange hashpartitioning", "ticker")
